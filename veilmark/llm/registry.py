@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veilmark.llm import (
     bpe_codec,
+    fingerprint_index,
     license_scan,
     mixture,
     secret_scan,
     stream_dedup,
+    suffix_dedup,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +26,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": lambda spark, sf: secret_scan.report(_documents(spark, sf)),
     "op2_mixture": lambda spark, sf: mixture.report(_documents(spark, sf)),
+    "op4_suffix_dedup": lambda spark, sf: suffix_dedup.report(_documents(spark, sf)),
     "op6_bpe": lambda spark, sf: bpe_codec.report(_documents(spark, sf)),
     "op7_license_scan": lambda spark, sf: license_scan.report(_documents(spark, sf)),
+    "op9_fingerprint_index": lambda spark, sf: fingerprint_index.report(_documents(spark, sf)),
     "op10_exact_dedup": lambda spark, sf: stream_dedup.report(_documents(spark, sf)),
 }
 
