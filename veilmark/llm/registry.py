@@ -11,6 +11,7 @@ from veilmark.llm import (
     fingerprint_index,
     license_scan,
     mixture,
+    pivot_index,
     secret_scan,
     stream_dedup,
     suffix_dedup,
@@ -27,6 +28,7 @@ QUERIES: dict[str, Query] = {
     "op1_secret_scan": lambda spark, sf: secret_scan.report(_documents(spark, sf)),
     "op2_mixture": lambda spark, sf: mixture.report(_documents(spark, sf)),
     "op4_suffix_dedup": lambda spark, sf: suffix_dedup.report(_documents(spark, sf)),
+    "op5_pivot_index": lambda spark, sf: pivot_index.report(spark.read.parquet(f"{sf}/embeddings.parquet")),
     "op6_bpe": lambda spark, sf: bpe_codec.report(_documents(spark, sf)),
     "op7_license_scan": lambda spark, sf: license_scan.report(_documents(spark, sf)),
     "op9_fingerprint_index": lambda spark, sf: fingerprint_index.report(_documents(spark, sf)),
