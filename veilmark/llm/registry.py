@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from veilmark.llm import (
     bpe_codec,
     fingerprint_index,
+    jaccard_join,
     license_scan,
     mixture,
     pivot_index,
@@ -31,6 +32,7 @@ QUERIES: dict[str, Query] = {
     "op5_pivot_index": lambda spark, sf: pivot_index.report(spark.read.parquet(f"{sf}/embeddings.parquet")),
     "op6_bpe": lambda spark, sf: bpe_codec.report(_documents(spark, sf)),
     "op7_license_scan": lambda spark, sf: license_scan.report(_documents(spark, sf)),
+    "op8_jaccard_join": lambda spark, sf: jaccard_join.report(_documents(spark, sf)),
     "op9_fingerprint_index": lambda spark, sf: fingerprint_index.report(_documents(spark, sf)),
     "op10_exact_dedup": lambda spark, sf: stream_dedup.report(_documents(spark, sf)),
 }
