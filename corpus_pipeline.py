@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilmark.llm import bpe_codec, mixture, staging, stream_dedup
+from veilmark.llm import bpe_codec, jaccard_join, language_id, mixture, staging, stream_dedup
 
 #: No SQL can express the language model, the similarity join or the encoder; tests hold run() against brute force.
 ORACLE_SQL = None
@@ -16,29 +16,50 @@ ORACLE_SQL = None
 _since: list[int] = []
 
 
-def _begin(first: bool = False) -> None:
+def _begin() -> None:
     """Free what an earlier stage staged: by contract its result has been written before the next one is called."""
-    if not first and _since:
+    if _since:
         staging.release(_since[0])
     _since[:] = [staging.mark()]
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is rejected go; lang is the predicted one from here on."""
+    _begin()
+    return language_id.keep(docs)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row of the largest id stays."""
     _begin()
     return stream_dedup.keep(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five words, a similarity of 0.8) stays: that of the smallest id."""
+    _begin()
+    return jaccard_join.keep(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture: documents as often as they are taken, the last one of a shard with just its taken words."""
     _begin()
     return mixture.sample(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of each row of the mixture."""
     _begin()
     return bpe_codec.report(docs)
 
 
-STAGES = [("exact dedup", exact_dedup), ("mix sources", mix_sources), ("encode", encode)]
+STAGES = [
+    ("language ID", identify_language),
+    ("exact dedup", exact_dedup),
+    ("n-gram Jaccard join", near_dedup),
+    ("mixing sources", mix_sources),
+    ("byte-level BPE", encode),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,5 +69,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = staging.folder(spark, name.replace(" ", "-"))
         made.write.parquet(path)
         docs = spark.read.schema(made.schema).parquet(path)
-        _since[:] = [staging.mark()]
+        _since.clear()  # the result just written must outlive the next stage's release
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,6 +10,7 @@ from veilmark.llm import (
     bpe_codec,
     fingerprint_index,
     jaccard_join,
+    language_id,
     license_scan,
     mixture,
     pivot_index,
@@ -28,6 +29,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": lambda spark, sf: secret_scan.report(_documents(spark, sf)),
     "op2_mixture": lambda spark, sf: mixture.report(_documents(spark, sf)),
+    "op3_language_id": lambda spark, sf: language_id.report(_documents(spark, sf)),
     "op4_suffix_dedup": lambda spark, sf: suffix_dedup.report(_documents(spark, sf)),
     "op5_pivot_index": lambda spark, sf: pivot_index.report(spark.read.parquet(f"{sf}/embeddings.parquet")),
     "op6_bpe": lambda spark, sf: bpe_codec.report(_documents(spark, sf)),
