@@ -2,9 +2,353 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import io
+import zipfile
+from collections.abc import Callable, Iterator
+from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from veilmark.functions import chars, contract, detect, language, visible
+from veilmark.operators import codepoints, control_syntax, geometry, summary
+from veilmark.plans import planted
+from veilmark.sources import docx, html, reading  # noqa: F401  docx registers its format
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(make: Query) -> Query:
+        QUERIES[name] = make
+        if sql:
+            ORACLES[name] = sql
+        return make
+
+    return add
+
+
+# What Spark reads.
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, t: planted texts as the text source gives them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return planted.documents(docs).select("doc_id", detect.without_leading_bom(F.col("text")).alias("t"))
+
+
+def _segment(text: Column, visible_: Column, kind: Column, location: Column) -> Column:
+    return F.struct(text.alias("text"), visible_.alias("visible"), kind.alias("kind"), location.alias("location"), F.lit(None).cast("string").alias("concealment"))
+
+
+def _plain(text: Column) -> Column:
+    return F.array(_segment(text, F.lit(True), F.lit("body"), F.lit(None).cast("string")))
+
+
+def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", detect.observe(_plain(F.col("t"))).alias("o"))
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, turn, kind, text: turns as segments; what the system says is metadata."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    text = planted.plant(F.col("text"), F.col("conv_id") * 3 + F.col("turn"), planted.DOCUMENTS)
+    return turns.select("conv_id", "turn", "role", F.when(F.col("role") == "system", "metadata").otherwise("body").alias("kind"), text.alias("text"))
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, extension, length, content: planted pages as files."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    content = F.encode(planted.plant(F.col("html"), F.col("page_id"), planted.PAGES), "utf-8")
+    return pages.select("page_id", F.lit(".html").alias("extension"), F.length(content).cast("long").alias("length"), content.alias("content"))
+
+
+# The same in SQL.
+
+_ZW, _BIDI, _INV, _WS = chars.one_of(chars.ZERO_WIDTH), chars.one_of(chars.BIDI), chars.one_of(chars.INVISIBLE), chars.inside(chars.WHITE_SPACE)
+_L, _CG, _TAG, _FLAG = chars.one_of(chars.LATIN), chars.one_of(chars.CYRILLIC, chars.GREEK), chars.one_of(chars.TAG), rf"\x{{{chars.FLAG:X}}}"
+_D = rf"d AS (SELECT doc_id, regexp_replace({planted.sql('text', 'doc_id', planted.DOCUMENTS)}, '^\x{{FEFF}}', '') AS t FROM documents)"
+_STRIPPED = rf"regexp_replace(t, '^[{_WS}]+|[{_WS}]+$', '', 'g')"
+
+
+def _count(text: str, cls: str) -> str:
+    return f"(length({text}) - length(regexp_replace({text}, '{cls}', '', 'g')))"
+
+
+_DENSITY = f"(CASE WHEN length(t) = 0 THEN 0.0 ELSE {_count('t', _ZW)}::DOUBLE / length(t)::DOUBLE END)"
+_O = f"""o AS (SELECT doc_id, t, 1 AS h1, ({_DENSITY} >= 0.01)::INT AS h2, regexp_matches(t, '{_BIDI}')::INT AS h3, 0 AS h4, 0 AS h5,
+    regexp_matches(t, '{detect.MIXED_TOKEN}')::INT AS h6, regexp_matches(t, '{_INV}{{16}}')::INT AS h7 FROM d)"""
+_MASK = "concat(h1, h2, h3, h4, '-', h5, h6, h7)"
+
+
+@query("mask_distribution", f"WITH {_D}, {_O} SELECT {_MASK} AS mask, count(*) AS documents FROM o GROUP BY 1")
+def mask_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.mask_counts(_observed(spark, sf_dir))
+
+
+@query("zero_width_density", f"WITH {_D} SELECT doc_id, {_count('t', _ZW)} AS n_zero_width, length(t) AS n_chars, {_DENSITY} AS density FROM d")
+def zero_width_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("t")
+    return _documents(spark, sf_dir).select("doc_id", detect.zero_width_count(t).cast("long").alias("n_zero_width"), F.length(t).cast("long").alias("n_chars"), detect.zero_width_density(t).alias("density"))
+
+
+@query("bidi_presence", f"WITH {_D} SELECT doc_id, regexp_matches(t, '{_BIDI}') AS has_bidi FROM d")
+def bidi_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", detect.has_bidi(F.col("t")).alias("has_bidi"))
+
+
+@query(
+    "script_mixing_tokens",
+    f"""WITH {_D}, x AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '[{_WS}]+'), lambda w: regexp_matches(w, '{_CG}') AND regexp_matches(w, '{_L}')) AS w FROM d)
+    SELECT doc_id, len(w) AS n_tokens, array_to_string(w, ' ') AS tokens FROM x WHERE len(w) > 0""",
+)
+def script_mixing_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _documents(spark, sf_dir).filter(detect.has_mixed_script(F.col("t"))).select("doc_id", detect.mixed_tokens(F.col("t")).alias("w"))
+    return found.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.array_join("w", " ").alias("tokens"))
+
+
+_BITS = f"translate(regexp_replace(run, '[^{_ZW[1:]}', '', 'g'), '​‌‍⁠﻿', '01___')"
+_RUNS = f"""p AS (SELECT doc_id, unnest(regexp_extract_all(t, '{_INV}+|[^{_INV[1:-1]}]+')) AS run, generate_subscripts(regexp_extract_all(t, '{_INV}+|[^{_INV[1:-1]}]+'), 1) AS i
+    FROM d WHERE regexp_matches(t, '{_INV}{{16}}')),
+    q AS (SELECT doc_id, run, i, coalesce(sum(length(run)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM p),
+    r AS (SELECT doc_id, start, length(run) AS size, run, {_BITS} AS bits FROM q WHERE regexp_matches(run, '^{_INV}') AND length(run) >= 16),
+    s AS (SELECT *, list_transform(regexp_extract_all(bits, '[01]{{8}}'), lambda b: list_reduce(list_transform(string_split(b, ''), lambda c: c::INT), lambda x, y: x * 2 + y)) AS codes FROM r)"""
+_DECODED = """CASE WHEN bits = '' THEN '' WHEN NOT contains(bits, '_') AND length(bits) % 8 = 0 AND len(list_filter(codes, lambda c: c < 32 OR c >= 127)) = 0
+    THEN array_to_string(list_transform(codes, lambda c: chr(c)), '') ELSE concat(length(bits), ' zero-width chars') END"""
+
+
+@query("invisible_runs", f"WITH {_D}, {_RUNS} SELECT doc_id, start, size FROM s")
+def invisible_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _documents(spark, sf_dir).filter(detect.has_payload(F.col("t"))).select("doc_id", F.explode(detect.invisible_runs(F.col("t"))).alias("r"))
+    return runs.select("doc_id", F.col("r.start").cast("long").alias("start"), F.col("r.size").cast("long").alias("size"))
+
+
+@query("payload_decode", f"WITH {_D}, {_RUNS} SELECT doc_id, start, {_DECODED} AS decoded FROM s")
+def payload_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _documents(spark, sf_dir).filter(detect.has_payload(F.col("t"))).select("doc_id", F.explode(detect.invisible_runs(F.col("t"))).alias("r"))
+    return runs.select("doc_id", F.col("r.start").cast("long").alias("start"), detect.decode_payload(F.col("r.run")).alias("decoded"))
+
+
+_WANTED = f"[{_INV[1:-1]}{chars.LOOKALIKES}]"
+
+
+@query(
+    "codepoint_catalog",
+    f"""WITH {_D}, e AS (SELECT doc_id, unnest(string_split(t, '')) AS c, generate_subscripts(string_split(t, ''), 1) - 1 AS pos FROM d WHERE regexp_matches(t, '{_WANTED}')),
+    f AS (SELECT doc_id, c, count(*) AS n, array_to_string(list(pos ORDER BY pos), ',') AS positions, min(pos) AS first FROM e WHERE regexp_matches(c, '{_WANTED}') GROUP BY doc_id, c)
+    SELECT doc_id, CASE WHEN regexp_matches(c, '{_ZW}') THEN 'H2' WHEN regexp_matches(c, '{_BIDI}') THEN 'H3' WHEN regexp_matches(c, '{_INV}') THEN 'H7' ELSE 'homoglyph' END AS kind,
+    'U+' || printf('%04X', unicode(c)) AS codepoint, n, positions, CASE WHEN NOT regexp_matches(c, '{_INV}') THEN 'U+' || printf('%04X', unicode(translate(c, '{chars.LOOKALIKES}', '{chars.LOOKALIKE_OF}'))) END AS twin, first::BIGINT AS first FROM f""",
+)
+def codepoint_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = codepoints.catalog(_documents(spark, sf_dir), "t")
+    return found.select("doc_id", "kind", "codepoint", F.col("count").alias("n"), F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"), "twin", F.col("first").cast("long").alias("first"))
+
+
+_FOLD = chars.fold_pairs(dashes=True)
+
+
+@query("twin_fold", f"WITH {_D}, x AS (SELECT doc_id, translate(t, '{_FOLD[0].replace(chr(39), chr(39) * 2)}', '{_FOLD[1].replace(chr(39), chr(39) * 2)}') AS f FROM d) SELECT doc_id, length(f) AS n_chars, sha256(f) AS folded_sha256 FROM x")
+def twin_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folded = _documents(spark, sf_dir).select("doc_id", visible.fold(F.col("t"), dashes=True).alias("f"))
+    return folded.select("doc_id", F.length("f").cast("long").alias("n_chars"), F.sha2("f", 256).alias("folded_sha256"))
+
+
+def _sql_strip(text: str) -> str:
+    for kind, spec in chars.STRIP_KINDS.items():
+        text = rf"regexp_replace({text}, '({_FLAG}{_TAG}*)|{_TAG}', '\1', 'g')" if kind == "tag_chars" else f"regexp_replace({text}, '{chars.one_of(spec)}', '', 'g')"
+    return text
+
+
+_KIND_COUNTS = ", ".join(f"{_count(f'''regexp_replace(t, '{_FLAG}{_TAG}*', '', 'g')''' if k == 'tag_chars' else 't', chars.one_of(s))} AS n_{k}" for k, s in chars.STRIP_KINDS.items())
+
+
+@query("strip_invisible_counts", f"WITH {_D} SELECT doc_id, {_KIND_COUNTS}, sha256({_sql_strip('t')}) AS stripped_sha256 FROM d")
+def strip_invisible_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("t")
+    return _documents(spark, sf_dir).select("doc_id", *(visible.strip_count(t, k).cast("long").alias(f"n_{k}") for k in chars.STRIP_KINDS), F.sha2(visible.stripped(t), 256).alias("stripped_sha256"))
+
+
+_TURNS = f"u AS (SELECT conv_id, turn, role, CASE WHEN role = 'system' THEN 'metadata' ELSE 'body' END AS kind, {planted.sql('text', '(conv_id * 3 + turn)', planted.DOCUMENTS)} AS t FROM conversations)"
+
+
+@query("visible_text", f"WITH {_TURNS} SELECT conv_id, string_agg({_sql_strip('t')}, chr(10) ORDER BY turn, role, t) AS visible FROM u WHERE kind = 'body' AND {_STRIPPED} <> '' GROUP BY conv_id")
+def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = F.sort_array(F.collect_list(F.struct("turn", "role", "text", "kind")))
+    turns = _turns(spark, sf_dir).groupBy("conv_id").agg(ordered.alias("turns"))
+    segments = F.transform("turns", lambda t: _segment(t["text"], t["kind"] == "body", t["kind"], F.lit(None).cast("string")))
+    shown = turns.select("conv_id", visible.visible_text(segments, chars.STRIP_KINDS).alias("visible"), F.exists("turns", lambda t: (t["kind"] == "body") & (F.length(detect.strip(t["text"])) > 0)).alias("any"))
+    return shown.filter("any").drop("any")
+
+
+_SPECIAL = chars.one_of(chars.INVISIBLE, chars.CONTROL)
+
+
+@query("marker_text", f"WITH {_D} SELECT doc_id, array_to_string(list_transform(string_split(t, ''), lambda c: CASE WHEN regexp_matches(c, '{_SPECIAL}') THEN '[U+' || printf('%04X', unicode(c)) || ']' ELSE c END), '') AS marked FROM d WHERE regexp_matches(t, '{_SPECIAL}')")
+def marker_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).filter(F.col("t").rlike(_SPECIAL)).select("doc_id", visible.markers(F.col("t")).alias("marked"))
+
+
+_VOCABULARY = "v(pattern_no, category, name, pattern) AS (VALUES " + ", ".join("(%d, '%s', '%s', '%s')" % (i, *row) for i, row in enumerate(control_syntax.VOCABULARY)) + ")"
+_HITS = """m AS (SELECT s.*, v.*, string_split(lower(t), lower(pattern)) AS parts FROM s JOIN v ON contains(lower(t), lower(pattern))),
+    n AS (SELECT *, unnest(parts[:-2]) AS part, generate_subscripts(parts[:-2], 1) AS i FROM m),
+    h AS (SELECT *, (sum(length(part)) OVER (PARTITION BY key, seg_no, pattern_no ORDER BY i) + (i - 1) * length(pattern))::BIGINT AS "offset" FROM n)"""
+
+
+@query(
+    "control_findings",
+    f"""WITH {_D}, {_VOCABULARY}, s AS (SELECT doc_id AS key, 0 AS seg_no, t FROM d), {_HITS}
+    SELECT key AS doc_id, category, name, "offset", translate(substr(t, greatest(0, "offset" - 30) + 1, "offset" + length(pattern) + 30 - greatest(0, "offset" - 30)), chr(13) || chr(10) || chr(9), '   ') AS excerpt FROM h""",
+)
+def control_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = _documents(spark, sf_dir).select("doc_id", F.lit(0).alias("seg_no"), F.lit("body").alias("kind"), F.lit("").alias("location"), F.col("t").alias("text"))
+    vocabulary, backing = control_syntax.load(spark)
+    return control_syntax.scan(segments, vocabulary, backing).filter("not backed").select("doc_id", "category", "name", F.col("offset").cast("long").alias("offset"), "excerpt")
+
+
+@query(
+    "control_backing_summary",
+    f"""WITH {_TURNS}, {_VOCABULARY}, s AS (SELECT conv_id AS key, turn AS seg_no, kind, t FROM u), {_HITS}
+    SELECT category, kind = 'metadata' AS backed, count(*) AS hits, count(DISTINCT key) AS conversations FROM h GROUP BY 1, 2""",
+)
+def control_backing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = _turns(spark, sf_dir).select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seg_no"), "kind", F.lit("").alias("location"), "text")
+    vocabulary, backing = control_syntax.load(spark)
+    return control_syntax.scan(segments, vocabulary, backing).groupBy("category", "backed").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("doc_id").alias("conversations"))
+
+
+@query("oob_channel", "SELECT page_id, (page_id % 3 = 1)::BIGINT AS comments, (page_id % 5 = 2)::BIGINT AS attributes FROM pages WHERE page_id % 3 = 1 OR page_id % 5 = 2")
+def oob_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda kind: F.size(F.filter("segments", lambda s: s["kind"] == kind)).cast("long")
+    return reading.extract(_pages(spark, sf_dir)).select("page_id", of("comment").alias("comments"), of("hidden_attr").alias("attributes")).filter("comments + attributes > 0")
+
+
+@query("html_segments")
+def html_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reading.extract(_pages(spark, sf_dir)).select("page_id", F.posexplode("segments").alias("seg_no", "s"))
+    return found.select("page_id", "seg_no", "s.visible", "s.kind", "s.location", "s.text")
+
+
+@query("html_masks", "SELECT page_id, concat('100', (page_id % 2 = 0)::INT, '-', (page_id % 3 = 1 OR page_id % 5 = 2)::INT, '00') AS mask FROM pages")
+def html_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.extract(_pages(spark, sf_dir)).select("page_id", detect.observe(F.col("segments"), F.col("status"))["mask"].alias("mask"))
+
+
+_LENGTH = geometry.LENGTH
+_P = planted.sql("html", "page_id", planted.PAGES)
+
+
+@query(
+    "geometry_inline",
+    rf"""WITH a AS (SELECT page_id, unnest(regexp_extract_all({_P}, 'style="([^"]*)"', 1)) AS style FROM pages),
+    b AS (SELECT page_id, unnest(string_split(style, ';')) AS part FROM a),
+    c AS (SELECT page_id, lower(trim(split_part(part, ':', 1))) AS name, trim(substr(part, position(':' IN part) + 1)) AS value FROM b WHERE contains(part, ':')),
+    e AS (SELECT *, CASE WHEN regexp_matches(value, '{_LENGTH}') THEN try_cast(regexp_extract(value, '{_LENGTH}', 1) AS DOUBLE) END AS n, lower(regexp_extract(value, '{_LENGTH}', 2)) AS unit,
+        list_filter(list_transform(string_split(regexp_extract(value, '(?i)(?:scale[xyz]?|scale3d)\s*\(([^)]*)\)', 1), ','), lambda x: try_cast(x AS DOUBLE)), lambda x: x IS NOT NULL) AS args FROM c),
+    f AS (SELECT page_id, name AS property, value, CASE WHEN name = 'font-size' AND unit IN ('', 'px') AND n BETWEEN 0 AND 0.5 THEN 'font_size_tiny'
+        WHEN name = 'opacity' AND unit = '' AND n BETWEEN 0 AND 0.01 THEN 'opacity_near_zero' WHEN name = 'line-height' AND unit IN ('', 'px') AND n = 0 THEN 'line_height_zero'
+        WHEN name = 'transform' AND len(list_filter(args, lambda x: x BETWEEN 0 AND 0.01)) > 0 THEN 'scale_collapse' END AS rule, CASE WHEN name = 'transform' THEN list_sum(args) ELSE n END AS measured FROM e)
+    SELECT page_id, property, rule, measured::DOUBLE AS measured FROM f WHERE rule IS NOT NULL""",
+)
+def geometry_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(p, s["tag"], s["line"], s["style"]) for p, c in zip(batch.column(0).to_pylist(), batch.column(1)) for s in html.read(c.as_py().decode()).styles]
+            page, tag, line, style = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(tag, pa.string()), pa.array(line, pa.int32()), pa.array(style, pa.string())], ["page_id", "tag", "line", "style"])
+
+    attributes = _pages(spark, sf_dir).select("page_id", "content").mapInArrow(run, "page_id long, tag string, line int, style string")
+    found = geometry.inline(attributes)
+    return found.select("page_id", "property", "rule", F.aggregate("measured", F.lit(0.0), lambda a, x: a + x).alias("measured"))
+
+
+@query("corpus_summary", f"WITH {_D}, {_O} SELECT count(*) AS total, count(*) AS parsed, 0::BIGINT AS unparsed, count(*) FILTER (h2 + h3 + h6 + h7 = 0) AS clean, count(*) FILTER (h2 + h3 + h6 + h7 > 0) AS flagged FROM o")
+def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.totals(_observed(spark, sf_dir))
+
+
+@query("hypothesis_counts", f"WITH {_D}, {_O} SELECT unnest(['H1', 'H2', 'H3', 'H4', 'H5', 'H6', 'H7']) AS hypothesis, unnest([sum(h1), sum(h2), sum(h3), sum(h4), sum(h5), sum(h6), sum(h7)])::BIGINT AS documents FROM o")
+def hypothesis_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.hypothesis_counts(_observed(spark, sf_dir))
+
+
+@query("extension_counts", "SELECT CASE doc_id % 5 WHEN 0 THEN '.txt' WHEN 1 THEN '.md' WHEN 2 THEN '.html' WHEN 3 THEN '<none>' ELSE '.gz' END AS extension, count(*) AS documents FROM documents GROUP BY 1")
+def extension_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = F.element_at(F.array(*map(F.lit, (".TXT", ".md", ".v2.html", "", ".tar.gz"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("corpus.d/"), F.col("doc_id").cast("string"), ends).alias("source"))
+    return summary.extension_counts(docs)
+
+
+_JA, _EN = _count("t", chars.one_of(chars.JAPANESE)), _count("t", "[A-Za-z]")
+
+
+@query("language_detect", f"WITH {_D} SELECT doc_id, {_JA} AS japanese, {_EN} AS latin, CASE WHEN {_JA} >= 4 AND {_JA} * 2 >= {_EN} THEN 'ja' ELSE 'en' END AS language FROM d")
+def language_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    japanese, latin = language.counts(F.col("t"))
+    return _documents(spark, sf_dir).select("doc_id", japanese.cast("long").alias("japanese"), latin.cast("long").alias("latin"), language.decide(japanese, latin).alias("language"))
+
+
+@query("evidence_lines")
+def evidence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = _plain(F.col("t"))
+    rows = _documents(spark, sf_dir).select("doc_id", detect.observe(segments).alias("o"), detect.evidence(segments).alias("e"))
+    return rows.select("doc_id", "o.mask", summary.row_class(F.col("o")).alias("class"), summary.mask_colour(F.col("o.mask")).alias("colour"), summary.evidence_line(F.col("e")).alias("evidence"))
+
+
+def _word(text: str, doc_id: int) -> bytes:
+    """A small Word file of a text: its lines as paragraphs, some of them concealed."""
+    hide = ("", "<w:vanish/>", '<w:sz w:val="2"/>', '<w:color w:val="FFFFFF"/>')[doc_id % 4]
+    lines = "".join(f'<w:p><w:r><w:rPr>{hide if i == 0 else ""}</w:rPr><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>' for i, line in enumerate(text.split("\n")))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{lines}</w:body></w:document>')
+    return out.getvalue()
+
+
+def _files(docs: DataFrame, extension: str, make: Callable[[str, int], bytes]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [make(t or "", i) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([extension] * len(made), pa.string()), pa.array(map(len, made), pa.int64()), pa.array(made, pa.binary())], ["doc_id", "extension", "length", "content"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, extension string, length long, content binary")
+
+
+@query("docx_observe", "SELECT doc_id, concat('100', (doc_id % 4 <> 0)::INT, '-000') AS mask FROM documents WHERE trim(text, chr(10) || ' ') <> ''")
+def docx_observe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter(F.length(detect.strip(F.col("text"))) > 0)
+    return reading.extract(_files(docs, ".docx", _word)).select("doc_id", detect.observe(F.col("segments"), F.col("status"))["mask"].alias("mask"))
+
+
+@query("encoding_policy", "SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'Extraction refused: unsupported_encoding' ELSE 'ok' END AS status, CASE WHEN doc_id % 3 = 1 THEN 'cp932' END AS encoding, CASE WHEN doc_id % 3 <> 2 THEN 1 ELSE 0 END::BIGINT AS n_segments FROM documents")
+def encoding_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    made = _files(docs, ".txt", lambda t, i: (t.encode(), "日本語".encode("cp932"), t.encode("utf-16"))[i % 3])
+    return reading.extract(made).select("doc_id", "status", "encoding", F.size("segments").cast("long").alias("n_segments"))
+
+
+@query("contract_validate", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '/thresholds/opacity_max' WHEN 2 THEN '/extra' ELSE '/thresholds/scale_max' END AS pointer FROM documents")
+def contract_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = {"type": "object", "keys": {"thresholds": {"type": "object", "keys": {k: {"type": "number", "min": 0, "max": m} for k, m in geometry.BOUNDS.items()}}}}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pointers = []
+            for i in batch.column(0).to_pylist():
+                value: dict = {"thresholds": dict(geometry.THRESHOLDS)}
+                if i % 4 == 1:
+                    value["thresholds"]["opacity_max"] = 2
+                elif i % 4 == 2:
+                    value["extra"] = i
+                elif i % 4 == 3:
+                    del value["thresholds"]["scale_max"]
+                try:
+                    contract.validate(value, spec)
+                    pointers.append(None)
+                except contract.ContractError as e:
+                    pointers.append(e.pointer)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pointers, pa.string())], ["doc_id", "pointer"])
+
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").mapInArrow(run, "doc_id long, pointer string")
