@@ -18,8 +18,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from array import array
-from collections.abc import Iterator
+import struct
+import sys
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -29,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-PIECE_CACHE = 200_000
+PIECE_CACHE = 500_000
 PAIR_CACHE = 1_000_000
 BATCH_ROWS = 256
 
@@ -39,87 +40,132 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, lines))}
 
 
+class _Cache(dict):
+    """Results by key, worked out on first use; emptied when full, and without very long keys."""
+
+    def __init__(self, work: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.work = work
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.work(key)
+        if len(key) <= 64:
+            if len(self) >= PIECE_CACHE:
+                self.clear()
+            self[key] = found
+        return found
+
+
 class Codec:
     """Encoder and decoder for one vocabulary; ``pattern`` splits texts into pieces."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
-        self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self.bytes_of = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.bytes_of[rank] = token
         self.split = regex.compile(pattern).findall
-        self.pieces: dict[str, array] = {}
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
-        #: Tokens that merging can make; the others only stand for a whole piece.
-        self.made = {token for token in ranks if len(token) == 1 or self.merged(token) == [token]}
+        self.pieces = _Cache(self.encode_piece)
+        self.pairs: dict[int, bool] = {}
+        #: Of each token that merging can make, the two parts of its last merge; the others only stand for a whole piece.
+        self.halves: dict[int, tuple[int, int] | None] = {}
+        for token, rank in ranks.items():
+            parts = self.merged(token, 2)
+            if len(parts) == 1 or token[: len(parts[0])] + parts[-1] == token:
+                self.halves[rank] = None if len(token) == 1 else (ranks[parts[0]], ranks[parts[1]])
+        self.shorter: dict[int, int] = {}
         self.automaton = ahocorasick.Automaton()
-        for token in self.made:
-            self.automaton.add_word(token.decode("latin-1"), len(token))
+        for rank in self.halves:
+            token = self.bytes_of[rank]
+            self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
+            self.shorter[rank] = next((r for n in range(len(token) - 1, 0, -1) if (r := ranks.get(token[:n], -1)) in self.halves), -1)
         self.automaton.make_automaton()
 
-    def merged(self, piece: bytes) -> list[bytes]:
+    def merged(self, piece: bytes, until: int = 1) -> list[bytes]:
         """The definition, in quadratic time: join the neighbours of lowest rank until none can be joined."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
+        while len(parts) > until:
             rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
             if rank == 1 << 60:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def compatible(self, left: bytes, right: bytes) -> bool:
-        found = self.pairs.get((left, right))
-        if found is None:
-            if len(self.pairs) >= PAIR_CACHE:
-                self.pairs.clear()
-            found = self.pairs[left, right] = self.merged(left + right) == [left, right]
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether merging the bytes of both gives both back.
+
+        It does not if at some time the part of ``left`` that then touches the border, and that of ``right``, make a
+        token of lower rank than the merges that take them away from the border (``left_until``, ``right_until``; of
+        equal ranks the one further left goes first).  Parts are visited backwards in time.
+        """
+        key = left << 32 | right
+        found = self.pairs.get(key)
+        if found is not None:
+            return found
+        name, halves, ranks = self.bytes_of, self.halves, self.ranks
+        left_until = right_until = 1 << 60
+        found = True
+        while True:
+            crossing = ranks.get(name[left] + name[right])
+            if crossing is not None and crossing < left_until and crossing <= right_until:
+                found = False
+                break
+            if halves[left] is None and halves[right] is None:
+                break
+            if halves[right] is None or halves[left] is not None and left > right:
+                left_until, left = left, halves[left][1]
+            else:
+                right_until, right = right, halves[right][0]
+        if len(self.pairs) >= PAIR_CACHE:
+            self.pairs.clear()
+        self.pairs[key] = found
         return found
 
-    def tokens(self, piece: bytes) -> list[bytes]:
+    def tokens(self, piece: bytes) -> list[int]:
         """The exact merges of a piece, by backtracking."""
-        longest = [0] * len(piece)
-        for end, length in self.automaton.iter(piece.decode("latin-1")):
-            start = end - length + 1
-            if longest[start] < length:
-                longest[start] = length
-        dead = bytearray(len(piece) + 1)
-        taken: list[bytes] = []
-        at, length = 0, longest[0] if piece else 0
-        while at < len(piece):
-            while length:
-                token = piece[at : at + length]
-                if not dead[at + length] and token in self.made and (not taken or self.compatible(taken[-1], token)):
+        n = len(piece)
+        longest = [-1] * n
+        for end, (token, length) in self.automaton.iter(piece.decode("latin-1")):
+            longest[end - length + 1] = token  # longer ones end later
+        dead = bytearray(n + 1)
+        taken: list[int] = []
+        at, token = 0, longest[0]
+        name, compatible, shorter = self.bytes_of, self.compatible, self.shorter
+        while at < n:
+            while token >= 0:
+                end = at + len(name[token])
+                if not dead[end] and (not taken or compatible(taken[-1], token)):
                     break
-                length -= 1
-            if length:
+                token = shorter[token]
+            if token >= 0:
                 taken.append(token)
-                at += length
-                length = longest[at] if at < len(piece) else 0
+                at = end
+                token = longest[at] if at < n else -1
             elif not taken:
                 raise ValueError("the vocabulary lacks a byte of the text")
             else:
                 dead[at] = 1
-                length = len(taken.pop())
-                at -= length
-                length -= 1
+                token = taken.pop()
+                at -= len(name[token])
+                token = shorter[token]
         return taken
 
-    def encode_piece(self, piece: str) -> array:
+    def encode_piece(self, piece: str) -> bytes:
         raw = piece.encode()
         whole = self.ranks.get(raw)
-        ids = array("I", [whole] if whole is not None else [self.ranks[t] for t in self.tokens(raw)])
-        if len(piece) <= 64:
-            if len(self.pieces) >= PIECE_CACHE:
-                self.pieces.clear()
-            self.pieces[piece] = ids
-        return ids
+        return self.packed([whole] if whole is not None else self.tokens(raw))
+
+    @staticmethod
+    def packed(ids: list[int]) -> bytes:
+        """Little-endian unsigned 32-bit integers."""
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, text: str) -> array:
-        known, ids = self.pieces.get, array("I")
-        for piece in self.split(text):
-            ids += known(piece) or self.encode_piece(piece)
-        return ids
+    def encode(self, text: str) -> bytes:
+        """The packed ids."""
+        return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
-    def decode(self, ids: array) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, packed: bytes) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, memoryview(packed).cast("I") if sys.byteorder == "little" else struct.unpack(f"<{len(packed) // 4}I", packed)))
 
 
 @lru_cache(maxsize=2)
@@ -128,15 +174,6 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(read_ranks(path), pattern)
 
 
-def _little(ids: array) -> bytes:
-    if ids.itemsize != 4:
-        raise RuntimeError("this platform's unsigned int isn't 32 bits")
-    if memoryview(ids).nbytes and array("I", [1]).tobytes()[0] != 1:
-        ids = array("I", ids)
-        ids.byteswap()
-    return ids.tobytes()
-
-
 def encode(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: str | None = None, pattern: str = public_tokenizers.PATTERN, with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array<long>)."""
     path = path or public_tokenizers.path(VOCABULARY)
@@ -149,12 +186,12 @@ def encode(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: st
                 rows: list[tuple] = []
                 for value in batch.column(1):
                     ids = own.encode(value.as_py() or "")
-                    rows.append((len(ids), hashlib.sha256(_little(ids)).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest(), ids if with_ids else None))
+                    rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest(), ids))
                 n, coded, decoded, ids = zip(*rows)
                 columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(coded), pa.array(decoded)]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns.append(pa.array([list(x) for x in ids], pa.list_(pa.int64())))
+                    columns.append(pa.array([list(struct.unpack(f"<{len(x) // 4}I", x)) for x in ids], pa.list_(pa.int64())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
