@@ -13,6 +13,7 @@ from veilmark.llm import (
     language_id,
     license_scan,
     mixture,
+    oracles,
     pivot_index,
     secret_scan,
     stream_dedup,
@@ -39,4 +40,5 @@ QUERIES: dict[str, Query] = {
     "op10_exact_dedup": lambda spark, sf: stream_dedup.report(_documents(spark, sf)),
 }
 
-ORACLES: dict[str, str] = {}
+#: Of the others, SQL can express neither a trained model, nor the encoder, nor the seeded mixture; byte windows it could, too slowly.
+ORACLES: dict[str, str] = oracles.ORACLES

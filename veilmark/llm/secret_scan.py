@@ -35,12 +35,14 @@ DETECTORS = (
     ("access", r"AKIA[A-Z0-9]+", 0, 16),
     ("hex", r"[0-9a-f]{32,}", 0, 32),
     ("ident", r"""(?i)\b(user(?:name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+)""", 2, 3),
-    ("opaque", r"(?<![A-Za-z0-9+/_=-])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}", 0, 20),
+    ("opaque", r"[A-Za-z0-9+/_-]{20,}={0,2}", 0, 20),
     ("endpoint", r"\b[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9_.:@/?&=%-]+", 0, 8),
 )
 #: Cheap necessary conditions, in the same order; a text without one is not searched for that kind.
 HINTS = (r"[:=]", "AKIA", r"[0-9a-f]{32}", r"[:=]", r"[A-Za-z0-9+/_-]{20}", "://")
 BASE = 3
+#: What a match of a kind must hold besides.
+MUST = {"opaque": ("[A-Z]", "[a-z]", "[0-9]")}
 IDENTIFIERS, SECRETS, ENDPOINTS = ("access", "ident"), ("assign", "hex", "opaque"), ("endpoint",)
 #: What a weak kind needs in scope: one of each of these sets.
 NEEDS = {"ident": (SECRETS,), "opaque": (IDENTIFIERS,), "endpoint": (IDENTIFIERS, SECRETS)}
@@ -52,12 +54,12 @@ def _matches(text: Column, kind: int) -> Column:
 
     ``gap`` is the length of what stands between a match and the one before it.
     """
-    _, pattern, group, least = DETECTORS[kind]
+    name, pattern, group, least = DETECTORS[kind]
     every = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     counted = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else every
     rows = F.transform(
         F.arrays_zip(F.split(text, pattern, -1).alias("gap"), every.alias("all"), counted.alias("counted")),
-        lambda m: F.struct(F.lit(kind).alias("kind"), F.length(m["gap"]).alias("gap"), F.length(m["all"]).alias("length"), (F.length(m["counted"]) >= least).alias("ok")),
+        lambda m: F.struct(F.lit(kind).alias("kind"), F.length(m["gap"]).alias("gap"), F.length(m["all"]).alias("length"), reduce(lambda a, b: a & b, (m["all"].rlike(p) for p in MUST.get(name, ())), F.length(m["counted"]) >= least).alias("ok")),
     )
     rows = F.filter(rows, lambda m: m["length"].isNotNull())
     return F.when(text.rlike(HINTS[kind]) & text.rlike(pattern), rows).otherwise(F.array().cast("array<struct<kind:int,gap:int,length:int,ok:boolean>>"))

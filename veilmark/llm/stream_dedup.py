@@ -151,9 +151,3 @@ def keep(docs: DataFrame, text: str = "text", id_col: str = "doc_id", digest: Ca
 def report(docs: DataFrame) -> DataFrame:
     return decisions(docs)
 
-
-ORACLE = """
-SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-       doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
-FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
-"""
