@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape
 
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from veilmark.functions import chars, contract, detect, language, visible
 from veilmark.operators import codepoints, control_syntax, geometry, summary
 from veilmark.plans import planted
-from veilmark.sources import docx, html, reading  # noqa: F401  docx registers its format
+from veilmark.sources import css, docx, html, pdf, png, reading  # noqa: F401  imports register their formats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -352,3 +354,50 @@ def contract_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pointers, pa.string())], ["doc_id", "pointer"])
 
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").mapInArrow(run, "doc_id long, pointer string")
+
+
+def _page(text: str, doc_id: int) -> bytes:
+    """A PDF page with a text, shown in one of five ways of which only the first can be seen."""
+    how = ("72 700 Td", "3 Tr 72 700 Td", "/F1 1 Tf 72 700 Td", "-72 700 Td", "1 g 72 700 Td")[doc_id % 5]
+    shown = text.encode("latin-1", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
+    body = zlib.compress(b"BT /F1 12 Tf " + how.encode() + b" (" + shown + b") Tj ET")
+    return b"\n".join([
+        b"%PDF-1.4", b"1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj", b"2 0 obj << /Type /Pages /Kids [3 0 R] /MediaBox [0 0 612 792] >> endobj", b"3 0 obj << /Type /Page /Parent 2 0 R /Contents 4 0 R >> endobj",
+        b"4 0 obj << /Length %d /Filter /FlateDecode >>\nstream\n" % len(body) + body + b"\nendstream endobj", b"trailer << /Root 1 0 R >>\nstartxref\n0\n%%EOF",
+    ])
+
+
+@query("pdf_hidden_kinds", "SELECT doc_id, concat('100', (doc_id % 5 <> 0 AND coalesce(text, '') <> '')::INT, '-000') AS mask FROM documents")
+def pdf_hidden_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return reading.extract(_files(docs, ".pdf", _page)).select("doc_id", detect.observe(F.col("segments"), F.col("status"))["mask"].alias("mask"))
+
+
+def _image(text: str, doc_id: int) -> bytes:
+    """A 20 by 20 PNG: opaque, or with a picture that is wholly transparent; the text as a comment."""
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    pixel = bytes((200, 10, 10, 255 * (doc_id % 2)))
+    comment = b"Comment\0" + text.encode("latin-1", "replace")
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 20, 20, 8, 6, 0, 0, 0)) + chunk(b"tEXt", comment) + chunk(b"IDAT", zlib.compress((b"\0" + pixel * 20) * 20)) + chunk(b"IEND", b"")
+
+
+@query("image_layers", f"SELECT doc_id, concat('100', (doc_id % 2 = 0)::INT, '-', (length({_STRIPPED}) >= 10)::INT, '00') AS mask FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
+def image_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return reading.extract(_files(docs, ".png", _image)).select("doc_id", detect.observe(F.col("segments"), F.col("status"))["mask"].alias("mask"))
+
+
+@query("css_rules", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'h1, .gone' ELSE 'div#off' END AS selector, CASE WHEN page_id % 3 = 0 THEN 'display: none' ELSE 'opacity: 0.0' END AS declaration, (page_id % 3 + 1)::BIGINT AS line FROM pages WHERE page_id % 3 < 2")
+def css_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of planted sheets that hide, by the line of the sheet."""
+    sheets = ("<style>h1, .gone { color: red; display: none }</style>", "<style>\ndiv#off { opacity: 0.0; display: none }</style>", "<style>p { display: block }</style>")
+    sheet = F.element_at(F.array(*map(F.lit, sheets)), (F.col("page_id") % 3 + 1).cast("int"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.concat(sheet, F.coalesce("html", F.lit(""))).alias("html"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(page, r.selector, next(f"{n}: {v}" for n, v in r.declarations if css.hides(n, v)), r.line) for page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for sheet in css.tree(text).sheets for r in css.rules(sheet) if any(css.hides(n, v) for n, v in r.declarations)]
+            page, selector, declaration, line = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(selector, pa.string()), pa.array(declaration, pa.string()), pa.array(line, pa.int64())], ["page_id", "selector", "declaration", "line"])
+
+    return pages.mapInArrow(run, "page_id long, selector string, declaration string, line long")
