@@ -57,6 +57,11 @@ def test_pdf_parts_and_failures():
         pdf.pdf(page("") + b"/Encrypt", LIMITS)
 
 
+def test_pdf_geometry():
+    found = pdf.geometry(page("BT /F1 0.5 Tf 1 0 0 1 700 10 Tm 1 0 0 1 612 792 Tm /F1 0.51 Tf ET"))
+    assert found == [("pdf_font_size_tiny", "page 1", [0.5]), ("pdf_text_out_of_bounds", "page 1", [700.0, 10.0])]
+
+
 def image(rgba: np.ndarray, kind: int = 6, row_filter: int = 0, text: str = "") -> bytes:
     def chunk(name: bytes, body: bytes) -> bytes:
         return struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))

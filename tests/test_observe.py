@@ -38,7 +38,7 @@ def test_failed_extraction_has_an_empty_mask(spark):
 def test_evidence(spark):
     text = "Pаy " + "​" * 16
     e = spark.createDataFrame([(text,)], "t string").select(detect.evidence(plain()).alias("e")).first().e
-    assert e.h2 == ["16 zero-width chars"] and e.h3 == ["none"] and e.h6 == ["token: Pаy"]
+    assert e.h2 == ["16 zero-width chars"] and e.h3 == ["none"] and e.h6 == ["token: 'Pаy'"]
     assert e.h7 == ["16 contiguous invisible chars at offset 4 -> 16 zero-width chars"]
 
 
@@ -121,3 +121,19 @@ def test_language(spark):
     rows = spark.createDataFrame([("日本語です",), ("日本語",), ("日本語です abcdefghij",), ("日本語です abcdefghijk",), ("",)], "t string")
     assert [r.l for r in rows.select(language.decide(*language.counts(F.col("t"))).alias("l")).collect()] == ["ja", "en", "ja", "en", "en"]
     assert language.resolve("ja_JP") == "ja" and language.resolve("xx") == "en" and language.label("H7", "ja") == "不可視ペイロード"
+
+
+def test_quoted_as_python_does(spark):
+    tokens = ["Pаy", "a'b", 'a"b', "a'\"b", "a\\b", "​аb", "\x7fа", "\U000e0041x", "é😀", "\xad"]
+    rows = spark.createDataFrame([(t,) for t in tokens], "t string").select(detect.quoted(F.col("t")).alias("q")).collect()
+    assert [r.q for r in rows] == [repr(t) for t in tokens]
+
+
+def test_expressions(spark):
+    source = '{"patterns": [{"category": "c", "name": "n", "pattern": "ig+n\\\\w", "match": "regex"}, {"category": "c", "name": "s", "pattern": "Ig", "match": "regex", "case_sensitive": true}, {"category": "c", "name": "l", "pattern": "re"}]}'
+    vocabulary, backing = control_syntax.load(spark, source)
+    segments = spark.createDataFrame([(1, 0, "body", "x", "😀 Ignore IGGNOre"), (2, 0, "metadata", None, None)], "doc_id long, seg_no int, kind string, location string, text string")
+    found = sorted((r.name, r.offset, r.excerpt) for r in control_syntax.scan(segments, vocabulary, backing).collect())
+    assert found == [(n, o, "😀 Ignore IGGNOre") for n, o in (("l", 6), ("l", 14), ("n", 2), ("n", 9), ("s", 2))]
+    with pytest.raises(ValueError):
+        control_syntax.load(spark, '{"patterns": [{"category": "c", "name": "n", "pattern": "(", "match": "regex"}]}')

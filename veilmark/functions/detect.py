@@ -79,6 +79,17 @@ def decode_payload(text: Column) -> Column:
     return F.when(n == 0, "").when(readable, said).otherwise(F.concat(n.cast("string"), F.lit(" zero-width chars")))
 
 
+def quoted(token: Column) -> Column:
+    """A token without white space as a Python literal: quoted, what can't be printed escaped."""
+    escape = lambda c: F.when(F.ascii(c) < 0x100, F.format_string("\\x%02x", F.ascii(c))).when(F.ascii(c) < 0x10000, F.format_string("\\u%04x", F.ascii(c))).otherwise(F.format_string("\\U%08x", F.ascii(c)))
+    double = F.contains(token, F.lit("'")) & ~F.contains(token, F.lit('"'))
+    mark = F.when(double, '"').otherwise("'")
+    plain = F.replace(token, F.lit("\\"), F.lit("\\\\"))
+    plain = F.when(double, plain).otherwise(F.replace(plain, F.lit("'"), F.lit("\\'")))
+    each = F.transform(F.split(plain, ""), lambda c: F.when(c.rlike(r"[\p{C}\p{Z}]"), escape(c)).otherwise(c))
+    return F.concat(mark, F.when(plain.rlike(r"[\p{C}\p{Z}]"), F.array_join(each, "")).otherwise(plain), mark)
+
+
 def observe(segments: Column, status: Column | None = None, density: float = 0.01, payload: int = 16, out_of_band: int = 10) -> Column:
     """struct<h1..h7, mask>; ``status`` is 'ok' or says why nothing could be extracted."""
     text = body_text(segments)
@@ -110,7 +121,7 @@ def evidence(segments: Column, status: Column | None = None, payload: int = 16,
     h4 = F.transform(hidden, lambda s: F.when(s["kind"] == "docx_hidden", F.concat(place(s, "unknown"), F.lit(": DOCX concealment: "), F.coalesce(s["concealment"], F.lit("unknown")))).otherwise(F.concat(place(s, "unknown"), F.lit(": "), F.substring(strip(s["text"]), 1, 80))))
     oob = F.filter(segments, lambda s: s["kind"].isin(*OUT_OF_BAND_KINDS) & (F.length(strip(s["text"])) >= out_of_band))
     h5 = F.transform(oob, lambda s: F.concat(F.lit("["), s["kind"], F.lit("] "), place(s, ""), F.lit(": "), F.substring(strip(s["text"]), 1, 120)))
-    h6 = F.transform(mixed_tokens(text), lambda t: F.concat(F.lit("token: "), t))
+    h6 = F.transform(mixed_tokens(text), lambda t: F.concat(F.lit("token: "), quoted(t)))
     h7 = F.transform(invisible_runs(text, payload), lambda r: F.concat(r["size"].cast("string"), F.lit(" contiguous invisible chars at offset "), r["start"].cast("string"), F.lit(" -> "), decode_payload(r["run"])))
     found = F.struct(F.array(F.lit("parsed successfully")).alias("h1"), *(or_none(x).alias(f"h{i}") for i, x in enumerate((h2, h3, h4, h5, h6, h7), 2)))
     if status is None:

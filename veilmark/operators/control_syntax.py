@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +49,12 @@ def load(spark: SparkSession, source: str | None = None) -> tuple[DataFrame, tup
             value = None
         if value is not None:
             contract.validate(value, SCHEMA)
+            for at, p in enumerate(value["patterns"]):
+                if p.get("match") == "regex":
+                    try:
+                        re.compile(p["pattern"])
+                    except re.error as e:
+                        raise contract.ContractError(f"/patterns/{at}/pattern", f"not a regular expression: {e}") from e
             rows = [(i, p["category"], p["name"], p["pattern"], p.get("match", "literal"), p.get("case_sensitive", False)) for i, p in enumerate(value["patterns"])]
             backing = tuple(value.get("backing_kinds", BACKING_KINDS))
     return spark.createDataFrame(rows, "pattern_no int, category string, name string, pattern string, match string, case_sensitive boolean"), backing
@@ -63,14 +72,34 @@ def offsets(text: Column, pattern: Column) -> Column:
     return sums["all"]
 
 
+def _expressions(segments: DataFrame, expressions: list[tuple]) -> DataFrame:
+    """segments with a row for each match of a regular expression."""
+    names = segments.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = [(*row[:4], re.compile(row[3], 0 if row[4] else re.IGNORECASE)) for row in expressions]
+        for batch in batches:
+            hits = [(i, *e[:4], m.start(), m.end() - m.start()) for i, text in enumerate(batch.column(names.index("text")).to_pylist()) for e in compiled for m in e[4].finditer(text or "")]
+            at, number, category, name, pattern, start, size = zip(*hits) if hits else ((),) * 7
+            own = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(number, pa.int32()), pa.array(category, pa.string()), pa.array(name, pa.string()), pa.array(pattern, pa.string()), pa.array(start, pa.int32()), pa.array(size, pa.int32())], [*names, "pattern_no", "category", "name", "pattern", "offset", "matched"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in segments.schema)
+    return segments.mapInArrow(run, schema + ", pattern_no int, category string, name string, pattern string, offset int, matched int")
+
+
 def scan(segments: DataFrame, vocabulary: DataFrame, backing: tuple[str, ...] = BACKING_KINDS) -> DataFrame:
     """segments (doc_id, seg_no, kind, location, text) with a row for each hit: category, name, offset, backed, excerpt.
 
     The vocabulary is configuration of fixed size, so it is broadcast; each segment and pattern meets in one pass.
+    Patterns that are regular expressions are Python's, and run in Arrow batches; literal ones are built-in expressions.
     """
     fold = lambda c: F.when(F.col("case_sensitive"), c).otherwise(F.lower(c))
     pairs = segments.join(F.broadcast(vocabulary.filter("match = 'literal' and pattern <> ''")), F.contains(fold(F.col("text")), fold(F.col("pattern"))))
-    hits = pairs.withColumn("offset", F.explode(offsets(fold(F.col("text")), fold(F.col("pattern")))))
+    hits = pairs.withColumn("offset", F.explode(offsets(fold(F.col("text")), fold(F.col("pattern"))))).withColumn("matched", F.length("pattern"))
+    expressions = [tuple(r) for r in vocabulary.filter("match = 'regex'").select("pattern_no", "category", "name", "pattern", "case_sensitive").collect()]
+    if expressions:
+        hits = hits.select(*segments.columns, "pattern_no", "category", "name", "pattern", "offset", "matched").unionByName(_expressions(segments, expressions))
     low = F.greatest(F.lit(0), F.col("offset") - EXCERPT)
-    size = F.col("offset") + F.length("pattern") + EXCERPT - low
+    size = F.col("offset") + F.col("matched") + EXCERPT - low
     return hits.select("doc_id", "seg_no", "kind", "location", "pattern_no", "category", "name", "pattern", "offset", F.col("kind").isin(*backing).alias("backed"), F.translate(F.substring("text", low + 1, size), "\r\n\t", "   ").alias("excerpt"))

@@ -313,4 +313,30 @@ def pdf(data: bytes, limits: Limits) -> list[Segment]:
     return found
 
 
+def geometry(data: bytes, size_max: float = 0.5) -> list[tuple[str, str, list[float]]]:
+    """(rule, where, measured) of what pages declare: fonts too small to see, and text placed outside the page.
+
+    A declaration is the fact: whether text follows does not matter, and the page's own matrix is not applied.
+    """
+    file, found = File(data), []
+    for number, page in enumerate(file.pages(), 1):
+        box = [float(file.get(x)) for x in file.get(page.get("MediaBox")) or (0, 0, 612, 792)]
+        before: list[Any] = []
+        try:
+            content = tokens(file.stream(page.get("Contents")))
+        except (ValueError, zlib.error):
+            continue
+        for token in content:
+            if not isinstance(token, Word):
+                before.append(token)
+                continue
+            numbers = [float(x) for x in before if isinstance(x, (int, float)) and not isinstance(x, (bool, Ref))]
+            if token == "Tf" and numbers and 0 <= numbers[-1] <= size_max:
+                found.append(("pdf_font_size_tiny", f"page {number}", numbers[-1:]))
+            elif token == "Tm" and len(numbers) == 6 and not (min(box[0], box[2]) <= numbers[4] <= max(box[0], box[2]) and min(box[1], box[3]) <= numbers[5] <= max(box[1], box[3])):
+                found.append(("pdf_text_out_of_bounds", f"page {number}", numbers[4:]))
+            before = []
+    return found
+
+
 register(".pdf", pdf)
