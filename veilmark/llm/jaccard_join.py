@@ -11,9 +11,12 @@ are verified on the whole texts.
 
 Scale.  Documents with equal sets are one class, found before anything is compared.  Which tokens are frequent is
 decided from all documents (a token in more than ``FREQUENT_SHARE`` of them, so the table has at most mean size /
-share entries); it only orders tokens, so a different choice can't change the result.  Groups with the same members
-are verified once; large ones are cut in blocks by size, and only blocks whose sizes can match meet.  A task compares
-two blocks, skips what its own union-find has already connected, and returns component labels, never pairs.
+share entries); it only orders tokens, so a different choice can't change the result.  Signatures are shuffled once;
+what no other class of a possible size has, most of them, goes no further, and groups with the same members are one.
+Verification has two rounds.  First each group's first member meets the others.  Then only what these links have not
+connected: in groups of at most ``SMALL`` classes, pairs, if they share enough of their prefixes; large groups in
+blocks by size, of which only those whose sizes can match meet.  A task skips what its own union-find has already
+connected, and returns component labels, never pairs.
 
 Defined cases.  Null texts and texts without words have no shingles and link with nothing.  Rows that share a doc_id,
 or have none, count as documents of their own, ordered by text.  Copies share a class.
@@ -27,7 +30,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilmark.llm import repeats, staging
@@ -37,10 +40,15 @@ from veilmark.llm.sequences import Words, mixed, runs, shingle_sets
 #: Production parameters: words to a shingle, and the least similarity in hundredths.
 WIDTH = 5
 PERCENT = 80
-FREQUENT_SHARE = 0.002
+FREQUENT_SHARE = 0.0005
 COMBINE_SIZE = 400
-BLOCK = 128
+#: A block of a group: at most so many classes, and about so many tokens.
+BLOCK = 512
+BLOCK_TOKENS = 400_000
+SMALL = 128
 FLUSH_TOKENS = 4_000_000
+#: Up to so many ids (8 bytes each) are broadcast to drop the texts that no task wants before they are shuffled.
+BROADCAST_IDS = 1_000_000
 
 
 def _errors(size: int, percent: int) -> int:
@@ -54,8 +62,13 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Re
             yield batch, at, shingle_sets(Words(data, offsets, lower=True), width)
 
 
+def class_of(tokens: np.ndarray) -> bytes | None:
+    """Sixteen bytes that equal sets, and no others, have; None for the empty set."""
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
+
+
 def profile(docs: DataFrame, width: int) -> DataFrame:
-    """uid, size and class of each document; and, with uid null, tokens frequent in a task: token, rows, of (rows seen).
+    """uid, size and class (c1, c2) of each document; and, with uid null, tokens frequent in a task: token, rows, of (rows seen).
 
     A token that a share s of all documents has is in that share of some task's documents, so no token above the
     share is missed.
@@ -63,7 +76,7 @@ def profile(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts, seen, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, [], 0
-        schema = pa.schema([("uid", pa.int64()), ("size", pa.int64()), ("class", pa.binary()), ("token", pa.int64()), ("rows", pa.int64())])
+        schema = pa.schema([("uid", pa.int64()), ("size", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("token", pa.int64()), ("rows", pa.int64())])
 
         def fold() -> tuple[np.ndarray, np.ndarray]:
             every, at = np.unique(np.concatenate([tokens, *held]), return_inverse=True)
@@ -73,9 +86,10 @@ def profile(docs: DataFrame, width: int) -> DataFrame:
             return every[keep], n[keep]
 
         for batch, at, sets in _sets(batches, width):
-            names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            names = [np.frombuffer(name, "<i8").tolist() if (name := class_of(s)) else (None, None) for s in sets]
             n = len(sets)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=schema)
+            c1, c2 = (pa.array(c, pa.int64()) for c in zip(*names))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), c1, c2, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=schema)
             seen += n
             held += sets
             size += sum(map(len, sets))
@@ -86,13 +100,16 @@ def profile(docs: DataFrame, width: int) -> DataFrame:
             some = counts >= max(2, FREQUENT_SHARE * seen)
             tokens, counts = tokens[some], counts[some]
             n = len(tokens)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(tokens.view(np.int64)), pa.array(counts)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(tokens.view(np.int64)), pa.array(counts)], schema=schema)
+
+    return docs.select("uid", "text").mapInArrow(run, "uid long, size long, c1 long, c2 long, token long, rows long")
 
-    return docs.select("uid", "text").mapInArrow(run, "uid long, size long, class binary, token long, rows long")
 
+def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The signature hashes of one sorted set, and how many of its tokens lie beyond its prefix; ``frequent`` is sorted.
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The signature hashes of one sorted set; ``frequent`` is sorted."""
+    Where the prefix holds frequent tokens, matches in it can't be counted, and all tokens are said to lie beyond it.
+    """
     n = len(tokens)
     errors = _errors(n, percent)
     at = np.searchsorted(frequent, tokens)
@@ -110,49 +127,95 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nda
                 single.append(mixed(need[pairs[:, 0]] * np.uint64(0x9E3779B97F4A7C15) + need[pairs[:, 1]]))
             if len(many) < errors + 2 - r:  # the whole set is used up: the last error can take a pair's partner
                 single.append(mixed(many ^ np.uint64(0x5851F42D4C957F2D)))
-    return np.concatenate(single)
+    return np.concatenate(single), n - r if r > errors else n
 
 
 def index(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) -> DataFrame:
-    """signature, class, size; of equal sets a task gives one."""
+    """signature, c1, c2 (the class), size, rest; of equal sets a task gives one."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[bytes] = set()
         own = shared.value
         for _, _, sets in _sets(batches, width):
-            sign, names, sizes = [], [], []
+            sign, facts = [np.zeros(0, np.uint64)], []
             for s in sets:
-                if not len(s):
-                    continue
-                name = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                if name in given:
+                name = class_of(s)
+                if name is None or name in given:
                     continue
                 if len(given) >= 1_000_000:
                     given.clear()
                 given.add(name)
-                found = signatures(s, own, percent)
+                found, rest = signatures(s, own, percent)
                 sign.append(found)
-                names += [name] * len(found)
-                sizes.append(np.full(len(found), len(s)))
-            if sign:
-                yield pa.RecordBatch.from_arrays([np.concatenate(sign).view(np.int64), pa.array(names, pa.binary()), np.concatenate(sizes).astype(np.int64)], ["signature", "class", "size"])
-
-    return docs.select("uid", "text").mapInArrow(run, "signature long, class binary, size long")
-
-
-def _tasks(signed: DataFrame, percent: int, block: int) -> DataFrame:
-    """task, class, side: which classes are compared where.  A group is kept once for all signatures of its members."""
-    by = Window.partitionBy("signature")
-    order = by.orderBy("size", "node")
-    near = (F.lag("size").over(order) * 100 >= F.col("size") * percent) | (F.col("size") * 100 >= F.lead("size").over(order) * percent)
-    linked = signed.withColumn("near", near).filter("near").drop("near")
-    facts = linked.groupBy("signature").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2")).filter("n > 1")
-    one = facts.groupBy("n", "h1", "h2").agg(F.min("signature").alias("signature"))
-    rows = linked.join(one.select("signature", "n"), "signature").withColumn("block", F.floor((F.row_number().over(order) - 1) / block).cast("int"))
+                facts.append((len(found), *np.frombuffer(name, "<i8"), len(s), rest))
+            n, c1, c2, size, rest = np.array(facts, np.int64).reshape(-1, 5).T
+            yield pa.RecordBatch.from_arrays([np.concatenate(sign).view(np.int64), *(np.repeat(x, n) for x in (c1, c2, size, rest))], ["signature", "c1", "c2", "size", "rest"])
+
+    return docs.select("uid", "text").mapInArrow(run, "signature long, c1 long, c2 long, size long, rest long")
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    """rows (signature, node, ...) of one signature for all that have the same members; n members, weight signatures."""
+    facts = rows.groupBy("signature").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2")).filter("n > 1")
+    one = facts.groupBy("n", "h1", "h2").agg(F.min("signature").alias("signature"), F.count(F.lit(1)).alias("weight"))
+    return rows.join(one.select("signature", "n", "weight"), "signature")
+
+
+def candidates(signed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """signature, node, size, rest, n, weight: groups of classes that may be similar, from ``index``'s rows.
+
+    Dropped are classes that share a signature with none of a possible size.
+    """
+    by = Window.partitionBy("signature").orderBy("size", "c1", "c2")
+    first = ~(F.col("c1").eqNullSafe(F.lag("c1").over(by)) & F.col("c2").eqNullSafe(F.lag("c2").over(by)))
+    near = (F.lag("size").over(by) * 100 >= F.col("size") * percent) | (F.col("size") * 100 >= F.lead("size").over(by) * percent)
+    linked = signed.withColumn("first", first).filter("first").drop("first").withColumn("near", near).filter("near").drop("near")
+    linked = staging.stage(linked.join(classes, ["c1", "c2"]).select("signature", "node", "size", "rest"), "linked")
+    return staging.stage(_grouped(linked), "rows")
+
+
+def _alike(a: str, b: str, percent: int) -> Column:
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
+def counted_pairs(rows: DataFrame, percent: int, small: int) -> DataFrame:
+    """Pairs (a, b) of classes of different labels that share enough in small groups.
+
+    Of two sets with prefixes that end at p and q in the common order, p first, what they share lies in both prefixes
+    or beyond the first one's, so they must share at least their needed overlap less the tokens beyond it.  Signatures
+    of larger groups are not counted by pair, but taken as shared.
+    """
+    counted = rows.filter(F.col("n") <= small)
+    taken = rows.filter(F.col("n") > small).groupBy("node").agg(F.sum("weight").alias("taken"))
+    left = counted.select("signature", "weight", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("rest").alias("rest_a"), F.col("label").alias("label_a"))
+    right = counted.select("signature", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("rest").alias("rest_b"), F.col("label").alias("label_b"))
+    possible = (left["signature"] == right["signature"]) & (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & _alike("size_a", "size_b", percent)
+    pairs = left.join(right, possible).groupBy("a", "b").agg(F.sum("weight").alias("shared"), *(F.max(c).alias(c) for c in ("size_a", "size_b", "rest_a", "rest_b")))
+    pairs = pairs.join(taken.select(F.col("node").alias("a"), F.col("taken").alias("taken_a")), "a", "left").join(taken.select(F.col("node").alias("b"), F.col("taken").alias("taken_b")), "b", "left")
+    overlap = F.ceil(F.lit(percent) * (F.col("size_a") + F.col("size_b")) / F.lit(100 + percent) - 1e-9)
+    most = F.col("shared") + F.least(F.coalesce("taken_a", F.lit(0)), F.coalesce("taken_b", F.lit(0)))
+    return pairs.filter(most >= overlap - F.greatest("rest_a", "rest_b")).select("a", "b")
+
+
+def _stars(pairs: DataFrame, block: int) -> DataFrame:
+    """The same for pairs (a, b): each a, in block 0, with its partners, in block 1, so many at a time."""
+    part = F.pmod(F.xxhash64("b"), F.lit(1 << 20)) % F.greatest(F.lit(1), F.ceil(F.col("n") / block))
+    degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    rows = pairs.join(degree, "a").select("a", "b", (-1 - part).alias("part"))
+    key = [F.col("a").alias("signature"), F.col("part").cast("int").alias("i"), F.lit(1).alias("j")]
+    hubs = rows.select("a", "part").distinct().select(*key, F.lit(0).alias("block"), F.col("a").alias("node"))
+    return hubs.unionByName(rows.select(*key, F.lit(1).alias("block"), F.col("b").alias("node")))
+
+
+def _tasks(groups: DataFrame, percent: int, block: int) -> DataFrame:
+    """signature, i, j, block, node: which blocks of a group are compared, and who is in them."""
+    order = Window.partitionBy("signature").orderBy("size", "node")
+    so_far = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = groups.withColumn("block", (F.floor((F.row_number().over(order) - 1) / block) + F.floor(so_far / BLOCK_TOKENS)).cast("int"))
     ranges = rows.groupBy("signature", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    left, right = ranges.select("signature", F.col("block").alias("i"), F.col("high")), ranges.select(F.col("signature").alias("s2"), F.col("block").alias("j"), F.col("low"))
-    pairs = left.join(right, (F.col("signature") == F.col("s2")) & (F.col("i") <= F.col("j")) & ((F.col("i") == F.col("j")) | (F.col("high") * 100 >= F.col("low") * percent)))
+    left, right = ranges.select("signature", F.col("block").alias("i"), F.col("high")), ranges.select("signature", F.col("block").alias("j"), F.col("low"))
+    pairs = left.join(right, "signature").filter((F.col("i") == F.col("j")) | (F.col("i") < F.col("j")) & (F.col("high") * 100 >= F.col("low") * percent))
     sides = pairs.select("signature", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     return rows.join(sides, ["signature", "block"]).select("signature", "i", "j", "block", "node")
 
@@ -173,6 +236,7 @@ def _verify(width: int, percent: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for (_, i, j), rows in groups(batches):
+            # blocks i and j of a group; i < 0 where a hub (block 0) meets its partners (block 1)
             rows.sort(key=lambda r: (r[0], r[1]))
             column = pa.array([r[2] for r in rows], pa.string())
             sets = [s for _, data, offsets in runs(column) for s in shingle_sets(Words(data, offsets, lower=True), width)]
@@ -215,25 +279,50 @@ def _verify(width: int, percent: int):  # noqa: ANN202
     return run
 
 
-def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def verified(docs: DataFrame, tasks: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect what the tasks (signature, i, j, block, node) find similar, from the texts of docs (uid, text)."""
+    lists = staging.stage(tasks.groupBy(F.col("node").alias("uid")).agg(F.collect_list(F.struct("signature", "i", "j", "block")).alias("at")), "lists")
+    wanted = docs.select("uid", "text")
+    if lists.count() <= BROADCAST_IDS:
+        wanted = wanted.join(F.broadcast(lists.select("uid")), "uid", "left_semi")
+    each = wanted.join(lists.hint("shuffle_hash"), "uid").select(F.explode("at").alias("at"), F.col("uid").alias("node"), "text")
+    dealt = each.select("at.*", "node", "text").repartition(staging.tasks(docs.sparkSession), "signature", "i", "j").sortWithinPartitions("signature", "i", "j")
+    return staging.stage(dealt.mapInArrow(_verify(width, percent), "a long, b long").distinct(), "links")
+
+
+def links(docs: DataFrame, rows: DataFrame, width: int, percent: int, block: int, small: int) -> DataFrame:
+    """Links (a, b) with the same components as all similar pairs in the groups of ``candidates``.
+
+    First the first member of each group is compared with the others.  Of what that leaves unconnected, pairs in small
+    groups are counted and compared; large groups of the same first member are joined to one, and compared in blocks.
+    """
+    hubs = rows.groupBy("signature").agg(F.min(F.struct("node", "size")).alias("hub"))
+    led = staging.stage(rows.join(hubs, "signature"), "led")
+    near = led.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.size").alias("size_a"), F.col("size").alias("size_b"))
+    near = staging.stage(near.filter((F.col("a") != F.col("b")) & _alike("size_a", "size_b", percent)).select("a", "b").distinct(), "near")
+    found = verified(docs, _stars(near, block), width, percent)
+    labels = staging.stage(components(found), "labels")
+    own = led.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    pairs = counted_pairs(own, percent, small).join(near, ["a", "b"], "left_anti")
+    large = own.filter(F.col("n") > small).select(F.col("hub.node").alias("signature"), "node", "size", "label").distinct()
+    apart = large.groupBy("signature").agg(F.count_distinct("label").alias("labels")).filter("labels > 1").select("signature")
+    groups = staging.stage(large.join(apart, "signature").select("signature", "node", "size"), "apart")
+    return found.unionByName(verified(docs, _stars(pairs, block).unionByName(_tasks(groups, percent, block)), width, percent))
+
+
+def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK, small: int = SMALL) -> DataFrame:
     """A row per row of docs: uid, doc_id, n_shingles, component (uid), component_id."""
-    spark = docs.sparkSession
     own = repeats.identified(docs, text, id_col)
     profiled = staging.stage(profile(own, width), "profiled")
-    rows = profiled.filter("uid is not null").select("uid", "size", "class")
+    rows = profiled.filter("uid is not null").select("uid", "size", "c1", "c2")
     n_docs = rows.count()
     seen = profiled.filter("uid is null").groupBy("token").agg(F.sum("rows").alias("rows")).filter(F.col("rows") >= FREQUENT_SHARE / 2 * n_docs)
     frequent = np.sort(np.array([r.token for r in seen.select("token").collect()], np.int64).view(np.uint64))
-    classes = staging.stage(rows.filter("class is not null").groupBy("class").agg(F.min("uid").alias("node")), "classes")
-    signed = index(own, frequent, width, percent).join(classes, "class").select("signature", "node", "size").distinct()
-    tasks = staging.stage(_tasks(signed, percent, block), "tasks")
-    lists = tasks.groupBy(F.col("node").alias("uid")).agg(F.collect_list(F.struct("signature", "i", "j", "block")).alias("at"))
-    wanted = own.select("uid", "text").join(lists.hint("shuffle_hash"), "uid").select("uid", "text", F.explode("at").alias("at"))
-    dealt = wanted.select("at.signature", "at.i", "at.j", "at.block", F.col("uid").alias("node"), "text").repartition(staging.tasks(spark), "signature", "i", "j").sortWithinPartitions("signature", "i", "j")
-    links = dealt.mapInArrow(_verify(width, percent), "a long, b long")
-    linked = components(links)
-    of_class = classes.join(linked, "node", "left").select("class", F.coalesce("component", "node").alias("component"))
-    members = rows.join(of_class, "class", "left").select("uid", F.col("size").alias("n_shingles"), F.coalesce("component", "uid").alias("component"))
+    classes = staging.stage(rows.filter("c1 is not null").groupBy("c1", "c2").agg(F.min("uid").alias("node")), "classes")
+    groups = candidates(index(own, frequent, width, percent), classes, percent)
+    linked = components(links(own, groups, width, percent, block, small))
+    of_class = classes.join(linked, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("component"))
+    members = rows.join(of_class, ["c1", "c2"], "left").select("uid", F.col("size").alias("n_shingles"), F.coalesce("component", "uid").alias("component"))
     ids = own.select("uid", "doc_id")
     names = ids.select(F.col("uid").alias("component"), F.col("doc_id").alias("component_id"))
     return members.join(ids, "uid").join(names, "component").select("uid", "doc_id", "n_shingles", "component", "component_id")
