@@ -2,12 +2,19 @@ from __future__ import annotations
 
 import glob
 import os
+import struct
+from collections import Counter
+from hashlib import sha256
 
 import duckdb
+import public_tokenizers
 import pytest
+import tiktoken
 
 import corpus_pipeline
-from veilmark.llm import registry
+from tests.llm.test_native import filled
+from tests.llm.test_similar import reached, shingles
+from veilmark.llm import bpe_codec, mixture, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,17 +37,46 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(repr([r[c] for c in key]) for r in made.collect()) == sorted(repr([dict(zip(columns, r))[c] for c in key]) for r in found.fetchall())
 
 
-def test_stages(spark, tmp_path):
+def brute_near(rows):
+    """doc_ids that stay: the smallest of each group of similar documents."""
+    sets = {r.doc_id: shingles(r.text, 5) for r in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    return {i for i, c in reached(sets, links).items() if i == c}
+
+
+def test_stages_against_brute_force(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, sizes = docs.columns, [docs.count()]
-    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        assert name and (k == 4 or True)
+    columns, made = docs.columns, [docs.collect()]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         stage(spark, docs, SF).write.parquet(str(tmp_path / str(k)))
         docs = spark.read.parquet(str(tmp_path / str(k)))
-        sizes.append(docs.count())
+        made.append(docs.collect())
         if k < 4:
             assert docs.columns == columns
-    assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-    assert sizes[1] >= 0.98 * sizes[0] and sizes[2] <= sizes[1] and sizes[3] <= sizes[2] and sizes[5] == sizes[4]
-    again = corpus_pipeline.run(spark, SF)
-    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, docs.collect()))
+    given, spoken, distinct, apart, mixed, encoded = made
+
+    texts = {r.doc_id: r.text for r in given}
+    assert {r.doc_id for r in spoken} <= set(texts) and len(spoken) >= 0.98 * len(given)
+    assert sum(r.lang == g.lang for r in spoken for g in given if r.doc_id == g.doc_id) >= 0.95 * len(spoken)
+    last = {}
+    for r in spoken:
+        last[r.text] = max(last.get(r.text, -1), r.doc_id)
+    assert {r.doc_id for r in distinct} == set(last.values())
+    assert {r.doc_id for r in apart} == brute_near(distinct)
+
+    size = Counter()
+    for r in apart:
+        size[r.source] += len(r.text.split())
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sorted(size))}
+    want, taken, times = filled(size, weight, 1.5 * sum(size.values())), Counter(), Counter()
+    for r in mixed:
+        taken[r.source] += len(r.text.split())
+        times[r.doc_id] += 1
+        assert texts[r.doc_id].split()[: len(r.text.split())] == r.text.split()
+    assert max(times.values()) <= 2 and all(abs(taken[s] - want[s]) <= 0.01 * want[s] + 2 * mixture.BLOCK_WORDS for s in size)
+
+    ranks = bpe_codec.read_ranks(public_tokenizers.path(bpe_codec.VOCABULARY))
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ids = [(r.doc_id, own.encode_ordinary(r.text), r.text) for r in mixed]
+    assert sorted(map(tuple, encoded)) == sorted((i, len(x), sha256(struct.pack(f"<{len(x)}I", *x)).hexdigest(), sha256(t.encode()).hexdigest()) for i, x, t in ids)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, encoded))
