@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.functions import language
+from veilmark.functions import language, visible
 from veilmark.operators.summary import HYPOTHESES
 
 RULE = 66
@@ -28,6 +28,15 @@ def text_report(source: Column, observed: Column, evidence: Column, lang: str =
     return F.concat_ws("\n", *lines)
 
 
+def html_report(source: Column, observed: Column, evidence: Column, segments: Column, lang: str = "en") -> Column:
+    """One document's report as a page of its own: mask, evidence, and segments with what can't be seen marked."""
+    mask = F.array_join(F.transform(F.split(observed["mask"], ""), lambda c: F.when(c == "1", "<b>1</b>").otherwise(c)), "")
+    lines = [F.concat(F.lit(f"<h2>[{h.upper()}] {html.escape(language.label(h.upper(), lang))}</h2><ul>"), F.array_join(F.transform(evidence[h], lambda x: F.concat(F.lit("<li>"), visible.markers_html(x), F.lit("</li>"))), ""), F.lit("</ul>")) for h in HYPOTHESES]
+    rows = F.transform(segments, lambda s: F.concat(F.lit("<tr><td>"), s["kind"], F.lit("</td><td>"), visible.markers_html(F.coalesce(s["location"], F.lit(""))), F.lit("</td><td>"), visible.markers_html(s["text"]), F.lit("</td></tr>")))
+    head = f'<!DOCTYPE html><html lang="{language.resolve(lang)}"><head><meta charset="utf-8"><title>Observation</title><style>.inv{{background:#fdd}}</style></head><body><h1>'
+    return F.concat(F.lit(head), visible.markers_html(source), F.lit("</h1><p>"), mask, F.lit("</p>"), *lines, F.lit("<table>"), F.array_join(rows, ""), F.lit("</table></body></html>\n"))
+
+
 def receipt(value: Any) -> str:
     """JSON as receipts hold it: indented, not escaped, ended by a line feed."""
     return json.dumps(value, indent=2, ensure_ascii=False) + "\n"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilmark.functions import detect
 from veilmark.operators.summary import extension
-from veilmark.sources import docx, html, reading  # noqa: F401  the imports register their formats
+from veilmark.sources import docx, html, pdf, png, reading  # noqa: F401  the imports register their formats
 
 
 def observed(files: DataFrame) -> DataFrame:
