@@ -179,6 +179,11 @@ def _alike(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _overlap(percent: int) -> Column:
+    """The least number of tokens that similar sets of size_a and size_b share."""
+    return F.ceil(F.lit(percent) * (F.col("size_a") + F.col("size_b")) / F.lit(100 + percent) - 1e-9)
+
+
 def counted_pairs(rows: DataFrame, percent: int, small: int) -> DataFrame:
     """Pairs (a, b) of classes of different labels that share enough in small groups.
 
@@ -193,9 +198,8 @@ def counted_pairs(rows: DataFrame, percent: int, small: int) -> DataFrame:
     possible = (left["signature"] == right["signature"]) & (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & _alike("size_a", "size_b", percent)
     pairs = left.join(right, possible).groupBy("a", "b").agg(F.sum("weight").alias("shared"), *(F.max(c).alias(c) for c in ("size_a", "size_b", "rest_a", "rest_b")))
     pairs = pairs.join(taken.select(F.col("node").alias("a"), F.col("taken").alias("taken_a")), "a", "left").join(taken.select(F.col("node").alias("b"), F.col("taken").alias("taken_b")), "b", "left")
-    overlap = F.ceil(F.lit(percent) * (F.col("size_a") + F.col("size_b")) / F.lit(100 + percent) - 1e-9)
     most = F.col("shared") + F.least(F.coalesce("taken_a", F.lit(0)), F.coalesce("taken_b", F.lit(0)))
-    return pairs.filter(most >= overlap - F.greatest("rest_a", "rest_b")).select("a", "b")
+    return pairs.filter(most >= _overlap(percent) - F.greatest("rest_a", "rest_b")).select("a", "b")
 
 
 def _stars(pairs: DataFrame, block: int) -> DataFrame:
@@ -293,13 +297,15 @@ def verified(docs: DataFrame, tasks: DataFrame, width: int, percent: int) -> Dat
 def links(docs: DataFrame, rows: DataFrame, width: int, percent: int, block: int, small: int) -> DataFrame:
     """Links (a, b) with the same components as all similar pairs in the groups of ``candidates``.
 
-    First the first member of each group is compared with the others.  Of what that leaves unconnected, pairs in small
-    groups are counted and compared; large groups of the same first member are joined to one, and compared in blocks.
+    First the first member of each group is compared with the others that seem to share enough with it; this is a guess
+    from its own groups only, and saves what follows.  Of what that leaves unconnected, all pairs are judged: in small
+    groups they are counted and compared; large groups of the same first member are joined to one, compared in blocks.
     """
-    hubs = rows.groupBy("signature").agg(F.min(F.struct("node", "size")).alias("hub"))
+    hubs = rows.groupBy("signature").agg(F.min(F.struct("node", "size", "rest")).alias("hub"))
     led = staging.stage(rows.join(hubs, "signature"), "led")
-    near = led.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.size").alias("size_a"), F.col("size").alias("size_b"))
-    near = staging.stage(near.filter((F.col("a") != F.col("b")) & _alike("size_a", "size_b", percent)).select("a", "b").distinct(), "near")
+    near = led.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.size").alias("size_a"), F.col("size").alias("size_b"), F.greatest("hub.rest", "rest").alias("rest"), "weight")
+    near = near.filter((F.col("a") != F.col("b")) & _alike("size_a", "size_b", percent)).groupBy("a", "b").agg(F.sum("weight").alias("shared"), *(F.max(c).alias(c) for c in ("size_a", "size_b", "rest")))
+    near = staging.stage(near.filter(F.col("shared") * 2 >= _overlap(percent) - F.col("rest")).select("a", "b"), "near")
     found = verified(docs, _stars(near, block), width, percent)
     labels = staging.stage(components(found), "labels")
     own = led.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
