@@ -29,7 +29,7 @@ from veilmark.llm import staging
 from veilmark.llm.sequences import mixed, runs
 
 DIMS = 1 << 12
-SAMPLE_PER_LANGUAGE = 1500
+SAMPLE_PER_LANGUAGE = 1000
 CENTROIDS = 4
 FOLDS = 5
 QUANTILE = 0.002
@@ -78,6 +78,19 @@ def profiles(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out.reshape(n, DIMS)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """The places and values of what isn't zero: a few kilobytes for a document."""
+    at = np.flatnonzero(counts)
+    return np.stack([at, counts[at]]).astype("<u4").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    at, value = np.frombuffer(data, "<u4").reshape(2, -1)
+    counts = np.zeros(DIMS, np.int64)
+    counts[at] = value
+    return counts
+
+
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """TF-IDF rows of length 1; rows of nothing stay zero."""
     rows = np.log1p(counts).astype(np.float32) * idf
@@ -144,7 +157,7 @@ def fit(docs: DataFrame, text: str = "text", id_col: str = "doc_id", lang: str =
             for at, counts in _profiled(batch.column(1)):
                 found += (counts > 0).sum(axis=0)
                 seen += len(counts)
-                rows = [(langs[at + i], c.astype("<u4").tobytes()) for i, c in enumerate(counts) if take[at + i]]
+                rows = [(langs[at + i], packed(c)) for i, c in enumerate(counts) if take[at + i]]
                 if rows:
                     own, vectors = zip(*rows)
                     yield pa.RecordBatch.from_arrays([pa.array(own), pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.int64()), pa.array(vectors, pa.binary())], schema=schema)
@@ -162,7 +175,9 @@ def fit(docs: DataFrame, text: str = "text", id_col: str = "doc_id", lang: str =
         vectors = [bytes(r.vector) for r in learned.filter(F.col("vector").isNotNull() & (F.col("lang") == language)).select("vector").orderBy("vector").collect()]
         if not vectors:
             continue
-        rows = np.concatenate([weighted(np.frombuffer(b"".join(vectors[i : i + ROWS]), "<u4").reshape(-1, DIMS), idf) for i in range(0, len(vectors), ROWS)])
+        rows = np.zeros((len(vectors), DIMS), np.float32)
+        for i, vector in enumerate(vectors):
+            rows[i] = weighted(unpacked(vector)[None], idf)
         own = clustered(rows, centroids)
         cosine = rows @ own.T
         best = cosine.argmax(axis=1)
