@@ -7,6 +7,7 @@ written as Parquet and read again as the next one's docs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veilmark.llm import bpe_codec, jaccard_join, language_id, mixture, staging, stream_dedup
 
@@ -44,7 +45,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture: documents as often as they are taken, the last one of a shard with just its taken words."""
     _begin()
-    return mixture.sample(docs)
+    return mixture.sample(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,6 @@ import random
 import zlib
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from tests.llm.conftest import table
 from veilmark.llm import language_id
@@ -69,4 +68,3 @@ def test_profiles_do_not_cross_texts():
 def test_sample_is_bounded(spark):
     model = language_id.fit(table(spark, rows(400)), sample_per_language=20, centroids=3)
     assert len(model.centroids) <= 9 and model.centroids.shape[1] == language_id.DIMS
-    assert F is not None

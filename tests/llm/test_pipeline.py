@@ -72,6 +72,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     for r in mixed:
         taken[r.source] += len(r.text.split())
         times[r.doc_id] += 1
+        assert r.n_chars == len(r.text)
         assert texts[r.doc_id].split()[: len(r.text.split())] == r.text.split()
     assert max(times.values()) <= 2 and all(abs(taken[s] - want[s]) <= 0.01 * want[s] + 2 * mixture.BLOCK_WORDS for s in size)
 
