@@ -47,8 +47,8 @@ def identified(docs: DataFrame, text: str, id_col: str) -> DataFrame:
         twice = own.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1)
         if not twice.count():
             return own.select(F.col("doc_id").cast("long").alias("uid"), "doc_id", "text")
-    ordered = staging.stage(own.orderBy(F.col("doc_id").isNull(), "doc_id", "text").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "ordered")
-    return staging.stage(ordered.select(F.col("at").alias("uid"), "doc_id", "text"), "numbered")
+    ordered = own.orderBy(F.col("doc_id").isNull(), "doc_id", "text").withColumn("uid", F.monotonically_increasing_id())
+    return staging.stage(ordered.select("uid", "doc_id", "text"), "numbered")
 
 
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
