@@ -292,7 +292,19 @@ def language_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", japanese.cast("long").alias("japanese"), latin.cast("long").alias("latin"), language.decide(japanese, latin).alias("language"))
 
 
-@query("evidence_lines")
+_TOKENS = f"list_filter(regexp_split_to_array(t, '[{_WS}]+'), lambda w: regexp_matches(w, '{_CG}') AND regexp_matches(w, '{_L}'))"
+
+
+@query(
+    "evidence_lines",
+    f"""WITH {_D}, {_O}, {_RUNS},
+    f AS (SELECT doc_id, arg_min(concat(size, ' contiguous invisible chars at offset ', start, ' -> ', {_DECODED}), start) AS run FROM s GROUP BY doc_id),
+    x AS (SELECT o.*, list_filter([CASE WHEN {_count('t', _ZW)} > 0 THEN concat('[H2] ', {_count('t', _ZW)}, ' zero-width chars') END, CASE WHEN h3 = 1 THEN '[H3] bidi control characters present' END,
+        CASE WHEN h6 = 1 THEN concat('[H6] token: ', chr(39), {_TOKENS}[1], chr(39)) END, CASE WHEN h7 = 1 THEN concat('[H7] ', run) END], lambda v: v IS NOT NULL) AS said FROM o LEFT JOIN f USING (doc_id)),
+    y AS (SELECT doc_id, {_MASK} AS mask, array_to_string(said[1:2], ' / ') AS line FROM x)
+    SELECT doc_id, mask, CASE WHEN mask = '1000-000' THEN 'clean' ELSE 'flagged' END AS class, CASE WHEN mask = '1000-000' THEN 'green' ELSE 'red' END AS colour,
+        CASE WHEN length(line) > 120 THEN substr(line, 1, 117) || '...' ELSE line END AS evidence FROM y""",
+)
 def evidence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = _plain(F.col("t"))
     rows = _documents(spark, sf_dir).select("doc_id", detect.observe(segments).alias("o"), detect.evidence(segments).alias("e"))
