@@ -30,8 +30,8 @@ import regex
 from pyspark.sql import DataFrame
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-PIECE_CACHE = 500_000
-PAIR_CACHE = 1_000_000
+PIECE_CACHE = 300_000
+PAIR_CACHE = 300_000
 BATCH_ROWS = 256
 
 

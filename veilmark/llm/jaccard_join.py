@@ -46,7 +46,7 @@ COMBINE_SIZE = 400
 BLOCK = 512
 BLOCK_TOKENS = 400_000
 SMALL = 128
-FLUSH_TOKENS = 4_000_000
+FLUSH_TOKENS = 1_000_000
 #: Up to so many ids (8 bytes each) are broadcast to drop the texts that no task wants before they are shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -70,8 +70,9 @@ def class_of(tokens: np.ndarray) -> bytes | None:
 def profile(docs: DataFrame, width: int) -> DataFrame:
     """uid, size and class (c1, c2) of each document; and, with uid null, tokens frequent in a task: token, rows, of (rows seen).
 
-    A token that a share s of all documents has is in that share of some task's documents, so no token above the
-    share is missed.
+    A token that a share s of all documents has is in that share of some task's documents.  Counts are lossy: tokens
+    rare so far are dropped whenever ``FLUSH_TOKENS`` are held, so one near the share may be missed, and is then
+    ordered with the rare ones, everywhere alike.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
