@@ -125,3 +125,35 @@ def test_odd_vectors(spark):
     assert pivot_index.link(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     same = pivot_index.link(spark.createDataFrame([(None, [1.0, 2.0]), (4, [1.0, 2.0]), (4, [1.0, 2.0])], "vec_id long, embedding array<float>"))
     assert sorted((str(r.vec_id), r.n_links, r.component_id) for r in same.collect()) == [("4", 2, 4), ("4", 2, 4), ("None", 2, 4)]
+
+
+def clustered(n, seed=3, size=64, cosine=0.93):
+    """n vectors, a third of them around one centre with this cosine between any two."""
+    rnd = np.random.default_rng(seed)
+    rows = rnd.normal(size=(n, size))
+    centre = rnd.normal(size=size)
+    rows[: n // 3] = centre / np.linalg.norm(centre) + rnd.normal(size=(n // 3, size)) * np.sqrt((1 / cosine - 1) / size)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("n", [2_000, 20_000])
+def test_dense_cluster(spark, n):
+    unit = clustered(n)
+    links = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(unit.tolist())], "vec_id long, embedding array<double>")
+    found = {r.vec_id: r.n_links for r in pivot_index.link(rows).collect()}
+    assert all(found[i] <= links[i] for i in found) and sum(found.values()) >= 0.99 * links.sum()
+
+
+@pytest.mark.parametrize("cosine", [0.89, 0.93, 0.97])
+@pytest.mark.parametrize(("n", "n_pivots"), [(2_000, 64), (20_000, 128), (100_000, 512)])
+def test_dense_cluster_shares_pivots(n, n_pivots, cosine):
+    unit = clustered(n, cosine=cosine)
+    drawn = np.random.default_rng(7).choice(n, n_pivots, replace=False)
+    pivots = pivot_index._unit(pivot_index.apart([unit[i].tobytes() for i in drawn], pivot_index.COSINE))
+    near = np.argsort(-(unit[: n // 3] @ pivots.T), axis=1, kind="stable")[:, : pivot_index.NEAREST]
+    listed = np.zeros((n // 3, len(pivots)), np.float32)
+    np.put_along_axis(listed, near, 1, axis=1)
+    close = unit[:100] @ unit[: n // 3].T >= pivot_index.COSINE
+    close[range(100), range(100)] = False
+    assert (close & (listed[:100] @ listed.T >= pivot_index.MIN_SHARED)).sum() >= 0.95 * close.sum()
