@@ -91,6 +91,16 @@ def test_keep(spark):
     assert jaccard_join.keep(table(spark, [])).count() == 0
 
 
+def test_keep_decides_by_row(spark):
+    """Near copies go alone, not with every row that shares their id or has none."""
+    a, b = (" ".join(f"{c}{i}" for i in range(50)) for c in "ab")
+    rows = [(None, a), (None, "no copy of anything at all"), (1, a + " x"), (5, b), (5, b + " y"), (5, "unrelated to the other rows of five"), (7, None), (None, None)]
+    docs = table(spark, rows)
+    kept = jaccard_join.keep(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted((rows[i] for i in (1, 2, 3, 5, 6, 7)), key=str)
+
+
 def test_components(spark):
     rnd = random.Random(1)
     links = [(i, i + 1) for i in range(100, 160)] + [(rnd.randrange(60), rnd.randrange(60)) for _ in range(40)] + [(200, i) for i in range(201, 260)] + [(5, 5)]

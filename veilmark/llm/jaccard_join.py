@@ -336,10 +336,15 @@ def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int
 
 
 def keep(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """docs with one row of each group of near-duplicates: the one of the smallest doc_id; all columns as they were."""
-    found = link(docs, text, id_col, width, percent)
-    dropped = staging.stage(found.filter("uid <> component").select(F.col("doc_id").alias("__id")), "dropped")
-    return docs.join(dropped.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("__id")), "left_anti")
+    """docs with one row of each group of near-duplicates: the one of the smallest doc_id; all columns as they were.
+
+    Rows are dropped one by one: others of the same id, or without one, stay as their own texts decide.
+    """
+    rows, uid = (docs, id_col) if repeats.own_ids(docs, id_col) else (repeats.numbered(docs, text, id_col, "__uid"), "__uid")
+    found = link(rows, text, uid, width, percent)
+    dropped = staging.stage(found.filter("uid <> component").select(F.col("uid").alias("__dropped")), "dropped")
+    left = rows.join(dropped.hint("shuffle_hash"), rows[uid] == F.col("__dropped"), "left_anti")
+    return left.select(*(rows[c] for c in docs.columns))
 
 
 def report(docs: DataFrame) -> DataFrame:

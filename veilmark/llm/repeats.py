@@ -36,19 +36,29 @@ SETTLED = "anchor long, uid long, start long, count int, repeat boolean"
 Segmenter = Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]]
 
 
+def own_ids(docs: DataFrame, id_col: str) -> bool:
+    """Whether ids are whole numbers, unique and not null, so that they name rows."""
+    ids = docs.select(docs[id_col].alias("doc_id"))
+    if ids.schema["doc_id"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        return False
+    return not ids.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count()
+
+
+def numbered(docs: DataFrame, text: str, id_col: str, uid: str) -> DataFrame:
+    """A staged copy of docs with rows numbered as uid, in the order of the id (null last), then text."""
+    ordered = docs.orderBy(docs[id_col].isNull(), docs[id_col], docs[text])
+    return staging.stage(ordered.withColumn(uid, F.monotonically_increasing_id()), "numbered")
+
+
 def identified(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     """uid, doc_id, text.  uid is doc_id itself where ids are whole numbers, unique and not null.
 
     Else rows are numbered in the order of doc_id (null last), then text, in a staged copy.
     """
     own = docs.select(docs[id_col].alias("doc_id"), docs[text].alias("text"))
-    kind = own.schema["doc_id"].dataType.simpleString()
-    if kind in ("tinyint", "smallint", "int", "bigint"):
-        twice = own.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1)
-        if not twice.count():
-            return own.select(F.col("doc_id").cast("long").alias("uid"), "doc_id", "text")
-    ordered = own.orderBy(F.col("doc_id").isNull(), "doc_id", "text").withColumn("uid", F.monotonically_increasing_id())
-    return staging.stage(ordered.select("uid", "doc_id", "text"), "numbered")
+    if own_ids(own, "doc_id"):
+        return own.select(F.col("doc_id").cast("long").alias("uid"), "doc_id", "text")
+    return numbered(own, "text", "doc_id", "uid").select("uid", "doc_id", "text")
 
 
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
