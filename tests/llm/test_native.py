@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,6 +127,18 @@ def test_licenses(spark):
     assert license_scan.scan(table(spark, [])).count() == 0
 
 
+def test_whole_licenses(spark):
+    want = {"Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0"}
+    folder = Path(license_scan.__file__).parent / "licenses"
+    texts = {f.stem: f.read_text("utf-8") for f in folder.glob("*.txt")}
+    assert set(texts) == want
+    names = sorted(want)
+    rows = [(i, texts[n].upper().replace("\n", "\n  ")) for i, n in enumerate(names)] + [(100, "MIT License\n\nCopyright (c) 2020 Someone\n\n" + texts["MIT"])]
+    found = {r.doc_id: (r.doc_license, r.licenses) for r in license_scan.scan(table(spark, rows)).collect()}
+    assert {i: x[0] for i, x in found.items()} == dict(enumerate(names)) | {100: "MIT"}
+    assert all(x[0] in x[1] for x in found.values())
+
+
 COPIES = [(1, "a"), (2, "a"), (3, None), (4, ""), (5, "b"), (None, "a"), (2, "a"), (6, "A"), (None, "only"), (7, "x" * 100_000), (8, "x" * 100_000)]
 
 

@@ -15,6 +15,8 @@ a row.  Names of extra columns do not matter.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,11 @@ KNOWN = (
     ("0BSD", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
 )
 
+#: Whole licence texts, one file each, named by identifier; MIT also under its title.
+FULL = tuple((f.stem, f.read_text("utf-8")) for f in sorted((Path(__file__).parent / "licenses").glob("*.txt")))
+FULL += tuple((name, "MIT License\n\n" + text) for name, text in FULL if name == "MIT")
+TEXTS = KNOWN + FULL
+
 
 def canonical(text: Column) -> Column:
     """The normal form that is digested: copyright lines first, while lines can still be told apart."""
@@ -52,13 +59,13 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known(spark, texts: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
+def known(spark, texts: tuple[tuple[str, str], ...] = TEXTS) -> DataFrame:
     """license, digest: one row for each distinct canonical text."""
     table = spark.createDataFrame(list(texts), "license string, known string")
     return table.select("license", digest(F.col("known")).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
 
 
-def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", texts: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", texts: tuple[tuple[str, str], ...] = TEXTS) -> DataFrame:
     """A row per row of docs: doc_id, doc_digest, doc_license, licenses (sorted, distinct), n_units (matching units)."""
     pairs = known(docs.sparkSession, texts).agg(F.map_from_entries(F.collect_list(F.struct("digest", "license"))).alias("known"))
     longest, shortest = max(len(t) for _, t in texts), min(len(t) for _, t in texts)
