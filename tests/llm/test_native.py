@@ -139,6 +139,19 @@ def test_whole_licenses(spark):
     assert all(x[0] in x[1] for x in found.values())
 
 
+def test_long_headers(spark):
+    """Neither copyright lines nor padding of any length hide a notice, nor does a wording without the usual words."""
+    isc = dict(license_scan.KNOWN)["ISC"]
+    header = "".join(f"Copyright (c) {1980 + i} A contributor with a rather long name and address\n" for i in range(60))
+    boxed = "\n".join(f"*{line:>2000}{'*' * 2000}" for line in isc.split(". "))
+    rows = [(1, "before\n\n" + header + isc.replace(". ", ".\n") + "\n\nafter"), (2, "before\n\n" + boxed + "\n\nafter"), (3, "before\n\nnothing\nof it\n\nafter")]
+    found = {r.doc_id: r.licenses for r in license_scan.scan(table(spark, rows), texts=license_scan.KNOWN).collect()}
+    assert found == {1: ["ISC"], 2: ["ISC"], 3: []}
+    own = (("WTFPL", "Do what you want to."), ("X", "-- use -- per cent -- "))
+    rows = [(1, "a\nDO WHAT you want to\nb"), (2, "a\nuse percent\nb"), (3, "a\nb")]
+    assert {r.doc_id: r.licenses for r in license_scan.scan(table(spark, rows), texts=own).collect()} == {1: ["WTFPL"], 2: ["X"], 3: []}
+
+
 COPIES = [(1, "a"), (2, "a"), (3, None), (4, ""), (5, "b"), (None, "a"), (2, "a"), (6, "A"), (None, "only"), (7, "x" * 100_000), (8, "x" * 100_000)]
 
 

@@ -6,8 +6,9 @@ licence notices; a match is the entire text, never a part of it.  The units look
 paragraphs and its lines, since notices stand in documents as whole lines.
 
 Scale.  One pass of built-in expressions.  The known digests are a fixed table (``KNOWN``), broadcast at a size that
-does not depend on the corpus.  Units too long to equal a known text are dropped before they are normalised; this
-loses none, as normalising at most halves a unit without copyright lines (``SLACK``) and those are bounded by a test.
+does not depend on the corpus.  Units that hold no word of a known text are dropped before they are normalised; this
+loses none, as ``needed`` takes only words that normalising leaves as they are.  A unit's length is not bounded from
+above, since copyright lines, punctuation and blanks of any length are removed.
 
 Defined cases.  A null or empty text matches nothing and has the digest of the empty string.  Repeated rows each get
 a row.  Names of extra columns do not matter.
@@ -65,13 +66,24 @@ def known(spark, texts: tuple[tuple[str, str], ...] = TEXTS) -> DataFrame:
     return table.select("license", digest(F.col("known")).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
 
 
+def needed(canonicals: list[str]) -> str:
+    """A pattern that a lower-case text matches if its canonical form is one of these."""
+    words = set()
+    for text in canonicals:
+        # a word without any replacement in it stands in the text as it is; "license" is spelled in two ways
+        plain = [w for w in text.split() if w.isascii() and not any(to.removesuffix("://") in w for _, to in SPELLINGS)]
+        words.add("licen[sc]e" if "license" in text else max(plain, key=len, default=""))
+    return "" if "" in words else "|".join(sorted(words))
+
+
 def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", texts: tuple[tuple[str, str], ...] = TEXTS) -> DataFrame:
     """A row per row of docs: doc_id, doc_digest, doc_license, licenses (sorted, distinct), n_units (matching units)."""
     pairs = known(docs.sparkSession, texts).agg(F.map_from_entries(F.collect_list(F.struct("digest", "license"))).alias("known"))
-    longest, shortest = max(len(t) for _, t in texts), min(len(t) for _, t in texts)
+    forms = [r.form for r in docs.sparkSession.createDataFrame(list(texts), "license string, known string").select(canonical(F.col("known")).alias("form")).collect()]
+    pattern, shortest = needed(forms), min(map(len, forms))
     content = F.coalesce(docs[text], F.lit(""))
     table = docs.select(docs[id_col].alias("doc_id"), content.alias("content")).crossJoin(F.broadcast(pairs))  # one row of a fixed size
-    likely = lambda unit: (F.length(unit) <= 4 * longest) & (F.length(unit) >= shortest // 2) & F.lower(unit).rlike("licen[sc]|permission|redistribut")
+    likely = lambda unit: (F.length(unit) >= shortest // 2) & F.lower(unit).rlike(pattern)
     looked = lambda units: F.filter(F.transform(F.filter(units, likely), lambda u: F.col("known")[digest(u)]), lambda x: x.isNotNull())
     table = table.select("doc_id", digest(F.col("content")).alias("doc_digest"), "known", looked(F.split("content", "\n")).alias("lines"), looked(F.filter(F.split("content", r"\n[\x20\t]*\n\s*"), lambda p: p.contains("\n"))).alias("paragraphs"))
     table = table.withColumn("doc_license", F.col("known")[F.col("doc_digest")])
