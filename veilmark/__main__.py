@@ -26,7 +26,7 @@ def _styles(files: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            rows = [(p, s["tag"], s["line"], s["style"]) for p, c in zip(batch.column(0).to_pylist(), batch.column(1)) for s in html.read(c.as_py().decode("utf-8", "replace")).styles]
+            rows = [(p, s["tag"], s["line"], s["style"]) for p, c in zip(batch.column(0).to_pylist(), batch.column(1)) for s in html.styles(html.events(reading.decode(c.as_py())[0]))]
             columns = zip(*rows) if rows else ((),) * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.string()))], ["source", "tag", "line", "style"])
 

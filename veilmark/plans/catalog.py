@@ -257,7 +257,7 @@ _P = planted.sql("html", "page_id", planted.PAGES)
 def geometry_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(p, s["tag"], s["line"], s["style"]) for p, c in zip(batch.column(0).to_pylist(), batch.column(1)) for s in html.read(c.as_py().decode()).styles]
+            rows = [(p, s["tag"], s["line"], s["style"]) for p, c in zip(batch.column(0).to_pylist(), batch.column(1)) for s in html.styles(html.events(c.as_py().decode()))]
             page, tag, line, style = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(tag, pa.string()), pa.array(line, pa.int32()), pa.array(style, pa.string())], ["page_id", "tag", "line", "style"])
 

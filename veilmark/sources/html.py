@@ -1,9 +1,17 @@
-"""HTML pages as segments: visible and hidden text, comments, and attributes that are read but not seen."""
+"""HTML pages as segments: visible and hidden text, comments, and attributes that are read but not seen.
+
+A page is first a flat table of events (markup, text and comments, each with its line).  A fold over the markup gives
+each event its scope: how the elements open at that place conceal it.  Segments are then runs of text between two
+other events, so nothing is buffered while parsing.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from itertools import groupby
 
 from veilmark.sources.reading import Limits, Segment, decode, register
 
@@ -11,74 +19,122 @@ from veilmark.sources.reading import Limits, Segment, decode, register
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|opacity\s*:\s*0(?:\.0+)?\s*(?:;|$)|font-size\s*:\s*0(?:px|pt|em|rem)?\s*(?:;|$)|(?:left|top|right|bottom)\s*:\s*-\d{4,}", re.IGNORECASE)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SPOKEN = ("alt", "title", "aria-label")
+CODE = frozenset({"style", "script"})
 LEAST = 10
 
 
-class _Reader(HTMLParser):
-    """Open elements are a stack of (tag, hidden); text is held until the next tag or comment ends it."""
+@dataclass(frozen=True)
+class Event:
+    """One thing of a page: kind is open, close, text, comment or end."""
+
+    kind: str
+    value: str
+    line: int
+    attributes: dict[str, str] = field(default_factory=dict)
+
+    def conceals(self) -> bool:
+        """Whether an opening tag hides its own content."""
+        a = self.attributes
+        return "hidden" in a or a.get("aria-hidden") == "true" or HIDING.search(a.get("style", "")) is not None
+
+
+@dataclass(frozen=True)
+class Scope:
+    """An open element, the one around it, and whether its content is concealed."""
+
+    tag: str = ""
+    concealed: bool = False
+    around: Scope | None = None
+
+    def within(self, event: Event) -> Scope:
+        return self if event.value in VOID else Scope(event.value, self.concealed or event.conceals(), self)
+
+    def after(self, tag: str) -> Scope:
+        """What is open once the nearest element of that name has ended; an end without a beginning changes nothing."""
+        found: Scope | None = self
+        while found is not None and found.around is not None:
+            if found.tag == tag:
+                return found.around
+            found = found.around
+        return self
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.found: list[Segment] = []
-        self.styles: list[dict] = []
-        self.open: list[tuple[str, bool]] = []
-        self.text: list[str] = []
-        self.code = False
 
-    @property
-    def hidden(self) -> bool:
-        return bool(self.open) and self.open[-1][1]
+class _Recorder(HTMLParser):
+    """The parser's calls as a list of events."""
 
-    def line(self) -> str:
-        return f"line {self.getpos()[0]}"
+    def __init__(self, page: str) -> None:
+        super().__init__(convert_charrefs=True)
+        self.events: list[Event] = []
+        self.feed(page)
+        self.close()
+        self.record("end", "")
 
-    def end_text(self) -> None:
-        text = "".join(self.text)
-        self.text.clear()
-        if text.strip():
-            self.found.append(Segment(text, not self.hidden, "css_hidden" if self.hidden else "body", self.line()))
+    def record(self, kind: str, value: str, attributes: dict[str, str] | None = None) -> None:
+        self.events.append(Event(kind, value, self.getpos()[0], attributes or {}))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.end_text()
-        self.code = self.code or tag in ("style", "script")
-        own = {name.lower(): value or "" for name, value in attrs}
-        if "style" in own:
-            self.styles.append({"tag": tag, "id": own.get("id", ""), "line": self.getpos()[0], "style": own["style"]})
-        hidden = self.hidden or "hidden" in own or own.get("aria-hidden") == "true" or bool(HIDING.search(own.get("style", "")))
-        if tag not in VOID:
-            self.open.append((tag, hidden))
-        for name in SPOKEN:
-            if len(own.get(name, "").strip()) >= LEAST:
-                self.found.append(Segment(own[name], False, "hidden_attr", f"{self.line()}, <{tag}> @{name}"))
+        self.record("open", tag, {name.lower(): value or "" for name, value in attrs})
 
     def handle_endtag(self, tag: str) -> None:
-        self.end_text()
-        if tag in ("style", "script"):
-            self.code = False
-        at = next((i for i in reversed(range(len(self.open))) if self.open[i][0] == tag), None)
-        if at is not None:
-            del self.open[at:]
+        self.record("close", tag)
 
     def handle_data(self, data: str) -> None:
-        if not self.code:
-            self.text.append(data)
+        self.record("text", data)
 
     def handle_comment(self, data: str) -> None:
-        self.end_text()
-        if len(data.strip()) >= LEAST:
-            self.found.append(Segment(data.strip(), False, "comment", self.line()))
+        self.record("comment", data)
+
+
+def events(page: str) -> list[Event]:
+    """Everything of a page in order; the last event is its end."""
+    return _Recorder(page.removeprefix("﻿")).events
+
+
+def scoped(page: list[Event]) -> Iterator[tuple[Event, Scope, bool]]:
+    """Each event with the scope that it stands in, and whether that is code."""
+    scope, code = Scope(), False
+    for event in page:
+        yield event, scope, code
+        if event.kind == "open":
+            scope, code = scope.within(event), code or event.value in CODE
+        elif event.kind == "close":
+            scope, code = scope.after(event.value), code and event.value not in CODE
+
+
+def spoken(event: Event) -> Iterator[Segment]:
+    """An opening tag's attributes that hold enough text."""
+    for name in SPOKEN:
+        value = event.attributes.get(name, "")
+        if len(value.strip()) >= LEAST:
+            yield Segment(value, False, "hidden_attr", f"line {event.line}, <{event.value}> @{name}")
+
+
+def segments(page: list[Event]) -> Iterator[Segment]:
+    """A text's location is the line of the event that ends it."""
+    pending = ("", False)
+    for is_text, run in groupby(scoped(page), key=lambda s: s[0].kind == "text"):
+        if is_text:
+            parts = list(run)
+            pending = ("".join(e.value for e, _, code in parts if not code), parts[-1][1].concealed)
+            continue
+        for event, _, _ in run:
+            text, concealed = pending
+            if text.strip():
+                yield Segment(text, not concealed, "css_hidden" if concealed else "body", f"line {event.line}")
+            pending = ("", False)
+            if event.kind == "open":
+                yield from spoken(event)
+            elif event.kind == "comment" and len(event.value.strip()) >= LEAST:
+                yield Segment(event.value.strip(), False, "comment", f"line {event.line}")
 
 
-def read(text: str) -> _Reader:
-    reader = _Reader()
-    reader.feed(text.removeprefix("﻿"))
-    reader.close()
-    reader.end_text()
-    return reader
+def styles(page: list[Event]) -> list[dict]:
+    """Inline styles: tag, id, line, style."""
+    return [{"tag": e.value, "id": e.attributes.get("id", ""), "line": e.line, "style": e.attributes["style"]} for e in page if "style" in e.attributes]
 
 
 def html(data: bytes, limits: Limits) -> list[Segment]:
-    return read(decode(data)[0]).found
+    return list(segments(events(decode(data)[0])))
 
 
 register([".html", ".htm"], html)
