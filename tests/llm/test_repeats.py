@@ -72,6 +72,48 @@ def test_repeated_and_missing_ids(spark, make):
     assert got(fingerprint_index.deduplicate(table(spark, rows))) == brute_words(ordered(rows))
 
 
+def thue_morse(n, first="a", second="b"):
+    return "".join((first, second)[i.bit_count() & 1] for i in range(n))
+
+
+def test_words_that_fool_polynomials(spark):
+    """A Thue-Morse word and its complement have one hash modulo a power of two, whatever the base."""
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join([*words[:10], thue_morse(2048), *words[10:20]])), (2, " ".join([*words[:10], thue_morse(2048, "b", "a"), *words[10:20]])), (3, thue_morse(4096)), (4, thue_morse(4096, "b", "a")), (5, "x" + thue_morse(4096))]
+    assert got(fingerprint_index.deduplicate(table(spark, rows))) == brute_words(rows)
+    assert got(suffix_dedup.deduplicate(table(spark, rows))) == brute_bytes(rows)
+
+
+def test_groups(spark, texts):
+    """Every group's occurrences hold its string, and all but the earliest of each are what goes."""
+    rows = [(i, t) for i, t in texts if i < 80]
+    data = {i: (t or "").encode() for i, t in rows}
+    groups: dict[int, list] = {}
+    for r in suffix_dedup.groups(table(spark, rows)).collect():
+        groups.setdefault(r.group, []).append((r.doc_id, r.start, r.length))
+    mark = {i: [False] * len(d) for i, d in data.items()}
+    assert groups
+    for at in groups.values():
+        at.sort()
+        assert len(at) > 1 and len({data[i][s : s + n] for i, s, n in at}) == 1 and min(n for *_, n in at) >= 100
+        for i, s, n in at[1:]:
+            mark[i][s : s + n] = [True] * n
+    assert {i: sum(m) for i, m in mark.items()} == {r[0]: r[2] for r in brute_bytes(ordered(rows))}
+
+
+def test_left_extension_decides(texts, monkeypatch):
+    """Only intervals that can't be extended to the left are groups; without them nothing would go."""
+    strings = [t.encode() for i, t in texts if i < 80 and t and len(t) > 100]
+    alone = suffix_dedup.maximal_repeats(strings, 100)
+    every = [x for x in suffix_dedup.intervals(*(lambda a: (a.common, a.before))(suffix_dedup.SuffixArray([s for s in strings if len(s) >= 100], [len(s) - 99 for s in strings if len(s) >= 100])), 100)]
+    assert 0 < len(alone) < len(every)
+    rows = [(0, i, 0, max(0, len(s) - 99), s) for i, s in enumerate(strings) if len(s) >= 100]
+    assert list(suffix_dedup._resolve(rows, 100))
+    honest = suffix_dedup.intervals
+    monkeypatch.setattr(suffix_dedup, "intervals", lambda *a: ((n, low, high, False) for n, low, high, _ in honest(*a)))
+    assert not list(suffix_dedup._resolve(rows, 100))
+
+
 def test_small_flushes_give_the_same(spark, texts, monkeypatch):
     monkeypatch.setattr(repeats, "COMBINE_SEGMENTS", 50)
     monkeypatch.setattr(sequences, "RUN_BYTES", 300)
@@ -102,7 +144,8 @@ def test_maximal_repeats(strings):
 def test_segments_hold_every_window_once(lists):
     values = np.array([x for own in lists for x in own], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     offsets = np.cumsum([0, *map(len, lists)])
-    found = sequences.segments(values, offsets, 6, 3)
+    found = sequences.segments(values, offsets, 6, 3, values.tobytes(), 8)
+    found["count"] = repeats.counts(found["tail"])
     windows = sorted((t, s + i) for t, s, n in zip(found["text"], found["start"], found["count"]) for i in range(n))
     assert windows == [(t, s) for t, own in enumerate(lists) for s in range(len(own) - 5)]
     anchors: dict[tuple, set] = {}

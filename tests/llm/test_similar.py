@@ -50,11 +50,11 @@ def many(n, seed):
     return out
 
 
-@pytest.mark.parametrize(("width", "percent", "share", "block", "small"), [(5, 80, 0.002, 512, 128), (4, 85, 0.1, 128, 3), (2, 80, 0.05, 7, 128), (2, 60, 0.2, 3, 4), (1, 50, 0.1, 5, 30)])
-def test_groups(spark, monkeypatch, width, percent, share, block, small):
+@pytest.mark.parametrize(("width", "percent", "share", "block", "crowd"), [(5, 80, 0.002, 512, 64), (4, 85, 0.1, 128, 3), (2, 80, 0.05, 7, 64), (2, 60, 0.2, 3, 4), (1, 50, 0.1, 5, 2)])
+def test_groups(spark, monkeypatch, width, percent, share, block, crowd):
     monkeypatch.setattr(jaccard_join, "FREQUENT_SHARE", share)
     rows = many(250, width)
-    found = jaccard_join.link(table(spark, rows), width=width, percent=percent, block=block, small=small)
+    found = jaccard_join.link(table(spark, rows), width=width, percent=percent, block=block, crowd=crowd)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute(rows, width, percent)
 
 
@@ -72,7 +72,7 @@ def test_signatures_never_miss():
             continue
         jaccard_join.COMBINE_SIZE = rnd.choice([5, 20, 400])
         try:
-            (x, _), (y, _) = (jaccard_join.signatures(np.array(sorted(s), np.uint64), frequent, percent) for s in (a, b))
+            x, y = (jaccard_join.signatures(np.array(sorted(s), np.uint64), frequent, percent) for s in (a, b))
         finally:
             jaccard_join.COMBINE_SIZE = combine
         assert set(map(int, x)) & set(map(int, y)), (sorted(a), sorted(b), percent)
@@ -83,6 +83,36 @@ def test_mixed_documents(spark, texts):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute(texts, 5, 80)
 
 
+def test_words_that_fool_polynomials(spark):
+    word = "".join("ab"[i.bit_count() & 1] for i in range(2048))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, "p q r s " + word), (4, "p q r s " + word.translate(str.maketrans("ab", "ba"))), (5, word)]
+    found = jaccard_join.link(table(spark, rows))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute(rows, 5, 80)
+
+
+def test_exact_sets_survive_equal_hashes(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "mixed", lambda x: x & np.uint64(1))
+    monkeypatch.setattr(jaccard_join.Rolling, "grams", lambda self, k: np.zeros(len(self.sums) - k, np.uint64))
+    numbers = jaccard_join.Numbers()
+    a, b = (jaccard_join.ExactSet(t, 2, numbers) for t in (b"a b c d e", b"b c d x"))
+    assert (len(a), len(b), a.common(b)) == (4, 3, 2)
+
+
+def test_bitmaps_never_part_what_is_similar():
+    rnd = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(rnd.integers(1, 300))
+        a = rnd.integers(0, 2**63, n, dtype=np.uint64)
+        b = np.unique(np.concatenate([a[int(rnd.integers(0, 1 + n // 4)) :], rnd.integers(0, 2**63, int(rnd.integers(0, 1 + n // 4)), dtype=np.uint64)]))
+        a = np.unique(a)
+        if not len(b):
+            continue
+        common = len(np.intersect1d(a, b))
+        percent = 80
+        x, _ = jaccard_join.near_pairs(np.zeros(2, int), np.array([len(a), len(b)]), np.array([1, 2]), np.array([2, 2]), [jaccard_join.bitmap(s) for s in (a, b)], percent)
+        assert len(x) or common * 100 < percent * (len(a) + len(b) - common)
+
+
 def test_keep(spark):
     text = " ".join(map(str, range(50)))
     docs = table(spark, [(3, text), (1, text + " x"), (2, "other words here"), (4, None), (None, text)])

@@ -7,19 +7,24 @@ frequent ones single matches say little, so where a prefix reaches into that cla
 of two frequent tokens are indexed: with e errors allowed and r rare tokens in the prefix, e + 2 - r frequent tokens
 always leave one shared pair.  (Sets over ``COMBINE_SIZE`` tokens index frequent tokens singly as well, and sets near
 that size do both, so that any two similar sets use one common form.)  Candidates meet in their signature's group and
-are verified on the whole texts.
+are verified on the whole texts, word by word: hashes only find what is compared.
 
 Scale.  Documents with equal sets are one class, found before anything is compared.  Which tokens are frequent is
 decided from all documents (a token in more than ``FREQUENT_SHARE`` of them, so the table has at most mean size /
 share entries); it only orders tokens, so a different choice can't change the result.  Signatures are shuffled once;
 what no other class of a possible size has, most of them, goes no further, and groups with the same members are one.
-Verification has two rounds.  First each group's first member meets the others.  Then only what these links have not
-connected: in groups of at most ``SMALL`` classes, pairs, if they share enough of their prefixes; large groups in
-blocks by size, of which only those whose sizes can match meet.  A task skips what its own union-find has already
-connected, and returns component labels, never pairs.
+
+No pairs are made between tables.  A group's memberships carry a parity bitmap of the class's tokens; two bitmaps
+differ in no more bits than the sets in tokens, so a task drops at once, and loses none, what differs in too many.
+Groups of more than ``BLOCK`` classes are dealt in blocks by size and hash, never ordered.  Rounds, each of which
+verifies what it proposes on the texts and labels what it has connected: first a spanning forest of what seems similar
+in each block, with the group's first class in every block; then the same among one class of each label of large groups;
+at last every pair of different labels in the groups, and in block pairs of possible sizes, that is left.
 
 Defined cases.  Null texts and texts without words have no shingles and link with nothing.  Rows that share a doc_id,
-or have none, count as documents of their own, ordered by text.  Copies share a class.
+or have none, count as documents of their own, ordered by text.  Copies share a class.  An empty table gives an empty
+result.  Extra columns, whatever their names, do not matter.  Very long texts: a task holds the shingles of one hub and
+one partner at a time.
 """
 
 from __future__ import annotations
@@ -35,20 +40,25 @@ from pyspark.sql import functions as F
 
 from veilmark.llm import repeats, staging
 from veilmark.llm.components import components
-from veilmark.llm.sequences import Words, mixed, runs, shingle_sets
+from veilmark.llm.sequences import Numbers, Rolling, Words, mixed, runs, shingles
 
 #: Production parameters: words to a shingle, and the least similarity in hundredths.
 WIDTH = 5
 PERCENT = 80
 FREQUENT_SHARE = 0.0005
 COMBINE_SIZE = 400
-#: A block of a group: at most so many classes, and about so many tokens.
+#: A block of a group: about so many classes, and so many tokens.
 BLOCK = 512
 BLOCK_TOKENS = 400_000
-SMALL = 128
 FLUSH_TOKENS = 1_000_000
+#: A signature that so many classes of an Arrow batch have goes round the window that looks for partners.
+CROWD = 64
 #: Up to so many ids (8 bytes each) are broadcast to drop the texts that no task wants before they are shuffled.
 BROADCAST_IDS = 1_000_000
+#: Memberships that a task compares at a time, and bytes of bitmaps in one comparison.
+CHUNK_ROWS = 20_000
+COMPARE_BYTES = 8 << 20
+NUMBERS_BYTES = 32 << 20
 
 
 def _errors(size: int, percent: int) -> int:
@@ -56,19 +66,34 @@ def _errors(size: int, percent: int) -> int:
     return size - -(-percent * size // 100)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, int, list[tuple[np.ndarray, np.ndarray]]]]:
+    """(batch, first row, for each row its sorted distinct shingle hashes and the second hash of each)."""
     for batch in batches:
         for at, data, offsets in runs(batch.column(1)):
-            yield batch, at, shingle_sets(Words(data, offsets, lower=True), width)
+            words = Words(data, offsets, lower=True)
+            first, edges = shingles(words, words.hash, width)
+            second, _ = shingles(words, words.other, width)
+            sets = []
+            for low, high in zip(edges[:-1], edges[1:]):
+                tokens, where = np.unique(first[low:high], return_index=True)
+                sets.append((tokens, second[low + where]))
+            yield batch, at, sets
+
+
+def class_of(tokens: np.ndarray, others: np.ndarray) -> bytes | None:
+    """Sixteen bytes, a digest of both hashes of all tokens, that equal sets have; None for the empty set."""
+    return hashlib.blake2b(np.concatenate([tokens, others]).tobytes(), digest_size=16).digest() if len(tokens) else None
 
 
-def class_of(tokens: np.ndarray) -> bytes | None:
-    """Sixteen bytes that equal sets, and no others, have; None for the empty set."""
-    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
+def bitmap(tokens: np.ndarray) -> bytes:
+    """For each of 2 to 4 times as many bits as there are tokens, the parity of the tokens that fall on it."""
+    bits = 1 << max(6, (2 * len(tokens) - 1).bit_length())
+    parity = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
 
 
 def profile(docs: DataFrame, width: int) -> DataFrame:
-    """uid, size and class (c1, c2) of each document; and, with uid null, tokens frequent in a task: token, rows, of (rows seen).
+    """uid, size, class (c1, c2) and bits of each document; and, with uid null, tokens frequent in a task: token, rows.
 
     A token that a share s of all documents has is in that share of some task's documents.  Counts are lossy: tokens
     rare so far are dropped whenever ``FLUSH_TOKENS`` are held, so one near the share may be missed, and is then
@@ -77,7 +102,7 @@ def profile(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts, seen, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, [], 0
-        schema = pa.schema([("uid", pa.int64()), ("size", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("token", pa.int64()), ("rows", pa.int64())])
+        schema = pa.schema([("uid", pa.int64()), ("size", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("bits", pa.binary()), ("token", pa.int64()), ("rows", pa.int64())])
 
         def fold() -> tuple[np.ndarray, np.ndarray]:
             every, at = np.unique(np.concatenate([tokens, *held]), return_inverse=True)
@@ -87,13 +112,14 @@ def profile(docs: DataFrame, width: int) -> DataFrame:
             return every[keep], n[keep]
 
         for batch, at, sets in _sets(batches, width):
-            names = [np.frombuffer(name, "<i8").tolist() if (name := class_of(s)) else (None, None) for s in sets]
+            names = [np.frombuffer(name, "<i8").tolist() if (name := class_of(*s)) else (None, None) for s in sets]
             n = len(sets)
             c1, c2 = (pa.array(c, pa.int64()) for c in zip(*names))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), c1, c2, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=schema)
+            bits = pa.array([bitmap(s) if len(s) else None for s, _ in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n).cast(pa.int64()), pa.array([len(s) for s, _ in sets], pa.int64()), c1, c2, bits, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=schema)
             seen += n
-            held += sets
-            size += sum(map(len, sets))
+            held += [s for s, _ in sets]
+            size += sum(len(s) for s, _ in sets)
             if size >= FLUSH_TOKENS:
                 (tokens, counts), size = fold(), 0
         if seen:
@@ -101,16 +127,14 @@ def profile(docs: DataFrame, width: int) -> DataFrame:
             some = counts >= max(2, FREQUENT_SHARE * seen)
             tokens, counts = tokens[some], counts[some]
             n = len(tokens)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(tokens.view(np.int64)), pa.array(counts)], schema=schema)
+            none = [pa.nulls(n, f.type) for f in schema][:5]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(tokens.view(np.int64)), pa.array(counts)], schema=schema)
 
-    return docs.select("uid", "text").mapInArrow(run, "uid long, size long, c1 long, c2 long, token long, rows long")
+    return docs.select("uid", "text").mapInArrow(run, "uid long, size long, c1 long, c2 long, bits binary, token long, rows long")
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The signature hashes of one sorted set, and how many of its tokens lie beyond its prefix; ``frequent`` is sorted.
-
-    Where the prefix holds frequent tokens, matches in it can't be counted, and all tokens are said to lie beyond it.
-    """
+def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
+    """The signature hashes of one sorted set; ``frequent`` is sorted."""
     n = len(tokens)
     errors = _errors(n, percent)
     at = np.searchsorted(frequent, tokens)
@@ -128,11 +152,29 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[
                 single.append(mixed(need[pairs[:, 0]] * np.uint64(0x9E3779B97F4A7C15) + need[pairs[:, 1]]))
             if len(many) < errors + 2 - r:  # the whole set is used up: the last error can take a pair's partner
                 single.append(mixed(many ^ np.uint64(0x5851F42D4C957F2D)))
-    return np.concatenate(single), n - r if r > errors else n
+    return np.concatenate(single)
 
 
-def index(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) -> DataFrame:
-    """signature, c1, c2 (the class), size, rest; of equal sets a task gives one."""
+def _crowded(sign: np.ndarray, size: np.ndarray, percent: int, crowd: int) -> np.ndarray:
+    """For each membership 0, or, of a signature with ``crowd`` of them, 1 for a delegate and 2 for the others.
+
+    Delegates are the least and the largest of each band of sizes within the needed ratio.
+    """
+    state = np.zeros(len(sign), np.int8)
+    every, at, n = np.unique(sign, return_inverse=True, return_counts=True)
+    many = np.flatnonzero(n[at] >= crowd)
+    if len(many):
+        band = np.floor(np.log(size[many]) / np.log(100 / min(percent, 99))).astype(np.int64)
+        order = np.lexsort((size[many], band, at[many]))
+        rows, band, group = many[order], band[order], at[many][order]
+        first = np.r_[True, (band[1:] != band[:-1]) | (group[1:] != group[:-1])]
+        state[rows] = 2
+        state[rows[first | np.r_[first[1:], True]]] = 1
+    return state
+
+
+def index(docs: DataFrame, frequent: np.ndarray, width: int, percent: int, crowd: int = CROWD) -> DataFrame:
+    """signature, c1, c2 (the class), size, state (see ``_crowded``); of equal sets a task gives one."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,196 +182,298 @@ def index(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) -> Da
         own = shared.value
         for _, _, sets in _sets(batches, width):
             sign, facts = [np.zeros(0, np.uint64)], []
-            for s in sets:
-                name = class_of(s)
+            for s, others in sets:
+                name = class_of(s, others)
                 if name is None or name in given:
                     continue
                 if len(given) >= 1_000_000:
                     given.clear()
                 given.add(name)
-                found, rest = signatures(s, own, percent)
-                sign.append(found)
-                facts.append((len(found), *np.frombuffer(name, "<i8"), len(s), rest))
-            n, c1, c2, size, rest = np.array(facts, np.int64).reshape(-1, 5).T
-            yield pa.RecordBatch.from_arrays([np.concatenate(sign).view(np.int64), *(np.repeat(x, n) for x in (c1, c2, size, rest))], ["signature", "c1", "c2", "size", "rest"])
+                sign.append(signatures(s, own, percent))
+                facts.append((len(sign[-1]), *np.frombuffer(name, "<i8"), len(s)))
+            n, c1, c2, size = np.array(facts, np.int64).reshape(-1, 4).T
+            every, (c1, c2, size) = np.concatenate(sign), (np.repeat(x, n) for x in (c1, c2, size))
+            yield pa.RecordBatch.from_arrays([every.view(np.int64), c1, c2, size, pa.array(_crowded(every, size, percent, crowd))], ["signature", "c1", "c2", "size", "state"])
 
-    return docs.select("uid", "text").mapInArrow(run, "signature long, c1 long, c2 long, size long, rest long")
+    return docs.select("uid", "text").mapInArrow(run, "signature long, c1 long, c2 long, size long, state byte")
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    """rows (signature, node, ...) of one signature for all that have the same members; n members, weight signatures."""
+    """rows (signature, node, ...) of one signature for all that have the same members; with n, the members."""
     facts = rows.groupBy("signature").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2")).filter("n > 1")
-    one = facts.groupBy("n", "h1", "h2").agg(F.min("signature").alias("signature"), F.count(F.lit(1)).alias("weight"))
-    return rows.join(one.select("signature", "n", "weight"), "signature")
+    one = facts.groupBy("n", "h1", "h2").agg(F.min("signature").alias("signature"))
+    return rows.join(one.select("signature", "n"), "signature")
 
 
 def candidates(signed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """signature, node, size, rest, n, weight: groups of classes that may be similar, from ``index``'s rows.
+    """signature, node, size, n: groups of classes that may be similar, from ``index``'s rows.
 
-    Dropped are classes that share a signature with none of a possible size.
+    Dropped are classes that share a signature with none of a possible size.  Of crowded signatures only delegates are
+    looked at; as one stands for a size within the needed ratio, what is kept is what has a partner within its square.
     """
-    by = Window.partitionBy("signature").orderBy("size", "c1", "c2")
+    by = Window.partitionBy("signature").orderBy("size", "c1", "c2", F.col("state").desc())
     first = ~(F.col("c1").eqNullSafe(F.lag("c1").over(by)) & F.col("c2").eqNullSafe(F.lag("c2").over(by)))
-    near = (F.lag("size").over(by) * 100 >= F.col("size") * percent) | (F.col("size") * 100 >= F.lead("size").over(by) * percent)
-    linked = signed.withColumn("first", first).filter("first").drop("first").withColumn("near", near).filter("near").drop("near")
-    linked = staging.stage(linked.join(classes, ["c1", "c2"]).select("signature", "node", "size", "rest"), "linked")
+    ratio = percent * percent / 10_000 - 1e-9
+    near = (F.col("state") > 0) | (F.lag("size").over(by) >= F.col("size") * ratio) | (F.col("size") >= F.lead("size").over(by) * ratio)
+    linked = signed.filter("state < 2").withColumn("first", first).filter("first").drop("first").withColumn("near", near).filter("near").drop("near", "state")
+    crowd = signed.filter("state = 2").drop("state").distinct()
+    linked = staging.stage(linked.unionByName(crowd).join(classes.select("c1", "c2", "node"), ["c1", "c2"]).select("signature", "node", "size"), "linked")
     return staging.stage(_grouped(linked), "rows")
 
 
-def _alike(a: str, b: str, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _folded(bits: np.ndarray) -> np.ndarray:
+    half = bits.shape[1] // 2
+    return bits[:, :half] ^ bits[:, half:]
 
 
-def _overlap(percent: int) -> Column:
-    """The least number of tokens that similar sets of size_a and size_b share."""
-    return F.ceil(F.lit(percent) * (F.col("size_a") + F.col("size_b")) / F.lit(100 + percent) - 1e-9)
+def near_pairs(group: np.ndarray, size: np.ndarray, label: np.ndarray, side: np.ndarray, bits: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places p < q of one group (rows lie by group) and different labels that may be similar.
 
+    side: 0 and 1 where only members of different sides are compared, 2 where all are.
+    """
+    found = [(np.zeros(0, np.int64),) * 2]
+    length = np.array([len(b) for b in bits])
+    place = np.zeros(len(bits), np.int64)
+    levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for n in np.unique(length).tolist():
+        own, larger = np.flatnonzero(length == n), np.flatnonzero(length == 2 * n)
+        parts = [np.frombuffer(b"".join(bits[i] for i in rows), "<u8").reshape(len(rows), -1) for rows in (own, larger) if len(rows)]
+        table = np.concatenate([parts[0], *map(_folded, parts[1:])])
+        at = np.full(len(bits), -1, np.int64)
+        at[own], at[larger] = np.arange(len(own)), len(own) + np.arange(len(larger))
+        levels[n] = (table, at)
+    low, step = np.arange(len(group)), 0
+    while len(low):
+        step += 1
+        low = low[low + step < len(group)]
+        low = low[group[low] == group[low + step]]
+        high = low + step
+        small, large = np.minimum(size[low], size[high]), np.maximum(size[low], size[high])
+        some = (label[low] != label[high]) & ((side[low] != side[high]) | (side[low] == 2)) & (small * 100 >= large * percent)
+        a, b = low[some], high[some]
+        level = np.minimum(length[a], length[b])
+        for n in np.unique(level).tolist():
+            table, at = levels[n]
+            mine = np.flatnonzero(level == n)
+            for cut in range(0, len(mine), max(1, COMPARE_BYTES // n)):
+                part = mine[cut : cut + max(1, COMPARE_BYTES // n)]
+                x, y = a[part], b[part]
+                differ = np.bitwise_count(table[at[x]] ^ table[at[y]]).sum(axis=1, dtype=np.int64)
+                alike = differ * (100 + percent) <= (size[x] + size[y]) * (100 - percent)
+                found.append((x[alike], y[alike]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    """Of the pairs those that connect something, in the order of a and b."""
+    parent = list(range(n))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    order = np.lexsort((b, a))
+    left, right = [], []
+    for x, y in zip(a[order].tolist(), b[order].tolist()):
+        p, q = root(x), root(y)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            left.append(x)
+            right.append(y)
+    return left, right
+
+
+def proposed(tasks: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
+    """Pairs (a, b) that may be similar in tasks (signature, i, j, block, node, size, label, bits), to be verified.
+
+    If not ``all_pairs``, those that connect a task's members, where all turn out to be similar.
+    """
+    key = ["signature", "i", "j"]
+    dealt = tasks.repartition(staging.tasks(tasks.sparkSession), *key).sortWithinPartitions(*key, "size", "node")
+    names = [*key, "block", "node", "size", "label"]
 
-def counted_pairs(rows: DataFrame, percent: int, small: int) -> DataFrame:
-    """Pairs (a, b) of classes of different labels that share enough in small groups.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(rows: pa.Table) -> pa.RecordBatch:
+            signature, i, j, block, node, size, label = (rows.column(c).to_numpy() for c in names)
+            new = np.r_[True, (signature[1:] != signature[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
+            side = np.where(i == j, 2, block == j)
+            a, b = near_pairs(np.cumsum(new), size, label, side, rows.column("bits").to_pylist(), percent)
+            if not all_pairs:  # copies of a class in several groups are one
+                a, b = _forest(len(node), a, b)
+            x, y = node[a], node[b]
+            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < CHUNK_ROWS:
+                continue
+            rows = pa.Table.from_batches(held)
+            end = [rows.column(c)[-1].as_py() for c in key]
+            same = np.logical_and.reduce([rows.column(c).to_numpy() == e for c, e in zip(key, end)])
+            cut = int(np.argmax(same))  # the last group may go on
+            if cut:
+                yield found(rows.slice(0, cut))
+            held = rows.slice(cut).to_batches()
+        if held:
+            yield found(pa.Table.from_batches(held))
 
-    Of two sets with prefixes that end at p and q in the common order, p first, what they share lies in both prefixes
-    or beyond the first one's, so they must share at least their needed overlap less the tokens beyond it.  Signatures
-    of larger groups are not counted by pair, but taken as shared.
-    """
-    counted = rows.filter(F.col("n") <= small)
-    taken = rows.filter(F.col("n") > small).groupBy("node").agg(F.sum("weight").alias("taken"))
-    left = counted.select("signature", "weight", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("rest").alias("rest_a"), F.col("label").alias("label_a"))
-    right = counted.select("signature", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("rest").alias("rest_b"), F.col("label").alias("label_b"))
-    possible = (left["signature"] == right["signature"]) & (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & _alike("size_a", "size_b", percent)
-    pairs = left.join(right, possible).groupBy("a", "b").agg(F.sum("weight").alias("shared"), *(F.max(c).alias(c) for c in ("size_a", "size_b", "rest_a", "rest_b")))
-    pairs = pairs.join(taken.select(F.col("node").alias("a"), F.col("taken").alias("taken_a")), "a", "left").join(taken.select(F.col("node").alias("b"), F.col("taken").alias("taken_b")), "b", "left")
-    most = F.col("shared") + F.least(F.coalesce("taken_a", F.lit(0)), F.coalesce("taken_b", F.lit(0)))
-    return pairs.filter(most >= _overlap(percent) - F.greatest("rest_a", "rest_b")).select("a", "b")
+    return dealt.select(*names, "bits").mapInArrow(run, "a long, b long").distinct()
+
+
+def _band(percent: int) -> Column:
+    """Sizes that can match lie in one band or in neighbouring ones."""
+    return F.floor(F.ln(F.col("size").cast("double")) / F.lit(float(np.log(100 / percent))) + F.lit(1e-9)).cast("int")
+
+
+def _blocks(rows: DataFrame, percent: int, block: int) -> DataFrame:
+    """rows with band and part: groups of more than ``block`` are split by size, and by hash where that isn't enough."""
+    small = rows.filter(F.col("n") <= block).withColumns({"band": F.lit(0), "part": F.lit(0), "parts": F.lit(1)})
+    large = rows.filter(F.col("n") > block).withColumn("band", _band(percent))
+    sizes = large.groupBy("signature", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / BLOCK_TOKENS)).cast("int").alias("parts"))
+    large = large.join(sizes, ["signature", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    return small.unionByName(large.select(*small.columns))
+
+
+#: A block's place in the order of a group's blocks: bands first.
+def _numbered(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("block", F.col("band") * (1 << 20) + F.col("part"))
+
+
+def within_blocks(rows: DataFrame, percent: int, block: int) -> DataFrame:
+    """Tasks of single blocks; the first class of a large group is in each of its blocks."""
+    placed = staging.stage(_numbered(_blocks(rows, percent, block)), "placed")
+    large = placed.filter(F.col("n") > block)
+    hub = large.groupBy("signature").agg(F.min(F.struct("node", "size", "label")).alias("hub"))
+    guests = large.select("signature", "block").distinct().join(hub, "signature").select("signature", "block", "hub.*")
+    own = placed.select("signature", "block", "node", "size", "label").unionByName(guests)
+    return own.select("signature", F.col("block").alias("i"), F.col("block").alias("j"), "block", "node", "size", "label")
+
+
+def between_blocks(rows: DataFrame, percent: int, block: int) -> DataFrame:
+    """Tasks of all pairs of blocks of a group whose sizes can match, and of single ones."""
+    placed = staging.stage(_numbered(_blocks(rows, percent, block)), "placed")
+    blocks = placed.select("signature", "band", "part", "block").distinct()
+    left, right = blocks.select("signature", "band", F.col("block").alias("i")), blocks.select("signature", F.col("band").alias("other"), F.col("block").alias("j"))
+    pairs = left.join(right, "signature").filter((F.col("i") <= F.col("j")) & (F.col("other") - F.col("band") <= 1))
+    sides = pairs.select("signature", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    return placed.join(sides, ["signature", "block"]).select("signature", "i", "j", "block", "node", "size", "label")
 
 
 def _stars(pairs: DataFrame, block: int) -> DataFrame:
-    """The same for pairs (a, b): each a, in block 0, with its partners, in block 1, so many at a time."""
-    part = F.pmod(F.xxhash64("b"), F.lit(1 << 20)) % F.greatest(F.lit(1), F.ceil(F.col("n") / block))
+    """hub, part, partner (null for the hub itself), node: each a with its partners, so many at a time."""
     degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    rows = pairs.join(degree, "a").select("a", "b", (-1 - part).alias("part"))
-    key = [F.col("a").alias("signature"), F.col("part").cast("int").alias("i"), F.lit(1).alias("j")]
-    hubs = rows.select("a", "part").distinct().select(*key, F.lit(0).alias("block"), F.col("a").alias("node"))
-    return hubs.unionByName(rows.select(*key, F.lit(1).alias("block"), F.col("b").alias("node")))
-
-
-def _tasks(groups: DataFrame, percent: int, block: int) -> DataFrame:
-    """signature, i, j, block, node: which blocks of a group are compared, and who is in them."""
-    order = Window.partitionBy("signature").orderBy("size", "node")
-    so_far = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = groups.withColumn("block", (F.floor((F.row_number().over(order) - 1) / block) + F.floor(so_far / BLOCK_TOKENS)).cast("int"))
-    ranges = rows.groupBy("signature", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    left, right = ranges.select("signature", F.col("block").alias("i"), F.col("high")), ranges.select("signature", F.col("block").alias("j"), F.col("low"))
-    pairs = left.join(right, "signature").filter((F.col("i") == F.col("j")) | (F.col("i") < F.col("j")) & (F.col("high") * 100 >= F.col("low") * percent))
-    sides = pairs.select("signature", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    return rows.join(sides, ["signature", "block"]).select("signature", "i", "j", "block", "node")
+    part = F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.col("n") / block))).cast("int").alias("part")
+    rows = pairs.join(degree, "a").select(F.col("a").alias("hub"), part, F.lit(True).alias("partner"), F.col("b").alias("node"))
+    return rows.unionByName(rows.select("hub", "part", F.lit(False).alias("partner"), F.col("hub").alias("node")).distinct())
+
+
+class ExactSet:
+    """The distinct shingles of one text, known by their words' numbers."""
+
+    def __init__(self, text: bytes, width: int, numbers: Numbers) -> None:
+        words = text.lower().split()
+        own = numbers.numbers(words)
+        if 0 < len(own) < width:
+            own = np.r_[own, np.full(width - len(own), -1)]
+        rows = np.lib.stride_tricks.sliding_window_view(own, width) if len(own) else own.reshape(0, width)
+        with np.errstate(over="ignore"):
+            values = mixed(own.astype(np.uint64) + np.uint64(1))
+            grams = Rolling(values).grams(width) if len(own) else np.zeros(0, np.uint64)
+        self.hash, first, at = np.unique(grams, return_index=True, return_inverse=True)
+        self.rows = rows[first]
+        self.sound = bool((rows == self.rows[at]).all())
+        self.every = None if self.sound else set(map(tuple, rows.tolist()))  # two shingles share a hash
+
+    def __len__(self) -> int:
+        return len(self.hash) if self.sound else len(self.every)
+
+    def common(self, other: ExactSet) -> int:
+        if self.sound and other.sound:
+            _, x, y = np.intersect1d(self.hash, other.hash, assume_unique=True, return_indices=True)
+            same = (self.rows[x] == other.rows[y]).all(axis=1)
+            return int(same.sum())
+        mine, theirs = (s.every if s.every is not None else set(map(tuple, s.rows.tolist())) for s in (self, other))
+        return len(mine & theirs)
 
 
 def _verify(width: int, percent: int):  # noqa: ANN202
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
-        key, held = None, []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:3] != key:
-                    if held:
-                        yield key, held
-                    key, held = row[:3], []
-                held.append(row[3:])
-        if held:
-            yield key, held
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
-        for (_, i, j), rows in groups(batches):
-            # blocks i and j of a group; i < 0 where a hub (block 0) meets its partners (block 1)
-            rows.sort(key=lambda r: (r[0], r[1]))
-            column = pa.array([r[2] for r in rows], pa.string())
-            sets = [s for _, data, offsets in runs(column) for s in shingle_sets(Words(data, offsets, lower=True), width)]
-            sizes = np.array([len(s) for s in sets])
-            every, local = np.unique(np.concatenate(sets), return_inverse=True)
-            edges = np.cumsum(np.r_[0, sizes])
-            starts = edges[:-1]
-            parent = list(range(len(rows)))
-
-            def root(x: int) -> int:
-                while parent[x] != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
-            mark = np.zeros(len(every), np.int64)
-            block = np.array([r[0] for r in rows])
-            for x in range(len(rows) - 1):
-                other = np.flatnonzero((np.arange(len(rows)) > x) & ((block != block[x]) | (i == j)) & (np.minimum(sizes, sizes[x]) * 100 >= np.maximum(sizes, sizes[x]) * percent))
-                own = root(x)
-                other = [y for y in other.tolist() if root(y) != own]
-                if not other:
+        key, said, hub, numbers = None, b"", None, Numbers()
+        for batch in batches:
+            a, b = [], []
+            for name, part, partner, node, text in zip(*(batch.column(i).to_pylist() if i < 4 else batch.column(i) for i in range(5))):
+                if not partner:
+                    key, said, numbers = (name, part), text.as_py().encode(), Numbers()
+                    hub = ExactSet(said, width, numbers)
                     continue
-                mine = local[edges[x] : edges[x + 1]]
-                mark[mine] = 1
-                common = np.add.reduceat(mark[local], starts)[other] if len(other) > 8 else np.array([int(mark[local[edges[y] : edges[y + 1]]].sum()) for y in other])
-                mark[mine] = 0
-                union = sizes[x] + sizes[other] - common
-                for y in np.array(other)[common * 100 >= union * percent].tolist():
-                    parent[max(root(y), root(x))] = min(root(x), root(y))
-            for x, row in enumerate(rows):
-                if root(x) != x:
-                    a.append(row[1])
-                    b.append(rows[root(x)][1])
-            if len(a) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                if key != (name, part):
+                    raise RuntimeError("a partner came without its hub")
+                if numbers.held > NUMBERS_BYTES + len(said):  # partners' words needn't be kept
+                    numbers = Numbers()
+                    hub = ExactSet(said, width, numbers)
+                other = ExactSet(text.as_py().encode(), width, numbers)
+                common = hub.common(other)
+                if common * 100 >= (len(hub) + len(other) - common) * percent:
+                    a.append(name)
+                    b.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def verified(docs: DataFrame, tasks: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect what the tasks (signature, i, j, block, node) find similar, from the texts of docs (uid, text)."""
-    lists = staging.stage(tasks.groupBy(F.col("node").alias("uid")).agg(F.collect_list(F.struct("signature", "i", "j", "block")).alias("at")), "lists")
+def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+    """Those of the pairs (a, b) that are similar by the texts of docs (uid, text)."""
+    lists = staging.stage(_stars(pairs, block).groupBy(F.col("node").alias("uid")).agg(F.collect_list(F.struct("hub", "part", "partner")).alias("at")), "lists")
     wanted = docs.select("uid", "text")
     if lists.count() <= BROADCAST_IDS:
         wanted = wanted.join(F.broadcast(lists.select("uid")), "uid", "left_semi")
     each = wanted.join(lists.hint("shuffle_hash"), "uid").select(F.explode("at").alias("at"), F.col("uid").alias("node"), "text")
-    dealt = each.select("at.*", "node", "text").repartition(staging.tasks(docs.sparkSession), "signature", "i", "j").sortWithinPartitions("signature", "i", "j")
-    return staging.stage(dealt.mapInArrow(_verify(width, percent), "a long, b long").distinct(), "links")
-
-
-def links(docs: DataFrame, rows: DataFrame, width: int, percent: int, block: int, small: int) -> DataFrame:
-    """Links (a, b) with the same components as all similar pairs in the groups of ``candidates``.
-
-    First the first member of each group is compared with the others that seem to share enough with it; this is a guess
-    from its own groups only, and saves what follows.  Of what that leaves unconnected, all pairs are judged: in small
-    groups they are counted and compared; large groups of the same first member are joined to one, compared in blocks.
-    """
-    hubs = rows.groupBy("signature").agg(F.min(F.struct("node", "size", "rest")).alias("hub"))
-    led = staging.stage(rows.join(hubs, "signature"), "led")
-    near = led.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.size").alias("size_a"), F.col("size").alias("size_b"), F.greatest("hub.rest", "rest").alias("rest"), "weight")
-    near = near.filter((F.col("a") != F.col("b")) & _alike("size_a", "size_b", percent)).groupBy("a", "b").agg(F.sum("weight").alias("shared"), *(F.max(c).alias(c) for c in ("size_a", "size_b", "rest")))
-    near = staging.stage(near.filter(F.col("shared") * 2 >= _overlap(percent) - F.col("rest")).select("a", "b"), "near")
-    found = verified(docs, _stars(near, block), width, percent)
-    labels = staging.stage(components(found), "labels")
-    own = led.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    pairs = counted_pairs(own, percent, small).join(near, ["a", "b"], "left_anti")
-    large = own.filter(F.col("n") > small).select(F.col("hub.node").alias("signature"), "node", "size", "label").distinct()
-    apart = large.groupBy("signature").agg(F.count_distinct("label").alias("labels")).filter("labels > 1").select("signature")
-    groups = staging.stage(large.join(apart, "signature").select("signature", "node", "size"), "apart")
-    return found.unionByName(verified(docs, _stars(pairs, block).unionByName(_tasks(groups, percent, block)), width, percent))
-
-
-def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK, small: int = SMALL) -> DataFrame:
+    dealt = each.select("at.*", "node", "text").repartition(staging.tasks(docs.sparkSession), "hub", "part").sortWithinPartitions("hub", "part", "partner")
+    return staging.stage(dealt.mapInArrow(_verify(width, percent), "a long, b long"), "links")
+
+
+def links(docs: DataFrame, rows: DataFrame, classes: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+    """Links (a, b) with the same components as all similar pairs in the groups of ``candidates``."""
+    bits = classes.select("node", "bits")
+    rows = staging.stage(rows.withColumn("label", F.col("node")), "labelled")
+    tried = staging.stage(proposed(within_blocks(rows, percent, block).join(bits, "node"), percent, False), "tried")
+    found = verified(docs, tried, width, percent, block)
+
+    def relabelled() -> DataFrame:
+        labels = components(found)
+        own = rows.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        apart = own.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("signature")
+        return staging.stage(own.join(apart, "signature"), "apart")
+
+    left = relabelled()
+    large = left.filter(F.col("n") > block)
+    if large.limit(1).count():
+        chosen = large.groupBy("signature", "label").agg(F.min(F.struct("node", "size")).alias("one")).select("signature", "label", "one.*")
+        chosen = chosen.join(chosen.groupBy("signature").agg(F.count(F.lit(1)).alias("n")), "signature")
+        again = staging.stage(proposed(within_blocks(chosen, percent, block).join(bits, "node"), percent, False).join(tried, ["a", "b"], "left_anti"), "again")
+        found, tried = found.unionByName(verified(docs, again, width, percent, block)), tried.unionByName(again)
+        left = relabelled()
+    rest = staging.stage(proposed(between_blocks(left, percent, block).join(bits, "node"), percent, True).join(tried, ["a", "b"], "left_anti"), "rest")
+    return found.unionByName(verified(docs, rest, width, percent, block))
+
+
+def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
     """A row per row of docs: uid, doc_id, n_shingles, component (uid), component_id."""
     own = repeats.identified(docs, text, id_col)
     profiled = staging.stage(profile(own, width), "profiled")
-    rows = profiled.filter("uid is not null").select("uid", "size", "c1", "c2")
+    rows = profiled.filter("uid is not null").select("uid", "size", "c1", "c2", "bits")
     n_docs = rows.count()
     seen = profiled.filter("uid is null").groupBy("token").agg(F.sum("rows").alias("rows")).filter(F.col("rows") >= FREQUENT_SHARE / 2 * n_docs)
     frequent = np.sort(np.array([r.token for r in seen.select("token").collect()], np.int64).view(np.uint64))
-    classes = staging.stage(rows.filter("c1 is not null").groupBy("c1", "c2").agg(F.min("uid").alias("node")), "classes")
-    groups = candidates(index(own, frequent, width, percent), classes, percent)
-    linked = components(links(own, groups, width, percent, block, small))
+    classes = staging.stage(rows.filter("c1 is not null").groupBy("c1", "c2").agg(F.min("uid").alias("node"), F.min("bits").alias("bits")), "classes")
+    groups = candidates(index(own, frequent, width, percent, crowd), classes, percent)
+    linked = components(links(own, groups, classes, width, percent, block))
     of_class = classes.join(linked, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("component"))
-    members = rows.join(of_class, ["c1", "c2"], "left").select("uid", F.col("size").alias("n_shingles"), F.coalesce("component", "uid").alias("component"))
+    members = rows.drop("bits").join(of_class, ["c1", "c2"], "left").select("uid", F.col("size").alias("n_shingles"), F.coalesce("component", "uid").alias("component"))
     ids = own.select("uid", "doc_id")
     names = ids.select(F.col("uid").alias("component"), F.col("doc_id").alias("component_id"))
     return members.join(ids, "uid").join(names, "component").select("uid", "doc_id", "n_shingles", "component", "component_id")

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes that end a word: blank, and tab to carriage return.
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 #: A value for each byte; any fixed random numbers do.
 BYTE_VALUES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -76,35 +72,80 @@ def runs(column: pa.Array, run_bytes: int = RUN_BYTES) -> Iterator[tuple[int, np
         at = to
 
 
+class Numbers(dict):
+    """Numbers of words, from 0 in the order of first use; ``held`` is about how many bytes this takes."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.held = 0
+
+    def __missing__(self, word: bytes) -> int:
+        self.held += len(word) + 150
+        self[word] = n = len(self)
+        return n
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+class Vocabulary(Numbers):
+    """Besides, two independent 64-bit hashes of each word, halves of one BLAKE2b digest."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.digests = bytearray()
+
+    def __missing__(self, word: bytes) -> int:
+        self.digests += hashlib.blake2b(word, digest_size=16).digest()
+        return super().__missing__(word)
+
+    def hashes(self, numbers: np.ndarray) -> np.ndarray:
+        """A row of two hashes for each number."""
+        return np.frombuffer(bytes(self.digests), "<u8").reshape(-1, 2)[numbers]
+
+
+#: Kept between calls, since corpora repeat their words; dropped when it holds more than VOCABULARY_BYTES.
+VOCABULARY_BYTES = 24 << 20
+_vocabulary = Vocabulary()
+
+
 class Words:
-    """Words of a run of texts: hash, first byte and end of each, and ``offsets`` of each text's words."""
+    """Words of a run of texts: ``list``, two hashes of each, and ``offsets`` of each text's words."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> None:
-        data = _LOWER[data] if lower else data
-        n = len(data)
-        inside = ~_SPACE[data]
-        edge = np.zeros(n + 1, bool)
-        edge[offsets] = True
-        start = inside.copy()
-        start[1:] &= ~inside[:-1] | edge[1:-1]
-        end = inside.copy()
-        end[:-1] &= ~inside[1:] | edge[1:-1]
-        self.data, self.start, self.end = data, np.flatnonzero(start), np.flatnonzero(end) + 1
-        self.hash = Rolling(BYTE_VALUES[data]).of(self.start, self.end) if n else np.zeros(0, np.uint64)
-        self.offsets = np.searchsorted(self.start, offsets)
+        global _vocabulary  # noqa: PLW0603  a cache of this process
+        every = bytes(data)
+        if lower:
+            every = every.lower()  # of bytes: A to Z only
+        if _vocabulary.held > VOCABULARY_BYTES:
+            _vocabulary = Vocabulary()
+        self.list: list[bytes] = []
+        counts = [0]
+        for at, to in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            self.list += every[at:to].split()  # of bytes: at blanks, and tab to carriage return
+            counts.append(len(self.list))
+        self.offsets = np.array(counts, np.int64)
+        both = _vocabulary.hashes(_vocabulary.numbers(self.list))
+        self.hash, self.other = np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+
+
+def shingles(words: Words, values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each shingle of each text, ``offsets`` of each text's shingles) over one of the words' hashes.
+
+    Fewer words than ``width`` make one shingle of them all, none make none.
+    """
+    rolling = Rolling(values)
+    count = np.diff(words.offsets)
+    n = np.where(count >= width, count - width + 1, np.minimum(count, 1))
+    offsets = np.r_[0, np.cumsum(n)]
+    start = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - words.offsets[:-1], n)
+    return rolling.of(start, np.minimum(start + width, np.repeat(words.offsets[1:], n))), offsets
 
 
 def shingle_sets(words: Words, width: int) -> list[np.ndarray]:
-    """Each text's sorted distinct shingle hashes; fewer words than ``width`` make one shingle, none make none."""
-    rolling = Rolling(words.hash)
-    grams = rolling.grams(width)
-    sets = []
-    for at, to in zip(words.offsets[:-1], words.offsets[1:]):
-        if to - at >= width:
-            sets.append(np.unique(grams[at : to - width + 1]))
-        else:
-            sets.append(rolling.of(np.array([at]), np.array([to])) if to > at else grams[:0])
-    return sets
+    """Each text's sorted distinct shingle hashes."""
+    grams, offsets = shingles(words, words.hash, width)
+    return [np.unique(grams[at:to]) for at, to in zip(offsets[:-1], offsets[1:])]
 
 
 def minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -117,19 +158,31 @@ def minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def segments(values: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> dict[str, np.ndarray]:
+#: Anchors only bring together what may be equal, so fewer bits of them do.
+ANCHOR_BITS = 48
+COUNT_BITS = 16
+
+
+def digests(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A row of two 64-bit halves of a BLAKE2b digest for each stretch of data."""
+    view, blake2b = memoryview(data), hashlib.blake2b
+    return np.frombuffer(b"".join([blake2b(view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist())]), "<u8").reshape(-1, 2)
+
+
+def segments(values: np.ndarray, offsets: np.ndarray, window: int, gram: int, data: bytes, size: int) -> dict[str, np.ndarray]:
     """Windows of ``window`` values grouped by the gram of least hash in them.
 
     A segment is a stretch of consecutive windows of one text with the same least gram, its anchor.  Equal windows
-    have their anchor at the same place, wherever they are; so windows are equal only in segments of equal anchors,
-    and segments of one ``whole`` hash are equal in all their windows.  Returns arrays: text (index), start (of the
-    first window), count (of windows), anchor, whole.
+    have their anchor at the same place, wherever they are; so windows are equal only in segments of equal anchors.
+    A segment's content is known by 96 bits of a BLAKE2b digest of it, from ``data`` (``size`` bytes a value).
+
+    Returns arrays: text (index), start (of the first window), anchor, whole (64 bits of the digest), tail (32 more,
+    and in the low COUNT_BITS the number of windows).
     """
     n = len(values)
     if n < window:
-        return {k: np.zeros(0, np.int64 if k in ("text", "start", "count") else np.uint64) for k in ("text", "start", "count", "anchor", "whole")}
-    rolling = Rolling(values)
-    grams = rolling.grams(gram)
+        return {k: np.zeros(0, np.int64) for k in ("text", "start", "anchor", "whole", "tail")}
+    grams = Rolling(values).grams(gram)
     low = np.uint64((1 << max(22, n.bit_length())) - 1)
     least = minima((grams & ~low) | np.arange(len(grams), dtype=np.uint64), window - gram + 1)
     lengths = np.diff(offsets)
@@ -142,6 +195,6 @@ def segments(values: np.ndarray, offsets: np.ndarray, window: int, gram: int) ->
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(start)))
     begin, at = start[first], anchor_at[first]
-    with np.errstate(over="ignore"):
-        whole = mixed(rolling.of(begin, begin + count + window - 1) + (at - begin).astype(np.uint64) * np.uint64(_BASE))
-    return {"text": text[first], "start": begin - offsets[text[first]], "count": count, "anchor": grams[at], "whole": whole}
+    known = digests(data, begin * size, (begin + count + window - 1) * size)
+    tail = (known[:, 1] >> np.uint64(32) << np.uint64(COUNT_BITS)).view(np.int64) | count
+    return {"text": text[first], "start": begin - offsets[text[first]], "anchor": (grams[at] >> np.uint64(64 - ANCHOR_BITS)).view(np.int64), "whole": known[:, 0].view(np.int64), "tail": tail}

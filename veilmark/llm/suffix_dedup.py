@@ -1,13 +1,16 @@
 """Removal of byte strings that occur earlier, by suffix arrays and their common-prefix intervals.
 
-Method.  Candidate regions are grouped by content-defined anchors (``repeats``), so that all occurrences of any
-100-byte string meet in one group.  A group's window starts are sorted into a sparse suffix array with its array of
-common prefixes; a stack scan over it yields the tree of common-prefix intervals.  An interval whose occurrences are
-preceded by different bytes (or by a text's start) can't be extended to the left: it is a maximal repeat, given with
-all its occurrences.  All occurrences but the earliest are removed.
+Method.  Texts are cut in overlapping segments by content-defined anchors (``repeats``), so that all occurrences of
+any 100-byte string lie in segments of one anchor.  Of segments that are equal as a whole, one string with several
+occurrences, the earliest stays and the others go.  The different strings of an anchor are sorted into a sparse suffix
+array of their window starts, with its array of common prefixes; a stack scan over it yields the tree of common-prefix
+intervals.  An interval whose suffixes are preceded by different bytes, or start a string, can't be extended to the left:
+it is a maximal repeat, given with all its occurrences, and all but the earliest are removed.  Intervals that can be
+extended are left to those that hold them.  ``groups`` returns the groups of a corpus with all occurrences.
 
 Scale.  See ``repeats``: only anchored segments are shuffled, in streaming passes; suffix arrays are built over whole
-keys, of at most ``HOT_SEGMENTS`` segments each, about half a megabyte at a time.  Texts move twice, each time once.
+anchors, about half a megabyte at a time.  The suffixes of an anchor with more than ``HOT_SEGMENTS`` strings are first
+dealt by their first 100 bytes, so that each bucket is one interval.  Texts move twice, each time once.
 
 Defined cases.  A null text is empty.  Texts under 100 bytes lose nothing.  Removal is judged on the input: what
 covers a byte may itself be removed elsewhere.  Rows that share a doc_id, or have none, are ordered by text, equal
@@ -22,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from veilmark.llm import repeats, staging
 from veilmark.llm.sequences import BYTE_VALUES, segments
@@ -33,7 +37,7 @@ GRAM = 24
 class SuffixArray:
     """Suffixes that start at given places of given strings, sorted; with common prefixes of neighbours."""
 
-    def __init__(self, strings: list[bytes], counts: list[int], before: list[int]) -> None:
+    def __init__(self, strings: list[bytes], counts: list[int]) -> None:
         width = max(map(len, strings))
         room = np.array([len(s) for s in strings])
         buffer = np.frombuffer(b"".join(s + bytes(width) for s in strings) + bytes(width), np.uint8)
@@ -51,14 +55,15 @@ class SuffixArray:
         same = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
         #: common[i]: what suffixes i and i + 1 share.
         self.common = np.minimum(same, np.minimum(left[1:], left[:-1]))
-        self.before = np.where(self.offset > 0, buffer[at[order] - 1].astype(np.int64), np.array(before, np.int64)[self.string])
+        #: before[i]: the byte before suffix i, -1 at its string's start.
+        self.before = np.where(self.offset > 0, buffer[at[order] - 1].astype(np.int64), -1)
 
 
-def intervals(common: np.ndarray, before: np.ndarray, least: int) -> Iterator[tuple[int, int, int, bool, bool]]:
-    """(length, first, last, maximal, outermost) of the common-prefix intervals of length ``least`` or more.
+def intervals(common: np.ndarray, before: np.ndarray, least: int) -> Iterator[tuple[int, int, int, bool]]:
+    """(length, first, last, maximal) of the common-prefix intervals of length ``least`` or more.
 
     The stack holds the open intervals, each with the byte that all its suffixes so far are preceded by, or None
-    once two differ.  A suffix at a text's start (-1) is preceded by nothing, which differs from anything.
+    once two differ.  A suffix at its string's start (-1) is preceded by nothing, which differs from anything.
     """
     starts = np.flatnonzero((common >= least) & np.r_[True, common[:-1] < least]) if len(common) else []
     for start in starts:
@@ -73,8 +78,7 @@ def intervals(common: np.ndarray, before: np.ndarray, least: int) -> Iterator[tu
             while stack and stack[-1][0] > length:
                 size, low, own = stack.pop()
                 own = own if own == held else None
-                outer = not stack and length == 0
-                yield size, low, i, own is None, outer
+                yield size, low, i, own is None
                 first, held = low, own
             if not length:
                 break
@@ -86,38 +90,36 @@ def intervals(common: np.ndarray, before: np.ndarray, least: int) -> Iterator[tu
             byte = int(before[i]) if before[i] >= 0 else None
 
 
-def maximal_repeats(strings: list[bytes], least: int, counts: list[int] | None = None, before: list[int] | None = None) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(length, sorted occurrences (string, offset)) of every maximal repeat of ``least`` bytes or more."""
+def maximal_repeats(strings: list[bytes], least: int, counts: list[int] | None = None) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(length, sorted occurrences (string, offset)) of every maximal repeat of ``least`` bytes or more within the strings.
+
+    ``counts``: how many suffixes of each string take part.  An interval whose suffixes are all preceded by one byte is
+    no group of its own: the interval of the suffixes that start one byte earlier holds it.
+    """
     kept = [s for s in strings if len(s) >= least]
     names = [i for i, s in enumerate(strings) if len(s) >= least]
     if not kept:
         return []
-    array = SuffixArray(kept, counts or [len(s) - least + 1 for s in kept], before or [-1] * len(kept))
-    return [(length, sorted((names[array.string[j]], int(array.offset[j])) for j in range(low, high + 1))) for length, low, high, maximal, _ in intervals(array.common, array.before, least) if maximal]
+    array = SuffixArray(kept, [counts[i] for i in names] if counts else [len(s) - least + 1 for s in kept])
+    place = np.stack([np.array(names)[array.string], array.offset], 1)
+    return [(length, sorted(map(tuple, place[low : high + 1].tolist()))) for length, low, high, maximal in intervals(array.common, array.before, least) if maximal]
 
 
 def _resolve(rows: list[tuple], window: int) -> Iterator[tuple[int, int, int]]:
-    """Intervals (uid, start, end) of all occurrences but the earliest, of each maximal or outermost interval."""
-    yield from ((uid, start, start + window) for _, uid, start, _, _, content in rows if not content)
-    rows = [r for r in rows if r[5]]
-    if not rows:
-        return
-    array = SuffixArray([r[5] for r in rows], [r[3] for r in rows], [r[4] for r in rows])
-    uid, start = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-    place = np.stack([uid[array.string], start[array.string] + array.offset], 1)
-    for length, low, high, maximal, outermost in intervals(array.common, array.before, window):
-        if maximal or outermost:
-            found = sorted(map(tuple, place[low : high + 1].tolist()))
-            for doc, at in found[1:]:
-                yield doc, at, at + (length if maximal else window)
+    """Intervals (uid, start, end) of all occurrences but the earliest of each maximal repeat in ``repeats.contents``' rows."""
+    yield from ((uid, start, start + window) for _, uid, start, _, content in rows if not content)
+    rows = [r for r in rows if r[4]]
+    for length, found in maximal_repeats([r[4] for r in rows], window, [r[3] for r in rows]):
+        at = sorted((rows[i][1], rows[i][2] + offset) for i, offset in found)
+        yield from ((uid, start, start + length) for uid, start in at[1:])
 
 
 def _segmenter(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    return segments(BYTE_VALUES[data], offsets, WINDOW, GRAM)
+    return segments(BYTE_VALUES[data], offsets, WINDOW, GRAM, bytes(data), 1)
 
 
 def _extract(data: bytes):  # noqa: ANN202
-    return (lambda start, end: data[start:end]), (lambda start: data[start - 1] if start else -1)
+    return lambda start, end: data[start:end]
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -128,6 +130,40 @@ def repeated(docs: DataFrame) -> DataFrame:
     return settled.filter("repeat").selectExpr("uid", "start", "cast(count as long) as size").unionByName(resolved)
 
 
+def groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """A row per occurrence of each maximal repeat: group, length, doc_id, start.
+
+    Maximal within anchored segments: a passage longer than a segment (at most 176 bytes) comes as a chain of groups
+    that overlap by 99 bytes.  A string that occurs in several segments of one content occurs in each of them.
+    """
+    own = repeats.identified(docs, text, id_col)
+    every = staging.stage(repeats.scan(own, _segmenter, WINDOW, combine=False).drop("repeat"), "every")
+    name = ["anchor", "whole", "tail"]
+    strings = every.groupBy(*name).agg(F.min(F.struct("uid", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
+    repeated = strings.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
+    strings = staging.stage(strings.join(repeated, "anchor").select(*name, "first.uid", "first.start", "n"), "strings")
+    open_strings = strings.select("anchor", "uid", "start", F.expr(f"cast(tail & {(1 << repeats.COUNT_BITS) - 1} as int)").alias("count"))
+    found = repeats.contents(own, open_strings, _extract, WINDOW, hot_segments=1 << 60)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in repeats.whole_keys(batches, 1 << 19):
+            rows = [r for r in held if r[4]]
+            out = []
+            for length, at in maximal_repeats([r[4] for r in rows], WINDOW, [r[3] for r in rows]):
+                uid, start = min((rows[i][1], rows[i][2] + offset) for i, offset in at)
+                out += [(uid, start, length, rows[i][1], rows[i][2], offset) for i, offset in at]
+            out += [(r[1], r[2], len(r[4]), r[1], r[2], 0) for r in rows]  # a string alone: a group if it has several occurrences
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 6, ["g_uid", "g_start", "length", "uid", "start", "offset"])
+
+    dealt = found.repartition(staging.tasks(docs.sparkSession), "key").sortWithinPartitions("key", "uid", "start")
+    pieces = dealt.mapInArrow(run, "g_uid long, g_start long, length long, uid long, start long, offset long").distinct()
+    named = pieces.join(strings, ["uid", "start"]).select(*name, "g_uid", "g_start", "length", "offset")
+    places = named.join(every, name).select("g_uid", "g_start", "length", "uid", (F.col("start") + F.col("offset")).alias("start")).distinct()
+    group = F.xxhash64("g_uid", "g_start", "length")
+    many = places.groupBy("g_uid", "g_start", "length").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return places.join(many, ["g_uid", "g_start", "length"]).join(own.select("uid", "doc_id"), "uid").select(group.alias("group"), "length", "doc_id", "start")
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
