@@ -54,7 +54,42 @@ def test_nothing_to_learn(spark):
     assert language_id.report(table(spark, [])).count() == 0
     found = language_id.report(table(spark, [(1, "the", None)])).collect()
     assert [(r.lang_pred, r.rejected) for r in found] == [("und", True)]
-    assert language_id.keep(table(spark, [(1, "the", None)])).count() == 0
+    assert [r.doc_id for r in language_id.keep(table(spark, [(1, "the", None), (2, "1 2 3", None), (3, None, None)])).collect()] == [1]
+
+
+def test_centroids_by_brute_force(spark):
+    """Counts, weights and cosines one n-gram and one document at a time, from the learned frequencies and centroids."""
+    own = [*rows(200), (1001, "der die"), (1001, "der die"), (1002, "é"), (1003, "x")]
+    docs = table(spark, own)
+    train = docs.filter(~language_id.held_out(docs["doc_id"]))
+    model = language_id.fit(train)
+
+    def grams(text):
+        raw = (text or "").lower().encode()
+        letter = [b >= 128 or chr(b).isalpha() for b in raw]
+        found = {}
+        for at in range(len(raw)):
+            for size in (1, 2, 3):
+                if letter[at] and at + size <= len(raw):
+                    value = 0
+                    for k in range(size):
+                        value = value << 8 | (raw[at + k] if letter[at + k] else 0)
+                    where = int(language_id.mixed(np.array([value + (size << 40)], np.uint64))[0]) % language_id.DIMS
+                    found[where] = found.get(where, 0) + 1
+        return found
+
+    kept = [(i, t) for i, t, *_ in own if zlib.crc32(str(i).encode()) % 5]
+    often = np.zeros(language_id.DIMS)
+    for _, t, *_ in kept:
+        often[list(grams(t))] += 1
+    assert np.allclose(model.idf, np.log((1 + len(kept)) / (1 + often)) + 0.05, atol=1e-5)
+    for r in language_id.report(docs).collect():
+        text = next(t for i, t, *_ in own if i == r.doc_id)
+        vector = np.zeros(language_id.DIMS)
+        for where, n in grams(text).items():
+            vector[where] = np.log1p(n) * model.idf[where]
+        cosine = model.centroids @ (vector / np.linalg.norm(vector))
+        assert abs(r.score - np.clip(cosine.max(), 0, 1)) < 1e-4 and model.languages[int(cosine.argmax())] == r.lang_pred
 
 
 def test_profiles_do_not_cross_texts():

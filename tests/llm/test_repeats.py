@@ -65,6 +65,26 @@ def test_words(spark, texts, monkeypatch, hot, batches, fanout):
     assert got(fingerprint_index.deduplicate(table(spark, texts), batches=batches, fanout=fanout)) == brute_words(ordered(texts))
 
 
+def test_index_opens_again(spark, texts, tmp_path):
+    """Batches in any order of ids, each by another opening of the index's folder; what was added before counts as earlier."""
+    rows = [(i, t) for i, t in texts if t]
+    batches = [rows[60:], rows[:30], rows[30:60]]
+    found, earlier, order = {}, None, []
+    for number, own in enumerate(batches):
+        docs = spark.createDataFrame(own, "uid long, text string")
+        index = fingerprint_index.FingerprintIndex(spark, f"file://{tmp_path}/index", fanout=1)
+        assert len(index.runs) == min(number, 1)
+        for r in index.add(docs, earlier).collect():
+            found.setdefault(r.uid, set()).update(range(r.start, r.start + r.size))
+        for run in index.runs:  # as a new session, which knows no tables
+            spark.sql(f"DROP TABLE {run}")
+        earlier = docs if earlier is None else earlier.unionByName(docs)
+        order += sorted(own)
+    assert {i: len(found.get(i, ())) for i, _ in rows} == {r[0]: r[2] for r in brute_words(order)}
+    fingerprint_index.FingerprintIndex(spark, f"file://{tmp_path}/index").drop()
+    assert not (tmp_path / "index").exists()
+
+
 @pytest.mark.parametrize("make", [lambda t: [(None, t), (None, t), (3, t), (3, t), (1, "x"), (None, None)], lambda t: []])
 def test_repeated_and_missing_ids(spark, make):
     rows = make(" ".join(map(str, range(200))))

@@ -11,7 +11,9 @@ Scale.  One narrow pass, no shuffle.  A worker holds the vocabulary, and caches
 Output columns are digests and counts; ``encode`` returns the ids themselves.
 
 Defined cases.  A null text counts as empty: no ids, and the digests of no bytes.  Strings of special tokens are
-ordinary text.  Lone surrogates can't occur in Spark strings.  Repeated rows each get a row.
+ordinary text.  Lone surrogates can't occur in Spark strings.  Repeated rows each get a row, rows without an id too.  An
+empty table gives an empty result.  Extra columns do not matter, whatever their names.  A very long text is encoded whole,
+piece by piece.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
@@ -174,9 +177,10 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(read_ranks(path), pattern)
 
 
-def encode(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: str | None = None, pattern: str = public_tokenizers.PATTERN, with_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array<long>)."""
+def encode(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: str | None = None, pattern: str = public_tokenizers.PATTERN, with_ids: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, if asked for ids (array<int>), and docs' columns named in ``carry``."""
     path = path or public_tokenizers.path(VOCABULARY)
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
@@ -189,15 +193,13 @@ def encode(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: st
                     rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest(), ids))
                 n, coded, decoded, ids = zip(*rows)
                 columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(coded), pa.array(decoded)]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns.append(pa.array([list(struct.unpack(f"<{len(x) // 4}I", x)) for x in ids], pa.list_(pa.int64())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names)
+                    ends = np.cumsum([0, *n])
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
+                yield pa.RecordBatch.from_arrays([*columns, *(batch.column(i) for i in range(2, batch.num_columns))], names)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * with_ids
-    return docs.select(docs[id_col].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, schema)
+    kinds = [docs.schema[id_col].dataType.simpleString(), "long", "string", "string", *["array<int>"] * with_ids, *(docs.schema[c].dataType.simpleString() for c in carry)]
+    return docs.select(docs[id_col].alias("doc_id"), docs[text].alias("text"), *(docs[c] for c in carry)).mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in zip(names, kinds)))
 
 
 def report(docs: DataFrame) -> DataFrame:

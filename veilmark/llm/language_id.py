@@ -1,7 +1,7 @@
 """Language identification by nearest centroid.
 
-Method.  A text becomes a vector of its character n-grams (one to three letters, lower case, within words), hashed to
-``DIMS`` dimensions, weighted by TF-IDF and normalised.  Each language has several centroids, found by spherical
+Method.  A text becomes a vector of its n-grams of one to three bytes of letters (lower case; bytes of UTF-8, so one to
+three letters of Latin script, and one of others), hashed to ``DIMS`` dimensions, weighted by TF-IDF and normalised.  Each language has several centroids, found by spherical
 k-means on labelled documents; a text takes the language of the centroid of greatest cosine.  A text is rejected if
 even that centroid is further away than nearly all training documents are from theirs: its cosine is under a centroid
 radius, set as a low quantile of the training cosines, times a slack.
@@ -12,8 +12,10 @@ many each n-gram occurs (a row for each n-gram and task, summed map-side and by
 the sample's vectors and a table of ``DIMS`` counts, whatever the corpus' size.
 
 Defined cases.  Texts that are null or have no letter are ``und`` with score 0 and are rejected.  Without training
-documents every text is ``und``.  Rows of a null language are not learned from; null ids
-count as held out.
+documents every text is ``und``, and ``keep`` keeps what has a letter.  Rows of a null language are not learned from;
+null ids count as held out.  Of centroids at the same cosine the first wins, languages by name.  Repeated rows each get a
+row, and weigh each in what is learned.  An empty table gives an empty result.  Extra columns, whatever their names, do
+not matter.  A very long text is counted whole, one text at a time.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from veilmark.llm.sequences import mixed, runs
 
 DIMS = 1 << 12
 SAMPLE_PER_LANGUAGE = 1000
+MAX_LANGUAGES = 1000
 CENTROIDS = 4
 FOLDS = 5
 QUANTILE = 0.002
@@ -143,11 +146,11 @@ def fit(docs: DataFrame, text: str = "text", id_col: str = "doc_id", lang: str =
     The sample is of at most about ``sample_per_language`` documents a language, by hash of the id.
     """
     known = docs.filter(docs[lang].isNotNull() & docs[text].isNotNull()).select(docs[id_col].cast("string").alias("id"), docs[lang].alias("lang"), docs[text].alias("text"))
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGUAGES).collect()}
     if not sizes:
         return None
     share = F.create_map(*(F.lit(x) for l, n in sorted(sizes.items()) for x in (l, min(1.0, sample_per_language / n))))
-    drawn = known.select("lang", "text", (F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).alias("drawn"))
+    drawn = known.select("lang", "text", (F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * (1 << 20)).alias("drawn"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("lang", pa.string()), ("dim", pa.int32()), ("n", pa.int64()), ("vector", pa.binary())])
@@ -223,7 +226,7 @@ def keep(docs: DataFrame, text: str = "text", id_col: str = "doc_id", lang: str
     """docs without those whose language is rejected; lang becomes the predicted language, other columns stay."""
     model = fit(docs.filter(~held_out(docs[id_col])), text, id_col, lang)
     if model is None:
-        return docs.limit(0)
+        return docs.filter(docs[text].rlike(r"\p{L}"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

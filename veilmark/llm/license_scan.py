@@ -5,13 +5,15 @@ spacing reduced to single blanks.  The SHA-256 of the result is hash-joined with
 licence notices; a match is the entire text, never a part of it.  The units looked up are the whole document, its
 paragraphs and its lines, since notices stand in documents as whole lines.
 
-Scale.  One pass of built-in expressions.  The known digests are a fixed table (``KNOWN``), broadcast at a size that
-does not depend on the corpus.  Units that hold no word of a known text are dropped before they are normalised; this
-loses none, as ``needed`` takes only words that normalising leaves as they are.  A unit's length is not bounded from
+Scale.  One pass of built-in expressions.  Units' digests are exploded, a row each, and hash-joined with those of the
+known texts (``TEXTS``, a fixed table, so its broadcast has a size that does not depend on the corpus); a document's
+rows are put together again by its row's number, digests and licences only.  Units that hold no word of a known text,
+or are shorter than all of them, are dropped before they are normalised; this loses none, as ``needed`` takes only words
+that normalising leaves as they are, and normalising never makes a text longer.  A unit's length is not bounded from
 above, since copyright lines, punctuation and blanks of any length are removed.
 
 Defined cases.  A null or empty text matches nothing and has the digest of the empty string.  Repeated rows each get
-a row.  Names of extra columns do not matter.
+a row.  An empty table gives an empty result.  Names of extra columns do not matter.  Very long texts are split whole.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 SPELLINGS = (
     (r"licence", "license"), (r"sub-license", "sublicense"), (r"acknowledgement", "acknowledgment"), (r"analogue", "analog"),
     (r"authorise", "authorize"), (r"favour", "favor"), (r"organisation", "organization"), (r"whilst", "while"), (r"non-commercial", "noncommercial"),
-    (r"https://", "http://"), (r"per cent", "percent"), (r"merchantability", "merchantability"),
+    (r"https://", "http://"), (r"per cent", "percent"),
 )
 
 #: Known licences and notices: identifier, text.  Fixed values.
@@ -42,9 +44,10 @@ KNOWN = (
     ("0BSD", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
 )
 
-#: Whole licence texts, one file each, named by identifier; MIT also under its title.
+#: Whole licence texts, one file each, named by identifier; some are also known under their titles.
+TITLES = (("MIT", "MIT License"), ("MIT", "The MIT License (MIT)"), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"), ("Zlib", "zlib License"), ("ISC", "ISC License"))
 FULL = tuple((f.stem, f.read_text("utf-8")) for f in sorted((Path(__file__).parent / "licenses").glob("*.txt")))
-FULL += tuple((name, "MIT License\n\n" + text) for name, text in FULL if name == "MIT")
+FULL += tuple((name, f"{title}\n\n{text}") for name, title in TITLES for known, text in KNOWN + FULL if known == name and len(text) > 200)
 TEXTS = KNOWN + FULL
 
 
@@ -78,17 +81,19 @@ def needed(canonicals: list[str]) -> str:
 
 def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", texts: tuple[tuple[str, str], ...] = TEXTS) -> DataFrame:
     """A row per row of docs: doc_id, doc_digest, doc_license, licenses (sorted, distinct), n_units (matching units)."""
-    pairs = known(docs.sparkSession, texts).agg(F.map_from_entries(F.collect_list(F.struct("digest", "license"))).alias("known"))
+    table = F.broadcast(known(docs.sparkSession, texts))  # a row for each known text
     forms = [r.form for r in docs.sparkSession.createDataFrame(list(texts), "license string, known string").select(canonical(F.col("known")).alias("form")).collect()]
     pattern, shortest = needed(forms), min(map(len, forms))
-    content = F.coalesce(docs[text], F.lit(""))
-    table = docs.select(docs[id_col].alias("doc_id"), content.alias("content")).crossJoin(F.broadcast(pairs))  # one row of a fixed size
-    likely = lambda unit: (F.length(unit) >= shortest // 2) & F.lower(unit).rlike(pattern)
-    looked = lambda units: F.filter(F.transform(F.filter(units, likely), lambda u: F.col("known")[digest(u)]), lambda x: x.isNotNull())
-    table = table.select("doc_id", digest(F.col("content")).alias("doc_digest"), "known", looked(F.split("content", "\n")).alias("lines"), looked(F.filter(F.split("content", r"\n[\x20\t]*\n\s*"), lambda p: p.contains("\n"))).alias("paragraphs"))
-    table = table.withColumn("doc_license", F.col("known")[F.col("doc_digest")])
-    own = F.when(F.col("doc_license").isNotNull(), F.array("doc_license")).otherwise(F.array().cast("array<string>"))
-    return table.select("doc_id", "doc_digest", "doc_license", F.array_sort(F.array_distinct(F.concat("lines", "paragraphs", own))).alias("licenses"), (F.size("lines") + F.size("paragraphs")).cast("long").alias("n_units"))
+    likely = lambda unit: (F.length(unit) >= shortest) & F.lower(unit).rlike(pattern)
+    parts = lambda units: F.transform(F.filter(units, likely), digest)
+    own = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("content"))
+    units = F.concat(parts(F.split("content", "\n")), parts(F.filter(F.split("content", r"\n[\x20\t]*\n\s*"), lambda p: p.contains("\n"))))
+    rows = own.select(F.monotonically_increasing_id().alias("row"), "doc_id", digest(F.col("content")).alias("doc_digest"), units.alias("units"))
+    each = rows.select("row", "doc_id", "doc_digest", F.explode(F.array_append("units", F.lit(None).cast("string"))).alias("unit"))  # the null stands for the document
+    each = each.select("row", "doc_id", "doc_digest", F.col("unit").isNull().alias("whole"), F.coalesce("unit", "doc_digest").alias("digest")).join(table, "digest", "left")
+    of = lambda part: F.when(part & F.col("license").isNotNull(), F.col("license"))
+    found = each.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("doc_digest").alias("doc_digest"), F.max(of(F.col("whole"))).alias("doc_license"), F.array_sort(F.collect_set("license")).alias("licenses"), F.count(of(~F.col("whole"))).alias("n_units"))
+    return found.drop("row")
 
 
 def report(docs: DataFrame) -> DataFrame:

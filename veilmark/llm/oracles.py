@@ -21,10 +21,11 @@ def _secrets() -> str:
         rows = f"SELECT doc_id, unnest(m) AS whole, unnest(g) AS counted, unnest(gaps[1:len(m)]) AS gap, generate_subscripts(m, 1) AS i FROM ({lists})"
         sums = f"SELECT *, sum(length(gap) + length(whole)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM ({rows})"
         parts.append(f"SELECT doc_id, {kind} AS kind, '{name}' AS name, (stop - length(whole))::BIGINT AS start, stop::BIGINT AS stop FROM ({sums}) WHERE length(counted) >= {least}{must}")
-    near = lambda roles: "EXISTS (SELECT 1 FROM c b WHERE b.doc_id = a.doc_id AND b.name IN (" + ", ".join(map(_quoted, roles)) + f") AND b.start <= a.stop + {secret_scan.SCOPE_CHARS} AND b.stop >= a.start - {secret_scan.SCOPE_CHARS})"
+    near = lambda roles: "EXISTS (SELECT 1 FROM c b WHERE b.doc_id = a.doc_id AND b.name IN (" + ", ".join(map(_quoted, roles)) + f") AND (b.start >= a.stop OR b.stop <= a.start) AND b.start <= a.stop + {secret_scan.SCOPE_CHARS} AND b.stop >= a.start - {secret_scan.SCOPE_CHARS})"
     weak = " OR ".join(f"(name = '{k}' AND " + " AND ".join(map(near, needs)) + ")" for k, needs in secret_scan.NEEDS.items())
     said = "string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind)"
-    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), c AS ({' UNION ALL '.join(parts)}),
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), k AS ({' UNION ALL '.join(parts)}),
+    c AS (SELECT * FROM k a WHERE name <> 'opaque' OR NOT EXISTS (SELECT 1 FROM k b WHERE b.doc_id = a.doc_id AND b.name <> 'opaque' AND b.start < a.stop AND b.stop > a.start)),
     s AS (SELECT * FROM c a WHERE kind < {secret_scan.BASE} OR {weak}),
     g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind >= {secret_scan.BASE}) AS n_linked,
         {said} FILTER (kind < {secret_scan.BASE}) AS base, {said} AS spans FROM s GROUP BY doc_id)
@@ -40,13 +41,12 @@ def _canonical(text: str) -> str:
 
 
 def _licenses() -> str:
-    longest, shortest = max(len(t) for _, t in license_scan.KNOWN), min(len(t) for _, t in license_scan.KNOWN)
-    values = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in license_scan.KNOWN)
-    likely = f"length(u) BETWEEN {shortest // 2} AND {4 * longest} AND regexp_matches(lower(u), 'licen[sc]|permission|redistribut')"
+    """Every line and paragraph is normalised and looked up, without any test before."""
+    values = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in license_scan.TEXTS)
     return rf"""WITH v(name, known) AS (VALUES {values}), k AS (SELECT sha256({_canonical('known')}) AS digest, min(name) AS license FROM v GROUP BY 1),
     d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
     x AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS u FROM d UNION ALL SELECT doc_id, u FROM (SELECT doc_id, unnest(regexp_split_to_array(t, '\n[\x20\t]*\n\s*')) AS u FROM d) WHERE contains(u, chr(10))),
-    h AS (SELECT doc_id, license FROM (SELECT doc_id, sha256({_canonical('u')}) AS digest FROM x WHERE {likely}) JOIN k USING (digest)),
+    h AS (SELECT doc_id, license FROM (SELECT doc_id, sha256({_canonical('u')}) AS digest FROM x) JOIN k USING (digest)),
     o AS (SELECT doc_id, sha256({_canonical('t')}) AS doc_digest FROM d),
     p AS (SELECT o.*, k.license AS doc_license FROM o LEFT JOIN k ON k.digest = doc_digest),
     a AS (SELECT doc_id, license FROM h UNION SELECT doc_id, doc_license FROM p WHERE doc_license IS NOT NULL)

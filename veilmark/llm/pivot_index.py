@@ -2,23 +2,25 @@
 
 Method.  A bounded sample of the vectors, without those too close to another of it, serves as reference points: a
 dense cluster holds few pivots however many vectors it has, so its members order the same ones first.  Every vector is
-described by its ``nearest`` pivots in order of their distance, and entered in their inverted lists.  Two vectors are candidates if they share
-``min_shared`` of these pivots; candidates are verified by their cosine in double precision.  A pair is counted in the
-list of its smallest shared pivot only.
-
-Scale.  Equal vectors are one entry with a multiplicity.  Lists are cut in blocks by a hash, and each task compares
-two blocks of one list; what it returns is a count and a component label for each of its vectors, never the pairs.
-The number of pivots drawn grows as the square root of the number of vectors, up to ``MAX_PIVOTS``, and blocks follow
-the mean list for that number, so a hot list becomes more tasks, not larger ones; the work in it grows with the square
-of its length, as the links of a dense cluster do.  Pivots and the list sizes are the only tables that the
-driver sees, at most ``MAX_PIVOTS`` rows each.
+described by its ``nearest`` pivots in the order of their distance, and entered in the inverted list of each.  Shared
+pivots are counted from the lists: two vectors are candidates if they share ``min_shared`` of them, or put the same
+one first.  Only candidates are verified, by their cosine in double precision, and every pair found is a link.  A pair
+is looked at in the list of its smallest shared pivot only.
+
+Scale.  Equal vectors are one entry with a multiplicity.  Lists are cut in blocks by a hash, and each task counts and
+compares two blocks of one list; what it returns is a count and a component label for each of its vectors, never the
+pairs.  The number of pivots drawn grows as the square root of the number of vectors while they fit ``PIVOT_BYTES``,
+which bounds what is broadcast.  A block follows the mean list, so that an entry is copied a few times, but never holds
+more than ``BLOCK_BYTES`` whatever the table; a hot list becomes more tasks, not larger ones, and the work in it grows
+with the square of its length, as the links of a dense cluster do.
 
 Recall is what the index trades: against brute force on the test tables, and with a third of the vectors in one dense
 cluster, it is 0.99 and more with the defaults.
 
 Defined cases.  Vectors that are null, zero, empty, or hold null or non-finite components link with nothing; they are
 their own component and are kept.  Vectors of different lengths link with none of another length.  Rows of equal
-vectors link with each other.  Rows that share an id, or have none, count as different vectors.
+vectors link with each other.  Rows that share an id, or have none, count as different vectors.  An empty table gives
+an empty result.  Extra columns, whatever their names, do not matter.
 """
 
 from __future__ import annotations
@@ -36,7 +38,10 @@ from veilmark.llm.components import components
 COSINE = 0.9
 NEAREST = 8
 MIN_SHARED = 2
-MAX_PIVOTS = 4096
+#: Bounds: what is broadcast, a block of a list, and a table of distances or counts in a task.
+PIVOT_BYTES = 64 << 20
+BLOCK_BYTES = 16 << 20
+TABLE_BYTES = 16 << 20
 LEAST_BLOCK = 128
 CHUNK = 1024
 
@@ -84,29 +89,45 @@ def apart(pivots: list[bytes], cosine: float) -> list[bytes]:
     return kept
 
 
+def described(unit: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
+    """For each vector the places of its nearest pivots, by distance, ties by place."""
+    rows = []
+    step = max(1, TABLE_BYTES // (8 * len(pivots)))
+    for at in range(0, len(unit), step):
+        far = -(unit[at : at + step] @ pivots.T)
+        if len(pivots) > 4 * nearest:
+            # all that may be among the nearest, ties included
+            edge = np.partition(far, nearest - 1, axis=1)[:, nearest - 1 : nearest]
+            for own, last in zip(far, edge):
+                some = np.flatnonzero(own <= last)
+                rows.append(some[np.argsort(own[some], kind="stable")[:nearest]])
+        else:
+            rows += list(np.argsort(far, axis=1, kind="stable")[:, :nearest])
+    return np.array(rows, np.int64).reshape(len(unit), -1)
+
+
 def index(classes: DataFrame, pivots: list[bytes], nearest: int) -> DataFrame:
     """list, node, times, signature (the pivots by distance), vector: an entry in each of a vector's lists."""
     by_length: dict[int, list[int]] = {}
     for i, p in enumerate(pivots):
         by_length.setdefault(len(p), []).append(i)
     by_length = {n: own if len(own) > nearest else own[:1] for n, own in by_length.items()}  # else all lists would be the same
-    units = {n: _unit([pivots[i] for i in own]) for n, own in by_length.items()}
+    shared = classes.sparkSession.sparkContext.broadcast({n: (np.array(own), _unit([pivots[i] for i in own])) for n, own in by_length.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points = shared.value
         for whole in batches:
             for start in range(0, whole.num_rows, CHUNK):
                 batch = whole.slice(start, CHUNK)
                 vectors = batch.column(2).to_pylist()
                 for length in sorted(set(map(len, vectors))):
                     rows = [i for i, v in enumerate(vectors) if len(v) == length]
-                    if length not in units:  # no pivot of this length was drawn: one list for all of them
-                        ids, order = np.array([-length]), np.zeros((len(rows), 1), np.int64)
-                    else:
-                        ids = np.array(by_length[length])
-                        far = -(_unit([vectors[i] for i in rows]) @ units[length].T)
-                        order = np.argsort(far, axis=1, kind="stable")[:, :nearest]
-                    found = ids[order]
-                    sign = [np.sort(f).astype("<i4").tobytes() for f in found]
+                    if length in points:
+                        ids, unit = points[length]
+                        found = ids[described(_unit([vectors[i] for i in rows]), unit, nearest)]
+                    else:  # no pivot of this length was drawn: one list for all of them
+                        found = np.full((len(rows), 1), -length, np.int64)
+                    sign = [f.astype("<i4").tobytes() for f in found]
                     m = found.shape[1]
                     at = np.repeat(rows, m)
                     yield pa.RecordBatch.from_arrays(
@@ -117,6 +138,21 @@ def index(classes: DataFrame, pivots: list[bytes], nearest: int) -> DataFrame:
     return classes.select("node", "times", "vector").mapInArrow(run, "list int, node long, times long, signature binary, vector binary")
 
 
+def shared_counts(left: np.ndarray, right: np.ndarray, here: int) -> tuple[np.ndarray, np.ndarray]:
+    """(how many pivots each two signatures share, whether one of them is smaller than ``here``), from inverted lists."""
+    count = np.zeros((len(left), len(right)), np.uint8)
+    owned = np.zeros(count.shape, bool)
+    lists = [(p.ravel()[order := np.argsort(p, axis=None, kind="stable")], order // p.shape[1]) for p in (left, right)]
+    (a, a_rows), (b, b_rows) = lists
+    for pivot in np.intersect1d(a, b):
+        some = a_rows[np.searchsorted(a, pivot) : np.searchsorted(a, pivot, "right")]
+        others = b_rows[np.searchsorted(b, pivot) : np.searchsorted(b, pivot, "right")]
+        count[some[:, None], others] += 1
+        if pivot < here:
+            owned[some[:, None], others] = True
+    return count, owned
+
+
 def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each of n rows the least row that pairs (a, b) connect it with."""
     label = np.arange(n)
@@ -143,21 +179,24 @@ def _compare(cosine: float, min_shared: int):  # noqa: ANN202
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         need = min(min_shared, sign.shape[1])
         links, pairs = np.zeros(len(node), np.int64), [(np.zeros(0, np.int64),) * 2]
-        for at in range(0, len(left), 256):
-            some = left[at : at + 256]
-            a, b = np.nonzero(unit[some] @ unit[right].T >= cosine)
-            a, b = some[a], right[b]
+        step = max(1, min(256, TABLE_BYTES // (8 * max(1, len(right)))))
+        for at in range(0, len(left), step):
+            some = left[at : at + step]
+            count, owned = shared_counts(sign[some], sign[right], here)
+            candidate = ((count >= need) | (sign[some, :1] == sign[right, 0])) & ~owned
             if i == j:
-                a, b = a[a < b], b[a < b]
-            for cut in range(0, len(a), 65_536):
-                p, q = a[cut : cut + 65_536], b[cut : cut + 65_536]
-                same = (sign[p][:, :, None] == sign[q][:, None, :]).any(axis=2)
-                first = np.where(same, sign[p], np.iinfo(np.int32).max).min(axis=1)
-                good = (same.sum(axis=1) >= need) & (first == here)
-                p, q = p[good], q[good]
-                np.add.at(links, p, times[q])
-                np.add.at(links, q, times[p])
-                pairs.append((p, q))
+                candidate &= some[:, None] < right
+            a, b = np.nonzero(candidate)
+            if len(a) * 16 > candidate.size:  # so many that one product is cheaper than one for each pair
+                close = (unit[some] @ unit[right].T)[a, b] >= cosine
+            else:
+                close = np.concatenate([np.einsum("ij,ij->i", unit[some[a[c : c + 65_536]]], unit[right[b[c : c + 65_536]]]) for c in range(0, len(a), 65_536)] or [np.zeros(0)]) >= cosine
+            p, q = some[a[close]], right[b[close]]
+            np.add.at(links, p, times[q])
+            np.add.at(links, q, times[p])
+            pairs.append((p, q))
+            if sum(len(x) for x, _ in pairs) > 1 << 20:  # a forest connects the same
+                pairs = [_tree(len(node), pairs)]
         a, b = (np.concatenate(x) for x in zip(*pairs))
         order = np.argsort(node, kind="stable")
         rank = np.empty_like(order)
@@ -169,16 +208,28 @@ def _compare(cosine: float, min_shared: int):  # noqa: ANN202
     return run
 
 
+def _tree(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    a, b = (np.concatenate(x) for x in zip(*pairs))
+    label = _labels(n, a, b)
+    return np.arange(n), label
+
+
+def block_rows(mean: float, vector_bytes: int) -> int:
+    """Entries to a block of a list: a part of the mean list, within BLOCK_BYTES."""
+    return int(max(1, min(max(LEAST_BLOCK, mean * 0.4), BLOCK_BYTES // (vector_bytes + 64))))
+
+
 def neighbours(classes: DataFrame, n_classes: int, cosine: float = COSINE, nearest: int = NEAREST, min_shared: int = MIN_SHARED, n_pivots: int | None = None) -> DataFrame:
     """node, links, label of the tasks: how many vectors a node links with, and a node it is connected with."""
     spark = classes.sparkSession
-    n_pivots = n_pivots or min(MAX_PIVOTS, max(16, 1 << round(np.log2(1.2 * np.sqrt(max(1, n_classes))))))
-    pivots = [bytes(r.vector) for r in classes.orderBy(F.xxhash64("node"), "node").limit(n_pivots).select("vector").collect()]
+    width = classes.agg(F.max(F.octet_length("vector"))).first()[0]
+    wanted = n_pivots or max(16, 1 << round(np.log2(1.2 * np.sqrt(max(1, n_classes)))))
+    drawn = max(1, min(wanted, PIVOT_BYTES // width))
+    pivots = [bytes(r.vector) for r in classes.orderBy(F.xxhash64("node"), "node").limit(drawn).select("vector").collect()]
     mean = n_classes * nearest / max(1, len(pivots))  # as drawn: blocks must not grow when few pivots are left
     entries = staging.stage(index(classes, apart(pivots, cosine), nearest), "entries")
     sizes = entries.groupBy("list").count()
-    block = max(LEAST_BLOCK, int(mean * 0.4))
-    blocks = F.broadcast(sizes.select("list", F.ceil(F.col("count") / block).cast("int").alias("n")))  # a row for each pivot
+    blocks = F.broadcast(sizes.select("list", F.ceil(F.col("count") / block_rows(mean, width)).cast("int").alias("n")))  # a row for each pivot
     dealt = entries.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     dealt = dealt.select("list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "times", "signature", "vector")

@@ -39,11 +39,11 @@ Segmenter = Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]]
 
 
 def own_ids(docs: DataFrame, id_col: str) -> bool:
-    """Whether ids are whole numbers, unique and not null, so that they name rows."""
+    """Whether ids are whole numbers (within 2**61 of zero), unique and not null, so that they name rows."""
     ids = docs.select(docs[id_col].alias("doc_id"))
     if ids.schema["doc_id"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
         return False
-    return not ids.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count()
+    return not ids.groupBy("doc_id").count().filter(f"count > 1 or doc_id is null or abs(cast(doc_id as decimal(20,0))) >= {1 << 61}").limit(1).count()
 
 
 def numbered(docs: DataFrame, text: str, id_col: str, uid: str) -> DataFrame:

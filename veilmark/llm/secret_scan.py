@@ -9,14 +9,17 @@ intervals) of identifiers, secrets and endpoints decides which weak ones are rep
 * ``opaque``   (20+ characters, mixed case, digit)  with an identifier in scope;
 * ``endpoint`` (scheme://host...)                   with an identifier and a secret in scope.
 
-Here ``access`` and ``ident`` are identifiers; ``assign``, ``hex`` and ``opaque`` are secrets.
+Here ``access`` and ``ident`` are identifiers; ``assign``, ``hex`` and ``opaque`` are secrets.  Complements must not
+overlap, and an opaque token that overlaps a span of another kind (a name's value, a path) is no secret of its own.
 
 Scale.  All in built-in expressions.  One scan applies each detector to the documents that a cheap test lets through;
 after it only candidates move, never texts.  The join is an equi-join on (document, bucket of ``SCOPE_CHARS``) and so
 emits a bounded number of rows for each candidate; it is a left semi join, so a crowded scope yields no pairs.
 
 Defined cases.  A null text counts as empty: no spans, and the digest of the empty string.  Rows that agree in doc_id
-and text are computed once and returned as often as they occur.  A null doc_id is kept as such.
+and text are computed once and returned as often as they occur.  A null doc_id is kept as such.  An empty table gives
+an empty result.  Extra columns, whatever their names, do not matter.  Very long texts are scanned whole, and their
+candidates joined by bucket like any others'.
 """
 
 from __future__ import annotations
@@ -76,10 +79,21 @@ def candidates(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> D
     return each.withColumn("end", ends).withColumn("start", F.col("end") - F.col("length"))
 
 
+def alone(passed: DataFrame) -> DataFrame:
+    """passed without opaque tokens that overlap a span of another kind, which says what they are."""
+    opaque = [d[0] for d in DETECTORS].index("opaque")
+    place = Window.partitionBy("doc_id", "digest").orderBy("start")
+    other = lambda c: F.when(F.col("kind") != opaque, F.col(c))
+    reach = F.max(other("end")).over(place.rangeBetween(Window.unboundedPreceding, 0))
+    following = F.min(other("start")).over(place.rangeBetween(1, Window.unboundedFollowing))
+    overlaps = (F.col("kind") == opaque) & (F.coalesce(reach > F.col("start"), F.lit(False)) | F.coalesce(following < F.col("end"), F.lit(False)))
+    return passed.withColumn("overlaps", overlaps).filter(~F.col("overlaps")).drop("overlaps")
+
+
 def link(found: DataFrame, scope_chars: int = SCOPE_CHARS) -> DataFrame:
     """The spans to report: base ones that pass, and weak ones whose complements co-occur in scope."""
     kinds = [d[0] for d in DETECTORS]
-    passed = found.filter("ok").select("doc_id", "digest", "kind", "start", "end")
+    passed = alone(found.filter("ok").select("doc_id", "digest", "kind", "start", "end"))
     name = F.element_at(F.array(*map(F.lit, kinds)), F.col("kind") + 1)
     bucket = lambda at: F.floor(at / F.lit(scope_chars))
 
@@ -88,6 +102,7 @@ def link(found: DataFrame, scope_chars: int = SCOPE_CHARS) -> DataFrame:
         parts = parts.withColumn("p_bucket", F.explode(F.sequence(bucket(F.col("p_start")), bucket(F.col("p_end")))))
         reach = weak.withColumn("bucket", F.explode(F.sequence(bucket(F.greatest(F.lit(0), F.col("start") - scope_chars)), bucket(F.col("end") + scope_chars))))
         within = (F.col("p_start") <= F.col("end") + scope_chars) & (F.col("p_end") >= F.col("start") - scope_chars)
+        within &= (F.col("p_start") >= F.col("end")) | (F.col("p_end") <= F.col("start"))  # no string is its own complement
         same = (F.col("digest") == F.col("p_digest")) & F.col("doc_id").eqNullSafe(F.col("p_doc")) & (F.col("bucket") == F.col("p_bucket"))
         return reach.join(parts, same & within, "left_semi").drop("bucket").distinct()
 

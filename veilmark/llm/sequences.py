@@ -15,7 +15,7 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 #: Texts are handled in runs of about so many bytes; a longer text is a run of its own.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -105,7 +105,7 @@ class Vocabulary(Numbers):
 
 
 #: Kept between calls, since corpora repeat their words; dropped when it holds more than VOCABULARY_BYTES.
-VOCABULARY_BYTES = 24 << 20
+VOCABULARY_BYTES = 16 << 20
 _vocabulary = Vocabulary()
 
 

@@ -1,7 +1,8 @@
 """Tables written to the folder that all executors share, to cut lineage or to read a costly result twice.
 
 Staged tables are Parquet below ``spark.checkpoint.dir``; a lost executor costs only the tasks it held.  Where
-the setting is absent (local tests) a folder below the session's temp directory is chosen and set.
+the setting is absent a folder below the session's temp directory is chosen and set, if the session runs in one process
+(local tests); a cluster without the setting is refused, since each executor would write to its own disk.
 """
 
 from __future__ import annotations
@@ -9,25 +10,34 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 
-_FOLDERS: list[tuple[SparkSession, str]] = []
+Folders = list[tuple[SparkSession, str]]
+_lock = Lock()
+_lists: list[Folders] = [[]]
+_owner: ContextVar[Folders] = ContextVar("folders", default=_lists[0])
 
 
 def root(spark: SparkSession) -> str:
     """The shared folder; set here only where the session has none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not (spark.sparkContext.master or "").startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="veilmark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def folder(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
+    """A new path in the shared folder; it goes with ``release``, at the latest when the driver ends."""
     path = f"{root(spark)}/veilmark-{uuid.uuid4().hex}/{label}"
-    _FOLDERS.append((spark, path))
+    _owner.get().append((spark, path))
     return path
 
 
@@ -39,24 +49,36 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def mark() -> int:
-    """How many staged tables there are; ``release`` takes it back."""
-    return len(_FOLDERS)
+@contextmanager
+def owned(folders: Folders) -> Iterator[Folders]:
+    """Folders made in this context (of this thread) are noted here, so that others' work can't release them."""
+    with _lock:
+        _lists.append(folders)
+    before = _owner.set(folders)
+    try:
+        yield folders
+    finally:
+        _owner.reset(before)
 
 
-def release(since: int = 0) -> None:
-    """Delete the tables staged after ``since``; only once what was derived from them has been written."""
-    while len(_FOLDERS) > since:
-        spark, path = _FOLDERS.pop()
+def release(folders: Folders) -> None:
+    """Delete these folders; only once what was derived from them has been written."""
+    while folders:
+        spark, path = folders.pop()
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where.getParent(), True)
-        except Exception:  # noqa: BLE001  the session may be gone at exit; the folder is temporary anyway
+        except Exception:  # noqa: BLE001  the session may be gone at exit
             pass
 
 
-atexit.register(release)
+def _at_exit() -> None:
+    for folders in _lists:
+        release(folders)
+
+
+atexit.register(_at_exit)
 
 
 def tasks(spark: SparkSession) -> int:
