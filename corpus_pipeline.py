@@ -1,11 +1,15 @@
 """The training-data pipeline: documents in, decided and encoded documents out.
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is
-written as Parquet and read again as the next one's docs.
+written as Parquet and read again as the next one's docs.  A stage frees what this thread's stage before it over the same
+folder staged: by contract that one's result has been written.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from threading import get_ident
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,47 +18,32 @@ from veilmark.llm import bpe_codec, jaccard_join, language_id, mixture, staging,
 #: No SQL can express the language model, the similarity join or the encoder; tests hold run() against brute force.
 ORACLE_SQL = None
 
-_since: list[int] = []
-
-
-def _begin() -> None:
-    """Free what an earlier stage staged: by contract its result has been written before the next one is called."""
-    if _since:
-        staging.release(_since[0])
-    _since[:] = [staging.mark()]
-
-
-def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is rejected go; lang is the predicted one from here on."""
-    _begin()
-    return language_id.keep(docs)
-
-
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row of the largest id stays."""
-    _begin()
-    return stream_dedup.keep(docs)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, a similarity of 0.8) stays: that of the smallest id."""
-    _begin()
-    return jaccard_join.keep(docs)
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_staged: dict[tuple[int, str], staging.Folders] = {}
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: documents as often as they are taken, the last one of a shard with just its taken words."""
-    _begin()
-    return mixture.sample(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+def _stage(made: Callable[[DataFrame], DataFrame]) -> Stage:
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        folders = _staged.setdefault((get_ident(), sf_dir), [])
+        staging.release(folders)
+        with staging.owned(folders):
+            return made(docs)
 
+    return run
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of each row of the mixture."""
-    _begin()
-    return bpe_codec.report(docs)
 
+#: Documents whose language is rejected go; lang is the predicted one from here on.
+identify_language = _stage(language_id.keep)
+#: Of equal texts the row of the largest id stays.
+exact_dedup = _stage(stream_dedup.keep)
+#: One document of each group of near copies (five words, a similarity of 0.8) stays: that of the smallest id.
+near_dedup = _stage(jaccard_join.keep)
+#: The mixture: documents as often as they are taken, the last one of a shard with just its taken words.
+mix_sources = _stage(lambda docs: mixture.sample(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)))
+#: Token ids of each row of the mixture, with its language and source, counts and digests.
+encode = _stage(lambda docs: bpe_codec.encode(docs, carry=("lang", "source")))
 
-STAGES = [
+STAGES: list[tuple[str, Stage]] = [
     ("language ID", identify_language),
     ("exact dedup", exact_dedup),
     ("n-gram Jaccard join", near_dedup),
@@ -65,10 +54,15 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: staging.Folders = []
     for name, stage in STAGES[:-1]:
         made = stage(spark, docs, sf_dir)
-        path = staging.folder(spark, name.replace(" ", "-"))
+        with staging.owned([]) as written:
+            path = staging.folder(spark, name.replace(" ", "-"))
         made.write.parquet(path)
         docs = spark.read.schema(made.schema).parquet(path)
-        _since.clear()  # the result just written must outlive the next stage's release
-    return STAGES[-1][1](spark, docs, sf_dir)
+        staging.release(before)
+        before = written
+    encoded = STAGES[-1][1](spark, docs, sf_dir)
+    _staged.pop((get_ident(), sf_dir), None)  # what it hangs on stays until the driver ends
+    return encoded
