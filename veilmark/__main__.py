@@ -43,7 +43,7 @@ def main(argv: list[str]) -> int:
     spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     files = reading.scan(spark, folder)
     read = reading.extract(files)
-    observed = read.select("source", "status", detect.observe(F.col("segments"), F.col("status")).alias("o"), detect.evidence(F.col("segments"), F.col("status")).alias("e"))
+    observed = detect.observed(read, "segments", status="status", with_evidence=True).select("source", "status", "o", "e")
     if command == "observe":
         observed.write.parquet(out)
     elif command == "catalog":
@@ -57,6 +57,7 @@ def main(argv: list[str]) -> int:
         rows = observed.persist()
         with open(out, "w", encoding="utf-8") as page:
             page.write(report.dashboard(summary.totals(rows), summary.mask_counts(rows), summary.hypothesis_counts(rows), summary.extension_counts(rows)))
+        rows.unpersist()
     return 0
 
 

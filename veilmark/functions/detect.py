@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.functions import chars
@@ -42,22 +42,28 @@ def has_bidi(text: Column) -> Column:
     return text.rlike(chars.one_of(chars.BIDI))
 
 
+def only_ascii(text: Column) -> Column:
+    """Such a text holds nothing that is looked for in body texts; a comparison of two lengths says so."""
+    return F.octet_length(text) == F.length(text)
+
+
 def has_mixed_script(text: Column) -> Column:
     """Two cheap tests first: the token pattern is quadratic on long tokens."""
     return text.rlike(_CG) & text.rlike(_L) & text.rlike(MIXED_TOKEN)
 
 
-def mixed_tokens(text: Column) -> Column:
+def mixed_tokens(text: Column, known: Column | None = None) -> Column:
+    """``known``: whether there are any, where that has been found out already."""
     tokens = F.filter(F.split(text, rf"[{_WS}]+"), lambda t: t.rlike(_CG) & t.rlike(_L))
-    return F.when(has_mixed_script(text), tokens).otherwise(F.array().cast("array<string>"))
+    return F.when(has_mixed_script(text) if known is None else known, tokens).otherwise(F.array().cast("array<string>"))
 
 
 def has_payload(text: Column, least: int = 16) -> Column:
     return text.rlike(f"{_INV}{{{least}}}")
 
 
-def invisible_runs(text: Column, least: int = 16) -> Column:
-    """array<struct<start, size, run>> of runs of invisible characters, in order."""
+def invisible_runs(text: Column, least: int = 16, known: Column | None = None) -> Column:
+    """array<struct<start, size, run>> of runs of invisible characters, in order; ``known`` as in ``mixed_tokens``."""
     pieces = F.regexp_extract_all(text, F.lit(f"{_INV}+|[^{_INV[1:-1]}]+"), F.lit(0))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,size:int,run:string>>").alias("found"))
 
@@ -66,7 +72,7 @@ def invisible_runs(text: Column, least: int = 16) -> Column:
         found = F.when((size >= least) & piece.rlike(f"^{_INV}"), F.concat(state["found"], F.array(F.struct(state["at"].alias("start"), size.alias("size"), piece.alias("run"))))).otherwise(state["found"])
         return F.struct((state["at"] + size).alias("at"), found.alias("found"))
 
-    return F.when(has_payload(text, least), F.aggregate(pieces, start, step)["found"]).otherwise(start["found"])
+    return F.when(has_payload(text, least) if known is None else known, F.aggregate(pieces, start, step)["found"]).otherwise(start["found"])
 
 
 def decode_payload(text: Column) -> Column:
@@ -90,41 +96,79 @@ def quoted(token: Column) -> Column:
     return F.concat(mark, F.when(plain.rlike(r"[\p{C}\p{Z}]"), F.array_join(each, "")).otherwise(plain), mark)
 
 
+def _struct(ok: Column, tests: list[Column]) -> Column:
+    ints = [F.coalesce(ok & b, F.lit(False)).cast("int") for b in (F.lit(True), *tests)]
+    return F.struct(*(b.alias(f"h{i}") for i, b in enumerate(ints, 1)), F.concat(*ints[:4], F.lit("-"), *ints[4:]).alias("mask"))
+
+
+def _hidden(segments: Column) -> Column:
+    return F.exists(segments, lambda s: s["kind"].isin(*HIDDEN_KINDS))
+
+
+def _meaningful(least: int):  # noqa: ANN202
+    return lambda s: s["kind"].isin(*OUT_OF_BAND_KINDS) & (F.length(strip(s["text"])) >= least)
+
+
 def observe(segments: Column, status: Column | None = None, density: float = 0.01, payload: int = 16, out_of_band: int = 10) -> Column:
-    """struct<h1..h7, mask>; ``status`` is 'ok' or says why nothing could be extracted."""
+    """struct<h1..h7, mask>; ``status`` is 'ok' or says why nothing could be extracted.
+
+    One expression, for the use inside others; ``observed`` computes what the tests share only once.
+    """
     text = body_text(segments)
-    ok = F.lit(True) if status is None else status == "ok"
-    meaningful = F.exists(segments, lambda s: s["kind"].isin(*OUT_OF_BAND_KINDS) & (F.length(strip(s["text"])) >= out_of_band))
-    bits = [
-        ok,
-        ok & (zero_width_density(text) >= density),
-        ok & has_bidi(text),
-        ok & F.exists(segments, lambda s: s["kind"].isin(*HIDDEN_KINDS)),
-        ok & meaningful,
-        ok & has_mixed_script(text),
-        ok & has_payload(text, payload),
-    ]
-    ints = [F.coalesce(b, F.lit(False)).cast("int") for b in bits]
-    named = [b.alias(f"h{i + 1}") for i, b in enumerate(ints)]
-    return F.struct(*named, F.concat(*ints[:4], F.lit("-"), *ints[4:]).alias("mask"))
+    tests = [zero_width_density(text) >= density, has_bidi(text), _hidden(segments), F.exists(segments, _meaningful(out_of_band)), has_mixed_script(text), has_payload(text, payload)]
+    return _struct(F.lit(True) if status is None else status == "ok", tests)
 
 
-def evidence(segments: Column, status: Column | None = None, payload: int = 16, out_of_band: int = 10) -> Column:
+def _evidence(text: Column, segments: Column | None, zero_width: Column, bidi: Column, mixed: Column, runs: Column, payload: int, out_of_band: int) -> Column:
     """struct<h1..h7: array<string>>; an observation without evidence says "none"."""
-    text = body_text(segments)
+    none = F.array().cast("array<string>")
     or_none = lambda lines: F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit("none")))
     place = lambda s, other: F.coalesce(F.nullif(s["location"], F.lit("")), F.lit(other))
-    dense = F.filter(segments, lambda s: s["kind"].isin(*BODY_KINDS) & (zero_width_count(s["text"]) > 0))
-    h2 = F.transform(dense, lambda s: F.concat(zero_width_count(s["text"]).cast("string"), F.lit(" zero-width chars"), F.coalesce(F.concat(F.lit(" ("), F.nullif(s["location"], F.lit("")), F.lit(")")), F.lit(""))))
-    h3 = F.when(has_bidi(text), F.array(F.lit("bidi control characters present"))).otherwise(F.array().cast("array<string>"))
-    hidden = F.filter(segments, lambda s: s["kind"].isin(*HIDDEN_KINDS))
-    h4 = F.transform(hidden, lambda s: F.when(s["kind"] == "docx_hidden", F.concat(place(s, "unknown"), F.lit(": DOCX concealment: "), F.coalesce(s["concealment"], F.lit("unknown")))).otherwise(F.concat(place(s, "unknown"), F.lit(": "), F.substring(strip(s["text"]), 1, 80))))
-    oob = F.filter(segments, lambda s: s["kind"].isin(*OUT_OF_BAND_KINDS) & (F.length(strip(s["text"])) >= out_of_band))
-    h5 = F.transform(oob, lambda s: F.concat(F.lit("["), s["kind"], F.lit("] "), place(s, ""), F.lit(": "), F.substring(strip(s["text"]), 1, 120)))
-    h6 = F.transform(mixed_tokens(text), lambda t: F.concat(F.lit("token: "), quoted(t)))
-    h7 = F.transform(invisible_runs(text, payload), lambda r: F.concat(r["size"].cast("string"), F.lit(" contiguous invisible chars at offset "), r["start"].cast("string"), F.lit(" -> "), decode_payload(r["run"])))
-    found = F.struct(F.array(F.lit("parsed successfully")).alias("h1"), *(or_none(x).alias(f"h{i}") for i, x in enumerate((h2, h3, h4, h5, h6, h7), 2)))
-    if status is None:
-        return found
+    number = lambda n: F.concat(n.cast("string"), F.lit(" zero-width chars"))
+    if segments is None:
+        h2, h4, h5 = F.array(number(zero_width)), none, none
+    else:
+        dense = F.filter(segments, lambda s: s["kind"].isin(*BODY_KINDS) & (zero_width_count(s["text"]) > 0))
+        h2 = F.transform(dense, lambda s: F.concat(number(zero_width_count(s["text"])), F.coalesce(F.concat(F.lit(" ("), F.nullif(s["location"], F.lit("")), F.lit(")")), F.lit(""))))
+        hidden = F.filter(segments, lambda s: s["kind"].isin(*HIDDEN_KINDS))
+        h4 = F.transform(hidden, lambda s: F.when(s["kind"] == "docx_hidden", F.concat(place(s, "unknown"), F.lit(": DOCX concealment: "), F.coalesce(s["concealment"], F.lit("unknown")))).otherwise(F.concat(place(s, "unknown"), F.lit(": "), F.substring(strip(s["text"]), 1, 80))))
+        h5 = F.transform(F.filter(segments, _meaningful(out_of_band)), lambda s: F.concat(F.lit("["), s["kind"], F.lit("] "), place(s, ""), F.lit(": "), F.substring(strip(s["text"]), 1, 120)))
+    h2 = F.when(zero_width > 0, h2).otherwise(none)
+    h3 = F.when(bidi, F.array(F.lit("bidi control characters present"))).otherwise(none)
+    h6 = F.transform(mixed_tokens(text, mixed), lambda t: F.concat(F.lit("token: "), quoted(t)))
+    h7 = F.transform(invisible_runs(text, payload, runs), lambda r: F.concat(r["size"].cast("string"), F.lit(" contiguous invisible chars at offset "), r["start"].cast("string"), F.lit(" -> "), decode_payload(r["run"])))
+    return F.struct(F.array(F.lit("parsed successfully")).alias("h1"), *(or_none(x).alias(f"h{i}") for i, x in enumerate((h2, h3, h4, h5, h6, h7), 2)))
+
+
+def _unless_refused(found: Column, status: Column | None) -> Column:
     empty = F.array().cast("array<string>")
-    return F.when(status == "ok", found).otherwise(F.struct(F.array(status).alias("h1"), *(empty.alias(f"h{i}") for i in range(2, 8))))
+    return found if status is None else F.when(status == "ok", found).otherwise(F.struct(F.array(status).alias("h1"), *(empty.alias(f"h{i}") for i in range(2, 8))))
+
+
+def evidence(segments: Column, status: Column | None = None, payload: int = 16, out_of_band: int = 10) -> Column:
+    """``_evidence`` as one expression of the segments."""
+    text = body_text(segments)
+    return _unless_refused(_evidence(text, segments, zero_width_count(text), has_bidi(text), has_mixed_script(text), has_payload(text, payload), payload, out_of_band), status)
+
+
+def observed(rows: DataFrame, segments: str | None = None, text: str | None = None, status: str | None = None, with_evidence: bool = False, density: float = 0.01, payload: int = 16, out_of_band: int = 10) -> DataFrame:
+    """rows with o (``observe``) and, if asked for, e (``evidence``), of a column of segments or of one of plain texts.
+
+    The body text and each test are columns, computed once for mask and evidence; texts of ASCII alone are not searched.
+    """
+    own, say = F.col("__text"), F.lit(True) if status is None else F.col(status) == "ok"
+    plain = F.coalesce(only_ascii(own), F.lit(True))
+    made = rows.withColumn("__text", F.col(text) if segments is None else body_text(F.col(segments)))
+    made = made.withColumns({
+        "__zero_width": F.when(plain, 0).otherwise(zero_width_count(own)),
+        "__bidi": ~plain & has_bidi(own),
+        "__mixed": ~plain & has_mixed_script(own),
+        "__runs": ~plain & has_payload(own, payload),
+    })
+    dense = F.coalesce(F.try_divide(F.col("__zero_width").cast("double"), F.length(own).cast("double")), F.lit(0.0)) >= density
+    hidden, said = (F.lit(False), F.lit(False)) if segments is None else (_hidden(F.col(segments)), F.exists(segments, _meaningful(out_of_band)))
+    found = [_struct(say, [dense, F.col("__bidi"), hidden, said, F.col("__mixed"), F.col("__runs")]).alias("o")]
+    if with_evidence:
+        lines = _evidence(own, None if segments is None else F.col(segments), F.col("__zero_width"), F.col("__bidi"), F.col("__mixed"), F.col("__runs"), payload, out_of_band)
+        found.append(_unless_refused(lines, None if status is None else F.col(status)).alias("e"))
+    return made.select(*rows.columns, *found)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilmark.functions import chars, detect
@@ -11,12 +11,20 @@ from veilmark.functions import chars, detect
 def catalog(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, kind, codepoint, count, positions, twin, first: a row for each code point found.
 
-    Only documents that a cheap test lets through are taken apart; ``first`` gives the order of first appearance.
+    Only documents that a cheap test lets through are taken apart, and only at what is looked for: a text is matches
+    and gaps, whose lengths are summed to positions.  What is shuffled are lengths and single characters.
+    ``first`` gives the order of first appearance.
     """
     every = chars.one_of(chars.INVISIBLE)
-    wanted = f"[{every[1:-1]}{''.join(chars.LOOKALIKES)}]"
-    own = docs.select(docs[id_col].alias("doc_id"), detect.without_leading_bom(docs[text]).alias("text")).filter(F.col("text").rlike(wanted))
-    each = own.select("doc_id", F.posexplode(F.split("text", "")).alias("at", "c")).filter(F.col("c").rlike(wanted))
+    inside = f"{every[1:-1]}{''.join(chars.LOOKALIKES)}"
+    own = docs.select(docs[id_col].alias("doc_id"), detect.without_leading_bom(docs[text]).alias("text"))
+    own = own.filter(~detect.only_ascii(F.col("text"))).filter(F.col("text").rlike(f"[{inside}]"))
+    pieces = F.regexp_extract_all("text", F.lit(f"[{inside}]|[^{inside}]+"), F.lit(0))
+    own = own.withColumn("row", F.monotonically_increasing_id())  # before rows are made of pieces
+    each = own.select("doc_id", "row", F.posexplode(pieces).alias("no", "piece"))
+    each = each.select("doc_id", "row", "no", F.length("piece").alias("size"), F.when(F.col("piece").rlike(f"^[{inside}]"), F.col("piece")).alias("c"))
+    ends = F.sum("size").over(Window.partitionBy("row").orderBy("no"))
+    each = each.withColumn("at", (ends - F.col("size")).cast("int")).filter(F.col("c").isNotNull())
     found = each.groupBy("doc_id", "c").agg(F.count(F.lit(1)).alias("count"), F.sort_array(F.collect_list("at")).alias("positions"), F.min("at").alias("first"))
     kind = F.when(F.col("c").rlike(chars.one_of(chars.ZERO_WIDTH)), "H2").when(F.col("c").rlike(chars.one_of(chars.BIDI)), "H3").when(F.col("c").rlike(every), "H7").otherwise("homoglyph")
     point = lambda c: F.concat(F.lit("U+"), F.format_string("%04X", F.ascii(c)))

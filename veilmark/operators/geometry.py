@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilmark.functions.detect import strip
+
 #: The default thresholds.
 THRESHOLDS = {"font_size_px_max": 0.5, "opacity_max": 0.01, "scale_max": 0.01, "line_height_max": 0.0, "pdf_font_size_pt_max": 0.5}
 BOUNDS = {"font_size_px_max": 10.0, "opacity_max": 1.0, "scale_max": 1.0, "line_height_max": 1.0, "pdf_font_size_pt_max": 10.0}
@@ -25,7 +27,7 @@ def checked(thresholds: dict[str, float]) -> dict[str, float]:
 def declarations(style: Column) -> Column:
     """array<struct<name, value>> of an inline style."""
     parts = F.filter(F.split(style, ";"), lambda p: F.contains(p, F.lit(":")))
-    pairs = F.transform(parts, lambda p: F.struct(F.lower(F.trim(F.substring_index(p, ":", 1))).alias("name"), F.trim(F.substring(p, F.instr(p, ":") + 1, F.length(p))).alias("value")))
+    pairs = F.transform(parts, lambda p: F.struct(F.lower(strip(F.substring_index(p, ":", 1))).alias("name"), strip(F.substring(p, F.instr(p, ":") + 1, F.length(p))).alias("value")))
     return F.filter(pairs, lambda d: d["name"] != "")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilmark.sources.reading import suffix
+
 HYPOTHESES = tuple(f"h{i}" for i in range(1, 8))
 
 
@@ -31,7 +33,7 @@ def hypothesis_counts(observed: DataFrame, o: str = "o") -> DataFrame:
 def extension(path: Column) -> Column:
     """The file name's last suffix in lower case; <none> if it has none, as dotfiles don't."""
     name = F.element_at(F.split(path, "/"), -1)
-    return F.coalesce(F.nullif(F.lower(F.regexp_extract(name, r"[^.](\.[^.]+)$", 1)), F.lit("")), F.lit("<none>"))
+    return F.coalesce(F.nullif(F.lower(suffix(name)), F.lit("")), F.lit("<none>"))
 
 
 def extension_counts(sources: DataFrame, path: str = "source") -> DataFrame:

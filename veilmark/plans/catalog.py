@@ -38,7 +38,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, t: planted texts as the text source gives them."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = reading.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return planted.documents(docs).select("doc_id", detect.without_leading_bom(F.col("text")).alias("t"))
 
 
@@ -46,24 +46,20 @@ def _segment(text: Column, visible_: Column, kind: Column, location: Column) ->
     return F.struct(text.alias("text"), visible_.alias("visible"), kind.alias("kind"), location.alias("location"), F.lit(None).cast("string").alias("concealment"))
 
 
-def _plain(text: Column) -> Column:
-    return F.array(_segment(text, F.lit(True), F.lit("body"), F.lit(None).cast("string")))
-
-
 def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir).select("doc_id", detect.observe(_plain(F.col("t"))).alias("o"))
+    return detect.observed(_documents(spark, sf_dir), text="t").select("doc_id", "o")
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, turn, kind, text: turns as segments; what the system says is metadata."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turns = reading.spread(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     text = planted.plant(F.col("text"), F.col("conv_id") * 3 + F.col("turn"), planted.DOCUMENTS)
     return turns.select("conv_id", "turn", "role", F.when(F.col("role") == "system", "metadata").otherwise("body").alias("kind"), text.alias("text"))
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, extension, length, content: planted pages as files."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = reading.spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     content = F.encode(planted.plant(F.col("html"), F.col("page_id"), planted.PAGES), "utf-8")
     return pages.select("page_id", F.lit(".html").alias("extension"), F.length(content).cast("long").alias("length"), content.alias("content"))
 
@@ -235,7 +231,7 @@ def html_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("html_masks", "SELECT page_id, concat('100', (page_id % 2 = 0)::INT, '-', (page_id % 3 = 1 OR page_id % 5 = 2)::INT, '00') AS mask FROM pages")
 def html_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reading.extract(_pages(spark, sf_dir)).select("page_id", detect.observe(F.col("segments"), F.col("status"))["mask"].alias("mask"))
+    return detect.observed(reading.extract(_pages(spark, sf_dir)), "segments", status="status").select("page_id", F.col("o.mask").alias("mask"))
 
 
 _LENGTH = geometry.LENGTH
@@ -306,8 +302,7 @@ _TOKENS = f"list_filter(regexp_split_to_array(t, '[{_WS}]+'), lambda w: regexp_m
         CASE WHEN length(line) > 120 THEN substr(line, 1, 117) || '...' ELSE line END AS evidence FROM y""",
 )
 def evidence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = _plain(F.col("t"))
-    rows = _documents(spark, sf_dir).select("doc_id", detect.observe(segments).alias("o"), detect.evidence(segments).alias("e"))
+    rows = detect.observed(_documents(spark, sf_dir), text="t", with_evidence=True)
     return rows.select("doc_id", "o.mask", summary.row_class(F.col("o")).alias("class"), summary.mask_colour(F.col("o.mask")).alias("colour"), summary.evidence_line(F.col("e")).alias("evidence"))
 
 
@@ -327,13 +322,13 @@ def _files(docs: DataFrame, extension: str, make: Callable[[str, int], bytes]) -
             made = [make(t or "", i) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([extension] * len(made), pa.string()), pa.array(map(len, made), pa.int64()), pa.array(made, pa.binary())], ["doc_id", "extension", "length", "content"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, extension string, length long, content binary")
+    return reading.spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, extension string, length long, content binary")
 
 
 @query("docx_observe", "SELECT doc_id, concat('100', (doc_id % 4 <> 0)::INT, '-000') AS mask FROM documents WHERE trim(text, chr(10) || ' ') <> ''")
 def docx_observe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter(F.length(detect.strip(F.col("text"))) > 0)
-    return reading.extract(_files(docs, ".docx", _word)).select("doc_id", detect.observe(F.col("segments"), F.col("status"))["mask"].alias("mask"))
+    return detect.observed(reading.extract(_files(docs, ".docx", _word)), "segments", status="status").select("doc_id", F.col("o.mask").alias("mask"))
 
 
 @query("encoding_policy", "SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'Extraction refused: unsupported_encoding' ELSE 'ok' END AS status, CASE WHEN doc_id % 3 = 1 THEN 'cp932' END AS encoding, CASE WHEN doc_id % 3 <> 2 THEN 1 ELSE 0 END::BIGINT AS n_segments FROM documents")
@@ -382,7 +377,7 @@ def _page(text: str, doc_id: int) -> bytes:
 @query("pdf_hidden_kinds", "SELECT doc_id, concat('100', (doc_id % 5 <> 0 AND coalesce(text, '') <> '')::INT, '-000') AS mask FROM documents")
 def pdf_hidden_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return reading.extract(_files(docs, ".pdf", _page)).select("doc_id", detect.observe(F.col("segments"), F.col("status"))["mask"].alias("mask"))
+    return detect.observed(reading.extract(_files(docs, ".pdf", _page)), "segments", status="status").select("doc_id", F.col("o.mask").alias("mask"))
 
 
 def _image(text: str, doc_id: int) -> bytes:
@@ -396,7 +391,7 @@ def _image(text: str, doc_id: int) -> bytes:
 @query("image_layers", f"SELECT doc_id, concat('100', (doc_id % 2 = 0)::INT, '-', (length({_STRIPPED}) >= 10)::INT, '00') AS mask FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
 def image_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return reading.extract(_files(docs, ".png", _image)).select("doc_id", detect.observe(F.col("segments"), F.col("status"))["mask"].alias("mask"))
+    return detect.observed(reading.extract(_files(docs, ".png", _image)), "segments", status="status").select("doc_id", F.col("o.mask").alias("mask"))
 
 
 @query("css_rules", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'h1, .gone' ELSE 'div#off' END AS selector, CASE WHEN page_id % 3 = 0 THEN 'display: none' ELSE 'opacity: 0.0' END AS declaration, (page_id % 3 + 1)::BIGINT AS line FROM pages WHERE page_id % 3 < 2")

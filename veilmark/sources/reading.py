@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilmark.functions.detect import SEGMENT
@@ -20,6 +20,8 @@ REFUSALS = (
     "not_regular_file", "file_too_large", "too_many_entries", "part_too_large", "total_too_large", "too_many_elements", "doctype_not_allowed",
     "unsupported_encoding", "duplicate_part", "encrypted", "malformed_xml", "main_part_missing", "unsupported_namespace",
 )
+#: A table smaller than this (half of what Spark gives a task of a scan) is spread over all cores before costly work.
+SPREAD_BYTES = 64 << 20
 #: Files that a directory scan takes.
 EXTENSIONS = (".txt", ".md", ".html", ".htm", ".docx", ".pdf", ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".tif", ".tiff", ".webp")
 
@@ -88,12 +90,25 @@ def plain(data: bytes, limits: Limits) -> list[Segment]:
     return [Segment(decode(data)[0].removeprefix("﻿"), True, "body")]
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores, if they are so few that they may lie in one row group, which one task reads.
+
+    Larger tables have tasks enough and are not shuffled.
+    """
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if int(str(size)) < SPREAD_BYTES else rows
+
+
+def suffix(name: Column) -> Column:
+    """What follows the last dot of a file name, with the dot; empty if nothing does, or nothing stands before it."""
+    return F.regexp_extract(name, r"(?s)^.+(\.[^.]+)$", 1)
+
+
 def scan(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXTENSIONS, recursive: bool = True) -> DataFrame:
     """source, extension, length, content of the folder's files of these extensions, in either case."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     name = F.element_at(F.split("path", "/"), -1)
-    suffix = F.lower(F.regexp_extract(name, r"[^.](\.[^.]+)$", 1))
-    return files.select(F.col("path").alias("source"), suffix.alias("extension"), "length", "content").filter(F.col("extension").isin(*extensions))
+    return files.select(F.col("path").alias("source"), F.lower(suffix(name)).alias("extension"), "length", "content").filter(F.col("extension").isin(*extensions))
 
 
 def extract(files: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008  frozen
