@@ -108,7 +108,7 @@ def test_css_segments():
     [("p", 1), ("P.x.y", 1), (".x .y", 0), ("div > b", 1), ("div b + i", 1), ("b ~ i", 1), ("[data-k]", 1), ("[data-k~=b]", 1), ("[data-k^='a ']", 1), ("i:not(.x)", 1), ("#q :nth-child(2n+1)", 1), ("#q :last-child", 1), ("*", 5), ("q, b", 1), ("::before", 0)],
 )
 def test_selectors(selector, n):
-    assert sum(css.matches(selector, e) for e in css.everything(css.tree(PAGE).root)) == n
+    assert sum(css.matches(selector, e) for e in css.everything(css.page(html.events(PAGE)).root)) == n
 
 
 def test_linked_sheets(spark):

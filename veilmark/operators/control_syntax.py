@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,38 +14,79 @@ from pyspark.sql import functions as F
 
 from veilmark.functions import contract
 
-#: Category, name, pattern.
+#: Category, name, pattern, description.
 VOCABULARY = (
-    ("special_tokens", "openai_im_start", "<|im_start|>"),
-    ("special_tokens", "openai_im_end", "<|im_end|>"),
-    ("special_tokens", "llama_inst_start", "[INST]"),
-    ("special_tokens", "llama_inst_end", "[/INST]"),
-    ("special_tokens", "llama_sys", "<<SYS>>"),
-    ("override_phrases_en", "ignore_previous", "Ignore all previous instructions"),
-    ("override_phrases_en", "disregard_above", "Disregard the text above"),
-    ("override_phrases_en", "developer_mode", "You are now in developer mode"),
-    ("override_phrases_jp", "ignore_previous_jp", "これまでの指示をすべて無視"),
-    ("override_phrases_jp", "priority_override_jp", "ここからの指示が最優先"),
-    ("structural_tags", "system_instruction_tag", "[SYSTEM INSTRUCTION]"),
-    ("structural_tags", "override_tag", "[OVERRIDE]"),
-    ("structural_tags", "markdown_instruction_header", "### Instruction:"),
-    ("structural_tags", "begin_system_override", "--- BEGIN SYSTEM OVERRIDE ---"),
+    ("special_tokens", "openai_im_start", "<|im_start|>", "OpenAI chat template role start marker"),
+    ("special_tokens", "openai_im_end", "<|im_end|>", "OpenAI chat template role end marker"),
+    ("special_tokens", "llama_inst_start", "[INST]", "Llama chat template instruction start marker"),
+    ("special_tokens", "llama_inst_end", "[/INST]", "Llama chat template instruction end marker"),
+    ("special_tokens", "llama_sys", "<<SYS>>", "Llama 2 system prompt marker"),
+    ("override_phrases_en", "ignore_previous", "Ignore all previous instructions", "Classic instruction reset phrase"),
+    ("override_phrases_en", "disregard_above", "Disregard the text above", "Context override phrase"),
+    ("override_phrases_en", "developer_mode", "You are now in developer mode", "Persona and mode hijacking phrase"),
+    ("override_phrases_jp", "ignore_previous_jp", "これまでの指示をすべて無視", "Japanese instruction reset phrase"),
+    ("override_phrases_jp", "priority_override_jp", "ここからの指示が最優先", "Japanese priority override phrase"),
+    ("structural_tags", "system_instruction_tag", "[SYSTEM INSTRUCTION]", "Pseudo system command tag"),
+    ("structural_tags", "override_tag", "[OVERRIDE]", "Pseudo override tag"),
+    ("structural_tags", "markdown_instruction_header", "### Instruction:", "Markdown instruction block header"),
+    ("structural_tags", "begin_system_override", "--- BEGIN SYSTEM OVERRIDE ---", "Pseudo system override fence"),
 )
 BACKING_KINDS = ("metadata",)
 EXCERPT = 30
-_PATTERN = {"type": "object", "keys": {k: {"type": "string", "required": k in ("category", "name", "pattern")} for k in ("category", "name", "pattern", "description")} | {"match": {"type": "string", "enum": ["literal", "regex"], "required": False}, "case_sensitive": {"type": "boolean", "required": False}}}
-SCHEMA = {"type": "object", "keys": {"version": {"type": "string", "required": False}, "lane": {"type": "string", "required": False}, "description": {"type": "string", "required": False}, "backing_kinds": {"type": "array", "item_type": "string", "required": False}, "patterns": {"type": "array", "item_schema": _PATTERN}}}
+_PATTERN = {
+    "type": "object",
+    "keys": {
+        **{k: {"type": "string", "min_len": 1} for k in ("category", "name", "pattern")},
+        "match": {"type": "string", "enum": ["literal", "regex"], "required": False},
+        "case_sensitive": {"type": "boolean", "required": False},
+        "description": {"type": "string", "required": False},
+    },
+}
 
 
-def load(spark: SparkSession, source: str | None = None) -> tuple[DataFrame, tuple[str, ...]]:
-    """(vocabulary, backing kinds): the built-in one, or that of a JSON text, which must fit the schema.
+def _said(kinds: list[str]) -> None:
+    if "" in kinds:
+        raise ValueError("a backing kind must have a name")
+
+
+SCHEMA = {
+    "type": "object",
+    "keys": {
+        **{k: {"type": "string", "required": False} for k in ("version", "lane", "description")},
+        "backing_kinds": {"type": "array", "item_type": "string", "required": False, "validator": _said},
+        "patterns": {"type": "array", "item_schema": _PATTERN},
+    },
+}
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """Patterns (category, name, pattern, description, match, case_sensitive) and the kinds of segments that back them."""
+
+    patterns: tuple[tuple[str, str, str, str, str, bool], ...]
+    backing: tuple[str, ...]
+    source: str
+
+    @property
+    def sha256(self) -> str:
+        """Of the content alone: the same vocabulary has the same digest wherever it comes from."""
+        names = ("category", "name", "pattern", "description", "match", "case_sensitive")
+        content = {"backing_kinds": list(self.backing), "patterns": [dict(zip(names, p)) for p in self.patterns]}
+        return hashlib.sha256(json.dumps(content, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
 
-    A text that isn't JSON gives the built-in vocabulary; one of the wrong shape raises ContractError.
+    def table(self, spark: SparkSession) -> DataFrame:
+        rows = [(i, p[0], p[1], p[2], p[4], p[5]) for i, p in enumerate(self.patterns)]
+        return spark.createDataFrame(rows, "pattern_no int, category string, name string, pattern string, match string, case_sensitive boolean")
+
+
+def vocabulary(text: str | bytes | None = None, source: str = "embedded") -> Vocabulary:
+    """The vocabulary of a JSON text, which must fit SCHEMA; the built-in one if there is none, or it isn't JSON.
+
+    One of the wrong shape, or with a pattern that is no regular expression where it says so, raises ContractError.
     """
-    rows, backing = [(i, *row, "literal", False) for i, row in enumerate(VOCABULARY)], BACKING_KINDS
-    if source is not None:
+    if text is not None:
         try:
-            value = contract.parse_strict(source)
+            value = contract.parse_strict(text)
         except contract.ContractError:
             value = None
         if value is not None:
@@ -55,13 +97,15 @@ def load(spark: SparkSession, source: str | None = None) -> tuple[DataFrame, tup
                         re.compile(p["pattern"])
                     except re.error as e:
                         raise contract.ContractError(f"/patterns/{at}/pattern", f"not a regular expression: {e}") from e
-            rows = [(i, p["category"], p["name"], p["pattern"], p.get("match", "literal"), p.get("case_sensitive", False)) for i, p in enumerate(value["patterns"])]
-            backing = tuple(value.get("backing_kinds", BACKING_KINDS))
-    return spark.createDataFrame(rows, "pattern_no int, category string, name string, pattern string, match string, case_sensitive boolean"), backing
+            patterns = tuple((p["category"], p["name"], p["pattern"], p.get("description", ""), p.get("match", "literal"), p.get("case_sensitive", False)) for p in value["patterns"])
+            return Vocabulary(patterns, tuple(value.get("backing_kinds", BACKING_KINDS)), source)
+    return Vocabulary(tuple((*row, "literal", False) for row in VOCABULARY), BACKING_KINDS, "embedded")
 
 
-def digest(rows: list[dict]) -> str:
-    return hashlib.sha256(json.dumps(rows, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+def load(spark: SparkSession, source: str | None = None) -> tuple[DataFrame, tuple[str, ...]]:
+    """(table of patterns, backing kinds) of ``vocabulary(source)``."""
+    found = vocabulary(source)
+    return found.table(spark), found.backing
 
 
 def offsets(text: Column, pattern: Column) -> Column:
@@ -91,15 +135,31 @@ def _expressions(segments: DataFrame, expressions: list[tuple]) -> DataFrame:
 def scan(segments: DataFrame, vocabulary: DataFrame, backing: tuple[str, ...] = BACKING_KINDS) -> DataFrame:
     """segments (doc_id, seg_no, kind, location, text) with a row for each hit: category, name, offset, backed, excerpt.
 
+    The order of a document's hits is that of seg_no, pattern_no and offset.
+
     The vocabulary is configuration of fixed size, so it is broadcast; each segment and pattern meets in one pass.
     Patterns that are regular expressions are Python's, and run in Arrow batches; literal ones are built-in expressions.
     """
-    fold = lambda c: F.when(F.col("case_sensitive"), c).otherwise(F.lower(c))
-    pairs = segments.join(F.broadcast(vocabulary.filter("match = 'literal' and pattern <> ''")), F.contains(fold(F.col("text")), fold(F.col("pattern"))))
-    hits = pairs.withColumn("offset", F.explode(offsets(fold(F.col("text")), fold(F.col("pattern"))))).withColumn("matched", F.length("pattern"))
+    folded = lambda low, c: F.when(F.col("case_sensitive"), c).otherwise(low)
+    literal = vocabulary.filter("match = 'literal' and pattern <> ''").withColumn("__sought", folded(F.lower("pattern"), F.col("pattern")))
+    own = segments.withColumn("__low", F.lower("text"))  # once for all patterns
+    searched = folded(F.col("__low"), F.col("text"))
+    pairs = own.join(F.broadcast(literal), F.contains(searched, F.col("__sought")))
+    hits = pairs.withColumn("offset", F.explode(offsets(searched, F.col("__sought")))).withColumn("matched", F.length("pattern"))
     expressions = [tuple(r) for r in vocabulary.filter("match = 'regex'").select("pattern_no", "category", "name", "pattern", "case_sensitive").collect()]
     if expressions:
         hits = hits.select(*segments.columns, "pattern_no", "category", "name", "pattern", "offset", "matched").unionByName(_expressions(segments, expressions))
     low = F.greatest(F.lit(0), F.col("offset") - EXCERPT)
     size = F.col("offset") + F.col("matched") + EXCERPT - low
     return hits.select("doc_id", "seg_no", "kind", "location", "pattern_no", "category", "name", "pattern", "offset", F.col("kind").isin(*backing).alias("backed"), F.translate(F.substring("text", low + 1, size), "\r\n\t", "   ").alias("excerpt"))
+
+
+def receipt(hits: DataFrame, used: Vocabulary) -> DataFrame:
+    """doc_id, text, json, n_backed: a document's hits outside backing zones in order, and the number of those inside."""
+    fields = ["category", "name", "pattern", "kind", "location", "offset", "excerpt"]
+    found = F.filter(F.sort_array(F.collect_list(F.struct("seg_no", "pattern_no", "offset", "backed", *(c for c in fields if c != "offset")))), lambda h: ~h["backed"])
+    each = hits.groupBy("doc_id").agg(found.alias("h"), F.count_if("backed").alias("n_backed"))
+    line = lambda h: F.concat(F.lit("- ["), h["category"], F.lit("] "), h["name"], F.lit(" @ "), F.coalesce(h["location"], h["kind"]), F.lit(", offset "), h["offset"].cast("string"), F.lit(": "), h["excerpt"])
+    head = F.concat(F.lit("Control syntax: "), F.col("doc_id").cast("string"), F.lit("\nvocabulary "), F.lit(used.sha256), F.lit(" ("), F.lit(used.source), F.lit(")\nin backing zones: "), F.col("n_backed").cast("string"), F.lit("\n"))
+    told = F.to_json(F.struct("doc_id", F.lit(used.sha256).alias("vocab_sha256"), F.lit(used.source).alias("vocab_source"), "n_backed", F.transform("h", lambda h: F.struct(*(h[c].alias(c) for c in fields))).alias("findings")))
+    return each.select("doc_id", F.concat(head, F.array_join(F.transform("h", line), "\n"), F.when(F.size("h") > 0, "\n").otherwise("")).alias("text"), told.alias("json"), "n_backed")

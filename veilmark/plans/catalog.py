@@ -189,7 +189,7 @@ def marker_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).filter(F.col("t").rlike(_SPECIAL)).select("doc_id", visible.markers(F.col("t")).alias("marked"))
 
 
-_VOCABULARY = "v(pattern_no, category, name, pattern) AS (VALUES " + ", ".join("(%d, '%s', '%s', '%s')" % (i, *row) for i, row in enumerate(control_syntax.VOCABULARY)) + ")"
+_VOCABULARY = "v(pattern_no, category, name, pattern) AS (VALUES " + ", ".join("(%d, '%s', '%s', '%s')" % (i, *row[:3]) for i, row in enumerate(control_syntax.VOCABULARY)) + ")"
 _HITS = """m AS (SELECT s.*, v.*, string_split(lower(t), lower(pattern)) AS parts FROM s JOIN v ON contains(lower(t), lower(pattern))),
     n AS (SELECT *, unnest(parts[:-2]) AS part, generate_subscripts(parts[:-2], 1) AS i FROM m),
     h AS (SELECT *, (sum(length(part)) OVER (PARTITION BY key, seg_no, pattern_no ORDER BY i) + (i - 1) * length(pattern))::BIGINT AS "offset" FROM n)"""
@@ -223,10 +223,23 @@ def oob_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.extract(_pages(spark, sf_dir)).select("page_id", of("comment").alias("comments"), of("hidden_attr").alias("attributes")).filter("comments + attributes > 0")
 
 
-@query("html_segments")
+_TAG_LIKE = r"(?s)<!--.*?-->|<[^>]*>|[^<]+"
+_UNESCAPED = "replace(replace(replace(replace(replace(tok, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&'), '&amp', '&')"
+
+
+@query(
+    "html_segments",
+    rf"""WITH h AS (SELECT page_id, regexp_extract_all(regexp_replace(regexp_replace({planted.sql('html', 'page_id', planted.PAGES)}, '(?s)<script[^>]*>.*?</script>', '<script></script>', 'g'), '(?s)<style[^>]*>.*?</style>', '<style></style>', 'g'), '{_TAG_LIKE}') AS toks FROM pages),
+    t AS (SELECT page_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM h),
+    u AS (SELECT *, sum(length(tok) - length(replace(tok, chr(10), ''))) OVER w AS breaks, lag(tok) OVER w AS before, CASE WHEN starts_with(tok, '<!--') THEN 'comment' WHEN starts_with(tok, '<') THEN 'tag' ELSE 'text' END AS what FROM t WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+    v AS (SELECT page_id, i, 0 AS k, before IS DISTINCT FROM '<div style="display:none">' AS visible, CASE WHEN before = '<div style="display:none">' THEN 'css_hidden' ELSE 'body' END AS kind, concat('line ', breaks + 1) AS location, {_UNESCAPED} AS text FROM u WHERE what = 'text'
+        UNION ALL SELECT page_id, i, 0, false, 'comment', concat('line ', breaks + 1 - (length(tok) - length(replace(tok, chr(10), '')))), trim(substr(tok, 5, length(tok) - 7)) FROM u WHERE what = 'comment' AND length(trim(substr(tok, 5, length(tok) - 7))) >= 10
+        UNION ALL SELECT page_id, i, 1, false, 'hidden_attr', concat('line ', breaks + 1, ', <img> @alt'), regexp_extract(tok, 'alt="([^"]*)"', 1) FROM u WHERE what = 'tag' AND contains(tok, ' alt="'))
+    SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i, k) - 1)::BIGINT AS seg_no, visible, kind, location, text FROM v WHERE {_STRIPPED.replace('t,', 'text,', 1)} <> ''""",
+)
 def html_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = reading.extract(_pages(spark, sf_dir)).select("page_id", F.posexplode("segments").alias("seg_no", "s"))
-    return found.select("page_id", "seg_no", "s.visible", "s.kind", "s.location", "s.text")
+    return found.select("page_id", F.col("seg_no").cast("long").alias("seg_no"), "s.visible", "s.kind", "s.location", "s.text")
 
 
 @query("html_masks", "SELECT page_id, concat('100', (page_id % 2 = 0)::INT, '-', (page_id % 3 = 1 OR page_id % 5 = 2)::INT, '00') AS mask FROM pages")
@@ -403,8 +416,89 @@ def css_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(page, r.selector, next(f"{n}: {v}" for n, v in r.declarations if css.hides(n, v)), r.line) for page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for sheet in css.tree(text).sheets for r in css.rules(sheet) if any(css.hides(n, v) for n, v in r.declarations)]
+            rows = [(page, r.selector, f"{r.hiding().name}: {r.hiding().value}", r.line) for page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for _, sheet in css.page(html.events(text)).sheets for r in css.rules(sheet) if r.hiding()]
             page, selector, declaration, line = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(selector, pa.string()), pa.array(declaration, pa.string()), pa.array(line, pa.int64())], ["page_id", "selector", "declaration", "line"])
 
     return pages.mapInArrow(run, "page_id long, selector string, declaration string, line long")
+
+
+#: What stands before a page, by page_id % 4: sheets of its own, and links to sheets that are or aren't there.
+_HEADS = (
+    '<style>\np { color: red;\n  font-size:\n 0.2px }\n.a, .b { opacity: 0.005 !important }</style>',
+    '<link rel="stylesheet" href="./sheets/thin.css"><link rel="stylesheet" href="../out.css">',
+    '<style>@media print { p { opacity: 0 } } h1 { transform: scale(0) scaleX(1) }</style><link rel="Stylesheet" href="https://x.example/a.css"><p style="\topacity:0; line-height :0px">x</p>',
+    '<link rel="icon" href="sheets/thin.css">',
+)
+_THIN = "/* thin */ td { line-height: 0 }\ntd::after { content: '}'; font-size: .5px }"
+
+
+def _styled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pages with a head, as files (source, content), and the sheets that lie beside them (path, css)."""
+    head = F.element_at(F.array(*map(F.lit, _HEADS)), (F.col("page_id") % 4 + 1).cast("int"))
+    pages = reading.spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    pages = pages.select("page_id", F.concat(F.lit("site/page"), F.col("page_id").cast("string"), F.lit(".html")).alias("source"), F.encode(F.concat(head, F.coalesce("html", F.lit(""))), "utf-8").alias("content"))
+    return pages, spark.createDataFrame([("site/sheets/thin.css", _THIN), ("out.css", _THIN)], "path string, css string")
+
+
+_FOUND = (
+    (0, "style_block", "inline <style> (html line 1), css line 3, selector: p", "font_size_tiny", "0.2px", 0.2),
+    (0, "style_block", "inline <style> (html line 1), css line 5, selector: .a, .b", "opacity_near_zero", "0.005", 0.005),
+    (1, "linked_css", "<link> thin.css, css line 1, selector: td", "line_height_zero", "0", 0.0),
+    (1, "linked_css", "<link> thin.css, css line 2, selector: td::after", "font_size_tiny", ".5px", 0.5),
+    (2, "inline_style", "line 1, <p>", "opacity_near_zero", "0", 0.0),
+    (2, "inline_style", "line 1, <p>", "line_height_zero", "0px", 0.0),
+    (2, "style_block", "inline <style> (html line 1), css line 1, selector: h1", "scale_collapse", "scale(0) scaleX(1)", 0.0),
+)
+
+
+@query(
+    "geometry_sheets",
+    "WITH f(r, no, origin, location, rule, value, measured) AS (VALUES " + ", ".join(f"({r}, {i}, '{o}', '{l}', '{rule}', '{v}', {m}::DOUBLE)" for i, (r, o, l, rule, v, m) in enumerate(_FOUND)) + ") SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY no) - 1)::BIGINT AS no, origin, location, rule, value, measured FROM pages JOIN f ON page_id % 4 = r",
+)
+def geometry_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings in a page's own styles, sheets and linked sheets, in the order of the lane."""
+    pages, sheets = _styled(spark, sf_dir)
+    found = geometry.audit(geometry.declared(pages, sheets))
+    rows = found.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("part", "no", "sub", "nth", "origin", "location", "rule", "value", "measured"))).alias("f"))
+    page_id = F.regexp_extract("source", r"page(\d+)", 1).cast("long").alias("page_id")
+    return rows.select(page_id, F.posexplode("f").alias("n", "f")).select("page_id", F.col("n").cast("long").alias("no"), "f.origin", "f.location", "f.rule", "f.value", F.aggregate("f.measured", F.lit(0.0), lambda a, x: a + x).alias("measured"))
+
+
+@query(
+    "geometry_scanned",
+    "SELECT page_id, (page_id % 4 = 2)::BIGINT * 2 AS inline_declarations, (page_id % 2 = 0)::BIGINT + 1 AS style_blocks, (page_id % 4 = 1)::BIGINT AS linked_css_files, (page_id % 4 IN (1, 2))::BIGINT AS linked_css_unresolved FROM pages WHERE page_id >= 0",
+)
+def geometry_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each page the lane has looked at."""
+    pages, sheets = _styled(spark, sf_dir)
+    found = geometry.scanned(geometry.declared(pages, sheets))
+    return found.select(F.regexp_extract("source", r"page(\d+)", 1).cast("long").alias("page_id"), *found.columns[1:])
+
+
+_CSS_HIDDEN = (
+    '<style>\n.gone, #x { color: red; DISPLAY : none !important }\np { visibility: hidden }</style><p>first</p>',
+    '<link rel="stylesheet" href="hide.css"><div hidden title="a title of some length">second</div>',
+    '<style>span > b { text-indent: -9999px }</style><span style="left:-12345px"><b>third</b></span>',
+)
+_CSS_FOUND = (
+    (0, "css", "inline <style>, line 2, selector: .gone, #x", "DISPLAY: none"), (0, "css", "inline <style>, line 3, selector: p", "visibility: hidden"),
+    (1, "css", "<link> hide.css, line 1, selector: .far", "top: -10000px"), (2, "css", "inline <style>, line 1, selector: span > b", "text-indent: -9999px"),
+    (0, "full", "inline <style>, line 3, selector: p (matched 1)", "visibility: hidden"), (2, "full", "inline <style>, line 1, selector: span > b (matched 1)", "text-indent: -9999px"),
+    (1, "css", "line 1", "second"), (1, "full", "line 1, <div>", "second"), (1, "full", "line 1, <div> inline style", "(hidden attribute)"),
+    (2, "css", "line 1", "third"), (2, "full", "line 1, <b>", "third"), (2, "full", "line 1, <span> inline style", "left:-12345px"),
+)
+
+
+@query(
+    "css_segments",
+    "WITH f(r, reader, location, text) AS (VALUES " + ", ".join(f"({r}, '{k}', '{l}', '{t}')" for r, k, l, t in _CSS_FOUND) + ") SELECT page_id, reader, location, text FROM pages JOIN f ON page_id % 3 = r",
+)
+def css_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What both style-sheet readers call hidden in a page's planted part; linked sheets come by a join."""
+    head = F.element_at(F.array(*map(F.lit, _CSS_HIDDEN)), (F.col("page_id") % 3 + 1).cast("int"))
+    pages = reading.spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    pages = pages.select("page_id", F.concat(F.lit("site/"), F.col("page_id").cast("string")).alias("source"), F.encode(head, "utf-8").alias("content"))
+    sheets = spark.createDataFrame([("site/hide.css", ".far { top: -10000px; left: 0 }")], "path string, css string")
+    made = [css.extract(pages, sheets, full).select("page_id", F.lit("full" if full else "css").alias("reader"), F.explode("segments").alias("s")) for full in (False, True)]
+    return made[0].unionByName(made[1]).filter("s.kind = 'css_hidden'").select("page_id", "reader", "s.location", "s.text")

@@ -8,7 +8,7 @@ other events, so nothing is buffered while parsing.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 from itertools import groupby
@@ -32,10 +32,10 @@ class Event:
     line: int
     attributes: dict[str, str] = field(default_factory=dict)
 
-    def conceals(self) -> bool:
-        """Whether an opening tag hides its own content."""
+    def conceals(self, hiding: Callable[[str], bool] = lambda style: HIDING.search(style) is not None) -> bool:
+        """Whether an opening tag hides its own content; ``hiding`` judges its style."""
         a = self.attributes
-        return "hidden" in a or a.get("aria-hidden") == "true" or HIDING.search(a.get("style", "")) is not None
+        return "hidden" in a or a.get("aria-hidden") == "true" or hiding(a.get("style", ""))
 
 
 @dataclass(frozen=True)
@@ -46,8 +46,8 @@ class Scope:
     concealed: bool = False
     around: Scope | None = None
 
-    def within(self, event: Event) -> Scope:
-        return self if event.value in VOID else Scope(event.value, self.concealed or event.conceals(), self)
+    def within(self, event: Event, conceals: Callable[[Event], bool]) -> Scope:
+        return self if event.value in VOID else Scope(event.value, self.concealed or conceals(event), self)
 
     def after(self, tag: str) -> Scope:
         """What is open once the nearest element of that name has ended; an end without a beginning changes nothing."""
@@ -90,15 +90,15 @@ def events(page: str) -> list[Event]:
     return _Recorder(page.removeprefix("﻿")).events
 
 
-def scoped(page: list[Event]) -> Iterator[tuple[Event, Scope, bool]]:
-    """Each event with the scope that it stands in, and whether that is code."""
+def scoped(page: list[Event], conceals: Callable[[Event], bool] = Event.conceals, outside: frozenset[str] = frozenset()) -> Iterator[tuple[Event, Scope, bool]]:
+    """Each event with the scope that it stands in, and whether that is code; tags ``outside`` open no scope."""
     scope, code = Scope(), False
     for event in page:
         yield event, scope, code
         if event.kind == "open":
-            scope, code = scope.within(event), code or event.value in CODE
+            scope, code = scope if event.value in outside else scope.within(event, conceals), code or event.value in CODE
         elif event.kind == "close":
-            scope, code = scope.after(event.value), code and event.value not in CODE
+            scope, code = scope if event.value in outside else scope.after(event.value), code and event.value not in CODE
 
 
 def spoken(event: Event) -> Iterator[Segment]:
@@ -109,10 +109,10 @@ def spoken(event: Event) -> Iterator[Segment]:
             yield Segment(value, False, "hidden_attr", f"line {event.line}, <{event.value}> @{name}")
 
 
-def segments(page: list[Event]) -> Iterator[Segment]:
+def segments(page: list[Event], conceals: Callable[[Event], bool] = Event.conceals, outside: frozenset[str] = frozenset()) -> Iterator[Segment]:
     """A text's location is the line of the event that ends it."""
     pending = ("", False)
-    for is_text, run in groupby(scoped(page), key=lambda s: s[0].kind == "text"):
+    for is_text, run in groupby(scoped(page, conceals, outside), key=lambda s: s[0].kind == "text"):
         if is_text:
             parts = list(run)
             pending = ("".join(e.value for e, _, code in parts if not code), parts[-1][1].concealed)
@@ -122,7 +122,7 @@ def segments(page: list[Event]) -> Iterator[Segment]:
             if text.strip():
                 yield Segment(text, not concealed, "css_hidden" if concealed else "body", f"line {event.line}")
             pending = ("", False)
-            if event.kind == "open":
+            if event.kind == "open" and event.value not in outside:
                 yield from spoken(event)
             elif event.kind == "comment" and len(event.value.strip()) >= LEAST:
                 yield Segment(event.value.strip(), False, "comment", f"line {event.line}")
