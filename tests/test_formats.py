@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 
@@ -7,23 +8,29 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilmark.functions import detect
-from veilmark.operators import report, summary
-from veilmark.sources import css, pdf, png, reading
+from veilmark.functions import contract, detect
+from veilmark.operators import control_syntax, geometry, report, summary
+from veilmark.sources import css, html, pdf, png, reading
 
 LIMITS = reading.Limits()
 
 
-def page(content: str, flate: bool = False, extra: str = "") -> bytes:
+def page(content: str, flate: bool = False, extra: str = "", forms: str = "", more: tuple[str, ...] = ()) -> bytes:
     body = zlib.compress(content.encode()) if flate else content.encode()
     head = f"<< /Length {len(body)} {'/Filter /FlateDecode' if flate else ''} >>"
     parts = [
-        b"1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj",
+        b"1 0 obj << /Type /Catalog /Pages 2 0 R /OCProperties << /D << /OFF [20 0 R] >> >> >> endobj",
         b"2 0 obj << /Type /Pages /Kids [3 0 R] /Count 1 /MediaBox [0 0 612 792] >> endobj",
-        f"3 0 obj << /Type /Page /Parent 2 0 R /Contents 4 0 R {extra} >> endobj".encode(),
+        f"3 0 obj << /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources << /XObject << /Im 7 0 R {forms} >> /Properties << /L 20 0 R /M 21 0 R /V 22 0 R >> >> {extra} >> endobj".encode(),
         f"4 0 obj {head}\nstream\n".encode() + body + b"\nendstream endobj",
         b"5 0 obj << /Title (A long enough title) /Author (short) >> endobj",
         b"6 0 obj << /Type /Annot /Contents (A note \\(long\\) enough) >> endobj",
+        b"7 0 obj << /Type /XObject /Subtype /Image >> endobj",
+        b"20 0 obj << /Type /OCG /Name (Hidden  one) >> endobj",
+        b"21 0 obj << /Type /OCMD /OCGs [20 0 R 23 0 R] /P /AllOn >> endobj",
+        b"22 0 obj << /Type /OCMD /OCGs [20 0 R] /VE [] >> endobj",
+        b"23 0 obj << /Type /OCG /Name (Shown) >> endobj",
+        *(m.encode() for m in more),
     ]
     return b"%PDF-1.4\n" + b"\n".join(parts) + b"\ntrailer << /Root 1 0 R /Info 5 0 R >>\nstartxref\n0\n%%EOF"
 
@@ -46,7 +53,7 @@ def pieces(content: str, **how) -> list[tuple[str, str]]:
 def test_hidden_pdf_text(content, label):
     for flate in (False, True):
         found = pieces(content, flate=flate)
-        assert found == ([("secret", "page 1")] if label is None else [("", "page 1"), ("secret", f"page 1 ({label})")])
+        assert found == ([("secret", "page 1")] if label is None else [("secret", f"page 1 ({label})")])  # a page without visible text has no body
 
 
 def test_pdf_parts_and_failures():
@@ -57,6 +64,51 @@ def test_pdf_parts_and_failures():
         pdf.pdf(page("") + b"/Encrypt", LIMITS)
 
 
+def form(number: int, content: str, extra: str = "") -> str:
+    return f"{number} 0 obj << /Type /XObject /Subtype /Form /Length {len(content)} {extra} >>\nstream\n{content}\nendstream endobj"
+
+
+SHOW = "BT /F1 12 Tf 72 700 Td (%s) Tj ET"
+
+
+@pytest.mark.parametrize(
+    ("content", "want"),
+    [
+        ("/OC /L BDC " + SHOW % "x" + " EMC " + SHOW % "y", [("y", "page 1"), ("x", "page 1 (off_layer 'Hidden one')")]),
+        ("/OC /M BDC " + SHOW % "x" + " EMC", [("x", "page 1 (off_layer '/M')")]),
+        ("/OC /V BDC " + SHOW % "x" + " EMC", [("", "page 1 (Extraction failed)")]),
+        ("/OC /None BDC " + SHOW % "x" + " EMC", [("", "page 1 (Extraction failed)")]),
+        ("/Span << /A 1 >> BDC q " + SHOW % "x" + " Q EMC", [("x", "page 1")]),
+        ("3 Tr /Fm Do", [("inner", "page 1 (form '/Fm', invisible text, Tr 3)")]),
+        ("/Fm Do 0 g /Fm Do", [("innerinner", "page 1")]),
+        ("/Fm Do 1 g /Fm Do", [("", "page 1 (Extraction failed)")]),
+        (SHOW % "x", [("x", "page 1")]),
+        ("/Round Do", [("", "page 1")][:0]),
+        ("/Deep Do", [("far", "page 1 (form '/Fx', off_layer 'Hidden one')")]),
+    ],
+)
+def test_forms_and_layers(content, want):
+    forms = "/Fm 10 0 R" if "/Fm" in content else "/Round 11 0 R" if "/Round" in content else "/Deep 12 0 R" if "/Deep" in content else ""
+    more = (
+        form(10, SHOW % "inner"), form(11, "/Self Do", "/Resources << /XObject << /Self 11 0 R >> >>"),
+        form(12, "/Fx Do", "/Resources << /XObject << /Fx 13 0 R >> >>"), form(13, SHOW % "far", "/OC 20 0 R"),
+    )
+    assert pieces(content, forms=forms, more=more) == want
+
+
+def test_counts_and_loose_forms():
+    made = page("0 g 50 650 300 100 re f 1 g " + SHOW % "x" + " /Pattern cs /P1 scn " + SHOW % "y", forms="/Fm 10 0 R", more=(form(10, SHOW % "loose\\342\\200"),))
+    found = pdf.pdf(made, LIMITS)
+    assert found.counts == {"color_unresolved": 1, "white_on_painted": 1} and [s.text for s in found if s.kind == "body"] == ["xy"]
+    where, counts = pdf.audit(page("BT /F1 0.1 Tf ET", forms="/Fm 10 0 R", more=(form(10, "BT /F1 0.2 Tf ET"),)))
+    assert [(o, w, m) for o, w, _, m in where] == [("page_stream", "page 1", [0.1]), ("form_stream", "page 1 (form '/Fm')", [0.2])]
+    assert counts == {"pages": 1, "page_streams": 1, "form_xobjects": 1, "streams_unreadable": 0, "operators_seen": 6}
+
+
+def test_labels_are_clean():
+    assert pdf.cleaned("a\t b\u200b\x00 " + "c" * 50) == "a b " + "c" * 36 + "..." and pdf.cleaned("\u200b") == ""
+
+
 def test_pdf_geometry():
     found = pdf.geometry(page("BT /F1 0.5 Tf 1 0 0 1 700 10 Tm 1 0 0 1 612 792 Tm /F1 0.51 Tf ET"))
     assert found == [("pdf_font_size_tiny", "page 1", [0.5]), ("pdf_text_out_of_bounds", "page 1", [700.0, 10.0])]
@@ -105,7 +157,7 @@ def test_css_segments():
 
 @pytest.mark.parametrize(
     ("selector", "n"),
-    [("p", 1), ("P.x.y", 1), (".x .y", 0), ("div > b", 1), ("div b + i", 1), ("b ~ i", 1), ("[data-k]", 1), ("[data-k~=b]", 1), ("[data-k^='a ']", 1), ("i:not(.x)", 1), ("#q :nth-child(2n+1)", 1), ("#q :last-child", 1), ("*", 5), ("q, b", 1), ("::before", 0)],
+    [("p", 1), ("P.x.y", 1), (".x .y", 0), ("div > b", 1), ("div b + i", 1), ("b ~ i", 1), ("[data-k]", 1), ("[data-k~=b]", 1), ("[data-k^='a ']", 1), ("i:not(.x)", 1), ("#q :nth-child(2n+1)", 1), ("#q :last-child", 1), ("*", 4), ("q, b", 1), ("::before", 0)],
 )
 def test_selectors(selector, n):
     assert sum(css.matches(selector, e) for e in css.everything(css.page(html.events(PAGE)).root)) == n
@@ -127,3 +179,73 @@ def test_reports(spark):
     assert report.receipt({"é": 1}) == '{\n  "é": 1\n}\n'
     made = report.dashboard(summary.totals(rows), summary.mask_counts(rows), summary.hypothesis_counts(rows), summary.extension_counts(rows), "ja")
     assert "1100-001" in made and "ゼロ幅密度" in made
+
+
+def test_rules_of_odd_sheets():
+    sheet = "<!-- /* } */ @import 'x;y'; a::after { content: '}'; color: red !IMPORTANT } -->\n@media x { b { opacity: 0 } } c\n{ *zoom: 1; display : none; --x: { y: z } } d { font-size: 0"
+    found = [(r.selector, r.line, [(d.name, d.value, d.line, d.important) for d in r.declarations]) for r in css.rules(sheet)]
+    assert found == [
+        ("a::after", 1, [("content", "'}'", 1, False), ("color", "red", 1, True)]),
+        ("c", 2, [("display", "none", 3, False), ("--x", "{ y: z }", 3, False)]),
+        ("d", 3, [("font-size", "0", 3, False)]),
+    ]
+
+
+def test_linked_sheets_stay_in_the_folder(spark):
+    pages = spark.createDataFrame([("f/a.html", b"<link rel=stylesheet href='s/x%20y.css'><link rel=stylesheet href='../f/s.css'><link rel=stylesheet href='/abs.css'><p>t</p>")], "source string, content binary")
+    sheets = spark.createDataFrame([("f/s/x y.css", "p { display:none }"), ("f/s.css", "p { opacity:0 }"), ("/abs.css", "p { opacity:0 }")], "path string, css string")
+    for full, end in ((False, ""), (True, " (matched 1)")):
+        (row,) = css.extract(pages, sheets, full).collect()
+        assert [(s.kind, s.text, s.location) for s in row.segments] == [("body", "t", "line 1, <p>" if full else "line 1"), ("css_hidden", "display: none", f"<link> x y.css, line 1, selector: p{end}")]
+
+
+def test_geometry_white_space_and_receipt(spark):
+    page_ = b"<p style='color:red;\n  font-size:\n0'>a</p><p style='\topacity:0'>b</p><style>q { line-height: 0 !important }</style>"
+    table = geometry.declared(spark.createDataFrame([("p.html", page_)], "source string, content binary"))
+    found = geometry.audit(table)
+    assert sorted((r.origin, r.rule, r.value, r.location) for r in found.collect()) == [
+        ("inline_style", "font_size_tiny", "0", "line 1, <p>"), ("inline_style", "opacity_near_zero", "0", "line 3, <p>"),
+        ("style_block", "line_height_zero", "0", "inline <style> (html line 3), css line 1, selector: q"),
+    ]
+    assert [tuple(r) for r in geometry.scanned(table).collect()] == [("p.html", 3, 1, 0, 0)]
+    (told,) = geometry.receipt(found, geometry.load()).collect()
+    assert told.text.count("\n- ") == 3 and len(json.loads(told.json)["observations"]) == 3
+
+
+def test_pinned_digests():
+    """Digests of the built-in vocabulary and thresholds, the same from a document of the same content."""
+    assert control_syntax.vocabulary().sha256 == "27734e17bd334d7a66ffad7b5a9e1ebe8c918d3badc8b6240d115d9804956fbf"
+    assert geometry.load().sha256 == "70f2bdb5f29ffbd7a73bae318a3da5c7195dec30fb8d71cd7bb2ef0759fa4540"
+    patterns = [{"category": c, "name": n, "pattern": p, "description": d} for c, n, p, d in control_syntax.VOCABULARY]
+    document = json.dumps({"lane": "x", "backing_kinds": ["metadata"], "patterns": patterns})
+    assert control_syntax.vocabulary(document, "file").sha256 == control_syntax.vocabulary().sha256
+    assert geometry.load(json.dumps({"version": "9", "thresholds": geometry.THRESHOLDS}), "file").sha256 == geometry.load().sha256
+    assert geometry.load("{not json").source == control_syntax.vocabulary("{not json").source == "embedded"
+    for bad in ({"thresholds": {}}, {"thresholds": geometry.THRESHOLDS, "more": 1}, {"thresholds": geometry.THRESHOLDS | {"opacity_max": 2}}):
+        with pytest.raises(contract.ContractError):
+            geometry.load(json.dumps(bad))
+    for bad in ({"patterns": [{"category": "", "name": "n", "pattern": "p"}]}, {"patterns": [], "backing_kinds": [""]}, {"patterns": [{"category": "c", "name": "n", "pattern": "(", "match": "regex"}]}):
+        with pytest.raises(contract.ContractError):
+            control_syntax.vocabulary(json.dumps(bad))
+
+
+def test_control_receipt(spark):
+    used = control_syntax.vocabulary()
+    rows = [(1, 0, "body", "line 1", "x [INST] y"), (1, 1, "metadata", "m", "[INST]"), (2, 0, "comment", None, "[OVERRIDE][OVERRIDE]")]
+    hits = control_syntax.scan(spark.createDataFrame(rows, "doc_id long, seg_no int, kind string, location string, text string"), used.table(spark), used.backing)
+    found = {r.doc_id: r for r in control_syntax.receipt(hits, used).collect()}
+    assert found[1].n_backed == 1 and found[1].text.endswith("- [special_tokens] llama_inst_start @ line 1, offset 2: x [INST] y\n")
+    assert [f["offset"] for f in json.loads(found[2].json)["findings"]] == [0, 10]
+
+
+def test_diagnostics(spark):
+    rows = spark.createDataFrame([("a​" * 3 + "bcd", "cp932", {"b": 2, "a": 1}, "ok"), ("", None, None, "ok"), ("x", None, None, "Extraction failed: X")], "t string, e string, c map<string,bigint>, s string")
+    found = [json.loads(r[0]) for r in rows.select(detect.diagnostics(F.col("t"), F.col("e"), F.col("c"), F.col("s"))).collect()]
+    same = {"zero_width_threshold": 0.01, "payload_min_length": 16, "oob_min_length": 10, "version": detect.VERSION}
+    assert found == [{"zero_width_density": 0.3333, **same, "encoding_name": "cp932", "a": 1, "b": 2}, {"zero_width_density": 0.0, **same}, {"version": detect.VERSION}]
+
+
+def test_last_suffixes(spark):
+    names = ["a.txt", "foo..txt", ".txt", "..txt", "a.txt.", "A.B.C", "none"]
+    found = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(reading.suffix(F.col("n"))).collect()]
+    assert found == [".txt", ".txt", "", ".txt", "", ".C", ""]

@@ -502,3 +502,69 @@ def css_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     sheets = spark.createDataFrame([("site/hide.css", ".far { top: -10000px; left: 0 }")], "path string, css string")
     made = [css.extract(pages, sheets, full).select("page_id", F.lit("full" if full else "css").alias("reader"), F.explode("segments").alias("s")) for full in (False, True)]
     return made[0].unionByName(made[1]).filter("s.kind = 'css_hidden'").select("page_id", "reader", "s.location", "s.text")
+
+
+@query(
+    "diagnostics",
+    f"""WITH {_D}, x AS (SELECT doc_id, ({_DENSITY}) AS density FROM d)
+    SELECT doc_id, round(density * 10000)::BIGINT AS density_e4, 0.01::DOUBLE AS threshold, 16::BIGINT AS payload, 10::BIGINT AS out_of_band FROM x""",
+)
+def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _documents(spark, sf_dir).select("doc_id", F.from_json(detect.diagnostics(F.col("t")), "zero_width_density double, zero_width_threshold double, payload_min_length long, oob_min_length long").alias("j"))
+    return made.select("doc_id", F.round(F.col("j.zero_width_density") * 10_000).cast("long").alias("density_e4"), F.col("j.zero_width_threshold").alias("threshold"), F.col("j.payload_min_length").alias("payload"), F.col("j.oob_min_length").alias("out_of_band"))
+
+
+def _layered(text: str, doc_id: int) -> bytes:
+    """A page with a layer that is off, a form drawn in white on a painted box or on none, and a form that nothing draws."""
+    shown = str(doc_id).encode()
+    content = {
+        0: b"BT /F1 12 Tf 72 700 Td (seen" + shown + b") Tj ET /OC /L1 BDC BT /F1 12 Tf 72 600 Td (off" + shown + b") Tj ET EMC /Fm0 Do",
+        1: b"0 g 60 590 400 40 re f 1 g /Fm0 Do 0 g BT /F1 12 Tf 72 300 Td (after) Tj ET",
+        2: b"1 g /Fm0 Do",
+        3: b"BT /F1 12 Tf 72 700 Td (one) Tj ET 3 Tr /Fm0 Do 0 Tr /Fm0 Do",
+    }[doc_id % 4]
+    form = b"BT /F1 12 Tf 72 600 Td (form" + shown + b") Tj ET"
+    loose = b"BT 3 Tr /F1 0.2 Tf 1 0 0 1 900 10 Tm (loose" + shown + b") Tj ET"
+    stream = lambda n, head, body: b"%d 0 obj << %s /Length %d >>\nstream\n%s\nendstream endobj" % (n, head, len(body), body)
+    return b"\n".join([
+        b"%PDF-1.5", b"1 0 obj << /Type /Catalog /Pages 2 0 R /OCProperties << /OCGs [7 0 R] /D << /OFF [7 0 R] >> >> >> endobj", b"2 0 obj << /Type /Pages /Kids [3 0 R] /MediaBox [0 0 612 792] >> endobj",
+        b"3 0 obj << /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources << /Properties << /L1 7 0 R >> /XObject << /Fm0 5 0 R /Fm1 6 0 R >> >> >> endobj",
+        stream(4, b"", content), stream(5, b"/Type /XObject /Subtype /Form", form), stream(6, b"/Type /XObject /Subtype /Form", loose),
+        b"7 0 obj << /Type /OCG /Name (Draft\011layer) >> endobj", b"trailer << /Root 1 0 R >>\nstartxref\n0\n%%EOF",
+    ])
+
+
+_LAYERED = (
+    (0, 0, True, "page 1", "'seen' || doc_id || 'form' || doc_id"), (0, 1, False, "page 1 (off_layer ''Draft layer'')", "'off' || doc_id"), (0, 2, False, "page 1 (form ''/Fm1'', invisible text, Tr 3)", "'loose' || doc_id"),
+    (1, 0, True, "page 1", "'form' || doc_id || 'after'"), (1, 1, False, "page 1 (form ''/Fm1'', invisible text, Tr 3)", "'loose' || doc_id"),
+    (2, 0, False, "page 1 (form ''/Fm0'', white_text)", "'form' || doc_id"), (2, 1, False, "page 1 (form ''/Fm1'', invisible text, Tr 3)", "'loose' || doc_id"),
+    (3, 0, True, "page 1 (Extraction failed)", "''"),
+)
+
+
+@query(
+    "pdf_segments",
+    " UNION ALL ".join(f"SELECT doc_id, {n}::BIGINT AS seg_no, {str(v).lower()} AS visible, '{where}' AS location, {text} AS text, {'2' if r == 1 else '0'}::BIGINT AS white_on_painted FROM documents WHERE doc_id % 4 = {r}" for r, n, v, where, text in _LAYERED),
+)
+def pdf_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms and optional content: each segment with its place, and what was white on a painted ground."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = reading.extract(_files(docs, ".pdf", _layered)).select("doc_id", F.coalesce(F.try_element_at("counts", F.lit("white_on_painted")), F.lit(0)).alias("white_on_painted"), F.posexplode("segments").alias("seg_no", "s"))
+    return found.select("doc_id", F.col("seg_no").cast("long").alias("seg_no"), "s.visible", "s.location", "s.text", "white_on_painted")
+
+
+@query(
+    "pdf_geometry",
+    "SELECT doc_id, n::BIGINT AS no, origin, location, rule, measured::DOUBLE AS measured FROM documents, (VALUES (0, 'form_stream', 'page 1 (form ''/Fm1'')', 'pdf_font_size_tiny', 0.2), (1, 'form_stream', 'page 1 (form ''/Fm1'')', 'pdf_text_out_of_bounds', 910.0)) v(n, origin, location, rule, measured)",
+)
+def pdf_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What pages and all the forms that they declare say of sizes and places."""
+    made = _files(spark.read.parquet(f"{sf_dir}/documents.parquet"), ".pdf", _layered)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, n, o, w, r, sum(m)) for i, c in zip(batch.column(0).to_pylist(), batch.column(1)) for n, (o, w, r, m) in enumerate(pdf.audit(c.as_py())[0])]
+            columns = zip(*rows) if rows else ((),) * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64()))], ["doc_id", "no", "origin", "location", "rule", "measured"])
+
+    return made.select("doc_id", "content").mapInArrow(run, "doc_id long, no long, origin string, location string, rule string, measured double")

@@ -1,22 +1,30 @@
 """A subset of PDF, with the standard library: hidden text on pages, metadata and annotations.
 
-Read are classic and compressed objects, Flate streams, page trees with inherited boxes and resources, and the content
-operators for graphics state, text state and text.  Text keeps the order in which it is shown.  Not read, and said so:
-encrypted files and other stream filters (such pages are withheld), fonts' own encodings (strings are taken as Latin-1
-or UTF-16), optional content, and text in forms.
+Read are classic and compressed objects, Flate streams, page trees with inherited boxes and resources, forms, optional
+content in the default configuration, and the content operators for graphics state, text state, text and marks.  Text
+keeps the order in which it is shown.  Not read, and said so: encrypted files and other stream filters (such pages are
+withheld), and fonts' own encodings (strings are taken as Latin-1 or UTF-16).
+
+A page is judged by one interpreter over a stack of open streams: its own, and on top of it the forms that are drawn.
+What can't be followed for certain (a form drawn again in another state, nesting too deep, layers that can't be told)
+withholds the page's visible text.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from math import sqrt
 from typing import Any
 
-from veilmark.sources.reading import Limits, Segment, register
+from veilmark.functions import chars
+from veilmark.sources.reading import Found, Limits, Segment, register
 
-LEAST, TINY, WHITE = 10, 2.0, 0.98
+LEAST, TINY, WHITE, DEEPEST, LABEL = 10, 2.0, 0.98, 8, 40
+WITHHELD = "Extraction failed"
+_INVISIBLE = frozenset(map(chr, chars.points(chars.INVISIBLE)))
 INFO = ("Title", "Author", "Subject", "Keywords", "Creator", "Producer")
 _TOKEN = re.compile(
     rb"(?P<space>[\x00\t\n\x0c\r ]+|%[^\r\n]*)|(?P<dict><<|>>)|(?P<hex><[0-9A-Fa-f\s]*>)|(?P<name>/[^\x00\t\n\x0c\r ()<>\[\]{}/%]*)"
@@ -159,8 +167,36 @@ class File:
             else:
                 found.append(own)
 
-        root = self.get(self.trailer.get("Root")) or next((v for v, _ in self.objects.values() if isinstance(v, dict) and v.get("Type") == "Catalog"), {})
-        walk(root.get("Pages"), {}, frozenset())
+        walk(self.root().get("Pages"), {}, frozenset())
+        return found
+
+    def root(self) -> dict:
+        return self.get(self.trailer.get("Root")) or next((v for v, _ in self.objects.values() if isinstance(v, dict) and v.get("Type") == "Catalog"), {})
+
+    def named(self, resources: Any, kind: str) -> dict:
+        """The entries of a kind in resources."""
+        own = self.get(resources)
+        found = self.get(own.get(kind)) if isinstance(own, dict) else None
+        return found if isinstance(found, dict) else {}
+
+    def forms(self, resources: Any) -> list[tuple[str, Any]]:
+        """(name, reference) of every form that resources declare, each before what it declares itself, none twice."""
+        found: list[tuple[str, Any]] = []
+        waiting, seen = [(iter(self.named(resources, "XObject").items()), 0)], set()
+        while waiting:
+            entries, depth = waiting[-1]
+            name, value = next(entries, (None, None))
+            if name is None:
+                waiting.pop()
+                continue
+            form = self.get(value)
+            key = int(value) if isinstance(value, Ref) else id(form)
+            if not isinstance(form, dict) or form.get("Subtype") != "Form" or key in seen:
+                continue
+            seen.add(key)
+            if depth <= DEEPEST:
+                found.append((f"/{name}", value))
+                waiting.append((iter(self.named(form.get("Resources"), "XObject").items()), depth + 1))
         return found
 
 
@@ -191,51 +227,200 @@ def near_white(colour: list[float] | None) -> bool | None:
     return all(c >= WHITE for c in colour) if len(colour) in (1, 3) else None
 
 
+class Untold(Exception):
+    """What is shown can't be told for certain."""
+
+
+class Layers:
+    """Optional content: what is off in the document's default configuration."""
+
+    def __init__(self, file: File) -> None:
+        self.file = file
+        properties = file.get(file.root().get("OCProperties"))
+        default = file.get(properties.get("D")) if isinstance(properties, dict) else None
+        self.default: dict = default if isinstance(default, dict) else {}
+
+    def marked(self, value: Any) -> Any:
+        """A reference to optional content, once it is known to be one that can be judged."""
+        own = self.file.get(value)
+        if not isinstance(own, dict) or own.get("VE") is not None:
+            raise Untold("optional content")
+        return value
+
+    def off(self, value: Any, depth: int = 0) -> bool:
+        own = self.file.get(value)
+        if not isinstance(own, dict) or own.get("VE") is not None or depth > DEEPEST + 1:
+            raise Untold("optional content")
+        if own.get("OCGs") is not None:
+            members = self.file.get(own["OCGs"])
+            members = [own["OCGs"]] if isinstance(members, dict) else members or []
+            states = [self.off(m, depth + 1) for m in members]
+            policy = {"AnyOn": all(states), "AllOn": any(states), "AnyOff": not any(states), "AllOff": not all(states)}
+            said = str(own.get("P", "AnyOn"))
+            if said not in policy:
+                raise Untold("optional content")
+            return policy[said]
+        listed = lambda key: value in (self.file.get(self.default.get(key)) or [])
+        return listed("OFF") or (self.default.get("BaseState") == "OFF" and not listed("ON"))
+
+    def label(self, value: Any, name: str | None) -> str:
+        """off_layer, with the group's own name, or else the name that the content calls it by."""
+        own = self.file.get(value)
+        texts = (cleaned(said(own.get("Name"))), cleaned(name or ""))
+        found = next((t for t in texts if t), None)
+        return f"off_layer '{found}'" if found else "off_layer"
+
+
+def cleaned(text: str, most: int = LABEL) -> str:
+    """Printable characters only, blanks as one, cut with dots."""
+    plain = " ".join("".join(" " if c.isspace() else c for c in text if c.isspace() or c.isprintable()).split())
+    return plain if len(plain) <= most else plain[:most] + "..."
+
+
 @dataclass
 class State:
     ctm: Matrix = UNIT
     mode: int = 0
-    size: float = 0.0
+    size: float | None = None
     leading: float = 0.0
     fill: list[float] | None = field(default_factory=lambda: [0.0])
     stroke: list[float] | None = field(default_factory=lambda: [0.0])
+    line: Matrix = UNIT
+    text: Matrix = UNIT
+
+
+@dataclass
+class Open:
+    """A content stream that is being read: what comes next, its resources, and what holds again after it."""
+
+    operations: Iterator[tuple[str, list[Any]]]
+    resources: Any
+    form: int | None = None
+    after: tuple[State, tuple] | None = None
+    saved: list[State] = field(default_factory=list)
+
+
+@dataclass
+class Shown:
+    text: str
+    label: str | None
+    form: int | None
+
+
+@dataclass
+class Drawn:
+    """How a form was drawn: its state, marks and, once it is done, what had been painted."""
+
+    state: State
+    marks: tuple
+    paints: list[tuple[float, float, float, float]] = field(default_factory=list)
+
+
+def operations(content: bytes) -> Iterator[tuple[str, list[Any]]]:
+    operands: list[Any] = []
+    for token in tokens(content):
+        if isinstance(token, Word):
+            yield str(token), operands
+            operands = []
+        else:
+            operands.append(token)
 
 
-class Page:
-    """One page's text, shown piece by piece; hidden pieces carry a label."""
+class Canvas:
+    """What streams show on a page, in order; hidden pieces carry a label."""
 
-    def __init__(self, file: File, page: dict) -> None:
-        box = [float(file.get(x)) for x in file.get(page.get("CropBox")) or file.get(page.get("MediaBox")) or (0, 0, 612, 792)]
-        self.box = (min(box[0], box[2]), min(box[1], box[3]), max(box[0], box[2]), max(box[1], box[3]))
-        self.pieces: list[tuple[str, str | None]] = []
-        self.paints: list[tuple[float, float, float, float]] = []
+    def __init__(self, file: File, layers: Layers, box: tuple[float, float, float, float] | None, state: State | None = None, marks: tuple = (), paints: list | None = None) -> None:
+        self.file, self.layers, self.box = file, layers, box
+        self.state, self.marks, self.paints = state or State(), marks, list(paints or [])
+        self.shown: list[Shown] = []
+        self.drawn: dict[int, Drawn] = {}
+        self.again: dict[int, list[Shown]] = {}
         self.unresolved = self.on_painted = 0
-        self.state, self.saved = State(), []
-        self.line = self.text = UNIT
         self.path: list[tuple[float, float, float, float]] = []
-        operands: list[Any] = []
-        for token in tokens(file.stream(page.get("Contents"))):
-            if isinstance(token, Word):
-                self.operate(str(token), operands)
-                operands = []
+        self.open: list[Open] = []
+
+    def read(self, content: bytes, resources: Any, follow: bool = True) -> None:
+        """One stream to its end, with the forms that it draws if ``follow``."""
+        self.open = [Open(operations(content), resources)]
+        while self.open:
+            name, operands = next(self.open[-1].operations, (None, None))
+            if name is None:
+                self.close(self.open.pop())
+            elif name == "Do":
+                if follow and operands:
+                    self.draw(operands[0])
+            elif name in ("BDC", "BMC", "EMC"):
+                self.mark(name, operands)
             else:
-                operands.append(token)
+                self.operate(name, operands)
+
+    def close(self, ended: Open) -> None:
+        if ended.after is None:
+            return
+        self.state, self.marks = ended.after
+        self.drawn[ended.form].paints = list(self.paints)
+
+    def draw(self, name: Any) -> None:
+        resources = self.open[-1].resources
+        value = self.file.named(resources, "XObject").get(name)
+        thing = self.file.get(value)
+        if not isinstance(thing, dict):
+            return
+        if thing.get("Subtype") == "Image":
+            corners = [apply(self.state.ctm, x, y) for x in (0, 1) for y in (0, 1)]
+            self.paints.append((min(c[0] for c in corners), min(c[1] for c in corners), max(c[0] for c in corners), max(c[1] for c in corners)))
+        if thing.get("Subtype") != "Form":
+            return
+        key = int(value) if isinstance(value, Ref) else id(thing)
+        if key in self.drawn:
+            if (self.drawn[key].state, self.drawn[key].marks) != (self.state, self.marks):
+                raise Untold("a form in two states")
+            if not any(o.form == key for o in self.open):
+                self.shown += [replace(p) for p in self.shown if p.form == key and p.label is None]
+            return
+        if len(self.open) > DEEPEST:
+            raise Untold("forms too deep")
+        self.drawn[key] = Drawn(replace(self.state), self.marks)
+        after = (replace(self.state), self.marks)
+        if thing.get("OC") is not None:
+            self.marks += ((self.layers.marked(thing["OC"]), None),)
+        self.open.append(Open(operations(self.file.stream(value)), thing.get("Resources"), key, after))
+
+    def mark(self, name: str, operands: list[Any]) -> None:
+        """Marked content: a stack of its own, which saving and restoring don't touch."""
+        if name == "EMC":
+            self.marks = self.marks[:-1]
+            return
+        found: tuple = (None, None)
+        if name == "BDC" and len(operands) > 1:
+            called = operands[1] if isinstance(operands[1], Name) else None
+            value = self.file.named(self.open[-1].resources, "Properties").get(called) if called is not None else operands[1]
+            own = self.file.get(value)
+            if called is not None and own is None:
+                raise Untold("optional content")
+            label = f"/{called}" if called is not None else None
+            if isinstance(own, dict) and own.get("OC") is not None:
+                found = (self.layers.marked(own["OC"]), label)
+            elif isinstance(own, dict) and (own.get("OCGs") is not None or own.get("Type") == "OCG"):
+                found = (self.layers.marked(value), label)
+        self.marks += (found,)
 
     def operate(self, name: str, o: list[Any]) -> None:
         s = self.state
         if name == "q":
-            self.saved.append(replace(s))
-        elif name == "Q" and self.saved:
-            self.state = self.saved.pop()
+            self.open[-1].saved.append(replace(s))
+        elif name == "Q":
+            if self.open[-1].saved:
+                self.state = replace(self.open[-1].saved.pop(), line=s.line, text=s.text)
         elif name == "cm":
             s.ctm = product(tuple(map(float, o[-6:])), s.ctm)
         elif name == "BT":
-            self.line = self.text = UNIT
+            s.line = s.text = UNIT
         elif name in ("Td", "TD", "Tm", "T*"):
             if name == "TD":
                 s.leading = -float(o[-1])
-            self.line = tuple(map(float, o[-6:])) if name == "Tm" else product((1, 0, 0, 1, *((0.0, -s.leading) if name == "T*" else map(float, o[-2:]))), self.line)
-            self.text = self.line
+            s.line = tuple(map(float, o[-6:])) if name == "Tm" else product((1, 0, 0, 1, *((0.0, -s.leading) if name == "T*" else map(float, o[-2:]))), s.line)
+            s.text = s.line
         elif name == "TL":
             s.leading = float(o[-1])
         elif name == "Tf":
@@ -256,29 +441,29 @@ class Page:
             if name not in ("n", "S", "s") and near_white(s.fill) is False:
                 self.paints += self.path
             self.path = []
-        elif name == "Do":
-            corners = [apply(s.ctm, 0, 0), apply(s.ctm, 1, 1)]
-            self.paints.append((min(c[0] for c in corners), min(c[1] for c in corners), max(c[0] for c in corners), max(c[1] for c in corners)))
         elif name in ("Tj", "'", '"', "TJ"):
             if name in ("'", '"'):
                 self.operate("T*", [])
             parts = o[-1] if name == "TJ" and isinstance(o[-1], list) else o[-1:]
             text = "".join(said(p) for p in parts if isinstance(p, bytes))
             if text:
-                self.pieces.append((text, self.hidden(text)))
-                self.text = product((1, 0, 0, 1, 0.5 * s.size * len(text), 0), self.text)
+                self.shown.append(Shown(text, self.hidden(text), self.open[-1].form))
+                s.text = product((1, 0, 0, 1, 0.5 * (s.size or 0.0) * len(text), 0), s.text)
 
     def hidden(self, text: str) -> str | None:
         """Why the piece can't be seen: the first of the fixed order that holds."""
-        s, whole = self.state, product(self.text, self.state.ctm)
+        s, whole = self.state, product(self.state.text, self.state.ctm)
         if s.mode in (3, 7):
             return f"invisible text, Tr {s.mode}"
-        size = s.size * scale(self.text) * scale(s.ctm)
-        if size < TINY:
+        size = (s.size or 0.0) * scale(s.text) * scale(s.ctm)
+        if s.size is not None and size < TINY:
             return "tiny_font"
         x, y = whole[4], whole[5]
-        if not (self.box[0] <= x <= self.box[2] and self.box[1] <= y <= self.box[3]):
+        if self.box is not None and not (self.box[0] <= x <= self.box[2] and self.box[1] <= y <= self.box[3]):
             return "off_page"
+        for value, name in self.marks:
+            if value is not None and self.layers.off(value):
+                return self.layers.label(value, name)
         shades = [near_white(c) for c in ([s.fill] if s.mode in (0, 4) else [s.stroke] if s.mode in (1, 5) else [s.fill, s.stroke])]
         if None in shades:
             self.unresolved += 1
@@ -290,53 +475,108 @@ class Page:
         return None
 
 
+def by_label(pieces: list[Shown]) -> list[tuple[str, str]]:
+    """(label, text) of hidden pieces, in the order of first appearance."""
+    found: dict[str, list[str]] = {}
+    for p in pieces:
+        if p.label is not None:
+            found.setdefault(p.label, []).append(p.text)
+    return [(label, "".join(texts)) for label, texts in found.items()]
+
+
+def _box(file: File, page: dict) -> tuple[float, float, float, float]:
+    box = [float(file.get(x)) for x in file.get(page.get("CropBox")) or file.get(page.get("MediaBox")) or (0, 0, 612, 792)]
+    return min(box[0], box[2]), min(box[1], box[3]), max(box[0], box[2]), max(box[1], box[3])
+
+
+def _page(file: File, layers: Layers, page: dict, where: str, counts: dict[str, int]) -> list[Segment]:
+    """A page's text, what it hides, and what the forms that it declares hide, drawn or not."""
+    own: Canvas | None = None
+    try:
+        own = Canvas(file, layers, _box(file, page))
+        own.read(file.stream(page.get("Contents")), page.get("Resources"))
+    except Exception:  # noqa: BLE001  a page that can't be followed is withheld, not guessed at
+        found = [Segment("", True, "body", f"{where} ({WITHHELD})")]
+        return found + [Segment(text, False, "css_hidden", f"{where} ({label})") for label, text in by_label([p for p in own.shown if p.form is None] if own else [])]
+    visible = "".join(p.text for p in own.shown if p.label is None)
+    found = [Segment(visible, True, "body", where)] if visible.strip() else []
+    found += [Segment(text, False, "css_hidden", f"{where} ({label})") for label, text in by_label([p for p in own.shown if p.form is None])]
+    unresolved, on_painted = own.unresolved, own.on_painted
+    for name, value in file.forms(page.get("Resources")):
+        form = file.get(value)
+        drawn = own.drawn.get(int(value) if isinstance(value, Ref) else id(form))
+        try:
+            marks = drawn.marks if drawn else ()
+            if form.get("OC") is not None:
+                marks += ((layers.marked(form["OC"]), None),)
+            alone = Canvas(file, layers, own.box if drawn else None, replace(drawn.state) if drawn else None, marks, drawn.paints if drawn else None)
+            alone.read(file.stream(value), form.get("Resources"), follow=False)
+        except Exception:  # noqa: BLE001  a form that can't be followed adds nothing
+            continue
+        plain = "".join(p.text for p in alone.shown if p.label is None)
+        unresolved, on_painted = unresolved + alone.unresolved, on_painted + alone.on_painted
+        found += [Segment(text, False, "css_hidden", f"{where} (form '{name}', {label})") for label, text in by_label(alone.shown)]
+        if not _INVISIBLE.isdisjoint(plain) and _INVISIBLE.isdisjoint(visible):
+            found.append(Segment(plain, True, "body", f"{where} (form '{name}', raw stream)"))
+    for key, n in (("color_unresolved", unresolved), ("white_on_painted", on_painted)):
+        counts[key] = counts.get(key, 0) + n
+    return found
+
+
 def pdf(data: bytes, limits: Limits) -> list[Segment]:
     file = File(data)
-    found = []
+    layers, found = Layers(file), Found()
     info = file.get(file.trailer.get("Info"), {})
     for key in INFO:
         if len((text := said(file.get(info.get(key)))).strip()) >= LEAST:
             found.append(Segment(text.strip(), False, "metadata", f"PDF metadata / {key}"))
     for number, page in enumerate(file.pages(), 1):
-        try:
-            own = Page(file, page)
-        except Exception:  # noqa: BLE001  a page that can't be followed is withheld, not guessed at
-            found.append(Segment("", True, "body", f"page {number} (Extraction failed)"))
-        else:
-            found.append(Segment("".join(t for t, label in own.pieces if label is None), True, "body", f"page {number}"))
-            for label in dict.fromkeys(label for _, label in own.pieces if label):
-                found.append(Segment("".join(t for t, l in own.pieces if l == label), False, "css_hidden", f"page {number} ({label})"))
+        found += _page(file, layers, page, f"page {number}", found.counts)
         for k, note in enumerate(file.get(page.get("Annots"), []), 1):
             text = said(file.get(file.get(note, {}).get("Contents"))).strip()
             if len(text) >= LEAST:
                 found.append(Segment(text, False, "comment", f"page {number} annotation #{k}"))
+    found.counts = {k: n for k, n in found.counts.items() if n}
     return found
 
 
-def geometry(data: bytes, size_max: float = 0.5) -> list[tuple[str, str, list[float]]]:
-    """(rule, where, measured) of what pages declare: fonts too small to see, and text placed outside the page.
+def _placed(content: bytes, box: list[float], size_max: float, counts: dict[str, int]) -> Iterator[tuple[str, list[float]]]:
+    for name, operands in operations(content):
+        counts["operators_seen"] += 1
+        numbers = [float(x) for x in operands if isinstance(x, (int, float)) and not isinstance(x, (bool, Ref))]
+        if name == "Tf" and len(operands) >= 2 and numbers and 0 <= numbers[-1] <= size_max:
+            yield "pdf_font_size_tiny", numbers[-1:]
+        elif name == "Tm" and len(numbers) == 6 and not (min(box[0], box[2]) <= numbers[4] <= max(box[0], box[2]) and min(box[1], box[3]) <= numbers[5] <= max(box[1], box[3])):
+            yield "pdf_text_out_of_bounds", numbers[4:]
+
+
+def audit(data: bytes, size_max: float = 0.5) -> tuple[list[tuple[str, str, str, list[float]]], dict[str, int]]:
+    """(origin, location, rule, measured) of what pages and the forms that they declare say, in order; and what was looked at.
 
-    A declaration is the fact: whether text follows does not matter, and the page's own matrix is not applied.
+    Fonts too small to see, and text placed outside the page.  A declaration is the fact: whether text follows does not
+    matter, and the page's own matrix is not applied.
     """
     file, found = File(data), []
+    counts = dict.fromkeys(("pages", "page_streams", "form_xobjects", "streams_unreadable", "operators_seen"), 0)
     for number, page in enumerate(file.pages(), 1):
+        counts["pages"] += 1
         box = [float(file.get(x)) for x in file.get(page.get("MediaBox")) or (0, 0, 612, 792)]
-        before: list[Any] = []
-        try:
-            content = tokens(file.stream(page.get("Contents")))
-        except (ValueError, zlib.error):
-            continue
-        for token in content:
-            if not isinstance(token, Word):
-                before.append(token)
+        streams = [("page_stream", f"page {number}", page["Contents"])] if page.get("Contents") is not None else []
+        streams += [("form_stream", f"page {number} (form '{name}')", value) for name, value in file.forms(page.get("Resources"))]
+        for origin, where, value in streams:
+            counts["page_streams" if origin == "page_stream" else "form_xobjects"] += 1
+            try:
+                content = file.stream(value)
+            except (ValueError, zlib.error):
+                counts["streams_unreadable"] += 1
                 continue
-            numbers = [float(x) for x in before if isinstance(x, (int, float)) and not isinstance(x, (bool, Ref))]
-            if token == "Tf" and numbers and 0 <= numbers[-1] <= size_max:
-                found.append(("pdf_font_size_tiny", f"page {number}", numbers[-1:]))
-            elif token == "Tm" and len(numbers) == 6 and not (min(box[0], box[2]) <= numbers[4] <= max(box[0], box[2]) and min(box[1], box[3]) <= numbers[5] <= max(box[1], box[3])):
-                found.append(("pdf_text_out_of_bounds", f"page {number}", numbers[4:]))
-            before = []
-    return found
+            found += [(origin, where, rule, measured) for rule, measured in _placed(content, box, size_max, counts)]
+    return found, counts
+
+
+def geometry(data: bytes, size_max: float = 0.5) -> list[tuple[str, str, list[float]]]:
+    """(rule, where, measured) of ``audit``."""
+    return [(rule, where, measured) for _, where, rule, measured in audit(data, size_max)[0]]
 
 
 register(".pdf", pdf)

@@ -59,6 +59,14 @@ class Segment:
     concealment: str | None = None
 
 
+class Found(list):
+    """A list of segments that also carries counts of the file."""
+
+    def __init__(self, *segments: Segment) -> None:
+        super().__init__(segments)
+        self.counts: dict[str, int] = {}
+
+
 Extractor = Callable[[bytes, Limits], list[Segment]]
 _EXTRACTORS: dict[str, Extractor] = {}
 
@@ -112,7 +120,7 @@ def scan(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXTENSI
 
 
 def extract(files: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008  frozen
-    """files (any columns, with extension, length, content) with status, encoding and segments instead of content.
+    """files (any columns, with extension, length, content) with status, encoding, counts and segments instead of content.
 
     status is ok, ``Unsupported format: ...``, ``Extraction refused: ...`` or ``Extraction failed: ...``.  What is too
     large is refused by its length alone.
@@ -120,21 +128,22 @@ def extract(files: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa:
     known = dict(_EXTRACTORS)
     bounded = files.withColumn("content", F.when(F.col("length") <= limits.file_bytes, F.col("content")))
     names = bounded.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bounded.schema if f.name != "content") + f", status string, encoding string, segments array<{SEGMENT}>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bounded.schema if f.name != "content") + f", status string, encoding string, counts map<string,bigint>, segments array<{SEGMENT}>"
     kind = pa.list_(pa.struct([("text", pa.string()), ("visible", pa.bool_()), ("kind", pa.string()), ("location", pa.string()), ("concealment", pa.string())]))
 
-    def one(extension: str, content: bytes | None) -> tuple[str, str | None, list]:
+    def one(extension: str, content: bytes | None) -> tuple[str, str | None, dict, list]:
         if extension not in known:
-            return f"Unsupported format: {extension}", None, []
+            return f"Unsupported format: {extension}", None, {}, []
         if content is None:
-            return "Extraction refused: file_too_large", None, []
+            return "Extraction refused: file_too_large", None, {}, []
         try:
             encoding = decode(content)[1] if extension in (".txt", ".md", ".html", ".htm") else None
-            return "ok", encoding, [vars(s) for s in known[extension](content, limits)]
+            found = known[extension](content, limits)
+            return "ok", encoding, getattr(found, "counts", {}), [vars(s) for s in found]
         except Refused as e:
-            return f"Extraction refused: {e.code}", None, []
+            return f"Extraction refused: {e.code}", None, {}, []
         except Exception as e:  # noqa: BLE001  any fault of a file is that file's status
-            return f"Extraction failed: {type(e).__name__}", None, []
+            return f"Extraction failed: {type(e).__name__}", None, {}, []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -142,8 +151,9 @@ def extract(files: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa:
                 batch = whole.slice(at, 64)
                 done = [one(e, c.as_py()) for e, c in zip(batch.column(names.index("extension")).to_pylist(), batch.column(names.index("content")))]
                 rest = [batch.column(i) for i, n in enumerate(names) if n != "content"]
-                status, encoding, segments = zip(*done) if done else ((), (), ())
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(status, pa.string()), pa.array(encoding, pa.string()), pa.array(segments, kind)], [*(n for n in names if n != "content"), "status", "encoding", "segments"])
+                status, encoding, counts, segments = zip(*done) if done else ((), (), (), ())
+                made = [pa.array(status, pa.string()), pa.array(encoding, pa.string()), pa.array([list(c.items()) for c in counts], pa.map_(pa.string(), pa.int64())), pa.array(segments, kind)]
+                yield pa.RecordBatch.from_arrays([*rest, *made], [*(n for n in names if n != "content"), "status", "encoding", "counts", "segments"])
 
     return bounded.mapInArrow(run, schema)
 
