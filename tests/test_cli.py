@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import json
+
 import pytest
 
 from veilmark.__main__ import main
+from veilmark.operators import geometry
 
 
 @pytest.mark.parametrize(("command", "rows"), [("observe", 2), ("catalog", 1), ("control", 1), ("geometry", 1)])
@@ -19,4 +22,21 @@ def test_dashboard_and_wrong_calls(spark, tmp_path, capsys):
     (tmp_path / "in/a.md").write_text("x")
     assert main(["dashboard", str(tmp_path / "in"), str(tmp_path / "page.html")]) == 0
     assert "1000-000" in (tmp_path / "page.html").read_text()
+    assert "a.md</td>" in (tmp_path / "page.html").read_text()
     assert main(["observe"]) == 1 and "python -m veilmark" in capsys.readouterr().err
+
+
+def test_configs_and_pages(spark, tmp_path, capsys):
+    (tmp_path / "in/s").mkdir(parents=True)
+    (tmp_path / "in/a.html").write_text("<link rel=stylesheet href=s/b.css><p style='font-size:2px'>secret word</p>")
+    (tmp_path / "in/s/b.css").write_text("p { line-height: 0 }")
+    (tmp_path / "v.json").write_text(json.dumps({"patterns": [{"category": "c", "name": "n", "pattern": "secret"}]}))
+    (tmp_path / "t.json").write_text(json.dumps({"thresholds": geometry.THRESHOLDS | {"font_size_px_max": 3}}))
+    (tmp_path / "bad.json").write_text(json.dumps({"thresholds": {}}))
+    call = lambda command, *config: main([command, str(tmp_path / "in"), str(tmp_path / command), *config])
+    assert call("control", str(tmp_path / "v.json")) == call("geometry", str(tmp_path / "t.json")) == call("report") == 0
+    assert [r.name for r in spark.read.parquet(str(tmp_path / "control")).collect()] == ["n"]
+    assert [(r.origin, r.rule) for r in spark.read.parquet(str(tmp_path / "geometry")).orderBy("part").collect()] == [("inline_style", "font_size_tiny"), ("linked_css", "line_height_zero")]
+    assert "secret word" in spark.read.parquet(str(tmp_path / "report")).first().page
+    assert main(["geometry", str(tmp_path / "in"), str(tmp_path / "x"), str(tmp_path / "bad.json")]) == 1
+    assert "text in pictures" in capsys.readouterr().err

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilmark.functions import contract, detect
 from veilmark.operators import control_syntax, geometry, report, summary
-from veilmark.sources import css, html, pdf, png, reading
+from veilmark.sources import css, formats, html, metadata, pdf, png, reading
 
 LIMITS = reading.Limits()
 
@@ -249,3 +249,54 @@ def test_last_suffixes(spark):
     names = ["a.txt", "foo..txt", ".txt", "..txt", "a.txt.", "A.B.C", "none"]
     found = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(reading.suffix(F.col("n"))).collect()]
     assert found == [".txt", ".txt", "", ".txt", "", ".C", ""]
+
+
+def tiff(tags: list[tuple[int, int, bytes]], sub: list[tuple[int, int, bytes]] = (), order: str = "<") -> bytes:
+    def entries(rows, at):
+        body, data = b"", b""
+        start = at + 2 + 12 * len(rows) + 4
+        for tag, kind, raw in rows:
+            size = {1: 1, 2: 1, 4: 4, 7: 1}[kind]
+            place = raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack(order + "I", start + len(data))
+            data += raw if len(raw) > 4 else b""
+            body += struct.pack(order + "HHI", tag, kind, len(raw) // size) + place
+        return struct.pack(order + "H", len(rows)) + body + struct.pack(order + "I", 0) + data
+
+    head = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", 8)
+    rows = [*tags, (metadata.SUB_DIRECTORY, 4, struct.pack(order + "I", 0))] if sub else tags
+    first = entries(rows, 8)
+    if not sub:
+        return head + first
+    rows[-1] = (metadata.SUB_DIRECTORY, 4, struct.pack(order + "I", 8 + len(first)))
+    return head + entries(rows, 8) + entries(sub, 8 + len(first))
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_exif(order):
+    made = tiff([(270, 2, b"a long description\0"), (271, 2, b"short\0"), (40092, 1, "a comment in sixteen".encode("utf-16-le"))], [(37510, 7, b"UNICODE\0" + "user's comment".encode("utf-16-be"))], order)
+    want = [("a long description", "EXIF / ImageDescription (tag 270)"), ("a comment in sixteen", "EXIF / XPComment (tag 40092)"), ("user's comment", "EXIF / UserComment (tag 37510)")]
+    xmp = b"<x:xmpmeta>packet</x:xmpmeta>"
+    jpeg = b"\xff\xd8\xff\xe1" + struct.pack(">H", 8 + len(made)) + b"Exif\0\0" + made + b"\xff\xe1" + struct.pack(">H", 31 + len(xmp)) + b"http://ns.adobe.com/xap/1.0/\0" + xmp + b"\xff\xda"
+    webp = b"RIFF" + struct.pack("<I", 0) + b"WEBP" + b"EXIF" + struct.pack("<I", len(made)) + made + b"\0" * (len(made) % 2) + b"XMP " + struct.pack("<I", len(xmp)) + xmp
+    assert [(s.text, s.location) for s in metadata.image(made, LIMITS)] == want
+    assert [(s.text, s.location) for s in metadata.image(jpeg, LIMITS)] == [(s.text, s.location) for s in metadata.image(webp, LIMITS)] == [*want, (xmp.decode(), "XMP packet")]
+    assert metadata.image(b"BM1234", LIMITS) == metadata.image(b"GIF89a", LIMITS) == []
+    for broken in (b"", b"text", made[:5]):
+        with pytest.raises(ValueError):
+            metadata.image(broken, LIMITS)
+    for cut in range(8, len(made)):
+        metadata.image(made[:cut], LIMITS)  # never an error
+
+
+def test_formats_say_what_is_missing():
+    said = formats.install()
+    assert reading.registered(".html") is css.html_css_full and said["PDF"] == "" and said["text in pictures"] and said["pictures in PDF"]
+    formats.install("HTML")
+    assert reading.registered("html") is html.html
+    with pytest.raises(ValueError):
+        formats.install("nothing")
+
+
+def test_display_paths(spark):
+    rows = spark.createDataFrame([("/c/d/e.txt",), ("/x/y.txt",)], "source string")
+    assert [r[0] for r in rows.select(report.display_path(F.col("source"), "/c")).collect()] == ["d/e.txt", "y.txt"]

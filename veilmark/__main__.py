@@ -1,19 +1,24 @@
-"""python -m veilmark observe|catalog|control|geometry|dashboard IN OUT: a folder of documents in, a receipt out.
+"""python -m veilmark COMMAND IN OUT [CONFIG]: a folder of documents in, a receipt out.
 
-Receipts are Parquet folders, but for dashboard, which is a page.  The exit code is 0, or 1 if the call is wrong.
+Commands: observe, catalog, control (CONFIG: a vocabulary), geometry (CONFIG: thresholds), report and dashboard.  Receipts are
+Parquet folders, but for dashboard, which is a page.  The exit code is 0, or 1 if the call is wrong.
 """
 
 from __future__ import annotations
 
 import os
 import sys
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.functions import detect
+from veilmark.functions import contract, detect
 from veilmark.operators import codepoints, control_syntax, geometry, report, summary
-from veilmark.sources import css, docx, html, pdf, png, reading  # noqa: F401  imports register their formats
+from veilmark.sources import formats, pdf, reading
+
+COMMANDS = ("observe", "catalog", "control", "geometry", "report", "dashboard")
 
 
 def _segments(read: DataFrame) -> DataFrame:
@@ -21,42 +26,70 @@ def _segments(read: DataFrame) -> DataFrame:
     return each.select("doc_id", "seg_no", "s.kind", "s.location", "s.text")
 
 
-def _styles(files: DataFrame) -> DataFrame:
-    def run(batches):  # noqa: ANN001, ANN202
-        import pyarrow as pa
+def _geometry(spark: SparkSession, folder: str, thresholds: geometry.Thresholds) -> DataFrame:
+    """Findings in pages with their own and linked sheets, and in PDF files."""
+    files = reading.scan(spark, folder, (".html", ".htm", ".pdf", ".css")).select("source", "extension", "content")
+    sheets = files.filter("extension = '.css'").select(F.col("source").alias("path"), F.decode("content", "utf-8").alias("css"))
+    pages = geometry.audit(geometry.declared(files.filter("extension in ('.html', '.htm')"), sheets), thresholds.values)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(p, s["tag"], s["line"], s["style"]) for p, c in zip(batch.column(0).to_pylist(), batch.column(1)) for s in html.styles(html.events(reading.decode(c.as_py())[0]))]
-            columns = zip(*rows) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.string()))], ["source", "tag", "line", "style"])
+            rows = []
+            for source, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                try:
+                    found, _ = pdf.audit(content.as_py(), thresholds.values["pdf_font_size_pt_max"])
+                except ValueError:
+                    continue
+                rows += [(source, n, *f) for n, f in enumerate(found)]
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.float64()))
+            columns = zip(*rows) if rows else ((),) * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["source", "no", "origin", "location", "rule", "measured"])
 
-    pages = files.filter(F.col("extension").isin(".html", ".htm")).select("source", "content")
-    return geometry.inline(pages.mapInArrow(run, "source string, tag string, line int, style string"))
+    pdfs = files.filter("extension = '.pdf'").select("source", "content").mapInArrow(run, "source string, no int, origin string, location string, rule string, measured array<double>")
+    return pages.unionByName(pdfs, allowMissingColumns=True).orderBy("source", "part", "no", "sub", "nth")
 
 
 def main(argv: list[str]) -> int:
-    if len(argv) != 3 or argv[0] not in ("observe", "catalog", "control", "geometry", "dashboard"):
+    config = None
+    if len(argv) == 4 and argv[0] in ("control", "geometry"):
+        with open(argv[3], "rb") as given:
+            config = given.read()
+    elif len(argv) != 3 or argv[0] not in COMMANDS:
         print(__doc__, file=sys.stderr)
         return 1
-    command, folder, out = argv
+    command, folder, out = argv[:3]
+    try:
+        vocabulary = control_syntax.vocabulary(config if command == "control" else None, argv[-1])
+        thresholds = geometry.load(config if command == "geometry" else None, argv[-1])
+    except contract.ContractError as e:
+        print(e, file=sys.stderr)
+        return 1
     spark = SparkSession.builder.appName("veilmark").getOrCreate()
     spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    files = reading.scan(spark, folder)
-    read = reading.extract(files)
-    observed = detect.observed(read, "segments", status="status", with_evidence=True).select("source", "status", "o", "e")
+    for name, missing in formats.install("plain text", "HTML", "DOCX", "PDF", "image metadata", "PNG layers", "pictures in PDF", "text in pictures").items():
+        if missing:
+            print(f"not available: {name} ({missing})", file=sys.stderr)
+    if command == "geometry":
+        _geometry(spark, folder, thresholds).write.parquet(out)
+        return 0
+    read = reading.extract(reading.scan(spark, folder))
+    observed = detect.observed(read, "segments", status="status", with_evidence=True)
     if command == "observe":
-        observed.write.parquet(out)
+        said = detect.diagnostics(detect.body_text(F.col("segments")), F.col("encoding"), F.col("counts"), F.col("status"))
+        observed.select("source", "status", "o", "e", said.alias("diagnostics")).orderBy("source").write.parquet(out)
     elif command == "catalog":
-        codepoints.catalog(read.select("source", detect.body_text(F.col("segments")).alias("text")), "text", "source").write.parquet(out)
+        codepoints.catalog(read.select("source", detect.body_text(F.col("segments")).alias("text")), "text", "source").orderBy("doc_id", "first").write.parquet(out)
     elif command == "control":
-        vocabulary, backing = control_syntax.load(spark)
-        control_syntax.scan(_segments(read), vocabulary, backing).write.parquet(out)
-    elif command == "geometry":
-        _styles(files).write.parquet(out)
+        hits = control_syntax.scan(_segments(read), vocabulary.table(spark), vocabulary.backing)
+        hits.orderBy("doc_id", "seg_no", "pattern_no", "offset").write.parquet(out)
+    elif command == "report":
+        report.write_pages(observed, out, report.sample_language(read))
     else:
         rows = observed.persist()
         with open(out, "w", encoding="utf-8") as page:
-            page.write(report.dashboard(summary.totals(rows), summary.mask_counts(rows), summary.hypothesis_counts(rows), summary.extension_counts(rows)))
+            base = reading.scan(spark, folder).sparkSession._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath()
+            listed = report.listed(rows.withColumn("source", F.regexp_replace("source", "^[a-z]+:/*(?=/)", "")), base)
+            page.write(report.dashboard(summary.totals(rows), summary.mask_counts(rows), summary.hypothesis_counts(rows), summary.extension_counts(rows), report.sample_language(rows), listed))
         rows.unpersist()
     return 0
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from veilmark.functions import chars, contract, detect, language, visible
 from veilmark.operators import codepoints, control_syntax, geometry, summary
 from veilmark.plans import planted
-from veilmark.sources import css, docx, html, pdf, png, reading  # noqa: F401  imports register their formats
+from veilmark.sources import css, docx, html, metadata, pdf, png, reading  # noqa: F401  imports register their formats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -568,3 +568,29 @@ def pdf_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64()))], ["doc_id", "no", "origin", "location", "rule", "measured"])
 
     return made.select("doc_id", "content").mapInArrow(run, "doc_id long, no long, origin string, location string, rule string, measured double")
+
+
+def _photo(text: str, doc_id: int) -> bytes:
+    """A JPEG, TIFF, WebP or GIF file without a picture: the text as EXIF description, or as an XMP packet."""
+    said = text.encode("latin-1", "replace").replace(b"\0", b" ")
+    order = "<" if doc_id % 8 < 4 else ">"
+    tiff = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "IHHHII", 8, 1, 270, 2, max(5, len(said) + 1), 26) + struct.pack(order + "I", 0) + said + b"\0" * 8
+    xmp = text.encode()
+    return (
+        b"\xff\xd8\xff\xe1" + struct.pack(">H", 8 + len(tiff)) + b"Exif\0\0" + tiff + b"\xff\xd9" if doc_id % 4 == 0 and len(tiff) < 65_000
+        else tiff if doc_id % 4 < 2
+        else b"RIFF" + struct.pack("<I", 4 + 8 + len(xmp)) + b"WEBP" + b"XMP " + struct.pack("<I", len(xmp)) + xmp if doc_id % 4 == 2
+        else b"GIF89a" + b"\x21\xff\x0bXMP DataXMP" + xmp + b"\x01\xff\xfe"
+    )
+
+
+@query(
+    "image_metadata",
+    f"""WITH x AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+    SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN 'EXIF / ImageDescription (tag 270)' ELSE 'XMP packet' END AS location, length({_STRIPPED})::BIGINT AS n_chars FROM x WHERE length({_STRIPPED}) >= 10""",
+)
+def image_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What image files say in their metadata."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = reading.extract(_files(docs, ".jpg", _photo)).select("doc_id", F.explode("segments").alias("s"))
+    return found.select("doc_id", "s.location", F.length("s.text").cast("long").alias("n_chars"))

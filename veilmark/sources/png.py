@@ -1,4 +1,4 @@
-"""PNG images: text chunks, transparent layers that hold a picture, and text of too little contrast.
+"""PNG images: EXIF tags, text chunks, transparent layers that hold a picture, and text of too little contrast.
 
 Eight-bit images without interlacing are decoded, with the standard library and numpy; others give their text chunks
 only.  Recognising text in pictures needs libraries that are not assumed here.
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from veilmark.sources.metadata import exif
 from veilmark.sources.reading import Limits, Segment, register
 
 KEYS = ("Description", "Author", "Comment", "Copyright", "Title", "Software", "Disclaimer", "Warning")
@@ -122,7 +123,8 @@ def low_contrast(rgba: np.ndarray) -> Segment | None:
 def png(data: bytes, limits: Limits) -> list[Segment]:
     parts = list(chunks(data))
     own = texts(parts)
-    found = [Segment(own[k].strip(), False, "metadata", f"PNG tEXt / {k}") for k in KEYS if len(own.get(k, "").strip()) >= LEAST]
+    tags = [s for kind, body in parts if kind == b"eXIf" for s in exif(body)]
+    found = tags + [Segment(own[k].strip(), False, "metadata", f"PNG tEXt / {k}") for k in KEYS if len(own.get(k, "").strip()) >= LEAST]
     if len(own.get(XMP, "").strip()) >= LEAST:
         found.append(Segment(own[XMP].strip(), False, "metadata", "XMP packet"))
     rgba = pixels(parts)
