@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import json
 import struct
 import zlib
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilmark.functions import contract, detect
+from veilmark.functions import chartable, contract, detect
 from veilmark.operators import control_syntax, geometry, report, summary
 from veilmark.sources import css, formats, html, metadata, pdf, png, reading
 
@@ -300,3 +301,36 @@ def test_formats_say_what_is_missing():
 def test_display_paths(spark):
     rows = spark.createDataFrame([("/c/d/e.txt",), ("/x/y.txt",)], "source string")
     assert [r[0] for r in rows.select(report.display_path(F.col("source"), "/c")).collect()] == ["d/e.txt", "y.txt"]
+
+
+TABLE = {
+    "schema": "x-chartable/1", "version": 1, "description": "", "invisible": {"bidi_control": [["202A", "202E"]], "tag": [["E0000", "E007F"]], "variation_selector": ["FE00"], "zero_width": ["200B"]},
+    "twins": {"0410": "A"}, "fullwidth_ascii": {"from": "FF01", "to": "FF5E", "base": "0021"}, "spaces": ["3000"], "dashes": ["2010"],
+}
+
+
+def test_pinned_character_table(spark, tmp_path):
+    raw = json.dumps(TABLE).encode()
+    pin = hashlib.sha256(raw).hexdigest()
+    (tmp_path / "t.json").write_bytes(raw)
+    source, target = chartable.read(str(tmp_path / "t.json"), pin).fold_pairs(dashes=True)
+    rows = spark.createDataFrame([("\u0410\uff21\u3000\u2010\u200b\u202ax",)], "t string")
+    assert rows.select(F.translate("t", source, target)).first()[0] == "AA -x"
+    faults = [
+        {"schema": "other"}, {"version": True}, {"version": 2}, {"description": None}, {"invisible": {}}, {"invisible": TABLE["invisible"] | {"tag": []}}, {"invisible": TABLE["invisible"] | {"tag": [["2", "1"]]}},
+        {"twins": {}}, {"twins": {"0410": "AB"}}, {"twins": {"zz": "A"}}, {"fullwidth_ascii": {"from": "FF01"}}, {"fullwidth_ascii": {"from": "FF01", "to": "FF5E", "base": "0070"}}, {"dashes": ["2010", "2010"]}, {"spaces": None},
+    ]
+    for fault in faults:
+        with pytest.raises(chartable.TableError):
+            chartable.parse(TABLE | fault)
+    for bad in (lambda: chartable.load(raw), lambda: chartable.read(str(tmp_path / "none")), lambda: chartable.load(b"{", hashlib.sha256(b"{").hexdigest()), lambda: chartable.parse([])):
+        with pytest.raises(chartable.TableError):
+            bad()
+
+
+def test_large_files_are_listed_but_not_read(spark, tmp_path):
+    for name, size in (("b.txt", 10), ("a.txt", 30), ("c.TXT", 20)):
+        (tmp_path / name).write_text("x" * size)
+    found = reading.ordered(reading.scan(spark, str(tmp_path), file_bytes=20))
+    assert [(r.source[-5:], r.length, r.content is None) for r in found.collect()] == [("a.txt", 30, True), ("b.txt", 10, False), ("c.TXT", 20, False)]
+    assert {r.source[-5:]: r.status for r in reading.extract(found).collect()}["a.txt"] == "Extraction refused: file_too_large"

@@ -112,11 +112,26 @@ def suffix(name: Column) -> Column:
     return F.regexp_extract(name, r"(?s)^.+(\.[^.]+)$", 1)
 
 
-def scan(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXTENSIONS, recursive: bool = True) -> DataFrame:
-    """source, extension, length, content of the folder's files of these extensions, in either case."""
+def scan(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXTENSIONS, recursive: bool = True, file_bytes: int = Limits.file_bytes) -> DataFrame:
+    """source, extension, length, content of the folder's files of these extensions, in either case.
+
+    Files of more than ``file_bytes`` are listed with null content, which is not read: the limit is a predicate of the
+    scan, and the larger ones' content no column of theirs.  ``ordered`` sorts them by path, where an order is needed.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(F.col("path").alias("source"), F.lower(suffix(name)).alias("extension"), "length", "content").filter(F.col("extension").isin(*extensions))
+
+    def own(content: Column) -> list[Column]:
+        return [F.col("path").alias("source"), F.lower(suffix(name)).alias("extension"), F.col("length"), content.alias("content")]
+
+    every = files.filter(F.col("length") <= file_bytes).select(*own(F.col("content")))
+    every = every.unionByName(files.filter(F.col("length") > file_bytes).select(*own(F.lit(None).cast("binary"))))
+    return every.filter(F.col("extension").isin(*extensions))
+
+
+def ordered(rows: DataFrame) -> DataFrame:
+    """rows by source, as code points compare."""
+    return rows.orderBy(F.col("source").cast("binary"))
 
 
 def extract(files: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008  frozen
