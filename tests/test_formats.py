@@ -291,7 +291,7 @@ def test_exif(order):
 
 def test_formats_say_what_is_missing():
     said = formats.install()
-    assert reading.registered(".html") is css.html_css_full and said["PDF"] == "" and said["text in pictures"] and said["pictures in PDF"]
+    assert reading.registered(".html") is css.html_css_full and said["PDF"] == "" and said["text in pictures"] and said["text in pictures of PDF"]
     formats.install("HTML")
     assert reading.registered("html") is html.html
     with pytest.raises(ValueError):

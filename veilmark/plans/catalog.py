@@ -594,3 +594,31 @@ def image_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = reading.extract(_files(docs, ".jpg", _photo)).select("doc_id", F.explode("segments").alias("s"))
     return found.select("doc_id", "s.location", F.length("s.text").cast("long").alias("n_chars"))
+
+
+def _illustrated(text: str, doc_id: int) -> bytes:
+    """Two pages that share a picture, one with another of its own, and a small one that doesn't count."""
+    samples = lambda n: bytes([32 + n % 90]) * 2_500
+    image = lambda n, value, size: b"%d 0 obj << /Type /XObject /Subtype /Image /Width %d /Height %d /Length %d >>\nstream\n%s\nendstream endobj" % (n, size, size, len(value), value)
+    return b"\n".join([
+        b"%PDF-1.5", b"1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj", b"2 0 obj << /Type /Pages /Kids [3 0 R 4 0 R] /MediaBox [0 0 612 792] >> endobj",
+        b"3 0 obj << /Type /Page /Resources << /XObject << /A 5 0 R /S 7 0 R >> >> >> endobj", b"4 0 obj << /Type /Page /Resources << /XObject << /B 5 0 R /C 6 0 R /D 8 0 R >> >> >> endobj",
+        image(5, samples(doc_id), 50), image(6, samples(doc_id + 1), 50), image(7, b"xx", 49), image(8, samples(doc_id), 50), b"trailer << /Root 1 0 R >>\nstartxref\n0\n%%EOF",
+    ])
+
+
+@query(
+    "pdf_pictures",
+    "SELECT doc_id, page::BIGINT AS page, name, 50::BIGINT AS width, sha256(repeat(chr((32 + (doc_id + k) % 90)::INT), 2500)) AS sha256 FROM documents, (VALUES (1, '/A', 0), (2, '/C', 1)) v(page, name, k)",
+)
+def pdf_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures inside PDF files, each once."""
+    made = _files(spark.read.parquet(f"{sf_dir}/documents.parquet"), ".pdf", _illustrated)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, page, name, width, digest) for i, c in zip(batch.column(0).to_pylist(), batch.column(1)) for page, name, width, _, digest in pdf.pictures(c.as_py())]
+            columns = zip(*rows) if rows else ((),) * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()))], ["doc_id", "page", "name", "width", "sha256"])
+
+    return made.select("doc_id", "content").mapInArrow(run, "doc_id long, page long, name string, width long, sha256 string")

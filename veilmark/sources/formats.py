@@ -24,7 +24,7 @@ FORMATS = (
     Format("HTML", lambda: reading.register([".html", ".htm"], html.html)),
     Format("DOCX", lambda: reading.register(".docx", docx.docx)),
     Format("PDF", lambda: reading.register(".pdf", pdf.pdf)),
-    Format("pictures in PDF", None, "pictures in PDF files are not taken out"),
+    Format("text in pictures of PDF", None, "pictures are listed (pdf.pictures), but there is no library that recognises text"),
     Format("text in pictures", None, "there is no library that recognises text"),
     Format("image metadata", lambda: reading.register([".jpg", ".jpeg", ".gif", ".bmp", ".tif", ".tiff", ".webp"], metadata.image)),
     Format("PNG layers", lambda: reading.register(".png", png.png)),
