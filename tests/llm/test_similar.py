@@ -109,7 +109,7 @@ def test_bitmaps_never_part_what_is_similar():
             continue
         common = len(np.intersect1d(a, b))
         percent = 80
-        x, _ = jaccard_join.near_pairs(np.zeros(2, int), np.array([len(a), len(b)]), np.array([1, 2]), np.array([2, 2]), [jaccard_join.bitmap(s) for s in (a, b)], percent)
+        x, _, _ = jaccard_join.near_pairs(np.zeros(2, int), np.array([len(a), len(b)]), np.array([1, 2]), np.array([2, 2]), [jaccard_join.bitmap(s) for s in (a, b)], percent)
         assert len(x) or common * 100 < percent * (len(a) + len(b) - common)
 
 
@@ -131,7 +131,9 @@ def test_keep_decides_by_row(spark):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted((rows[i] for i in (1, 2, 3, 5, 6, 7)), key=str)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [components.FEW_LINKS, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW_LINKS", few)
     rnd = random.Random(1)
     links = [(i, i + 1) for i in range(100, 160)] + [(rnd.randrange(60), rnd.randrange(60)) for _ in range(40)] + [(200, i) for i in range(201, 260)] + [(5, 5)]
     want = {n: c for n, c in reached({x for p in links for x in p}, links).items()}

@@ -17,9 +17,10 @@ what no other class of a possible size has, most of them, goes no further, and g
 No pairs are made between tables.  A group's memberships carry a parity bitmap of the class's tokens; two bitmaps
 differ in no more bits than the sets in tokens, so a task drops at once, and loses none, what differs in too many.
 Groups of more than ``BLOCK`` classes are dealt in blocks by size and hash, never ordered.  Rounds, each of which
-verifies what it proposes on the texts and labels what it has connected: first a spanning forest of what seems similar
-in each block, with the group's first class in every block; then the same among one class of each label of large groups;
-at last every pair of different labels in the groups, and in block pairs of possible sizes, that is left.
+verifies what it proposes on the texts and labels what it has connected: first each class meets the others that chose
+the same groups, its largest and its smallest, and the group's first class, and a spanning forest of what seems similar
+is proposed; then the same among one class of each label of large groups; at last, in the groups that still hold several
+labels and in block pairs of possible sizes, every pair of different labels.
 
 Defined cases.  Null texts and texts without words have no shingles and link with nothing.  Rows that share a doc_id,
 or have none, count as documents of their own, ordered by text.  Copies share a class.  An empty table gives an empty
@@ -50,15 +51,15 @@ COMBINE_SIZE = 400
 #: A block of a group: about so many classes, and so many tokens.
 BLOCK = 512
 BLOCK_TOKENS = 400_000
-FLUSH_TOKENS = 1_000_000
+FLUSH_TOKENS = 500_000
 #: A signature that so many classes of an Arrow batch have goes round the window that looks for partners.
 CROWD = 64
 #: Up to so many ids (8 bytes each) are broadcast to drop the texts that no task wants before they are shuffled.
 BROADCAST_IDS = 1_000_000
 #: Memberships that a task compares at a time, and bytes of bitmaps in one comparison.
-CHUNK_ROWS = 20_000
-COMPARE_BYTES = 8 << 20
-NUMBERS_BYTES = 32 << 20
+CHUNK_ROWS = 10_000
+COMPARE_BYTES = 4 << 20
+NUMBERS_BYTES = 8 << 20
 
 
 def _errors(size: int, percent: int) -> int:
@@ -208,16 +209,19 @@ def _grouped(rows: DataFrame) -> DataFrame:
 def candidates(signed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """signature, node, size, n: groups of classes that may be similar, from ``index``'s rows.
 
-    Dropped are classes that share a signature with none of a possible size.  Of crowded signatures only delegates are
-    looked at; as one stands for a size within the needed ratio, what is kept is what has a partner within its square.
+    Dropped are classes that share a signature with none of a possible size.  Of crowded signatures only delegates meet
+    the others in the window; as one stands for sizes within the needed ratio, there what is kept is what has a partner
+    within its square.  The rest of a crowd is spread by class.
     """
-    by = Window.partitionBy("signature").orderBy("size", "c1", "c2", F.col("state").desc())
+    signed = signed.withColumn("salt", F.when(F.col("state") == 2, F.pmod("c1", F.lit(1 << 10)) + 1).otherwise(F.lit(0)).cast("short"))
+    own = Window.partitionBy("signature", "salt")
+    by = own.orderBy("size", "c1", "c2", F.col("state").desc())
     first = ~(F.col("c1").eqNullSafe(F.lag("c1").over(by)) & F.col("c2").eqNullSafe(F.lag("c2").over(by)))
-    ratio = percent * percent / 10_000 - 1e-9
+    exact, wide = percent / 100 - 1e-9, percent * percent / 10_000 - 1e-9
+    ratio = F.when(F.max("state").over(own) > 0, F.lit(wide)).otherwise(F.lit(exact))
     near = (F.col("state") > 0) | (F.lag("size").over(by) >= F.col("size") * ratio) | (F.col("size") >= F.lead("size").over(by) * ratio)
-    linked = signed.filter("state < 2").withColumn("first", first).filter("first").drop("first").withColumn("near", near).filter("near").drop("near", "state")
-    crowd = signed.filter("state = 2").drop("state").distinct()
-    linked = staging.stage(linked.unionByName(crowd).join(classes.select("c1", "c2", "node"), ["c1", "c2"]).select("signature", "node", "size"), "linked")
+    linked = signed.withColumn("first", first).filter("first").drop("first").withColumn("near", near).filter("near")
+    linked = staging.stage(linked.join(classes.select("c1", "c2", "node"), ["c1", "c2"]).select("signature", "node", "size"), "linked")
     return staging.stage(_grouped(linked), "rows")
 
 
@@ -226,14 +230,13 @@ def _folded(bits: np.ndarray) -> np.ndarray:
     return bits[:, :half] ^ bits[:, half:]
 
 
-def near_pairs(group: np.ndarray, size: np.ndarray, label: np.ndarray, side: np.ndarray, bits: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places p < q of one group (rows lie by group) and different labels that may be similar.
+def near_pairs(group: np.ndarray, size: np.ndarray, label: np.ndarray, side: np.ndarray, bits: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places p < q of one group (rows lie by group) and different labels that may be similar; by how much they differ, of all.
 
     side: 0 and 1 where only members of different sides are compared, 2 where all are.
     """
-    found = [(np.zeros(0, np.int64),) * 2]
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     length = np.array([len(b) for b in bits])
-    place = np.zeros(len(bits), np.int64)
     levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for n in np.unique(length).tolist():
         own, larger = np.flatnonzero(length == n), np.flatnonzero(length == 2 * n)
@@ -260,12 +263,12 @@ def near_pairs(group: np.ndarray, size: np.ndarray, label: np.ndarray, side: np.
                 x, y = a[part], b[part]
                 differ = np.bitwise_count(table[at[x]] ^ table[at[y]]).sum(axis=1, dtype=np.int64)
                 alike = differ * (100 + percent) <= (size[x] + size[y]) * (100 - percent)
-                found.append((x[alike], y[alike]))
+                found.append((x[alike], y[alike], differ[alike] / (size[x] + size[y])[alike]))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
-    """Of the pairs those that connect something, in the order of a and b."""
+def _forest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> tuple[list[int], list[int]]:
+    """Of the pairs those that connect something, nearest first: what they don't connect, hardly another would."""
     parent = list(range(n))
 
     def root(x: int) -> int:
@@ -274,7 +277,7 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]
             x = parent[x]
         return x
 
-    order = np.lexsort((b, a))
+    order = np.lexsort((b, a, far))
     left, right = [], []
     for x, y in zip(a[order].tolist(), b[order].tolist()):
         p, q = root(x), root(y)
@@ -299,9 +302,9 @@ def proposed(tasks: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
             signature, i, j, block, node, size, label = (rows.column(c).to_numpy() for c in names)
             new = np.r_[True, (signature[1:] != signature[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
             side = np.where(i == j, 2, block == j)
-            a, b = near_pairs(np.cumsum(new), size, label, side, rows.column("bits").to_pylist(), percent)
+            a, b, far = near_pairs(np.cumsum(new), size, label, side, rows.column("bits").to_pylist(), percent)
             if not all_pairs:  # copies of a class in several groups are one
-                a, b = _forest(len(node), a, b)
+                a, b = _forest(len(node), a, b, far)
             x, y = node[a], node[b]
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -343,16 +346,26 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("block", F.col("band") * (1 << 20) + F.col("part"))
 
 
-def within_blocks(rows: DataFrame, percent: int, block: int) -> DataFrame:
-    """Tasks of single blocks; the first class of a large group is in each of its blocks."""
+def within_blocks(rows: DataFrame, hubs: DataFrame, percent: int, block: int) -> DataFrame:
+    """Tasks of single blocks; the hub of a group (signature, node, size, label) is in each of its blocks."""
     placed = staging.stage(_numbered(_blocks(rows, percent, block)), "placed")
-    large = placed.filter(F.col("n") > block)
-    hub = large.groupBy("signature").agg(F.min(F.struct("node", "size", "label")).alias("hub"))
-    guests = large.select("signature", "block").distinct().join(hub, "signature").select("signature", "block", "hub.*")
+    guests = placed.select("signature", "block").distinct().join(hubs, "signature").select("signature", "block", "node", "size", "label")
     own = placed.select("signature", "block", "node", "size", "label").unionByName(guests)
     return own.select("signature", F.col("block").alias("i"), F.col("block").alias("j"), "block", "node", "size", "label")
 
 
+def _hubs(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("signature").agg(F.min(F.struct("node", "size", "label")).alias("hub")).select("signature", "hub.*")
+
+
+def _chosen(rows: DataFrame) -> DataFrame:
+    """Of each class's memberships those in its largest and its smallest group; n counts who chose the group."""
+    fact = F.struct("n", "signature", "size", "label")
+    two = rows.groupBy("node").agg(F.max(fact).alias("high"), F.min(fact).alias("low"))
+    each = two.select("node", F.explode(F.array_distinct(F.array("high", "low"))).alias("at")).select("node", "at.signature", "at.size", "at.label")
+    return each.join(each.groupBy("signature").agg(F.count(F.lit(1)).alias("n")), "signature")
+
+
 def between_blocks(rows: DataFrame, percent: int, block: int) -> DataFrame:
     """Tasks of all pairs of blocks of a group whose sizes can match, and of single ones."""
     placed = staging.stage(_numbered(_blocks(rows, percent, block)), "placed")
@@ -439,24 +452,26 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int, block:
 def links(docs: DataFrame, rows: DataFrame, classes: DataFrame, width: int, percent: int, block: int) -> DataFrame:
     """Links (a, b) with the same components as all similar pairs in the groups of ``candidates``."""
     bits = classes.select("node", "bits")
-    rows = staging.stage(rows.withColumn("label", F.col("node")), "labelled")
-    tried = staging.stage(proposed(within_blocks(rows, percent, block).join(bits, "node"), percent, False), "tried")
+    rows = rows.withColumn("label", F.col("node"))
+    tried = staging.stage(proposed(within_blocks(_chosen(rows), _hubs(rows), percent, block).join(bits, "node"), percent, False), "tried")
     found = verified(docs, tried, width, percent, block)
 
-    def relabelled() -> DataFrame:
-        labels = components(found)
-        own = rows.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    def relabelled(rows: DataFrame) -> DataFrame:
+        """Those of the groups that hold more than one label now."""
+        own = rows.drop("label").join(components(found), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        own = staging.stage(own, "labelled")
         apart = own.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("signature")
         return staging.stage(own.join(apart, "signature"), "apart")
 
-    left = relabelled()
+    left = relabelled(rows)
     large = left.filter(F.col("n") > block)
     if large.limit(1).count():
-        chosen = large.groupBy("signature", "label").agg(F.min(F.struct("node", "size")).alias("one")).select("signature", "label", "one.*")
-        chosen = chosen.join(chosen.groupBy("signature").agg(F.count(F.lit(1)).alias("n")), "signature")
-        again = staging.stage(proposed(within_blocks(chosen, percent, block).join(bits, "node"), percent, False).join(tried, ["a", "b"], "left_anti"), "again")
+        some = large.groupBy("signature", "label").agg(F.min(F.struct("node", "size")).alias("one")).select("signature", "label", "one.*")
+        some = some.join(some.groupBy("signature").agg(F.count(F.lit(1)).alias("n")), "signature")
+        again = proposed(within_blocks(some, _hubs(some), percent, block).join(bits, "node"), percent, False).join(tried, ["a", "b"], "left_anti")
+        again = staging.stage(again, "again")
         found, tried = found.unionByName(verified(docs, again, width, percent, block)), tried.unionByName(again)
-        left = relabelled()
+        left = relabelled(left)
     rest = staging.stage(proposed(between_blocks(left, percent, block).join(bits, "node"), percent, True).join(tried, ["a", "b"], "left_anti"), "rest")
     return found.unionByName(verified(docs, rest, width, percent, block))
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.llm import repeats, staging
-from veilmark.llm.components import components
+from veilmark.llm.components import components, labels
 
 COSINE = 0.9
 NEAREST = 8
@@ -153,22 +153,6 @@ def shared_counts(left: np.ndarray, right: np.ndarray, here: int) -> tuple[np.nd
     return count, owned
 
 
-def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of n rows the least row that pairs (a, b) connect it with."""
-    label = np.arange(n)
-    while True:
-        least = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, least)
-        np.minimum.at(new, b, least)
-        np.minimum.at(new, label[a], least)
-        np.minimum.at(new, label[b], least)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _compare(cosine: float, min_shared: int):  # noqa: ANN202
     def run(key: tuple, table: pa.Table) -> pa.Table:
         here, i, j = (k.as_py() for k in key)
@@ -201,7 +185,7 @@ def _compare(cosine: float, min_shared: int):  # noqa: ANN202
         order = np.argsort(node, kind="stable")
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
-        label = node[order][_labels(len(node), rank[a], rank[b])][rank] if len(a) else node
+        label = node[order][labels(len(node), rank[a], rank[b])][rank] if len(a) else node
         some = links > 0
         return pa.table({"node": node[some], "links": links[some], "label": label[some]})
 
@@ -210,7 +194,7 @@ def _compare(cosine: float, min_shared: int):  # noqa: ANN202
 
 def _tree(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     a, b = (np.concatenate(x) for x in zip(*pairs))
-    label = _labels(n, a, b)
+    label = labels(n, a, b)
     return np.arange(n), label
 
 
