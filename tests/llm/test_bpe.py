@@ -53,3 +53,11 @@ def test_table(spark, texts):
         assert row.ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in want)).hexdigest()
         assert row.decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
     assert bpe_codec.report(table(spark, [])).count() == 0
+
+
+def test_repeated_rows_and_missing_ids(spark):
+    rows = [(1, "same text", "en", "a")] * 3 + [(None, "same text", "en", "b"), (None, None, None, None)]
+    n = len(REFERENCE.encode_ordinary("same text"))
+    found = bpe_codec.encode(table(spark, rows), carry=("lang", "source", "digest")).collect()
+    assert sorted(((r.doc_id, r.n_tokens, r.lang, r.source, r.digest) for r in found), key=str) == sorted([(1, n, "en", "a", "d")] * 3 + [(None, n, "en", "b", "d"), (None, 0, None, None, "d")], key=str)
+    assert bpe_codec.report(table(spark, rows)).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

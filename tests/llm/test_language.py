@@ -29,6 +29,22 @@ def test_accuracy_and_folds(spark):
     assert all(0 <= r.score <= 1 for r in found.values()) and not any(r.rejected for r in found.values())
 
 
+STRANGE = ["qzxv kjw qxz vvkq " * 30, "日本語のテキストです。" * 20, "Привет как дела у тебя " * 20, "lorem ipsum dolor sit amet consectetur adipiscing elit " * 10, "0x7f ff00 ab12 dead beef " * 20]
+
+
+def test_what_no_language_explains_is_rejected(spark):
+    """Trained on the test documents: other scripts, other languages and random letters go, the documents stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    other = spark.createDataFrame([(10_000_000 + i, t, None) for i, t in enumerate(STRANGE)], docs.schema)
+    model = language_id.fit(docs.filter(~language_id.held_out(docs["doc_id"])))
+    found = {r.doc_id: r.rejected for r in language_id.predict(docs.unionByName(other), model).collect()}
+    assert all(found[10_000_000 + i] for i in range(len(STRANGE)))
+    assert sum(r for i, r in found.items() if i < 10_000_000) <= 2
+    held = {r.doc_id: r.lang for r in docs.filter(language_id.held_out(docs["doc_id"])).collect()}
+    predicted = {r.doc_id: r.lang_pred for r in language_id.report(docs).collect()}
+    assert np.mean([predicted[i] == lang for i, lang in held.items()]) > 0.98
+
+
 def test_labels_of_held_out_documents_are_not_read(spark):
     own = rows(300)
     other = [(i, t, "xx" if zlib.crc32(str(i).encode()) % 5 == 0 else lang) for i, t, lang in own]

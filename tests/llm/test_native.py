@@ -141,6 +141,15 @@ def test_licenses(spark):
     assert license_scan.scan(table(spark, [])).count() == 0
 
 
+def test_licenses_in_long_and_repeated_rows(spark):
+    """A notice at the end of a very long text, under many copyright lines, and in rows that occur several times."""
+    isc = dict(license_scan.KNOWN)["ISC"]
+    lines = "".join(f"Copyright (c) {1900 + i} The Owners of Part {i}\n" for i in range(80))
+    rows = [(1, "word " * 200_000 + "\nReleased under the MIT License.")] * 2 + [(None, lines + isc.replace(". ", ".\n")), (None, lines + isc.replace(". ", ".\n"))]
+    found = sorted(((str(r.doc_id), ",".join(r.licenses), r.n_units) for r in license_scan.scan(table(spark, rows)).collect()))
+    assert found == [("1", "MIT", 1)] * 2 + [("None", "ISC", 1)] * 2
+
+
 def test_whole_licenses(spark):
     want = {"BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "Unlicense", "Zlib", "Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0"}
     folder = Path(license_scan.__file__).parent / "licenses"

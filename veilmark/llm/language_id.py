@@ -36,7 +36,7 @@ MAX_LANGUAGES = 1000
 CENTROIDS = 4
 FOLDS = 5
 QUANTILE = 0.002
-SLACK = 0.3
+SLACK = 0.4
 UNKNOWN = "und"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

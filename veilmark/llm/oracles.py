@@ -75,11 +75,24 @@ _WINDOWS = rf"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''),
     k AS (SELECT doc_id, count(*) FILTER (p - last < 20) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (last IS NULL OR p - last >= 20) AS kept FROM j GROUP BY doc_id)
     SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)"""
 
+#: Texts in hexadecimal, two characters a byte, so that a window is a substring.
+_BYTES = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    s AS (SELECT doc_id, i, md5(substr(h, 2 * i - 1, 200)) AS m FROM (SELECT doc_id, h, unnest(generate_series(1, length(h)::BIGINT // 2 - 99)) AS i FROM d WHERE length(h) >= 200)),
+    f AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY m ORDER BY doc_id, i) AS k FROM s) WHERE k > 1),
+    g AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM f),
+    r AS (SELECT doc_id, min(i) AS low, max(i) + 100 AS high FROM (SELECT doc_id, i, count(*) FILTER (step IS NULL OR step > 100) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g) GROUP BY doc_id, run),
+    n AS (SELECT doc_id, sum(high - low)::BIGINT AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id),
+    e AS (SELECT doc_id, low, high FROM r UNION ALL SELECT doc_id, length(h) // 2 + 1, length(h) // 2 + 1 FROM d),
+    k AS (SELECT doc_id, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low, high), 1) AS start, low AS stop FROM e),
+    t AS (SELECT k.doc_id, string_agg(substr(h, 2 * start - 1, 2 * (stop - start)), '' ORDER BY start) AS kept FROM k JOIN d USING (doc_id) GROUP BY k.doc_id)
+    SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM d JOIN t USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
 _COPIES = """SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
     FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))"""
 
 ORACLES = {
     "op1_secret_scan": _secrets(),
+    "op4_suffix_dedup": _BYTES,
     "op5_pivot_index": _EMBEDDINGS,
     "op7_license_scan": _licenses(),
     "op8_jaccard_join": _JACCARD,

@@ -14,7 +14,9 @@ dealt by their first 100 bytes, so that each bucket is one interval.  Texts move
 
 Defined cases.  A null text is empty.  Texts under 100 bytes lose nothing.  Removal is judged on the input: what
 covers a byte may itself be removed elsewhere.  Rows that share a doc_id, or have none, are ordered by text, equal
-ones in any order; so of equal rows one counts as the earlier.  Repeats never cross rows.
+ones in any order; so of equal rows one counts as the earlier.  Repeats never cross rows.  An empty table gives an empty
+result.  Extra columns, whatever their names, do not matter.  A very long text is cut in segments like any other; it is
+held whole by the one task that reads it.
 """
 
 from __future__ import annotations
