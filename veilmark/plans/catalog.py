@@ -351,15 +351,15 @@ def encoding_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.extract(made).select("doc_id", "status", "encoding", F.size("segments").cast("long").alias("n_segments"))
 
 
-@query("contract_validate", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '/thresholds/opacity_max' WHEN 2 THEN '/extra' ELSE '/thresholds/scale_max' END AS pointer FROM documents")
+@query("contract_validate", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CASE WHEN length(text) > 2000 THEN '/text' END WHEN 1 THEN '/thresholds/opacity_max' WHEN 2 THEN '/extra' ELSE '/thresholds/scale_max' END AS pointer FROM documents")
 def contract_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = {"type": "object", "keys": {"thresholds": {"type": "object", "keys": {k: {"type": "number", "min": 0, "max": m} for k, m in geometry.BOUNDS.items()}}}}
+    spec = {"type": "object", "keys": {"thresholds": {"type": "object", "keys": {k: {"type": "number", "min": 0, "max": m} for k, m in geometry.BOUNDS.items()}}, "text": {"type": "string", "max_len": 2000}}}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pointers = []
-            for i in batch.column(0).to_pylist():
-                value: dict = {"thresholds": dict(geometry.THRESHOLDS)}
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                value: dict = {"thresholds": dict(geometry.THRESHOLDS), "text": text or ""}
                 if i % 4 == 1:
                     value["thresholds"]["opacity_max"] = 2
                 elif i % 4 == 2:
@@ -373,7 +373,7 @@ def contract_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
                     pointers.append(e.pointer)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pointers, pa.string())], ["doc_id", "pointer"])
 
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").mapInArrow(run, "doc_id long, pointer string")
+    return reading.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).mapInArrow(run, "doc_id long, pointer string")
 
 
 def _page(text: str, doc_id: int) -> bytes:
@@ -622,3 +622,17 @@ def pdf_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()))], ["doc_id", "page", "name", "width", "sha256"])
 
     return made.select("doc_id", "content").mapInArrow(run, "doc_id long, page long, name string, width long, sha256 string")
+
+
+@query(
+    "docx_segments",
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE {_STRIPPED.replace('t,', 'text,', 1)} <> ''),
+    k AS (SELECT *, i = 1 AND doc_id % 4 <> 0 AS hidden FROM l WHERE {_STRIPPED.replace('t,', 'line,', 1)} <> '')
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::BIGINT AS seg_no, NOT hidden AS visible, CASE WHEN hidden THEN 'docx_hidden' ELSE 'body' END AS kind, 'paragraph ' || i AS location,
+        CASE WHEN hidden THEN ['', 'vanish', 'tiny_font', 'low_contrast (fg=FFFFFF,bg=FFFFFF,src=default)'][doc_id % 4 + 1] END AS concealment, sha256(line) AS text_sha256 FROM k""",
+)
+def docx_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each paragraph of Word files: where it stands, why it is concealed, and its text."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter(F.length(detect.strip(F.col("text"))) > 0)
+    found = reading.extract(_files(docs, ".docx", _word)).select("doc_id", F.posexplode("segments").alias("seg_no", "s"))
+    return found.select("doc_id", F.col("seg_no").cast("long").alias("seg_no"), "s.visible", "s.kind", "s.location", "s.concealment", F.sha2("s.text", 256).alias("text_sha256"))
