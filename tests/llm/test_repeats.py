@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -175,6 +176,23 @@ def test_segments_hold_every_window_once(lists):
     assert all(len(a) == 1 for a in anchors.values())
 
 
+def test_words_and_their_hashes():
+    """Words as bytes.split() gives them; equal hashes for equal words only, whatever stands around them."""
+    rnd = np.random.default_rng(4)
+    letters = ["a", "B", " ", "\n", "\t", "\x0b", "\x0c", "\r", "é", " ", "\x1c", "\x85", "日", "ab" * 40]
+    known: dict[bytes, tuple[int, int]] = {}
+    for _ in range(200):
+        texts = ["".join(letters[i] for i in rnd.integers(0, len(letters), rnd.integers(0, 14))) for _ in range(5)]
+        for lower in (False, True):
+            for _, data, offsets in sequences.runs(pa.array(texts)):
+                made = sequences.Words(data, offsets, lower)
+                want = [(t.encode().lower() if lower else t.encode()).split() for t in texts]
+                assert np.diff(made.offsets).tolist() == list(map(len, want))
+                for word, pair in zip((w for own in want for w in own), zip(made.hash.tolist(), made.other.tolist())):
+                    assert known.setdefault(word, pair) == pair
+    assert len({a for a, _ in known.values()}) == len({b for _, b in known.values()}) == len(known) > 200
+
+
 def test_merged_intervals():
     doc, start, end = repeats.merged(np.array([2, 1, 1, 1, 2]), np.array([5, 0, 3, 9, 0]), np.array([8, 3, 4, 12, 5]))
     assert list(zip(doc, start, end)) == [(1, 0, 4), (1, 9, 12), (2, 0, 8)]

@@ -217,7 +217,7 @@ def contents(docs: DataFrame, open_segments: DataFrame, extract: Callable[[bytes
             for piece, found in single.items():  # only the batch's earliest of equal windows goes by its content
                 found.sort()
                 rows.append((hash_key(piece), *found[0], 1, piece))
-                rows += [(uid * 0x9E3779B1 ^ at, uid, at, 1, b"") for uid, at in found[1:]]
+                rows += [((uid * 0x9E3779B1 ^ at) & ((1 << 63) - 1), uid, at, 1, b"") for uid, at in found[1:]]
             for at in range(0, len(rows), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 20_000]), schema)], schema=schema)
 

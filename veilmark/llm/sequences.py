@@ -88,44 +88,57 @@ class Numbers(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-class Vocabulary(Numbers):
-    """Besides, two independent 64-bit hashes of each word, halves of one BLAKE2b digest."""
+#: Words of up to so many bytes are hashed eight bytes at a time, for all words at once; longer ones by BLAKE2b.
+LONG = 64
+_SEEDS = np.array([0x2545F4914F6CDD1D, 0xD1342543DE82EF95], np.uint64)
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.digests = bytearray()
-
-    def __missing__(self, word: bytes) -> int:
-        self.digests += hashlib.blake2b(word, digest_size=16).digest()
-        return super().__missing__(word)
-
-    def hashes(self, numbers: np.ndarray) -> np.ndarray:
-        """A row of two hashes for each number."""
-        return np.frombuffer(bytes(self.digests), "<u8").reshape(-1, 2)[numbers]
 
+def word_hashes(words: pa.LargeBinaryArray) -> np.ndarray:
+    """A row of two independent 64-bit hashes for each word.
 
-#: Kept between calls, since corpora repeat their words; dropped when it holds more than VOCABULARY_BYTES.
-VOCABULARY_BYTES = 16 << 20
-_vocabulary = Vocabulary()
+    Each step is a bijection of eight bytes, so words of up to eight bytes and one length never clash; there is no sum
+    over places, which made words of some patterns equal.
+    """
+    n = len(words)
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + n + 1] if n else np.zeros(1, np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"\0", np.uint8)
+    start, size = offsets[:-1], np.diff(offsets)
+    with np.errstate(over="ignore"):
+        h = mixed(_SEEDS[None, :] + size.astype(np.uint64)[:, None] * np.uint64(_BASE))
+        for at in range(0, LONG, 8):
+            some = np.flatnonzero(size > at)
+            if not len(some):
+                break
+            inside = at + np.arange(8) < size[some][:, None]
+            piece = np.where(inside, data[np.minimum(start[some][:, None] + at + np.arange(8), len(data) - 1)], 0).astype(np.uint8)
+            lane = np.ascontiguousarray(piece).view("<u8").ravel()
+            h[some, 0] = mixed(h[some, 0] ^ lane)
+            h[some, 1] = mixed((h[some, 1] + lane) * _SEEDS[1])
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = np.frombuffer(hashlib.blake2b(data[start[i] : start[i] + size[i]].tobytes(), digest_size=16).digest(), "<u8")
+    return h
 
 
 class Words:
-    """Words of a run of texts: ``list``, two hashes of each, and ``offsets`` of each text's words."""
+    """Words of a run of texts: two hashes of each, and ``offsets`` of each text's words.
+
+    Splitting and telling words apart are Arrow's; only a run's different words are hashed.
+    """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> None:
-        global _vocabulary  # noqa: PLW0603  a cache of this process
-        every = bytes(data)
-        if lower:
-            every = every.lower()  # of bytes: A to Z only
-        if _vocabulary.held > VOCABULARY_BYTES:
-            _vocabulary = Vocabulary()
-        self.list: list[bytes] = []
-        counts = [0]
-        for at, to in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-            self.list += every[at:to].split()  # of bytes: at blanks, and tab to carriage return
-            counts.append(len(self.list))
-        self.offsets = np.array(counts, np.int64)
-        both = _vocabulary.hashes(_vocabulary.numbers(self.list))
+        texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)  # A to Z only; at blanks, and tab to carriage return
+        found = parts.flatten().dictionary_encode()
+        different = found.dictionary.cast(pa.large_binary())
+        which = found.indices.to_numpy(zero_copy_only=False)
+        edges = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        nothing = pc.index(different, pa.scalar(b"", pa.large_binary())).as_py()
+        if nothing >= 0:  # what stands before a leading blank, or after a last one
+            there = which != nothing
+            edges = np.r_[0, np.cumsum(there)][edges]
+            which = which[there]
+        both = word_hashes(different)[which]
+        self.offsets = edges.astype(np.int64)
         self.hash, self.other = np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
 
 
