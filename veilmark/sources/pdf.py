@@ -113,8 +113,10 @@ class File:
         if b"/Encrypt" in data:
             raise ValueError("encrypted")
         self.objects: dict[int, tuple[Any, bytes]] = {}
-        for m in re.finditer(rb"(?<!\d)(\d+)\s+\d+\s+obj\b(.*?)(?:endobj|(?=\d+\s+\d+\s+obj\b)|$)", data, re.DOTALL):
-            head, _, stream = m[2].partition(b"stream")
+        marks = list(re.finditer(rb"(?<!\d)(\d+)\s+\d+\s+obj\b", data))
+        for m, limit in zip(marks, [*(x.start() for x in marks[1:]), len(data)]):
+            end = data.find(b"endobj", m.end(), limit)
+            head, _, stream = data[m.end() : end if end >= 0 else limit].partition(b"stream")
             value = tokens(head)
             size = value[0].get("Length") if value and isinstance(value[0], dict) else None
             body = re.sub(rb"^\r?\n", b"", stream, count=1)
