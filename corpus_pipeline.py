@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilmark.llm import bpe_codec, jaccard_join, language_id, mixture, staging, stream_dedup
+from veilmark.sources import reading
 
 #: No SQL can express the language model, the similarity join or the encoder; tests hold run() against brute force.
 ORACLE_SQL = None
@@ -53,7 +54,7 @@ STAGES: list[tuple[str, Stage]] = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = reading.spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     before: staging.Folders = []
     for name, stage in STAGES[:-1]:
         made = stage(spark, docs, sf_dir)
