@@ -20,7 +20,8 @@ Groups of more than ``BLOCK`` classes are dealt in blocks by size and hash, neve
 verifies what it proposes on the texts and labels what it has connected: first each class meets the others that chose
 the same groups, its largest and its smallest, and the group's first class, and a spanning forest of what seems similar
 is proposed; then the same among one class of each label of large groups; at last, in the groups that still hold several
-labels and in block pairs of possible sizes, every pair of different labels.
+labels and in block pairs of possible sizes, every pair of different labels that larger bitmaps, made only of classes
+that the small ones leave in doubt, can't tell apart either.
 
 Defined cases.  Null texts and texts without words have no shingles and link with nothing.  Rows that share a doc_id,
 or have none, count as documents of their own, ordered by text.  Copies share a class.  An empty table gives an empty
@@ -60,6 +61,10 @@ BROADCAST_IDS = 1_000_000
 CHUNK_ROWS = 10_000
 COMPARE_BYTES = 4 << 20
 NUMBERS_BYTES = 8 << 20
+#: How many times larger the bitmaps of the last round are.
+SHARP = 8
+#: Rows of an Arrow batch of texts: several batches are in memory at a time, on both sides.
+BATCH_ROWS = 2_000
 
 
 def _errors(size: int, percent: int) -> int:
@@ -86,9 +91,9 @@ def class_of(tokens: np.ndarray, others: np.ndarray) -> bytes | None:
     return hashlib.blake2b(np.concatenate([tokens, others]).tobytes(), digest_size=16).digest() if len(tokens) else None
 
 
-def bitmap(tokens: np.ndarray) -> bytes:
-    """For each of 2 to 4 times as many bits as there are tokens, the parity of the tokens that fall on it."""
-    bits = 1 << max(6, (2 * len(tokens) - 1).bit_length())
+def bitmap(tokens: np.ndarray, factor: int = 1) -> bytes:
+    """For each of 2 to 4 times as many bits as there are tokens (times ``factor``), the parity of the tokens that fall on it."""
+    bits = factor << max(6, (2 * len(tokens) - 1).bit_length())
     parity = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
 
@@ -288,10 +293,11 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> tuple[list
     return left, right
 
 
-def proposed(tasks: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
-    """Pairs (a, b) that may be similar in tasks (signature, i, j, block, node, size, label, bits), to be verified.
+def proposed(tasks: DataFrame, percent: int, what: str) -> DataFrame:
+    """Pairs (a, b) that may be similar in tasks (signature, i, j, block, node, size, label, bits).
 
-    If not ``all_pairs``, those that connect a task's members, where all turn out to be similar.
+    what: ``forest``, those that connect a task's members if all are similar; ``pairs``, all of them; ``nodes``, only
+    who is in any pair, as (a, a).
     """
     key = ["signature", "i", "j"]
     dealt = tasks.repartition(staging.tasks(tasks.sparkSession), *key).sortWithinPartitions(*key, "size", "node")
@@ -303,8 +309,10 @@ def proposed(tasks: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
             new = np.r_[True, (signature[1:] != signature[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
             side = np.where(i == j, 2, block == j)
             a, b, far = near_pairs(np.cumsum(new), size, label, side, rows.column("bits").to_pylist(), percent)
-            if not all_pairs:  # copies of a class in several groups are one
+            if what == "forest":
                 a, b = _forest(len(node), a, b, far)
+            elif what == "nodes":
+                a = b = np.unique(np.concatenate([a, b]))
             x, y = node[a], node[b]
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -441,10 +449,7 @@ def _verify(width: int, percent: int):  # noqa: ANN202
 def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int, block: int) -> DataFrame:
     """Those of the pairs (a, b) that are similar by the texts of docs (uid, text)."""
     lists = staging.stage(_stars(pairs, block).groupBy(F.col("node").alias("uid")).agg(F.collect_list(F.struct("hub", "part", "partner")).alias("at")), "lists")
-    wanted = docs.select("uid", "text")
-    if lists.count() <= BROADCAST_IDS:
-        wanted = wanted.join(F.broadcast(lists.select("uid")), "uid", "left_semi")
-    each = wanted.join(lists.hint("shuffle_hash"), "uid").select(F.explode("at").alias("at"), F.col("uid").alias("node"), "text")
+    each = _wanted(docs, lists.select(F.col("uid").alias("node"))).join(lists.hint("shuffle_hash"), "uid").select(F.explode("at").alias("at"), F.col("uid").alias("node"), "text")
     dealt = each.select("at.*", "node", "text").repartition(staging.tasks(docs.sparkSession), "hub", "part").sortWithinPartitions("hub", "part", "partner")
     return staging.stage(dealt.mapInArrow(_verify(width, percent), "a long, b long"), "links")
 
@@ -453,7 +458,7 @@ def links(docs: DataFrame, rows: DataFrame, classes: DataFrame, width: int, perc
     """Links (a, b) with the same components as all similar pairs in the groups of ``candidates``."""
     bits = classes.select("node", "bits")
     rows = rows.withColumn("label", F.col("node"))
-    tried = staging.stage(proposed(within_blocks(_chosen(rows), _hubs(rows), percent, block).join(bits, "node"), percent, False), "tried")
+    tried = staging.stage(proposed(within_blocks(_chosen(rows), _hubs(rows), percent, block).join(bits, "node"), percent, "forest"), "tried")
     found = verified(docs, tried, width, percent, block)
 
     def relabelled(rows: DataFrame) -> DataFrame:
@@ -468,16 +473,44 @@ def links(docs: DataFrame, rows: DataFrame, classes: DataFrame, width: int, perc
     if large.limit(1).count():
         some = large.groupBy("signature", "label").agg(F.min(F.struct("node", "size")).alias("one")).select("signature", "label", "one.*")
         some = some.join(some.groupBy("signature").agg(F.count(F.lit(1)).alias("n")), "signature")
-        again = proposed(within_blocks(some, _hubs(some), percent, block).join(bits, "node"), percent, False).join(tried, ["a", "b"], "left_anti")
+        again = proposed(within_blocks(some, _hubs(some), percent, block).join(bits, "node"), percent, "forest").join(tried, ["a", "b"], "left_anti")
         again = staging.stage(again, "again")
         found, tried = found.unionByName(verified(docs, again, width, percent, block)), tried.unionByName(again)
         left = relabelled(left)
-    rest = staging.stage(proposed(between_blocks(left, percent, block).join(bits, "node"), percent, True).join(tried, ["a", "b"], "left_anti"), "rest")
-    return found.unionByName(verified(docs, rest, width, percent, block))
+    # most of what is left is told apart by the small bitmaps, the rest by larger ones, made for its classes alone
+    doubtful = staging.stage(proposed(between_blocks(left, percent, block).join(bits, "node"), percent, "nodes").select(F.col("a").alias("node")), "doubtful")
+    if not doubtful.limit(1).count():
+        return found
+    some = left.drop("n").join(doubtful, "node", "left_semi")
+    some = some.join(some.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "signature")
+    sharp = staging.stage(_sharp(docs, doubtful, width), "sharp")
+    rest = proposed(between_blocks(some, percent, block).join(sharp, "node"), percent, "pairs").join(tried, ["a", "b"], "left_anti")
+    return found.unionByName(verified(docs, staging.stage(rest, "rest"), width, percent, block))
+
+
+def _wanted(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """uid, text of these nodes (node)."""
+    small = nodes.count() <= BROADCAST_IDS
+    return docs.select("uid", "text").join(F.broadcast(nodes) if small else nodes, F.col("uid") == F.col("node"), "left_semi")
+
+
+def _sharp(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """node, bits: larger bitmaps of these nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, at, sets in _sets(batches, width):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)).cast(pa.int64()), pa.array([bitmap(s, SHARP) for s, _ in sets], pa.binary())], ["node", "bits"])
+
+    return _wanted(docs, nodes).mapInArrow(run, "node long, bits binary")
 
 
 def link(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
     """A row per row of docs: uid, doc_id, n_shingles, component (uid), component_id."""
+    with staging.batches(docs.sparkSession, BATCH_ROWS):
+        return _link(docs, text, id_col, width, percent, block, crowd)
+
+
+def _link(docs: DataFrame, text: str, id_col: str, width: int, percent: int, block: int, crowd: int) -> DataFrame:
     own = repeats.identified(docs, text, id_col)
     profiled = staging.stage(profile(own, width), "profiled")
     rows = profiled.filter("uid is not null").select("uid", "size", "c1", "c2", "bits")

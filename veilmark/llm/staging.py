@@ -81,6 +81,18 @@ def _at_exit() -> None:
 atexit.register(_at_exit)
 
 
+@contextmanager
+def batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows in what is executed meanwhile; the session's own setting comes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def tasks(spark: SparkSession) -> int:
     """The number of partitions that explicit repartitions use: what the session sets for its shuffles."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
