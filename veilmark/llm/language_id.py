@@ -37,6 +37,8 @@ CENTROIDS = 4
 FOLDS = 5
 QUANTILE = 0.002
 SLACK = 0.4
+#: Of so few documents too little is known to reject much.
+FEW, FEW_RADIUS = 20, 0.05
 UNKNOWN = "und"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -187,7 +189,8 @@ def fit(docs: DataFrame, text: str = "text", id_col: str = "doc_id", lang: str =
         every = cosine.max(axis=1)
         for c in range(len(own)):
             mine = every[best == c]
-            radii.append(SLACK * float(np.quantile(mine if len(mine) >= 50 else every, QUANTILE)))
+            typical = float(np.quantile(mine if len(mine) >= 50 else every, QUANTILE))
+            radii.append(min(SLACK * typical, 1.0 if len(every) >= FEW else FEW_RADIUS))
         names += [language] * len(own)
         centres.append(own)
     return Model(names, np.concatenate(centres).astype(np.float32), np.array(radii), idf)
