@@ -481,7 +481,7 @@ def links(docs: DataFrame, rows: DataFrame, classes: DataFrame, width: int, perc
     doubtful = staging.stage(proposed(between_blocks(left, percent, block).join(bits, "node"), percent, "nodes").select(F.col("a").alias("node")), "doubtful")
     if not doubtful.limit(1).count():
         return found
-    some = left.drop("n").join(doubtful, "node", "left_semi")
+    some = staging.stage(left.drop("n").join(doubtful, "node", "left_semi"), "some")
     some = some.join(some.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "signature")
     sharp = staging.stage(_sharp(docs, doubtful, width), "sharp")
     rest = proposed(between_blocks(some, percent, block).join(sharp, "node"), percent, "pairs").join(tried, ["a", "b"], "left_anti")
