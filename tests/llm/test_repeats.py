@@ -60,6 +60,14 @@ def test_bytes(spark, texts, monkeypatch, hot):
     assert got(suffix_dedup.deduplicate(table(spark, texts))) == brute_bytes(ordered(texts))
 
 
+@pytest.mark.parametrize("null", [False, True])
+def test_bytes_shuffle_texts_once(spark, texts, null):
+    found = suffix_dedup.deduplicate(table(spark, [*texts, (None, "x " * 200)] if null else texts))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert sum("ReusedExchange" in line and "text#" in line for line in plan.splitlines()) == 1
+
+
 @pytest.mark.parametrize(("hot", "batches", "fanout"), [(1000, 2, 4), (2, 5, 2), (1000, 1, 1)])
 def test_words(spark, texts, monkeypatch, hot, batches, fanout):
     monkeypatch.setattr(repeats.contents, "__defaults__", (hot,))

@@ -10,7 +10,7 @@ extended are left to those that hold them.  ``groups`` returns the groups of a c
 
 Scale.  See ``repeats``: only anchored segments are shuffled, in streaming passes; suffix arrays are built over whole
 anchors, about half a megabyte at a time.  The suffixes of an anchor with more than ``HOT_SEGMENTS`` strings are first
-dealt by their first 100 bytes, so that each bucket is one interval.  Texts move twice, each time once.
+dealt by their first 100 bytes, so that each bucket is one interval.  Texts are shuffled once, for both joins.
 
 Defined cases.  A null text is empty.  Texts under 100 bytes lose nothing.  Removal is judged on the input: what
 covers a byte may itself be removed elsewhere.  Rows that share a doc_id, or have none, are ordered by text, equal
@@ -188,7 +188,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def deduplicate(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """A row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    own = repeats.identified(docs, text, id_col)
+    own = repeats.shared(repeats.identified(docs, text, id_col))
     kind = own.schema["doc_id"].dataType.simpleString()
     return repeats.with_repeats(own, repeated(own)).mapInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
