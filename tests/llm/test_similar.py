@@ -58,6 +58,38 @@ def test_groups(spark, monkeypatch, width, percent, share, block, crowd):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute(rows, width, percent)
 
 
+def overlapping(n):
+    """Documents of one template with as many changes as leave some similar and others not: they share many signatures."""
+    rnd = random.Random(n)
+    base = [f"w{k}" for k in range(40)]
+    return [(i, " ".join(rnd.choice("xyz") + str(i) if k in drop else w for k, w in enumerate(base))) for i in range(n) for drop in [rnd.sample(range(40), rnd.randint(1, 4))]]
+
+
+@pytest.mark.parametrize("unite", [2, 20])
+def test_united_groups(spark, monkeypatch, unite):
+    monkeypatch.setattr(jaccard_join, "UNITE", unite)
+    monkeypatch.setattr(jaccard_join, "FREQUENT_SHARE", 0.05)
+    rows = many(150, 3) + [(1000 + i, t) for i, t in overlapping(150)]
+    found = jaccard_join.link(table(spark, rows), width=2, percent=80, block=16, crowd=8)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute(rows, 2, 80)
+
+
+def test_overlapping_groups_are_compared_once(spark, monkeypatch):
+    block, n, made = 64, 300, []
+    between = jaccard_join.between_blocks
+
+    def counted(*args):
+        tasks = between(*args)
+        made.append(tasks.count())
+        return tasks
+
+    monkeypatch.setattr(jaccard_join, "between_blocks", counted)
+    rows = overlapping(n)
+    found = jaccard_join.link(table(spark, rows), width=4, percent=70, block=block)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute(rows, 4, 70)
+    assert 0 < made[0] <= 2 * n * (n // block + 2)  # once for each other block, not for each shared signature
+
+
 def test_signatures_never_miss():
     rnd = random.Random(2)
     for _ in range(3000):

@@ -13,6 +13,7 @@ Scale.  Documents with equal sets are one class, found before anything is compar
 decided from all documents (a token in more than ``FREQUENT_SHARE`` of them, so the table has at most mean size /
 share entries); it only orders tokens, so a different choice can't change the result.  Signatures are shuffled once;
 what no other class of a possible size has, most of them, goes no further, and groups with the same members are one.
+Large groups that overlap much are united (``_united``): near copies share many signatures, and are compared once.
 
 No pairs are made between tables.  A group's memberships carry a parity bitmap of the class's tokens; two bitmaps
 differ in no more bits than the sets in tokens, so a task drops at once, and loses none, what differs in too many.
@@ -55,6 +56,8 @@ BLOCK_TOKENS = 400_000
 FLUSH_TOKENS = 500_000
 #: A signature that so many classes of an Arrow batch have goes round the window that looks for partners.
 CROWD = 64
+#: Groups of so many classes are put together where they overlap much.
+UNITE = 64
 #: Up to so many ids (8 bytes each) are broadcast to drop the texts that no task wants before they are shuffled.
 BROADCAST_IDS = 1_000_000
 #: Memberships that a task compares at a time, and bytes of bitmaps in one comparison.
@@ -211,6 +214,27 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return rows.join(one.select("signature", "n"), "signature")
 
 
+def _united(rows: DataFrame, least: int) -> DataFrame:
+    """rows with groups of ``least`` classes or more, where they overlap much, put together; pairs in a group stay in one.
+
+    A group follows the largest group of its first class.  The followers of one become their union if that has fewer
+    pairs than they have together, so each pair of classes that share many signatures is compared once.
+    """
+    large = rows.filter(F.col("n") >= least)
+    first = large.groupBy("signature").agg(F.min("node").alias("node"), F.max("n").alias("n"))
+    leader = large.groupBy("node").agg(F.max(F.struct("n", "signature")).getField("signature").alias("leader"))
+    led = staging.stage(first.join(leader, "node").select("signature", "n", "leader"), "led")
+    if not led.limit(1).count():
+        return rows
+    union = staging.stage(large.join(led.select("signature", "leader"), "signature").groupBy("leader", "node").agg(F.min("size").alias("size")), "union")
+    before = led.groupBy("leader").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("before"), F.count(F.lit(1)).alias("groups"))
+    after = union.groupBy("leader").agg(F.count(F.lit(1)).cast("double").alias("members"))
+    good = staging.stage(before.join(after, "leader").filter("groups > 1 and members * members < before").select("leader"), "united")
+    gone = led.join(good, "leader", "left_semi").select("signature")
+    made = union.join(good, "leader", "left_semi").select(F.col("leader").alias("signature"), "node", "size")
+    return rows.join(gone, "signature", "left_anti").select("signature", "node", "size").unionByName(made)
+
+
 def candidates(signed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """signature, node, size, n: groups of classes that may be similar, from ``index``'s rows.
 
@@ -227,7 +251,9 @@ def candidates(signed: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     near = (F.col("state") > 0) | (F.lag("size").over(by) >= F.col("size") * ratio) | (F.col("size") >= F.lead("size").over(by) * ratio)
     linked = signed.withColumn("first", first).filter("first").drop("first").withColumn("near", near).filter("near")
     linked = staging.stage(linked.join(classes.select("c1", "c2", "node"), ["c1", "c2"]).select("signature", "node", "size"), "linked")
-    return staging.stage(_grouped(linked), "rows")
+    rows = staging.stage(_grouped(linked), "rows")
+    united = _united(rows, UNITE)
+    return rows if united is rows else staging.stage(_grouped(united), "rows")
 
 
 def _folded(bits: np.ndarray) -> np.ndarray:
@@ -375,13 +401,14 @@ def _chosen(rows: DataFrame) -> DataFrame:
 
 
 def between_blocks(rows: DataFrame, percent: int, block: int) -> DataFrame:
-    """Tasks of all pairs of blocks of a group whose sizes can match, and of single ones."""
-    placed = staging.stage(_numbered(_blocks(rows, percent, block)), "placed")
+    """Tasks of all pairs of blocks of a group whose sizes can match, and of single ones; a group of one block is one."""
+    whole = rows.filter(F.col("n") <= block).select("signature", *(F.lit(0).alias(c) for c in ("i", "j", "block")), "node", "size", "label")
+    placed = staging.stage(_numbered(_blocks(rows.filter(F.col("n") > block), percent, block)), "placed")
     blocks = placed.select("signature", "band", "part", "block").distinct()
     left, right = blocks.select("signature", "band", F.col("block").alias("i")), blocks.select("signature", F.col("band").alias("other"), F.col("block").alias("j"))
     pairs = left.join(right, "signature").filter((F.col("i") <= F.col("j")) & (F.col("other") - F.col("band") <= 1))
     sides = pairs.select("signature", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    return placed.join(sides, ["signature", "block"]).select("signature", "i", "j", "block", "node", "size", "label")
+    return whole.unionByName(placed.join(sides, ["signature", "block"]).select("signature", "i", "j", "block", "node", "size", "label"))
 
 
 def _stars(pairs: DataFrame, block: int) -> DataFrame:
