@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tests.llm.conftest import table
 from veilmark.llm import components, jaccard_join, pivot_index
 
@@ -90,6 +91,27 @@ def test_overlapping_groups_are_compared_once(spark, monkeypatch):
     assert 0 < made[0] <= 2 * n * (n // block + 2)  # once for each other block, not for each shared signature
 
 
+def test_pipeline_compares_overlapping_groups_once(spark, monkeypatch):
+    n, made = 1300, []
+    between = jaccard_join.between_blocks
+
+    def counted(*args):
+        tasks = between(*args)
+        made.append(tasks.count())
+        return tasks
+
+    monkeypatch.setattr(jaccard_join, "between_blocks", counted)
+    rnd, rows = random.Random(9), []
+    for i in range(n):
+        words = [f"w{k}" for k in range(120)]
+        for k in rnd.sample(range(120), rnd.randint(1, 4)):
+            words[k] = rnd.choice("xyz") + str(i)
+        rows.append((i, " ".join(words)))
+    kept = corpus_pipeline.near_dedup(spark, table(spark, rows), "test_similar")
+    assert {r.doc_id for r in kept.collect()} == {i for i, (_, c) in brute(rows, 5, 80).items() if i == c}
+    assert 0 < made[0] <= 2 * n * (n // jaccard_join.BLOCK + 2)
+
+
 def test_signatures_never_miss():
     rnd = random.Random(2)
     for _ in range(3000):
