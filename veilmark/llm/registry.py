@@ -12,12 +12,16 @@ from veilmark.llm import (
     jaccard_join,
     language_id,
     license_scan,
+    merkle_manifest,
     mixture,
     oracles,
     pivot_index,
+    prefix_trie,
     secret_scan,
     stream_dedup,
     suffix_dedup,
+    toxicity,
+    tree_oracles,
 )
 from veilmark.sources import reading
 
@@ -40,7 +44,10 @@ QUERIES: dict[str, Query] = {
     "op8_jaccard_join": lambda spark, sf: jaccard_join.report(_documents(spark, sf)),
     "op9_fingerprint_index": lambda spark, sf: fingerprint_index.report(_documents(spark, sf)),
     "op10_exact_dedup": lambda spark, sf: stream_dedup.report(spark.read.parquet(f"{sf}/documents.parquet")),
+    "op11_merkle_manifest": lambda spark, sf: merkle_manifest.report(_documents(spark, sf)),
+    "op12_toxicity": lambda spark, sf: toxicity.report(_documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")),
+    "op13_prefix_trie": lambda spark, sf: prefix_trie.report(spark.read.parquet(f"{sf}/conversations.parquet")),
 }
 
 #: Of the others, SQL can express neither a trained model, nor the encoder, nor the seeded mixture.
-ORACLES: dict[str, str] = oracles.ORACLES
+ORACLES: dict[str, str] = oracles.ORACLES | tree_oracles.ORACLES
