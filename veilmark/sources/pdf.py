@@ -1,9 +1,10 @@
 """A subset of PDF, with the standard library: hidden text on pages, metadata and annotations.
 
-Read are classic and compressed objects, Flate streams, page trees with inherited boxes and resources, forms, optional
-content in the default configuration, and the content operators for graphics state, text state, text and marks.  Text
-keeps the order in which it is shown.  Not read, and said so: encrypted files and other stream filters (such pages are
-withheld), and fonts' own encodings (strings are taken as Latin-1 or UTF-16).
+Read are classic and compressed objects, streams through every filter for data, page trees with inherited boxes and
+resources, forms, optional content in the default configuration, and the content operators for graphics state, colour, paths,
+text state, text and marks.  Characters are those that the fonts say.  Text keeps the order in which it is shown; where the
+next piece stands decides whether a line, a blank or nothing is between.  Not read, and said so: encrypted files, and streams
+whose filters are for pictures (such pages are withheld).
 
 A page is judged by one interpreter over a stack of open streams: its own, and on top of it the forms that are drawn.
 What can't be followed for certain (a form drawn again in another state, nesting too deep, layers that can't be told)
@@ -13,202 +14,27 @@ withholds the page's visible text.
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
-from math import sqrt
+from math import hypot, sqrt
 from typing import Any
 
 from veilmark.functions import chars
+from veilmark.sources.pdf_fonts import Font, usual_width
+from veilmark.sources.pdf_syntax import DEEPEST, File, Name, Ref, Word, said, tokens
 from veilmark.sources.reading import Found, Limits, Segment, register
 
-LEAST, TINY, WHITE, DEEPEST, LABEL = 10, 2.0, 0.98, 8, 40
+LEAST, TINY, WHITE, LABEL = 10, 2.0, 0.98, 40
+#: In units of the size: a piece this much further along begins a word, this much above or below begins a line.
+WORD_GAP, LINE_GAP = 0.2, 0.5
 WITHHELD = "Extraction failed"
 _INVISIBLE = frozenset(map(chr, chars.points(chars.INVISIBLE)))
 INFO = ("Title", "Author", "Subject", "Keywords", "Creator", "Producer")
-_TOKEN = re.compile(
-    rb"(?P<space>[\x00\t\n\x0c\r ]+|%[^\r\n]*)|(?P<dict><<|>>)|(?P<hex><[0-9A-Fa-f\s]*>)|(?P<name>/[^\x00\t\n\x0c\r ()<>\[\]{}/%]*)"
-    rb"|(?P<ref>\d+\s+\d+\s+R(?![A-Za-z]))|(?P<number>[+-]?(?:\d+\.?\d*|\.\d+))|(?P<mark>[\[\]{}])|(?P<word>[A-Za-z'\"*][A-Za-z0-9'\"*]*)|(?P<string>\()|(?P<other>.)",
-    re.DOTALL,
-)
-_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 Matrix = tuple[float, float, float, float, float, float]
 UNIT: Matrix = (1, 0, 0, 1, 0, 0)
 
 
-class Name(str):
-    pass
-
-
-class Ref(int):
-    pass
-
-
-class Word(str):
-    pass
-
-
-def _string(data: bytes, at: int) -> tuple[bytes, int]:
-    """A literal string from just after its bracket, and where it ends."""
-    out, depth = bytearray(), 1
-    while at < len(data):
-        c = data[at : at + 1]
-        at += 1
-        if c == b"\\":
-            octal = re.match(rb"[0-7]{1,3}", data[at : at + 3])
-            if octal:
-                out.append(int(octal[0], 8) & 255)
-                at += len(octal[0])
-            else:
-                line = re.match(rb"\r\n|\r|\n", data[at : at + 2])
-                out += b"" if line else _ESCAPES.get(data[at : at + 1], data[at : at + 1])
-                at += len(line[0]) if line else 1
-            continue
-        depth += (c == b"(") - (c == b")")
-        if not depth:
-            break
-        out += c
-    return bytes(out), at
-
-
-def tokens(data: bytes) -> list[Any]:
-    """Numbers, byte strings, names, references, and nested lists and dicts; operators as words."""
-    stack: list[list[Any]] = [[]]
-    at = 0
-    while at < len(data) and (m := _TOKEN.match(data, at)):
-        at, kind, raw = m.end(), m.lastgroup, m[0]
-        if kind == "string":
-            value, at = _string(data, at)
-            stack[-1].append(value)
-        elif kind == "hex":
-            digits = re.sub(rb"[^0-9A-Fa-f]", b"", raw)
-            stack[-1].append(bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()))
-        elif kind == "name":
-            stack[-1].append(Name(re.sub(rb"#([0-9A-Fa-f]{2})", lambda h: bytes.fromhex(h[1].decode()), raw[1:]).decode("latin-1")))
-        elif kind == "ref":
-            stack[-1].append(Ref(raw.split()[0]))
-        elif kind == "number":
-            stack[-1].append(float(raw) if b"." in raw else int(raw))
-        elif raw in (b"<<", b"["):
-            stack.append([])
-        elif raw in (b">>", b"]") and len(stack) > 1:
-            items = stack.pop()
-            stack[-1].append(dict(zip(items[::2], items[1::2])) if raw == b">>" else items)
-        elif kind == "word":
-            stack[-1].append({b"true": True, b"false": False, b"null": None}.get(raw, Word(raw.decode())))
-            if raw == b"ID":  # an inline image's data
-                end = re.search(rb"\sEI(?=\s|$)", data[at:])
-                at = at + end.end() if end else len(data)
-    while len(stack) > 1:
-        items = stack.pop()
-        stack[-1].append(items)
-    return stack[0]
-
-
-class File:
-    def __init__(self, data: bytes) -> None:
-        if b"%PDF-" not in data[:1024]:
-            raise ValueError("not a PDF")
-        if b"/Encrypt" in data:
-            raise ValueError("encrypted")
-        self.objects: dict[int, tuple[Any, bytes]] = {}
-        marks = list(re.finditer(rb"(?<!\d)(\d+)\s+\d+\s+obj\b", data))
-        for m, limit in zip(marks, [*(x.start() for x in marks[1:]), len(data)]):
-            end = data.find(b"endobj", m.end(), limit)
-            head, _, stream = data[m.end() : end if end >= 0 else limit].partition(b"stream")
-            value = tokens(head)
-            size = value[0].get("Length") if value and isinstance(value[0], dict) else None
-            body = re.sub(rb"^\r?\n", b"", stream, count=1)
-            self.objects[int(m[1])] = (value[0] if value else None, body[:size] if isinstance(size, int) and not isinstance(size, Ref) else body.rsplit(b"endstream", 1)[0])
-        for value, body in list(self.objects.values()):
-            if isinstance(value, dict) and value.get("Type") == "ObjStm":
-                inner = self.unpacked(value, body)
-                first = self.get(value.get("First"), 0)
-                pairs = [int(x) for x in inner[:first].split()]
-                ends = [*pairs[3::2], len(inner) - first]
-                for number, start, end in zip(pairs[::2], pairs[1::2], ends):
-                    found = tokens(inner[first + start : first + end])
-                    self.objects.setdefault(number, (found[0] if found else None, b""))
-        trailers = [t for m in re.finditer(rb"trailer\s*(<<.*?>>)\s*startxref", data, re.DOTALL) for t in tokens(m[1]) if isinstance(t, dict)]
-        trailers += [v for v, _ in self.objects.values() if isinstance(v, dict) and v.get("Type") == "XRef"]
-        self.trailer = {k: v for t in trailers for k, v in t.items()}
-
-    def get(self, value: Any, other: Any = None) -> Any:
-        for _ in range(32):
-            if not isinstance(value, Ref):
-                break
-            value = self.objects.get(int(value), (None, b""))[0]
-        return other if value is None else value
-
-    def unpacked(self, head: dict, body: bytes) -> bytes:
-        filters = self.get(head.get("Filter"), [])
-        for name in filters if isinstance(filters, list) else [filters]:
-            if self.get(name) != "FlateDecode" or head.get("DecodeParms"):
-                raise ValueError("filter")
-            body = zlib.decompressobj().decompress(body)
-        return body
-
-    def stream(self, value: Any) -> bytes:
-        if isinstance(own := self.get(value), list):
-            return b"\n".join(map(self.stream, own))
-        head, body = self.objects.get(int(value), (None, b"")) if isinstance(value, Ref) else (None, b"")
-        return self.unpacked(head, body) if isinstance(head, dict) else b""
-
-    def pages(self) -> list[dict]:
-        """Pages in order, with what they inherit."""
-        found: list[dict] = []
-
-        def walk(value: Any, above: dict, seen: frozenset) -> None:
-            own = self.get(value)
-            if not isinstance(own, dict) or value in seen:
-                return
-            own = {k: above[k] for k in ("MediaBox", "CropBox", "Resources") if k in above} | own
-            if "Kids" in own:
-                for kid in self.get(own["Kids"], []):
-                    walk(kid, own, seen | {value} if isinstance(value, Ref) else seen)
-            else:
-                found.append(own)
-
-        walk(self.root().get("Pages"), {}, frozenset())
-        return found
-
-    def root(self) -> dict:
-        return self.get(self.trailer.get("Root")) or next((v for v, _ in self.objects.values() if isinstance(v, dict) and v.get("Type") == "Catalog"), {})
-
-    def named(self, resources: Any, kind: str) -> dict:
-        """The entries of a kind in resources."""
-        own = self.get(resources)
-        found = self.get(own.get(kind)) if isinstance(own, dict) else None
-        return found if isinstance(found, dict) else {}
-
-    def forms(self, resources: Any) -> list[tuple[str, Any]]:
-        """(name, reference) of every form that resources declare, each before what it declares itself, none twice."""
-        found: list[tuple[str, Any]] = []
-        waiting, seen = [(iter(self.named(resources, "XObject").items()), 0)], set()
-        while waiting:
-            entries, depth = waiting[-1]
-            name, value = next(entries, (None, None))
-            if name is None:
-                waiting.pop()
-                continue
-            form = self.get(value)
-            key = int(value) if isinstance(value, Ref) else id(form)
-            if not isinstance(form, dict) or form.get("Subtype") != "Form" or key in seen:
-                continue
-            seen.add(key)
-            if depth <= DEEPEST:
-                found.append((f"/{name}", value))
-                waiting.append((iter(self.named(form.get("Resources"), "XObject").items()), depth + 1))
-        return found
-
-
-def said(raw: Any) -> str:
-    if not isinstance(raw, bytes):
-        return ""
-    return raw[2:].decode("utf-16-be", "replace") if raw.startswith(b"\xfe\xff") else raw.decode("latin-1")
-
-
 def product(m: Matrix, n: Matrix) -> Matrix:
     return (m[0] * n[0] + m[1] * n[2], m[0] * n[1] + m[1] * n[3], m[2] * n[0] + m[3] * n[2], m[2] * n[1] + m[3] * n[3], m[4] * n[0] + m[5] * n[2] + n[4], m[4] * n[1] + m[5] * n[3] + n[5])
 
@@ -221,13 +47,34 @@ def scale(m: Matrix) -> float:
     return sqrt(abs(m[0] * m[3] - m[1] * m[2]))
 
 
-def near_white(colour: list[float] | None) -> bool | None:
-    """None if it can't be told."""
-    if colour is None:
-        return None
-    if len(colour) == 4:
-        return all(c <= 1 - WHITE for c in colour)
-    return all(c >= WHITE for c in colour) if len(colour) in (1, 3) else None
+#: How many numbers a colour of each device space has.
+DEVICES = {"DeviceGray": 1, "DeviceRGB": 3, "DeviceCMYK": 4}
+
+
+@dataclass(frozen=True)
+class Colour:
+    """A colour in its space; a space that isn't a device's is None, and so are values that can't be told."""
+
+    space: str | None = "DeviceGray"
+    values: tuple[float, ...] | None = (0.0,)
+
+    @staticmethod
+    def first(space: str | None) -> Colour:
+        """What a space begins with: black."""
+        return Colour(space, None if space is None else (0.0, 0.0, 0.0, 1.0) if space == "DeviceCMYK" else (0.0,) * DEVICES[space])
+
+    def of(self, operands: list[Any]) -> Colour:
+        """Another colour of the same space."""
+        plain = all(isinstance(x, (int, float)) and not isinstance(x, (bool, Ref)) for x in operands)
+        return Colour(self.space, tuple(map(float, operands)) if self.space and plain and len(operands) == DEVICES[self.space] else None)
+
+    def near_white(self) -> bool | None:
+        """None if it can't be told."""
+        if self.values is None:
+            return None
+        if self.space == "DeviceCMYK":
+            return all(c <= round(1 - WHITE, 9) for c in self.values)
+        return all(c >= WHITE for c in self.values)
 
 
 class Untold(Exception):
@@ -285,11 +132,12 @@ class State:
     ctm: Matrix = UNIT
     mode: int = 0
     size: float | None = None
+    font: Any = None
     leading: float = 0.0
-    fill: list[float] | None = field(default_factory=lambda: [0.0])
-    stroke: list[float] | None = field(default_factory=lambda: [0.0])
+    fill: Colour = Colour()
+    stroke: Colour = Colour()
     line: Matrix = UNIT
-    text: Matrix = UNIT
+    pen: float = field(default=0.0, compare=False)  # how far along its line text has come
 
 
 @dataclass
@@ -305,9 +153,44 @@ class Open:
 
 @dataclass
 class Shown:
+    """A piece of text, its bytes as Latin-1, why it is hidden, and from where to where it stands on the page at which size."""
+
     text: str
+    raw: str
     label: str | None
     form: int | None
+    start: tuple[float, float] = (0.0, 0.0)
+    end: tuple[float, float] = (0.0, 0.0)
+    size: float = 0.0
+    sure: bool = True
+
+
+def assembled(pieces: list[Shown]) -> str:
+    """The pieces' text in order, with line ends and blanks where the next piece stands apart from the one before."""
+    out: list[str] = []
+    before: Shown | None = None
+    for p in pieces:
+        if before is not None and out and not out[-1][-1:].isspace() and not p.text[:1].isspace():
+            out.append(_between(before, p))
+        out.append(p.text)
+        before = p
+    return "".join(out)
+
+
+def _between(a: Shown, b: Shown) -> str:
+    size = max(a.size, 0.1)
+    along, across = a.end[0] - a.start[0], a.end[1] - a.start[1]
+    wide = hypot(along, across)
+    along, across = (along / wide, across / wide) if wide else (1.0, 0.0)
+    x, y = b.start[0] - a.end[0], b.start[1] - a.end[1]
+    ahead, aside = x * along + y * across, abs(y * along - x * across)
+    if aside > LINE_GAP * size:
+        return "\n"
+    back = (b.start[0] - a.start[0]) * along + (b.start[1] - a.start[1]) * across
+    if back < -WORD_GAP * size:
+        return "\n"  # on the same line, but further to the left: it is another one's
+    unsure = 0.0 if a.sure else 0.12 * wide
+    return " " if ahead > WORD_GAP * size + unsure else ""
 
 
 @dataclass
@@ -339,7 +222,7 @@ class Canvas:
         self.drawn: dict[int, Drawn] = {}
         self.again: dict[int, list[Shown]] = {}
         self.unresolved = self.on_painted = 0
-        self.path: list[tuple[float, float, float, float]] = []
+        self.path: list[tuple[float, float]] = []
         self.open: list[Open] = []
 
     def read(self, content: bytes, resources: Any, follow: bool = True) -> None:
@@ -370,8 +253,7 @@ class Canvas:
         if not isinstance(thing, dict):
             return
         if thing.get("Subtype") == "Image":
-            corners = [apply(self.state.ctm, x, y) for x in (0, 1) for y in (0, 1)]
-            self.paints.append((min(c[0] for c in corners), min(c[1] for c in corners), max(c[0] for c in corners), max(c[1] for c in corners)))
+            self.paints.append(_bounds([apply(self.state.ctm, x, y) for x in (0, 1) for y in (0, 1)]))
         if thing.get("Subtype") != "Form":
             return
         key = int(value) if isinstance(value, Ref) else id(thing)
@@ -414,51 +296,96 @@ class Canvas:
             self.open[-1].saved.append(replace(s))
         elif name == "Q":
             if self.open[-1].saved:
-                self.state = replace(self.open[-1].saved.pop(), line=s.line, text=s.text)
+                self.state = replace(self.open[-1].saved.pop(), line=s.line, pen=s.pen)
         elif name == "cm":
-            s.ctm = product(tuple(map(float, o[-6:])), s.ctm)
+            s.ctm = product(_matrix(o), s.ctm)
         elif name == "BT":
-            s.line = s.text = UNIT
+            s.line, s.pen = UNIT, 0.0
         elif name in ("Td", "TD", "Tm", "T*"):
             if name == "TD":
                 s.leading = -float(o[-1])
-            s.line = tuple(map(float, o[-6:])) if name == "Tm" else product((1, 0, 0, 1, *((0.0, -s.leading) if name == "T*" else map(float, o[-2:]))), s.line)
-            s.text = s.line
+            s.line = _matrix(o) if name == "Tm" else product((1, 0, 0, 1, *((0.0, -s.leading) if name == "T*" else map(float, o[-2:]))), s.line)
+            s.pen = 0.0
         elif name == "TL":
             s.leading = float(o[-1])
         elif name == "Tf":
-            s.size = float(o[-1])
+            s.size, s.font = float(o[-1]), self.font(o[-2])
         elif name == "Tr":
             s.mode = int(o[-1])
-        elif name in ("g", "rg", "k", "sc", "scn"):
-            s.fill = [float(x) for x in o] if all(isinstance(x, (int, float)) for x in o) else None
-        elif name in ("G", "RG", "K", "SC", "SCN"):
-            s.stroke = [float(x) for x in o] if all(isinstance(x, (int, float)) for x in o) else None
+        elif name in _DEVICE_OPERATORS:
+            which, space = _DEVICE_OPERATORS[name]
+            setattr(s, which, Colour.first(space).of(o))
         elif name in ("cs", "CS"):
-            setattr(s, "fill" if name == "cs" else "stroke", None)
-        elif name == "re":
-            x, y, w, h = map(float, o[-4:])
-            corners = [apply(s.ctm, *p) for p in ((x, y), (x + w, y + h))]
-            self.path.append((min(c[0] for c in corners), min(c[1] for c in corners), max(c[0] for c in corners), max(c[1] for c in corners)))
-        elif name in ("f", "F", "f*", "B", "B*", "b", "b*", "n", "S", "s"):
-            if name not in ("n", "S", "s") and near_white(s.fill) is False:
-                self.paints += self.path
+            setattr(s, "fill" if name == "cs" else "stroke", Colour.first(self.space(o[-1] if o else None)))
+        elif name in ("sc", "scn"):
+            s.fill = s.fill.of(o)
+        elif name in ("SC", "SCN"):
+            s.stroke = s.stroke.of(o)
+        elif name in _PATH_POINTS:
+            self.build(name, o)
+        elif name in _PATH_ENDS:
+            if name in _FILLS and self.path and s.fill.near_white() is False:
+                self.paints.append(_bounds(self.path))
             self.path = []
         elif name in ("Tj", "'", '"', "TJ"):
             if name in ("'", '"'):
                 self.operate("T*", [])
-            parts = o[-1] if name == "TJ" and isinstance(o[-1], list) else o[-1:]
-            text = "".join(said(p) for p in parts if isinstance(p, bytes))
-            if text:
-                self.shown.append(Shown(text, self.hidden(text), self.open[-1].form))
-                s.text = product((1, 0, 0, 1, 0.5 * (s.size or 0.0) * len(text), 0), s.text)
-
-    def hidden(self, text: str) -> str | None:
-        """Why the piece can't be seen: the first of the fixed order that holds."""
-        s, whole = self.state, product(self.state.text, self.state.ctm)
+            self.show(o[-1] if name == "TJ" and isinstance(o[-1], list) else o[-1:])
+
+    def space(self, name: Any) -> str | None:
+        """The device's colour space that a name means, itself or in the resources; None for any other."""
+        value = self.file.get(self.file.named(self.open[-1].resources, "ColorSpace").get(name)) if isinstance(name, Name) and name not in DEVICES else name
+        if isinstance(value, list) and len(value) == 1:
+            value = self.file.get(value[0])
+        return str(value) if isinstance(value, Name) and value in DEVICES else None
+
+    def font(self, name: Any) -> Any:
+        """The key of the font that the resources name so."""
+        value = self.file.named(self.open[-1].resources, "Font").get(name)
+        key = int(value) if isinstance(value, Ref) else id(value) if value is not None else None
+        if key is not None and key not in self.file.fonts:
+            self.file.fonts[key] = Font(self.file, value)
+        return key
+
+    def build(self, name: str, o: list[Any]) -> None:
+        """The points of a path, control points of curves included, where they lie on the page."""
+        n = [float(x) for x in o if isinstance(x, (int, float)) and not isinstance(x, (bool, Ref))][: _PATH_POINTS[name]]
+        if len(n) < _PATH_POINTS[name]:
+            return
+        if name == "re":
+            x, y, w, h = n
+            n = [x, y, x + w, y, x, y + h, x + w, y + h]
+        self.path += [apply(self.state.ctm, x, y) for x, y in zip(n[::2], n[1::2])]
+
+    def show(self, parts: list[Any]) -> None:
+        """Strings shown one after the other, and in between how much the next one is moved back."""
+        s, form = self.state, self.open[-1].form
+        font, told = self.file.fonts.get(s.font), True
+        texts, raws, begin, wide, most = [], [], s.pen, 0.0, 0.0
+        for part in parts:
+            if isinstance(part, bytes) and part:
+                raw = said(part)
+                text, width, bound = font.read(part) if font is not None else (raw, usual_width(raw), float(len(raw)))
+                texts.append(text)
+                raws.append(raw)
+                wide, most, told = wide + width, most + bound, told and abs(bound - width) < 1e-9
+            elif isinstance(part, (int, float)) and not isinstance(part, (bool, Ref)):
+                if -part / 1000 > WORD_GAP and texts and not texts[-1][-1:].isspace():
+                    texts.append(" ")
+                wide -= part / 1000
+        if not raws:
+            return
+        s.pen = begin + wide * (s.size or 0.0)
+        whole = product(s.line, s.ctm)
+        size = (s.size or 0.0) * scale(s.line) * scale(s.ctm)
+        self.shown.append(Shown("".join(texts), "".join(raws), self.hidden(most), form, apply(whole, begin, 0.0), apply(whole, s.pen, 0.0), size, told))
+
+    def hidden(self, wide: float) -> str | None:
+        """Why a piece that is so wide at most can't be seen: the first of the fixed order that holds."""
+        s, whole = self.state, product(self.state.line, self.state.ctm)
         if s.mode in (3, 7):
             return f"invisible text, Tr {s.mode}"
-        size = (s.size or 0.0) * scale(s.text) * scale(s.ctm)
+        size = (s.size or 0.0) * scale(s.line) * scale(s.ctm)
         if s.size is not None and size < TINY:
             return "tiny_font"
         x, y = whole[4], whole[5]
@@ -467,17 +394,38 @@ class Canvas:
         for value, name in self.marks:
             if value is not None and self.layers.off(value):
                 return self.layers.label(value, name)
-        shades = [near_white(c) for c in ([s.fill] if s.mode in (0, 4) else [s.stroke] if s.mode in (1, 5) else [s.fill, s.stroke])]
+        shades = [c.near_white() for c in ([s.fill] if s.mode in (0, 4) else [s.stroke] if s.mode in (1, 5) else [s.fill, s.stroke])]
         if None in shades:
             self.unresolved += 1
         elif all(shades):
-            wide = 0.6 * size * len(text)
-            if not any(b[0] <= x and b[1] <= y - 0.25 * size and x + wide <= b[2] and y + size <= b[3] for b in self.paints):
+            height = s.size or 0.0
+            width = height * wide
+            low_x, low_y, high_x, high_y = _bounds([apply(whole, *p) for p in ((0, 0), (width, 0), (0, height), (width, height))])
+            if not any(b[0] <= low_x and b[1] <= low_y and high_x <= b[2] and high_y <= b[3] for b in self.paints):
                 return "white_text"
             self.on_painted += 1
         return None
 
 
+#: Operators of colours, with what they set; of paths, with how many numbers they take; and of filled paths.
+_DEVICE_OPERATORS = {"g": ("fill", "DeviceGray"), "rg": ("fill", "DeviceRGB"), "k": ("fill", "DeviceCMYK"), "G": ("stroke", "DeviceGray"), "RG": ("stroke", "DeviceRGB"), "K": ("stroke", "DeviceCMYK")}
+_PATH_POINTS = {"m": 2, "l": 2, "c": 6, "v": 4, "y": 4, "re": 4}
+_PATH_ENDS = frozenset(("f", "F", "f*", "B", "B*", "b", "b*", "n", "S", "s"))
+_FILLS = frozenset(("f", "F", "f*", "B", "b"))
+
+
+def _matrix(operands: list[Any]) -> Matrix:
+    numbers = tuple(map(float, operands))
+    if len(numbers) != 6:
+        raise ValueError("matrix")
+    return numbers
+
+
+def _bounds(points: list[tuple[float, float]]) -> tuple[float, float, float, float]:
+    xs, ys = zip(*points)
+    return min(xs), min(ys), max(xs), max(ys)
+
+
 def by_label(pieces: list[Shown]) -> list[tuple[str, str]]:
     """(label, text) of hidden pieces, in the order of first appearance."""
     found: dict[str, list[str]] = {}
@@ -501,8 +449,11 @@ def _page(file: File, layers: Layers, page: dict, where: str, counts: dict[str,
     except Exception:  # noqa: BLE001  a page that can't be followed is withheld, not guessed at
         found = [Segment("", True, "body", f"{where} ({WITHHELD})")]
         return found + [Segment(text, False, "css_hidden", f"{where} ({label})") for label, text in by_label([p for p in own.shown if p.form is None] if own else [])]
-    visible = "".join(p.text for p in own.shown if p.label is None)
+    visible = assembled([p for p in own.shown if p.label is None])
     found = [Segment(visible, True, "body", where)] if visible.strip() else []
+    raw = "".join(p.raw for p in own.shown if p.label is None and p.form is None)
+    if not _INVISIBLE.isdisjoint(raw) and _INVISIBLE.isdisjoint(visible):
+        found.append(Segment(raw, True, "body", f"{where} (raw stream)"))
     found += [Segment(text, False, "css_hidden", f"{where} ({label})") for label, text in by_label([p for p in own.shown if p.form is None])]
     unresolved, on_painted = own.unresolved, own.on_painted
     for name, value in file.forms(page.get("Resources")):
@@ -516,7 +467,7 @@ def _page(file: File, layers: Layers, page: dict, where: str, counts: dict[str,
             alone.read(file.stream(value), form.get("Resources"), follow=False)
         except Exception:  # noqa: BLE001  a form that can't be followed adds nothing
             continue
-        plain = "".join(p.text for p in alone.shown if p.label is None)
+        plain = "".join(p.raw for p in alone.shown if p.label is None)
         unresolved, on_painted = unresolved + alone.unresolved, on_painted + alone.on_painted
         found += [Segment(text, False, "css_hidden", f"{where} (form '{name}', {label})") for label, text in by_label(alone.shown)]
         if not _INVISIBLE.isdisjoint(plain) and _INVISIBLE.isdisjoint(visible):
