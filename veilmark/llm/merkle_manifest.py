@@ -150,23 +150,24 @@ def grow(leaves: DataFrame, order: list[Column], digest: str = "digest") -> Grow
     return Grown(placed.drop("part"), whole.filter("kind = 'run'").drop("part", "kind"), whole.filter("kind = 'root'").select("tree", "digest"), levels)
 
 
-def paths(grown: Grown, above: DataFrame) -> DataFrame:
+def paths(grown: Grown, above: DataFrame | None = None) -> DataFrame:
     """grown.leaves with ``path``, the runs from the leaf's own to the last, each with the place in it, and the columns of above.
 
-    ``above`` has, for each tree, the path on from its root, ``up``, and any other columns.
+    ``above`` has, for each tree, the path on from its root, ``up``, and any other columns; without it paths end at the roots.
     """
-    known = [c for c in above.columns if c not in ("tree", "up")]
+    known = [c for c in above.columns if c not in ("tree", "up")] if above is not None else []
+    onward = lambda rows: rows.withColumn("up", F.array().cast(_PATH)) if above is None else rows.join(above, "tree")
     full = None
     for level in reversed(range(grown.levels)):
         own = grown.runs.filter(F.col("level") == level)
         last = F.col("size") <= 1 << BITS * (level + 1)
-        found = own.filter(last).join(above, "tree").select("tree", "index", "children", "up", *known)
+        found = onward(own.filter(last)).select("tree", "index", "children", "up", *known)
         if full is not None:
             parent = full.select("tree", F.col("index").alias("parent"), F.col("children").alias("run"), F.col("up").alias("on"), *known)
             inner = own.filter(~last).withColumn("parent", F.shiftright("index", BITS)).join(parent, ["tree", "parent"])
             found = found.unionByName(inner.select("tree", "index", "children", _step("index", "run", "on").alias("up"), *known))
         full = found
-    alone = grown.leaves.filter("size = 1").join(above, "tree").withColumnRenamed("up", "path")
+    alone = onward(grown.leaves.filter("size = 1")).withColumnRenamed("up", "path")
     if full is None:
         return alone
     runs = full.select("tree", F.col("index").alias("parent"), F.col("children").alias("run"), "up", *known)
@@ -216,8 +217,7 @@ def manifest(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, id_col: str =
     subroots = grown.roots.select(F.lit("").alias("tree"), F.col("tree").alias("of"), "digest")
     top = grow(subroots, [F.col("of")])
     root = bytes(top.roots.first()["digest"])
-    above = docs.sparkSession.sql(f"SELECT '' AS tree, CAST(array() AS {_PATH}) AS up")
-    sources = staging.stage(paths(top, above).select(F.col("of").alias("tree"), F.col("digest").alias("subroot"), F.col("path").alias("up")), "sources")
+    sources = staging.stage(paths(top).select(F.col("of").alias("tree"), F.col("digest").alias("subroot"), F.col("path").alias("up")), "sources")
     proofs = paths(grown, sources)
     return Manifest(root.hex(), sources, grown.runs, proofs)
 
