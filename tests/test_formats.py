@@ -235,7 +235,7 @@ def test_control_receipt(spark):
     rows = [(1, 0, "body", "line 1", "x [INST] y"), (1, 1, "metadata", "m", "[INST]"), (2, 0, "comment", None, "[OVERRIDE][OVERRIDE]")]
     hits = control_syntax.scan(spark.createDataFrame(rows, "doc_id long, seg_no int, kind string, location string, text string"), used.table(spark), used.backing)
     found = {r.doc_id: r for r in control_syntax.receipt(hits, used).collect()}
-    assert found[1].n_backed == 1 and found[1].text.endswith("- [special_tokens] llama_inst_start @ line 1, offset 2: x [INST] y\n")
+    assert found[1].n_backed == 1 and found[1].text.endswith("findings: 1\n- [special_tokens] llama_inst_start @ line 1, offset 2: x [INST] y\n")
     assert [f["offset"] for f in json.loads(found[2].json)["findings"]] == [0, 10]
 
 

@@ -32,6 +32,7 @@ VOCABULARY = (
     ("structural_tags", "begin_system_override", "--- BEGIN SYSTEM OVERRIDE ---", "Pseudo system override fence"),
 )
 BACKING_KINDS = ("metadata",)
+LANE = "control_syntax"
 EXCERPT = 30
 _PATTERN = {
     "type": "object",
@@ -135,7 +136,7 @@ def _expressions(segments: DataFrame, expressions: list[tuple]) -> DataFrame:
 def scan(segments: DataFrame, vocabulary: DataFrame, backing: tuple[str, ...] = BACKING_KINDS) -> DataFrame:
     """segments (doc_id, seg_no, kind, location, text) with a row for each hit: category, name, offset, backed, excerpt.
 
-    The order of a document's hits is that of seg_no, pattern_no and offset.
+    The order of a document's hits is that of seg_no, offset and pattern_no.
 
     The vocabulary is configuration of fixed size, so it is broadcast; each segment and pattern meets in one pass.
     Patterns that are regular expressions are Python's, and run in Arrow batches; literal ones are built-in expressions.
@@ -154,12 +155,28 @@ def scan(segments: DataFrame, vocabulary: DataFrame, backing: tuple[str, ...] =
     return hits.select("doc_id", "seg_no", "kind", "location", "pattern_no", "category", "name", "pattern", "offset", F.col("kind").isin(*backing).alias("backed"), F.translate(F.substring("text", low + 1, size), "\r\n\t", "   ").alias("excerpt"))
 
 
-def receipt(hits: DataFrame, used: Vocabulary) -> DataFrame:
-    """doc_id, text, json, n_backed: a document's hits outside backing zones in order, and the number of those inside."""
+def receipt(hits: DataFrame, used: Vocabulary, documents: DataFrame | None = None) -> DataFrame:
+    """doc_id, text, json, n_backed: a document's hits outside backing zones in order, and the number of those inside.
+
+    Of ``documents`` (doc_id) each has a receipt, others than those with hits too.
+    """
     fields = ["category", "name", "pattern", "kind", "location", "offset", "excerpt"]
-    found = F.filter(F.sort_array(F.collect_list(F.struct("seg_no", "pattern_no", "offset", "backed", *(c for c in fields if c != "offset")))), lambda h: ~h["backed"])
+    found = F.filter(F.sort_array(F.collect_list(F.struct("seg_no", "offset", "pattern_no", "backed", *(c for c in fields if c != "offset")))), lambda h: ~h["backed"])
     each = hits.groupBy("doc_id").agg(found.alias("h"), F.count_if("backed").alias("n_backed"))
+    if documents is not None:
+        each = documents.select("doc_id").distinct().join(each, "doc_id", "left").select("doc_id", F.coalesce("h", F.array().cast(each.schema["h"].dataType)).alias("h"), F.coalesce("n_backed", F.lit(0)).alias("n_backed"))
     line = lambda h: F.concat(F.lit("- ["), h["category"], F.lit("] "), h["name"], F.lit(" @ "), F.coalesce(h["location"], h["kind"]), F.lit(", offset "), h["offset"].cast("string"), F.lit(": "), h["excerpt"])
-    head = F.concat(F.lit("Control syntax: "), F.col("doc_id").cast("string"), F.lit("\nvocabulary "), F.lit(used.sha256), F.lit(" ("), F.lit(used.source), F.lit(")\nin backing zones: "), F.col("n_backed").cast("string"), F.lit("\n"))
-    told = F.to_json(F.struct("doc_id", F.lit(used.sha256).alias("vocab_sha256"), F.lit(used.source).alias("vocab_source"), "n_backed", F.transform("h", lambda h: F.struct(*(h[c].alias(c) for c in fields))).alias("findings")))
+    source = F.col("doc_id").cast("string")
+    head = F.concat(
+        F.lit("Control syntax: "), source, F.lit(f"\nvocabulary {used.sha256} ("), F.lit(used.source), F.lit(f"), {len(used.patterns)} patterns, backing zones: {', '.join(used.backing) or '(none)'}\nin backing zones: "),
+        F.col("n_backed").cast("string"), F.lit("\nfindings: "), F.size("h").cast("string"), F.lit("\n"),
+    )
+    finding = lambda h: F.struct(
+        F.lit(LANE).alias("lane"), F.lit("pattern_found").alias("observation"), h["category"].alias("category"), h["name"].alias("name"), h["pattern"].alias("pattern"), h["kind"].alias("segment_kind"),
+        F.coalesce(h["location"], F.lit("")).alias("location"), h["offset"].alias("offset"), F.lit("absent").alias("backing"), h["excerpt"].alias("excerpt"),
+    )
+    told = F.to_json(F.struct(
+        F.lit(LANE).alias("lane"), source.alias("source"), F.array(*map(F.lit, used.backing)).cast("array<string>").alias("backing_kinds"), F.lit(used.source).alias("vocab_source"), F.lit(used.sha256).alias("vocab_sha256"),
+        F.lit(len(used.patterns)).alias("pattern_count"), F.col("n_backed").alias("backed_count"), F.size("h").alias("finding_count"), F.transform("h", finding).alias("findings"),
+    ))
     return each.select("doc_id", F.concat(head, F.array_join(F.transform("h", line), "\n"), F.when(F.size("h") > 0, "\n").otherwise("")).alias("text"), told.alias("json"), "n_backed")

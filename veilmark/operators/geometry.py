@@ -117,6 +117,9 @@ def _place(row: str) -> Column:
     )
 
 
+LANE = "geometry"
+
+
 def declared(pages: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
     """pages (source, content): source, part (0 inline, 1 own sheets, 2 linked ones), no, sub and css.DECLARED, with path; in order.
 
@@ -159,12 +162,25 @@ def scanned(table: DataFrame) -> DataFrame:
     )
 
 
-def receipt(findings: DataFrame, thresholds: Thresholds) -> DataFrame:
-    """source, text, json: a page's findings in order, one line each, and as JSON."""
+def receipt(findings: DataFrame, thresholds: Thresholds, sources: DataFrame | None = None, looked: DataFrame | None = None) -> DataFrame:
+    """source, text, json: a page's findings in order, one line each, and as JSON.
+
+    Of ``sources`` (source) each has a receipt, others than those with findings too; ``looked`` is ``scanned``'s table.
+    """
     fields = ["origin", "location", "property", "rule", "value", "measured", "threshold"]
     rows = F.sort_array(F.collect_list(F.struct("part", "no", "sub", "nth", *fields)))
     each = findings.groupBy("source").agg(rows.alias("r"))
+    if sources is not None:
+        each = sources.select("source").distinct().join(each, "source", "left").select("source", F.coalesce("r", F.array().cast(each.schema["r"].dataType)).alias("r"))
+    counts = F.lit(None).cast("struct<inline_declarations:bigint>")
+    if looked is not None:
+        names = [c for c in looked.columns if c != "source"]
+        each = each.join(looked, "source", "left")
+        counts = F.struct(*(F.coalesce(c, F.lit(0)).alias(c) for c in names))
     line = lambda r: F.concat(F.lit("- "), r["rule"], F.lit(" @ "), r["location"], F.lit(": "), r["property"], F.lit(": "), r["value"])
-    head = F.concat(F.lit("Geometry: "), F.col("source"), F.lit("\nthresholds "), F.lit(thresholds.sha256), F.lit(" ("), F.lit(thresholds.source), F.lit(")\n"))
-    told = F.to_json(F.struct(F.col("source"), F.lit(thresholds.sha256).alias("thresholds_sha256"), F.lit(thresholds.source).alias("thresholds_source"), F.transform("r", lambda r: F.struct(*(r[c].alias(c) for c in fields))).alias("observations")))
+    head = F.concat(F.lit("Geometry: "), F.col("source"), F.lit("\nthresholds "), F.lit(thresholds.sha256), F.lit(" ("), F.lit(thresholds.source), F.lit("), observations: "), F.size("r").cast("string"), F.lit("\n"))
+    told = F.to_json(F.struct(
+        F.lit(LANE).alias("lane"), F.col("source"), F.struct(*(F.lit(float(v)).alias(k) for k, v in thresholds.values.items())).alias("thresholds"), F.lit(thresholds.source).alias("thresholds_source"), F.lit(thresholds.sha256).alias("thresholds_sha256"),
+        F.lit(True).alias("block_css_parsed"), counts.alias("scanned"), F.size("r").alias("observation_count"), F.transform("r", lambda r: F.struct(*(r[c].alias(c) for c in fields))).alias("observations"),
+    ))
     return each.select("source", F.concat(head, F.array_join(F.transform("r", line), "\n"), F.lit("\n")).alias("text"), told.alias("json"))

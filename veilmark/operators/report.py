@@ -13,10 +13,6 @@ from veilmark.functions import language, visible
 from veilmark.operators.summary import HYPOTHESES
 
 RULE = 66
-_SORTER = (
-    "var turn={};function byColumn(i){var b=document.querySelector('#rows tbody');turn[i]=-(turn[i]||-1);"
-    "[...b.rows].sort((x,y)=>turn[i]*x.cells[i].textContent.localeCompare(y.cells[i].textContent)).forEach(r=>b.append(r))}"
-)
 
 
 def text_report(source: Column, observed: Column, evidence: Column, lang: str = "en") -> Column:
@@ -68,24 +64,10 @@ def sample_language(rows: DataFrame, lang: str = "auto", documents: int = 5, eac
     return language.resolve(found)
 
 
-def listed(rows: DataFrame, base: str | None = None, most: int = 1000) -> list[dict]:
-    """The rows of a dashboard's table, flagged documents first, then by source; at most so many, since a page must hold them."""
-    from veilmark.operators import summary
+def dashboard(totals: DataFrame, masks: DataFrame, hypotheses: DataFrame, extensions: DataFrame, lang: str = "en") -> str:
+    """A page of the corpus summaries, with bars; what reaches the driver is of bounded size but for the extensions that occur.
 
-    made = rows.select(display_path(F.col("source"), base).alias("path"), "source", F.col("o.mask").alias("mask"), summary.row_class(F.col("o")).alias("class"), summary.evidence_line(F.col("e")).alias("evidence"))
-    return [r.asDict() for r in made.orderBy(F.col("class") != "flagged", "source").limit(most).collect()]
-
-
-def write_pages(rows: DataFrame, folder: str, lang: str = "en") -> None:
-    """Each document's page as a file of text in ``folder``; executors write, one row a line of a part, keyed by source."""
-    pages = rows.select(F.col("source"), html_report(F.col("source"), F.col("o"), F.col("e"), F.col("segments"), lang).alias("page"))
-    pages.write.parquet(folder)
-
-
-def dashboard(totals: DataFrame, masks: DataFrame, hypotheses: DataFrame, extensions: DataFrame, lang: str = "en", rows: list[dict] = ()) -> str:  # type: ignore[assignment]
-    """A page of the corpus summaries, with bars, and of the rows of ``listed``; what reaches the driver is of bounded size.
-
-    A click on a column's head sorts the table by it.
+    ``sinks.pages`` puts all rows beside it.
     """
     t = totals.first().asDict()
 
@@ -100,8 +82,4 @@ def dashboard(totals: DataFrame, masks: DataFrame, hypotheses: DataFrame, extens
         bars("Observations", sorted((f"{r.hypothesis} {language.label(r.hypothesis, lang)}", r.documents) for r in hypotheses.collect())),
         bars("Extensions", sorted((r.extension, r.documents) for r in extensions.collect())),
     ]
-    if rows:
-        heads = "".join(f'<th onclick="byColumn({i})">{html.escape(c)}</th>' for i, c in enumerate(("path", "mask", "class", "evidence")))
-        lines = "".join("<tr>" + "".join(f"<td>{html.escape(str(r[c] or ''))}</td>" for c in ("path", "mask", "class", "evidence")) + "</tr>" for r in rows)
-        parts.append(f'<table id="rows"><thead><tr>{heads}</tr></thead><tbody>{lines}</tbody></table><script>{_SORTER}</script>')
     return f'<!DOCTYPE html><html lang="{language.resolve(lang)}"><head><meta charset="utf-8"><title>Corpus</title></head><body>{"".join(parts)}</body></html>\n'
