@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilmark.functions import detect
-from veilmark.operators import control_syntax, report
+from veilmark.operators import codepoints, control_syntax, report
 from veilmark.sinks import files, pages, pdf_report
 from veilmark.sources import pdf, reading
 
@@ -102,3 +102,16 @@ def test_hits_are_ordered_by_place(spark):
     (row,) = control_syntax.receipt(hits, used).collect()
     assert [f["offset"] for f in json.loads(row.json)["findings"]] == [0, 13, 24, 31, 44, 51, 0]
     assert report.receipt({"a": "é"}) == '{\n  "a": "é"\n}\n'
+
+
+def test_code_points_by_row(spark):
+    """Rows of one id are texts of their own, and a text full of what is looked for is searched in linear time."""
+    many = "\u200b" * 300_000 + "\u0430"
+    rows = [(1, "a\u200bb\u202ec\u200b"), (1, "\u0430\u200b"), (2, "\ufeff\u200bx"), (3, "plain é"), (4, None), (None, "\U000e0041 \u200b"), (5, many)]
+    made = codepoints.catalog(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sorted((repr(r.doc_id), r.codepoint, r.kind, r["count"], list(r.positions), r.twin, r["first"]) for r in made if r.doc_id != 5)
+    assert found == sorted([
+        ("1", "U+200B", "H2", 2, [1, 5], None, 1), ("1", "U+202E", "H3", 1, [3], None, 3), ("1", "U+0430", "homoglyph", 1, [0], "U+0061", 0), ("1", "U+200B", "H2", 1, [1], None, 1),
+        ("2", "U+200B", "H2", 1, [0], None, 0), ("None", "U+E0041", "H7", 1, [0], None, 0), ("None", "U+200B", "H2", 1, [2], None, 2),
+    ])
+    assert sorted((r.codepoint, r["count"], r["first"]) for r in made if r.doc_id == 5) == [("U+0430", 1, 300_000), ("U+200B", 300_000, 0)]

@@ -104,8 +104,8 @@ def bidi_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, len(w) AS n_tokens, array_to_string(w, ' ') AS tokens FROM x WHERE len(w) > 0""",
 )
 def script_mixing_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _documents(spark, sf_dir).filter(detect.has_mixed_script(F.col("t"))).select("doc_id", detect.mixed_tokens(F.col("t")).alias("w"))
-    return found.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.array_join("w", " ").alias("tokens"))
+    docs = _documents(spark, sf_dir).filter(~detect.only_ascii(F.col("t"))).select("doc_id", detect.mixed_tokens(F.col("t"), F.lit(True)).alias("w")).filter(F.size("w") > 0)
+    return docs.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.array_join("w", " ").alias("tokens"))
 
 
 _BITS = f"translate(regexp_replace(run, '[^{_ZW[1:]}', '', 'g'), '​‌‍⁠﻿', '01___')"
