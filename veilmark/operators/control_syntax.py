@@ -8,8 +8,9 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilmark.functions import contract
@@ -109,22 +110,52 @@ def load(spark: SparkSession, source: str | None = None) -> tuple[DataFrame, tup
     return found.table(spark), found.backing
 
 
-def offsets(text: Column, pattern: Column) -> Column:
-    """Starts (code points, from 0) of the pattern's non-overlapping occurrences: prefix sums over what lies between."""
-    parts = F.split(text, F.concat(F.lit("\\Q"), pattern, F.lit("\\E")), -1)
-    step = F.length(pattern)
-    sums = F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda s, p: F.struct((s["at"] + F.length(p) + step).alias("at"), F.concat(s["all"], F.array(s["at"] + F.length(p))).alias("all")))
-    return sums["all"]
-
-
-def _expressions(segments: DataFrame, expressions: list[tuple]) -> DataFrame:
-    """segments with a row for each match of a regular expression."""
+class Literals:
+    """All literal patterns as two automata, of text and of lower-case text, so that one pass finds any number of them."""
+
+    def __init__(self, patterns: list[tuple[str, bool]]) -> None:
+        self.sizes = [len(p) for p, _ in patterns]
+        self.automata = []
+        for exact in (True, False):
+            numbers: dict[str, list[int]] = {}
+            for i, (pattern, case_sensitive) in enumerate(patterns):
+                if pattern and case_sensitive == exact:
+                    numbers.setdefault(pattern if exact else pattern.lower(), []).append(i)
+            automaton = ahocorasick.Automaton()
+            for key, own in numbers.items():
+                automaton.add_word(key, (len(key), own))
+            if numbers:
+                automaton.make_automaton()
+            self.automata.append(automaton if numbers else None)
+
+    def find(self, text: str) -> list[tuple[int, int]]:
+        """(number of the pattern, start) of each pattern's occurrences that don't overlap, from the left."""
+        out: list[tuple[int, int]] = []
+        for automaton, searched in zip(self.automata, (text, text.lower() if self.automata[1] else "")):
+            free: dict[int, int] = {}
+            for last, (size, own) in automaton.iter(searched) if automaton and searched else ():
+                start = last + 1 - size
+                for i in own:
+                    if start >= free.get(i, 0):
+                        out.append((i, start))
+                        free[i] = last + 1
+        return out
+
+
+def _matched(segments: DataFrame, patterns: list[tuple]) -> DataFrame:
+    """segments with a row for each match; patterns are (number, category, name, pattern, match, case_sensitive)."""
     names = segments.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [(*row[:4], re.compile(row[3], 0 if row[4] else re.IGNORECASE)) for row in expressions]
+        literal = [p for p in patterns if p[4] == "literal"]
+        literals = Literals([(p[3], p[5]) for p in literal])
+        compiled = [(*p[:4], re.compile(p[3], 0 if p[5] else re.IGNORECASE)) for p in patterns if p[4] == "regex"]
         for batch in batches:
-            hits = [(i, *e[:4], m.start(), m.end() - m.start()) for i, text in enumerate(batch.column(names.index("text")).to_pylist()) for e in compiled for m in e[4].finditer(text or "")]
+            hits: list[tuple] = []
+            for i, value in enumerate(batch.column(names.index("text"))):
+                text = value.as_py() or ""
+                hits += [(i, *literal[k][:4], start, literals.sizes[k]) for k, start in literals.find(text)]
+                hits += [(i, *e[:4], m.start(), m.end() - m.start()) for e in compiled for m in e[4].finditer(text)]
             at, number, category, name, pattern, start, size = zip(*hits) if hits else ((),) * 7
             own = batch.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([*own.columns, pa.array(number, pa.int32()), pa.array(category, pa.string()), pa.array(name, pa.string()), pa.array(pattern, pa.string()), pa.array(start, pa.int32()), pa.array(size, pa.int32())], [*names, "pattern_no", "category", "name", "pattern", "offset", "matched"])
@@ -138,18 +169,11 @@ def scan(segments: DataFrame, vocabulary: DataFrame, backing: tuple[str, ...] =
 
     The order of a document's hits is that of seg_no, offset and pattern_no.
 
-    The vocabulary is configuration of fixed size, so it is broadcast; each segment and pattern meets in one pass.
-    Patterns that are regular expressions are Python's, and run in Arrow batches; literal ones are built-in expressions.
+    The vocabulary is configuration, read by the driver and sent to all tasks.  Texts are read once: literal patterns, any
+    number of them, by an automaton, regular expressions (Python's) one after the other.
     """
-    folded = lambda low, c: F.when(F.col("case_sensitive"), c).otherwise(low)
-    literal = vocabulary.filter("match = 'literal' and pattern <> ''").withColumn("__sought", folded(F.lower("pattern"), F.col("pattern")))
-    own = segments.withColumn("__low", F.lower("text"))  # once for all patterns
-    searched = folded(F.col("__low"), F.col("text"))
-    pairs = own.join(F.broadcast(literal), F.contains(searched, F.col("__sought")))
-    hits = pairs.withColumn("offset", F.explode(offsets(searched, F.col("__sought")))).withColumn("matched", F.length("pattern"))
-    expressions = [tuple(r) for r in vocabulary.filter("match = 'regex'").select("pattern_no", "category", "name", "pattern", "case_sensitive").collect()]
-    if expressions:
-        hits = hits.select(*segments.columns, "pattern_no", "category", "name", "pattern", "offset", "matched").unionByName(_expressions(segments, expressions))
+    patterns = [tuple(r) for r in vocabulary.select("pattern_no", "category", "name", "pattern", "match", "case_sensitive").orderBy("pattern_no").collect()]
+    hits = _matched(segments, patterns)
     low = F.greatest(F.lit(0), F.col("offset") - EXCERPT)
     size = F.col("offset") + F.col("matched") + EXCERPT - low
     return hits.select("doc_id", "seg_no", "kind", "location", "pattern_no", "category", "name", "pattern", "offset", F.col("kind").isin(*backing).alias("backed"), F.translate(F.substring("text", low + 1, size), "\r\n\t", "   ").alias("excerpt"))
