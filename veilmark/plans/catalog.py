@@ -285,11 +285,13 @@ def hypothesis_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.hypothesis_counts(_observed(spark, sf_dir))
 
 
-@query("extension_counts", "SELECT CASE doc_id % 5 WHEN 0 THEN '.txt' WHEN 1 THEN '.md' WHEN 2 THEN '.html' WHEN 3 THEN '<none>' ELSE '.gz' END AS extension, count(*) AS documents FROM documents GROUP BY 1")
+_URL_NAME = r"regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1)"
+
+
+@query("extension_counts", rf"SELECT coalesce(nullif(lower(regexp_extract({_URL_NAME}, '^.+(\.[^.]+)$', 1)), ''), '<none>') AS extension, count(*) AS documents FROM pages GROUP BY 1")
 def extension_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ends = F.element_at(F.array(*map(F.lit, (".TXT", ".md", ".v2.html", "", ".tar.gz"))), (F.col("doc_id") % 5 + 1).cast("int"))
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("corpus.d/"), F.col("doc_id").cast("string"), ends).alias("source"))
-    return summary.extension_counts(docs)
+    """What the pages' addresses end in."""
+    return summary.extension_counts(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.regexp_replace("url", r"[?#].*$", "").alias("source")))
 
 
 _JA, _EN = _count("t", chars.one_of(chars.JAPANESE)), _count("t", "[A-Za-z]")
@@ -535,8 +537,8 @@ def _layered(text: str, doc_id: int) -> bytes:
 
 
 _LAYERED = (
-    (0, 0, True, "page 1", "'seen' || doc_id || 'form' || doc_id"), (0, 1, False, "page 1 (off_layer ''Draft layer'')", "'off' || doc_id"), (0, 2, False, "page 1 (form ''/Fm1'', invisible text, Tr 3)", "'loose' || doc_id"),
-    (1, 0, True, "page 1", "'form' || doc_id || 'after'"), (1, 1, False, "page 1 (form ''/Fm1'', invisible text, Tr 3)", "'loose' || doc_id"),
+    (0, 0, True, "page 1", "'seen' || doc_id || chr(10) || 'form' || doc_id"), (0, 1, False, "page 1 (off_layer ''Draft layer'')", "'off' || doc_id"), (0, 2, False, "page 1 (form ''/Fm1'', invisible text, Tr 3)", "'loose' || doc_id"),
+    (1, 0, True, "page 1", "'form' || doc_id || chr(10) || 'after'"), (1, 1, False, "page 1 (form ''/Fm1'', invisible text, Tr 3)", "'loose' || doc_id"),
     (2, 0, False, "page 1 (form ''/Fm0'', white_text)", "'form' || doc_id"), (2, 1, False, "page 1 (form ''/Fm1'', invisible text, Tr 3)", "'loose' || doc_id"),
     (3, 0, True, "page 1 (Extraction failed)", "''"),
 )
@@ -636,3 +638,142 @@ def docx_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter(F.length(detect.strip(F.col("text"))) > 0)
     found = reading.extract(_files(docs, ".docx", _word)).select("doc_id", F.posexplode("segments").alias("seg_no", "s"))
     return found.select("doc_id", F.col("seg_no").cast("long").alias("seg_no"), "s.visible", "s.kind", "s.location", "s.concealment", F.sha2("s.text", 256).alias("text_sha256"))
+
+
+# Files made of the tables' own texts.
+
+PAGE_LINES = 40
+
+
+def _literal(text: str) -> bytes:
+    return b"(" + text.encode("latin-1", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)") + b")"
+
+
+def _objects(values: list[bytes]) -> bytes:
+    return b"%PDF-1.5\n" + b"\n".join(b"%d 0 obj %s endobj" % (n, v) for n, v in enumerate(values, 1)) + b"\ntrailer << /Root 1 0 R >>\nstartxref\n0\n%%EOF"
+
+
+def _stream(head: bytes, body: bytes) -> bytes:
+    packed = zlib.compress(body, 1)
+    return b"<< %s /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream" % (head, len(packed), packed)
+
+
+def _written(text: str, doc_id: int) -> bytes:
+    """A document's lines on pages of PAGE_LINES; the first line of each page in another way: plain, white, white on a painted
+    polygon, in a colour space that can't be told, invisible, or tiny."""
+    first = (b"", b"1 g", b"0 g 60 690 m 100000 690 l 100000 760 l 60 760 l f 1 g", b"/Sep cs 1 scn", b"3 Tr", b"/F1 1 Tf")[doc_id % 6]
+    lines = text.split("\n")
+    kids, objects = [], [b"<< /Type /Catalog /Pages 2 0 R >>", b"", b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /FirstChar 0 /Widths [" + b"500 " * 256 + b"] >>"]
+    for at in range(0, len(lines), PAGE_LINES):
+        shown = [b"BT /F1 10 Tf 72 700 Td 12 TL " + first + b" " + _literal(lines[at]) + b" Tj 0 Tr 0 g /F1 10 Tf"] + [_literal(line) + b" '" for line in lines[at + 1 : at + PAGE_LINES]]
+        objects.append(_stream(b"", b"\n".join(shown) + b" ET"))
+        kids.append(b"%d 0 R" % (len(objects) + 1))
+        objects.append(b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R /Resources << /Font << /F1 3 0 R >> /ColorSpace << /Sep [/Separation /Spot /DeviceCMYK 9 0 R] >> >> >>" % len(objects))
+    objects[1] = b"<< /Type /Pages /Kids [" + b" ".join(kids) + b"] /MediaBox [0 0 612 792] >>"
+    return _objects(objects)
+
+
+_WRITTEN = rf"""l AS (SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '[^\x{{00}}-\x{{FF}}]', '?', 'g'), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM documents),
+    k AS (SELECT *, i // {PAGE_LINES} + 1 AS page, i % {PAGE_LINES} = 0 AND doc_id % 6 IN (1, 4, 5) AS hidden FROM l WHERE line <> ''),
+    p AS (SELECT doc_id, page, hidden, string_agg(line, chr(10) ORDER BY i) AS t FROM k GROUP BY ALL)"""
+
+
+@query(
+    "pdf_pages",
+    f"""WITH {_WRITTEN} SELECT doc_id, page::BIGINT AS page, NOT hidden AS visible, 'page ' || page || CASE WHEN NOT hidden THEN '' ELSE ['', ' (white_text)', '', '', ' (invisible text, Tr 3)', ' (tiny_font)'][doc_id % 6 + 1] END AS location, sha256(t) AS text_sha256,
+        (SELECT count(*) FROM k q WHERE q.doc_id = p.doc_id AND i % {PAGE_LINES} = 0 AND p.doc_id % 6 = 2) AS white_on_painted, (SELECT count(*) FROM k q WHERE q.doc_id = p.doc_id AND i % {PAGE_LINES} = 0 AND p.doc_id % 6 = 3) AS color_unresolved
+    FROM p WHERE hidden OR {_STRIPPED} <> ''""",
+)
+def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text as pages: each segment with its text, and the counts of the whole file."""
+    found = reading.extract(_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), ".pdf", _written))
+    count = lambda name: F.coalesce(F.try_element_at("counts", F.lit(name)), F.lit(0)).alias(name)
+    each = found.select("doc_id", count("white_on_painted"), count("color_unresolved"), F.explode("segments").alias("s"))
+    return each.select("doc_id", F.regexp_extract("s.location", r"^page (\d+)", 1).cast("long").alias("page"), "s.visible", "s.location", F.sha2("s.text", 256).alias("text_sha256"), "white_on_painted", "color_unresolved")
+
+
+def _measured(text: str, doc_id: int) -> bytes:
+    """A font size and a place for each line, by its length."""
+    shown = [b"/F1 %.1f Tf 1 0 0 1 %d 100 Tm" % (len(line) % 10 / 10, len(line) * 7) for line in text.split("\n")]
+    return _objects([b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /MediaBox [0 0 612 792] >>", b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R >>", _stream(b"", b"BT " + b"\n".join(shown) + b" ET")])
+
+
+@query(
+    "pdf_declared",
+    """WITH l AS (SELECT doc_id, length(unnest(string_split(coalesce(text, ''), chr(10)))) AS n, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+    r AS (SELECT doc_id, i, 0 AS k, 'pdf_font_size_tiny' AS rule, (n % 10 / 10.0)::DOUBLE AS measured FROM l WHERE n % 10 <= 5 UNION ALL SELECT doc_id, i, 1, 'pdf_text_out_of_bounds', (n * 7)::DOUBLE FROM l WHERE n * 7 > 612)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1)::BIGINT AS no, rule, measured FROM r""",
+)
+def pdf_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and places that a file declares for each line of a document's text, in order."""
+    made = _files(spark.read.parquet(f"{sf_dir}/documents.parquet"), ".pdf", _measured)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, n, rule, m[0]) for i, c in zip(batch.column(0).to_pylist(), batch.column(1)) for n, (_, _, rule, m) in enumerate(pdf.audit(c.as_py())[0])]
+            columns = zip(*rows) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.float64()))], ["doc_id", "no", "rule", "measured"])
+
+    return made.select("doc_id", "content").mapInArrow(run, "doc_id long, no long, rule string, measured double")
+
+
+def _sampled(text: str, doc_id: int) -> bytes:
+    """The text's first bytes as a grey picture of 50 by 50, on two pages under two names."""
+    image = _stream(b"/Type /XObject /Subtype /Image /Width 50 /Height 50", text.encode()[:2500].ljust(2500))
+    return _objects([
+        b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R 4 0 R] /MediaBox [0 0 612 792] >>",
+        b"<< /Type /Page /Resources << /XObject << /A 5 0 R >> >> >>", b"<< /Type /Page /Resources << /XObject << /B 5 0 R /C 6 0 R >> >> >>", image, image,
+    ])
+
+
+@query("pdf_samples", "SELECT doc_id, 1::BIGINT AS page, '/A' AS name, sha256(unhex(substr(rpad(hex(encode(coalesce(text, ''))), 5000, '20'), 1, 5000))) AS sha256 FROM documents")
+def pdf_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A picture made of each document's text: equal pictures count once, by their samples."""
+    made = _files(spark.read.parquet(f"{sf_dir}/documents.parquet"), ".pdf", _sampled)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, page, name, digest) for i, c in zip(batch.column(0).to_pylist(), batch.column(1)) for page, name, _, _, digest in pdf.pictures(c.as_py())]
+            columns = zip(*rows) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()))], ["doc_id", "page", "name", "sha256"])
+
+    return made.select("doc_id", "content").mapInArrow(run, "doc_id long, page long, name string, sha256 string")
+
+
+_OWN_HEAD = '<style>.ad { color: red; display: none }\nli > a, h1 { visibility: hidden }\n.none { opacity: 0 }</style><link rel="stylesheet" href="hide.css"><div hidden>'
+
+
+@query(
+    "css_matched",
+    """WITH c AS (SELECT page_id, url, len(regexp_extract_all(html, 'class="ad"')) AS ads, coalesce(nullif(len(regexp_extract_all(html, '<li><a ')), 0), len(regexp_extract_all(html, '<h1>'))) AS links, len(regexp_extract_all(html, '<b>')) AS bold FROM pages)
+    SELECT page_id, 'inline <style>, line 1, selector: .ad (matched ' || ads || ')' AS location, 'display: none' AS text FROM c WHERE ads > 0
+    UNION ALL SELECT page_id, 'inline <style>, line 2, selector: li > a, h1 (matched ' || links || ')', 'visibility: hidden' FROM c WHERE links > 0
+    UNION ALL SELECT page_id, '<link> hide.css, line 1, selector: b (matched ' || bold || ')', 'left: -9999px' FROM c WHERE bold > 0
+    UNION ALL SELECT page_id, 'line 3, <div>', url FROM c UNION ALL SELECT page_id, 'line 3, <div> inline style', '(hidden attribute)' FROM c""",
+)
+def css_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets over the pages' own markup: how many elements of each page a rule's first fitting selector fits, and the hidden
+    text, which is the page's address."""
+    pages = reading.spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    said = F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    pages = pages.select("page_id", F.concat(F.lit("site/"), F.col("page_id").cast("string")).alias("source"), F.encode(F.concat(F.lit(_OWN_HEAD), said, F.lit("</div>"), F.coalesce("html", F.lit(""))), "utf-8").alias("content"))
+    sheets = spark.createDataFrame([("site/hide.css", "b { left: -9999px; right: 0 }\n.none { opacity: 0 }")], "path string, css string")
+    found = css.extract(pages, sheets, True).select("page_id", F.explode("segments").alias("s"))
+    return found.filter("s.kind = 'css_hidden'").select("page_id", "s.location", "s.text")
+
+
+@query(
+    "geometry_measured",
+    """WITH c AS (SELECT page_id, length(url) % 12 / 10.0 AS size, length(html) % 5 / 200.0 AS faint, length(html) % 3 AS high FROM pages)
+    SELECT page_id, 'inline_style' AS origin, 'font_size_tiny' AS rule, size::DOUBLE AS measured FROM c WHERE size <= 0.5 UNION ALL SELECT page_id, 'style_block', 'opacity_near_zero', faint::DOUBLE FROM c WHERE faint <= 0.01
+    UNION ALL SELECT page_id, 'linked_css', 'line_height_zero', 0.0::DOUBLE FROM c WHERE high = 0""",
+)
+def geometry_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declarations whose values come from the pages, in a style, a sheet of the page's own, and one linked sheet for each third of pages."""
+    pages = reading.spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    size, faint, high = F.length("url") % 12 / 10, F.length("html") % 5 / 200, F.length("html") % 3
+    head = F.concat(F.lit('<link rel="stylesheet" href="h'), high.cast("string"), F.lit('.css"><style>q { opacity: '), faint.cast("string"), F.lit(' }</style><p style="font-size: '), size.cast("string"), F.lit('px">x</p>'))
+    pages = pages.select(F.concat(F.lit("site/page"), F.col("page_id").cast("string"), F.lit(".html")).alias("source"), F.encode(F.concat(head, F.coalesce("html", F.lit(""))), "utf-8").alias("content"))
+    sheets = spark.createDataFrame([(f"site/h{i}.css", f"q {{ line-height: {i} }}") for i in range(3)], "path string, css string")
+    found = geometry.audit(geometry.declared(pages, sheets))
+    return found.select(F.regexp_extract("source", r"page(\d+)", 1).cast("long").alias("page_id"), "origin", "rule", F.aggregate("measured", F.lit(0.0), lambda a, x: a + x).alias("measured"))

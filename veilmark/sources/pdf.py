@@ -170,8 +170,9 @@ def assembled(pieces: list[Shown]) -> str:
     out: list[str] = []
     before: Shown | None = None
     for p in pieces:
-        if before is not None and out and not out[-1][-1:].isspace() and not p.text[:1].isspace():
-            out.append(_between(before, p))
+        if before is not None:
+            mark = _between(before, p)
+            out.append(mark if mark != " " or not (out[-1][-1:].isspace() or p.text[:1].isspace()) else "")
         out.append(p.text)
         before = p
     return "".join(out)
