@@ -95,7 +95,7 @@ def main(argv: list[str]) -> int:
         return 1
     spark = SparkSession.builder.appName("veilmark").getOrCreate()
     spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    for name, missing in formats.install("plain text", "HTML", "DOCX", "PDF", "image metadata", "PNG layers", "text in pictures of PDF", "text in pictures").items():
+    for name, missing in formats.install("plain text", "HTML", "DOCX", "PDF", "pictures of PDF", "image metadata", "PNG layers", "text in pictures of PDF", "text in pictures").items():
         if missing:
             print(f"not available: {name} ({missing})", file=sys.stderr)
     where = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from veilmark.sources import css, docx, html, metadata, pdf, png, reading
+from veilmark.sources import css, docx, html, pdf, pictures, png, reading
 
 
 @dataclass(frozen=True)
@@ -24,9 +24,10 @@ FORMATS = (
     Format("HTML", lambda: reading.register([".html", ".htm"], html.html)),
     Format("DOCX", lambda: reading.register(".docx", docx.docx)),
     Format("PDF", lambda: reading.register(".pdf", pdf.pdf)),
-    Format("text in pictures of PDF", None, "pictures are listed (pdf.pictures), but there is no library that recognises text"),
-    Format("text in pictures", None, "there is no library that recognises text"),
-    Format("image metadata", lambda: reading.register([".jpg", ".jpeg", ".gif", ".bmp", ".tif", ".tiff", ".webp"], metadata.image)),
+    Format("pictures of PDF", lambda: reading.register(".pdf", pictures.combined())),
+    Format("text in pictures of PDF", None, "there is no library that recognises text; pictures.install takes one"),
+    Format("text in pictures", None, "there is no library that recognises text; pictures.install takes one"),
+    Format("image metadata", lambda: reading.register([".jpg", ".jpeg", ".gif", ".bmp", ".tif", ".tiff", ".webp"], pictures.file())),
     Format("PNG layers", lambda: reading.register(".png", png.png)),
     Format("HTML with style sheets", css.install),
     Format("HTML with selectors", lambda: css.install(full=True)),

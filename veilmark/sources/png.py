@@ -120,15 +120,20 @@ def low_contrast(rgba: np.ndarray) -> Segment | None:
     return Segment(said, False, "css_hidden", f"grayscale analysis ({rgba.shape[1]}x{rgba.shape[0]})")
 
 
-def png(data: bytes, limits: Limits) -> list[Segment]:
+def tagged(data: bytes) -> list[Segment]:
+    """EXIF tags, text chunks and the XMP packet."""
     parts = list(chunks(data))
     own = texts(parts)
     tags = [s for kind, body in parts if kind == b"eXIf" for s in exif(body)]
     found = tags + [Segment(own[k].strip(), False, "metadata", f"PNG tEXt / {k}") for k in KEYS if len(own.get(k, "").strip()) >= LEAST]
     if len(own.get(XMP, "").strip()) >= LEAST:
         found.append(Segment(own[XMP].strip(), False, "metadata", "XMP packet"))
-    rgba = pixels(parts)
-    return found + ([s for s in (transparent(rgba), low_contrast(rgba)) if s] if rgba is not None and rgba.size else [])
+    return found
+
+
+def png(data: bytes, limits: Limits) -> list[Segment]:
+    rgba = pixels(list(chunks(data)))
+    return tagged(data) + ([s for s in (transparent(rgba), low_contrast(rgba)) if s] if rgba is not None and rgba.size else [])
 
 
 register(".png", png)
