@@ -176,7 +176,7 @@ def test_reports(spark):
     said = rows.select(report.text_report(F.col("source"), F.col("o"), F.col("e")).alias("r"), report.json_receipt(F.col("o")).alias("j")).first()
     assert "  Mask    : 1100-001" in said.r and "  - 20 zero-width chars (line 1)\n" in said.r and said.j.startswith('{"h1":1,')
     page = spark.createDataFrame([("<a>", "x​")], "source string, t string").select(report.html_report(F.col("source"), detect.observe(segments), detect.evidence(segments), segments).alias("h")).first().h
-    assert "<h1>&lt;a&gt;</h1><p><b>1</b><b>1</b>00-000</p>" in page and '<td>x<span class="inv zw">U+200B</span></td>' in page
+    assert '<h1>&lt;a&gt;</h1><p class="mask" data-mask="1100-000"><span class="on">1</span><span class="on">1</span><span class="off">0</span>' in page and "<td>H2</td><td>Zero-width density</td><td class=\"on\">DETECTED</td>" in page and '<td>x<span class="inv zw">U+200B</span></td>' in page
     assert report.receipt({"é": 1}) == '{\n  "é": 1\n}\n'
     made = report.dashboard(summary.totals(rows), summary.mask_counts(rows), summary.hypothesis_counts(rows), summary.extension_counts(rows), "ja")
     assert "1100-001" in made and "ゼロ幅密度" in made

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.functions import language, visible
+from veilmark.functions import detect, language, visible
 from veilmark.operators.summary import HYPOTHESES
 
 RULE = 66
@@ -19,7 +19,7 @@ def text_report(source: Column, observed: Column, evidence: Column, lang: str =
     """One document's report: states, then evidence, then what it does not say."""
     names = {h: language.label(h.upper(), lang) for h in HYPOTHESES}
     thick, thin = F.lit("=" * RULE), F.lit("-" * RULE)
-    lines = [thick, F.lit("  OBSERVATION REPORT"), F.concat(F.lit("  Source  : "), source), F.concat(F.lit("  Mask    : "), observed["mask"]), thick, F.lit("")]
+    lines = [thick, F.lit("  OBSERVATION REPORT"), F.lit(f"  Version : {detect.VERSION}"), F.concat(F.lit("  Source  : "), source), F.concat(F.lit("  Mask    : "), observed["mask"]), thick, F.lit("")]
     lines += [F.concat(F.lit(f"[{h.upper()}] {names[h]:<22} "), F.when(observed[h] == 1, "DETECTED").otherwise("not detected")) for h in HYPOTHESES]
     lines += [F.lit(""), thin, F.lit("  EVIDENCE"), thin]
     for h in HYPOTHESES:
@@ -28,13 +28,24 @@ def text_report(source: Column, observed: Column, evidence: Column, lang: str =
     return F.concat_ws("\n", *lines)
 
 
+_STYLE = (
+    "<style>body{font-family:sans-serif;max-width:60rem;margin:2rem auto}table{border-collapse:collapse}td,th{text-align:left;padding:.3rem .6rem;border-bottom:1px solid #ddd}.mask{font-family:monospace;font-size:1.5rem}"
+    ".on{color:#d73a49;font-weight:bold}.off{color:#777}.inv{background:#fdd;font-size:.75em}.inv.bidi{background:#dde6ff}.inv.tag{background:#dfd}.inv.vs{background:#fed}.inv.ctrl{background:#eee}</style>"
+)
+
+
 def html_report(source: Column, observed: Column, evidence: Column, segments: Column, lang: str = "en") -> Column:
-    """One document's report as a page of its own: mask, evidence, and segments with what can't be seen marked."""
-    mask = F.array_join(F.transform(F.split(observed["mask"], ""), lambda c: F.when(c == "1", "<b>1</b>").otherwise(c)), "")
-    lines = [F.concat(F.lit(f"<h2>[{h.upper()}] {html.escape(language.label(h.upper(), lang))}</h2><ul>"), F.array_join(F.transform(evidence[h], lambda x: F.concat(F.lit("<li>"), visible.markers_html(x), F.lit("</li>"))), ""), F.lit("</ul>")) for h in HYPOTHESES]
+    """One document's report as a page of its own: mask, states, evidence, and segments with what can't be seen marked."""
+    digit = lambda c: F.when(c == "1", '<span class="on">1</span>').when(c == "0", '<span class="off">0</span>').otherwise("&ndash;")
+    mask = F.concat(F.lit('<p class="mask" data-mask="'), observed["mask"], F.lit('">'), F.array_join(F.transform(F.split(observed["mask"], ""), digit), ""), F.lit("</p>"))
+    names = {h: html.escape(language.label(h.upper(), lang)) for h in HYPOTHESES}
+    states = [F.concat(F.lit(f"<tr><td>{h.upper()}</td><td>{names[h]}</td><td class="), F.when(observed[h] == 1, '"on">DETECTED').otherwise('"off">not detected'), F.lit("</td></tr>")) for h in HYPOTHESES]
+    lines = [F.concat(F.lit(f"<h2>[{h.upper()}] {names[h]}</h2><ul>"), F.array_join(F.transform(evidence[h], lambda x: F.concat(F.lit("<li>"), visible.markers_html(x), F.lit("</li>"))), ""), F.when(F.size(evidence[h]) == 0, "<li>(no evidence)</li>").otherwise(""), F.lit("</ul>")) for h in HYPOTHESES]
     rows = F.transform(segments, lambda s: F.concat(F.lit("<tr><td>"), s["kind"], F.lit("</td><td>"), visible.markers_html(F.coalesce(s["location"], F.lit(""))), F.lit("</td><td>"), visible.markers_html(s["text"]), F.lit("</td></tr>")))
-    head = f'<!DOCTYPE html><html lang="{language.resolve(lang)}"><head><meta charset="utf-8"><title>Observation</title><style>.inv{{background:#fdd}}</style></head><body><h1>'
-    return F.concat(F.lit(head), visible.markers_html(source), F.lit("</h1><p>"), mask, F.lit("</p>"), *lines, F.lit("<table>"), F.array_join(rows, ""), F.lit("</table></body></html>\n"))
+    head = f'<!DOCTYPE html><html lang="{language.resolve(lang)}"><head><meta charset="utf-8"><title>Observation</title>{_STYLE}</head><body><h1>'
+    foot = f"</table><footer><p>An observation, not a judgment of intent; a person must decide what it means.</p><p>Version {detect.VERSION}; no times, chance or outside resources are in this page.</p></footer></body></html>\n"
+    shown = F.coalesce(F.array_join(rows, ""), F.lit(""))  # a file that could not be read has no segments
+    return F.concat(F.lit(head), visible.markers_html(source), F.lit("</h1>"), mask, F.lit("<table>"), *states, F.lit("</table>"), *lines, F.lit("<table>"), shown, F.lit(foot))
 
 
 def receipt(value: Any) -> str:
