@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from veilmark.functions import chars, contract, detect, language, visible
 from veilmark.operators import codepoints, control_syntax, geometry, summary
 from veilmark.plans import planted
-from veilmark.sources import css, docx, html, metadata, pdf, png, reading  # noqa: F401  imports register their formats
+from veilmark.sources import css, docx, html, metadata, pdf, pictures, png, reading  # noqa: F401  imports register their formats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -340,9 +340,9 @@ def _files(docs: DataFrame, extension: str, make: Callable[[str, int], bytes]) -
     return reading.spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, extension string, length long, content binary")
 
 
-@query("docx_observe", "SELECT doc_id, concat('100', (doc_id % 4 <> 0)::INT, '-000') AS mask FROM documents WHERE trim(text, chr(10) || ' ') <> ''")
+@query("docx_observe", f"SELECT doc_id, concat('100', (doc_id % 4 <> 0 AND {_STRIPPED} <> '')::INT, '-000') AS mask FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10))[1] AS t FROM documents)")
 def docx_observe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter(F.length(detect.strip(F.col("text"))) > 0)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return detect.observed(reading.extract(_files(docs, ".docx", _word)), "segments", status="status").select("doc_id", F.col("o.mask").alias("mask"))
 
 
@@ -628,14 +628,14 @@ def pdf_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "docx_segments",
-    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE {_STRIPPED.replace('t,', 'text,', 1)} <> ''),
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
     k AS (SELECT *, i = 1 AND doc_id % 4 <> 0 AS hidden FROM l WHERE {_STRIPPED.replace('t,', 'line,', 1)} <> '')
     SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::BIGINT AS seg_no, NOT hidden AS visible, CASE WHEN hidden THEN 'docx_hidden' ELSE 'body' END AS kind, 'paragraph ' || i AS location,
         CASE WHEN hidden THEN ['', 'vanish', 'tiny_font', 'low_contrast (fg=FFFFFF,bg=FFFFFF,src=default)'][doc_id % 4 + 1] END AS concealment, sha256(line) AS text_sha256 FROM k""",
 )
 def docx_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each paragraph of Word files: where it stands, why it is concealed, and its text."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter(F.length(detect.strip(F.col("text"))) > 0)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = reading.extract(_files(docs, ".docx", _word)).select("doc_id", F.posexplode("segments").alias("seg_no", "s"))
     return found.select("doc_id", F.col("seg_no").cast("long").alias("seg_no"), "s.visible", "s.kind", "s.location", "s.concealment", F.sha2("s.text", 256).alias("text_sha256"))
 
@@ -777,3 +777,30 @@ def geometry_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     sheets = spark.createDataFrame([(f"site/h{i}.css", f"q {{ line-height: {i} }}") for i in range(3)], "path string, css string")
     found = geometry.audit(geometry.declared(pages, sheets))
     return found.select(F.regexp_extract("source", r"page(\d+)", 1).cast("long").alias("page_id"), "origin", "rule", F.aggregate("measured", F.lit(0.0), lambda a, x: a + x).alias("measured"))
+
+
+def _clear(text: str, doc_id: int) -> bytes:
+    """A GIF or TIFF file of 20 by 20 coloured pixels, of which as many are transparent as the text is long, modulo 400."""
+    n = len(text) % 400
+    if doc_id % 2:
+        strip = zlib.compress(bytes((200, 10, 10, 0)) * n + bytes((200, 10, 10, 255)) * (400 - n), 1)
+        tags = [(256, 3, 1, 20), (257, 3, 1, 20), (258, 3, 4, 8 + len(strip)), (259, 3, 1, 8), (262, 3, 1, 2), (273, 4, 1, 8), (277, 3, 1, 4), (278, 3, 1, 20), (279, 4, 1, len(strip))]
+        return b"II*\0" + struct.pack("<I", 16 + len(strip)) + strip + struct.pack("<4H", 8, 8, 8, 8) + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + struct.pack("<I", 0)
+    out = at = 0
+    for i in range(400):  # three bits a code, the table cleared before it grows
+        for code in ([4] if i % 2 == 0 else []) + [0 if i < n else 1]:
+            out, at = out | code << at, at + 3
+    body = (out | 5 << at).to_bytes((at + 10) // 8, "little")
+    blocks = b"".join(bytes([len(body[i : i + 255])]) + body[i : i + 255] for i in range(0, len(body), 255)) + b"\0"
+    return b"GIF89a" + struct.pack("<HHBBB", 20, 20, 0x80, 0, 0) + bytes((200, 10, 10, 1, 2, 3)) + b"\x21\xf9\x04\x01\0\0\0\0" + b"\x2c" + struct.pack("<HHHHB", 0, 0, 20, 20, 0) + b"\x02" + blocks + b"\x3b"
+
+
+@query(
+    "picture_layers",
+    """WITH n AS (SELECT doc_id, length(coalesce(text, '')) % 400 AS n FROM documents)
+    SELECT doc_id, 'css_hidden' AS kind, 'first hit at (0, 0)' AS location, 'transparent layer: ' || n || ' pixels (' || (n * 0.25)::DOUBLE || '% of image) with alpha=0 and non-zero RGB' AS text FROM n WHERE n >= 100""",
+)
+def picture_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transparent pixels of GIF and TIFF files, as many as each document's length says."""
+    found = reading.extract(_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), ".gif", _clear)).select("doc_id", F.explode("segments").alias("s"))
+    return found.select("doc_id", "s.kind", "s.location", "s.text")

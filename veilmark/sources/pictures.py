@@ -170,3 +170,6 @@ def install(recogniser: Recogniser | None = None, said: str = "eng") -> None:
     said = languages(said)
     register([".png", ".jpg", ".jpeg", ".gif", ".bmp", ".tif", ".tiff", ".webp"], file(recogniser, said))
     register(".pdf", combined(recogniser, said))
+
+
+register([".jpg", ".jpeg", ".gif", ".bmp", ".tif", ".tiff", ".webp"], file())
