@@ -178,6 +178,31 @@ def test_long_headers(spark):
 COPIES = [(1, "a"), (2, "a"), (3, None), (4, ""), (5, "b"), (None, "a"), (2, "a"), (6, "A"), (None, "only"), (7, "x" * 100_000), (8, "x" * 100_000)]
 
 
+NOTICES = (
+    "Copyright (c) 2020, Jane Doe\nAll rights reserved.\n\n", "Copyright (c) Jane Doe\n\n", "Copyright Jane Doe and others\n\n", "Copyright (c) 2019-2021\nJane Doe\n\n", "Copyright © 2020 Jane Doe,\nJohn Roe\n\n",
+    "Copyright (c) 2018 Jane Doe\nCopyright (c) 2019 John Roe\nand the Foo authors. All Rights Reserved\n\n", "Copyright (C) 2020 Jane Doe\n                   John Roe\n\n", "(c) 2020 Jane Doe <j@x.org>\n\n", "SPDX-FileCopyrightText: 2020 Jane Doe\n\n",
+    "copyright 2020 jane doe\n\n", "Copyright (c) <year> <copyright holders>\n\n", "Copyright [yyyy] [name of copyright owner]\n\n", "COPYRIGHT (C) 2020 JANE DOE. ALL RIGHTS RESERVED.\n\n",
+)
+
+
+def test_notices_of_any_form(spark):
+    """Every known text under every form of notice, plain, in a comment and indented; with a title where it is known with one."""
+    rows, want = [], []
+    for name, text in license_scan.FULL:
+        titled = text.startswith(tuple(f"{t}\n\n" for _, t in license_scan.TITLES))
+        for notice in NOTICES:
+            title, _, rest = text.partition("\n\n") if titled else ("", "", text)
+            whole = (f"{title}\n\n" if titled else "") + notice + rest
+            for made in (whole, "/*\n" + "\n".join(f" * {line}" for line in whole.split("\n")) + "\n */", "\n".join(f"    {line}" for line in whole.split("\n"))):
+                rows.append((len(rows), made))
+                want.append(name)
+    found = {r.doc_id: r.doc_license for r in license_scan.scan(table(spark, rows)).collect()}
+    missed = {(want[i], rows[i][1][:60]) for i in found if found[i] != want[i]}
+    assert not missed, sorted(missed)[:5]
+    other = [(0, "Copyright holders may sue.\nReleased under the MIT License."), (1, "Copyright (c) 2020 X\nReleased under the MIT License."), (2, "(c) You must keep it\nReleased under the MIT License.")]
+    assert [r.doc_license for r in license_scan.scan(table(spark, other)).orderBy("doc_id").collect()] == [None, "MIT", None]
+
+
 @pytest.mark.parametrize("digest", [stream_dedup.sha256, lambda c: F.sha2((F.length(c) % 2).cast("string"), 256)])
 def test_copies(spark, digest):
     """Also with a digest that different texts share."""

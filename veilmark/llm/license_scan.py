@@ -1,7 +1,7 @@
 """License scans by canonical digest lookup.
 
-Method.  A text is normalised: lower case, copyright lines dropped, equivalent spellings unified, punctuation and
-spacing reduced to single blanks.  The SHA-256 of the result is hash-joined with the digests of known licences and
+Method.  A text is normalised: copyright notices dropped (their lines with or without a year, the lines that go on with
+them, and "All rights reserved"), lower case, equivalent spellings unified, punctuation and spacing reduced to single blanks.  The SHA-256 of the result is hash-joined with the digests of known licences and
 licence notices; a match is the entire text, never a part of it.  The units looked up are the whole document, its
 paragraphs and its lines, since notices stand in documents as whole lines.
 
@@ -12,8 +12,8 @@ or are shorter than all of them, are dropped before they are normalised; this lo
 that normalising leaves as they are, and normalising never makes a text longer.  A unit's length is not bounded from
 above, since copyright lines, punctuation and blanks of any length are removed.
 
-Defined cases.  A null or empty text matches nothing and has the digest of the empty string.  Repeated rows each get
-a row.  An empty table gives an empty result.  Names of extra columns do not matter.  Very long texts are split whole.
+Defined cases.  A null or empty text matches nothing and has the digest of the empty string.  Repeated rows, and
+rows of a null id, each get a row.  A text known under two identifiers counts as the least.  An empty table gives an empty result.  Names of extra columns do not matter.  Very long texts are split whole.
 """
 
 from __future__ import annotations
@@ -51,9 +51,22 @@ FULL += tuple((name, f"{title}\n\n{text}") for name, title in TITLES for known,
 TEXTS = KNOWN + FULL
 
 
+#: A line of a copyright notice, after marks of a comment: the sign or the word with a year or a name.  The word before what
+#: licences say of it ("copyright holder", "copyright license") begins a line of their texts, and so does "(c)" as a number.
+_MARKS = r"[^\p{L}\p{N}\n(©<]*"
+_SIGN = r"(?:\([cC]\)|©|&copy;)"
+_OWN = r"(?!(?:[Hh]older|[Oo]wner|[Ll]icen[sc]e|[Nn]otice|[Ll]aws?|[Aa]ct|[Ss]tatement|[Ii]nterest|[Rr]ight|[Aa]nd|[Oo]r|[Ii]n|[Ii]s)\b)"
+_NOTICE = rf"(?:(?:SPDX-FileCopyrightText:?\s*)?(?i:copyright)\b[\x20\t:,]*(?:{_SIGN}|[0-9]{{4}})|SPDX-FileCopyrightText:|(?i:copyright)[\x20\t]+[<\[{{]|Copyright[\x20\t]+(?:[Bb]y[\x20\t]+)?{_OWN}[\p{{Lu}}<\[{{\"'(]|{_SIGN}[\x20\t]*(?:(?i:copyright)[\x20\t]*)?[0-9]{{4}})[^\n]*"
+_RESERVED = r"(?i:all[\x20\t]+rights[\x20\t]+reserved)[^\p{L}\p{N}\n]*"
+#: What goes on with a notice: a year, another sign, "and", what is indented further, rights reserved; after a comma, a year or a sign at a line's end whatever comes.
+_MORE = rf"\n(?:{_MARKS}(?:[0-9]{{4}}\b[^\n]*|{_SIGN}[^\n]*|(?:and|And|&)[\x20\t][^\n]*|{_RESERVED})|\k<in>(?:\x20{{4}}|\t)[\x20\t]*\p{{Lu}}[^\n]*)"
+_AFTER = rf"(?<=[,&]|\b[0-9]{{4}}|\([cC]\)|©|\band)[\x20\t]*\n(?![^\p{{L}}\p{{N}}\n]*\n)[^\n]+"
+NOTICE = rf"(?m)^(?<in>{_MARKS}){_NOTICE}(?:{_AFTER}|{_MORE})*$|^{_MARKS}{_RESERVED}$"
+
+
 def canonical(text: Column) -> Column:
-    """The normal form that is digested: copyright lines first, while lines can still be told apart."""
-    out = F.regexp_replace(F.lower(text), r"(?m)^[^a-z0-9\n]*(?:\(c\)|©|copyright)[^\n]*[0-9]{4}[^\n]*$", " ")
+    """The normal form that is digested: notices go first, while lines and capitals can still be told apart."""
+    out = F.lower(F.regexp_replace(text, NOTICE, " "))
     for pattern, to in SPELLINGS:
         out = F.regexp_replace(out, pattern, to)
     return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))

@@ -34,7 +34,14 @@ def _secrets() -> str:
 
 
 def _canonical(text: str) -> str:
-    out = rf"regexp_replace(lower({text}), '(?m)^[^a-z0-9\n]*(?:\(c\)|©|copyright)[^\n]*[0-9]{{4}}[^\n]*$', ' ', 'g')"
+    """Line by line: what is a line of a notice goes, by rules of its own; then spellings and punctuation."""
+    begins = "[^a-zA-Z0-9(©]*"
+    rules = (
+        rf"regexp_matches(l, '(?i)^{begins}copyright[ \t:,]*(\(c\)|©|[0-9]{{4}})')", rf"regexp_matches(l, '^{begins}(\([cC]\)|©)[ \t]*[0-9]{{4}}')",
+        rf"(regexp_matches(l, '^{begins}Copyright[ \t]+([Bb]y[ \t]+)?[A-Z]') AND NOT regexp_matches(l, '^{begins}Copyright[ \t]+([Bb]y[ \t]+)?(Holder|Owner|Licen|Notice|Law|Act|Statement|Interest|Right|And|Or|In|Is)\b'))",
+        r"regexp_matches(l, '(?i)^[^a-z0-9]*all[ \t]+rights[ \t]+reserved[^a-z0-9]*$')",
+    )
+    out = f"lower(array_to_string(list_filter(string_split({text}, chr(10)), lambda l: NOT ({' OR '.join(rules)})), chr(10)))"
     for pattern, to in license_scan.SPELLINGS:
         out = f"replace({out}, {_quoted(pattern)}, {_quoted(to)})"
     return rf"trim(regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
