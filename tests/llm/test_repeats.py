@@ -4,6 +4,8 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -94,6 +96,71 @@ def test_index_opens_again(spark, texts, tmp_path):
     assert not (tmp_path / "index").exists()
 
 
+def shuffled(spark, run):
+    """Bytes that shuffles wrote while run() ran."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def count():
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = count()
+    run()
+    return count() - before
+
+
+def test_history_is_not_shuffled(spark):
+    """What ten new documents cost in shuffles does not grow with what was added before."""
+    rnd = random.Random(8)
+    text = lambda: " ".join(f"w{rnd.randrange(5000)}" for _ in range(300))
+    cost = []
+    for n in (200, 2000):
+        old = [(i, text()) for i in range(n)]
+        new = [(10_000 + i, text() if i % 2 else old[i][1]) for i in range(10)]
+        earlier, batch = (spark.createDataFrame(rows, "uid long, text string") for rows in (old, new))
+        index = fingerprint_index.FingerprintIndex(spark)
+        index.add(earlier).collect()
+        found = []
+        cost.append(shuffled(spark, lambda: found.extend(index.add(batch, earlier).collect())))  # noqa: B023
+        assert {r.uid for r in found} == {10_000 + i for i in range(0, 10, 2)}
+        index.drop()
+    assert cost[1] < 1.5 * cost[0] + 100_000
+
+
+@pytest.mark.parametrize("step", ["create", "rename", "delete"])
+def test_a_crash_leaves_an_index(spark, tmp_path, monkeypatch, step):
+    """Wherever saving stops, the folder opens as the index before or after, never as an empty one."""
+    words = lambda i: " ".join(f"w{i}-{k}" for k in range(40))
+    made = lambda ids: spark.createDataFrame([(i, words(i % 3)) for i in ids], "uid long, text string")
+    folder = f"file://{tmp_path}/index"
+    index = fingerprint_index.FingerprintIndex(spark, folder)
+    index.add(made([0, 1])).collect()
+    runs = list(index.runs)
+    real = fingerprint_index.FingerprintIndex._path
+
+    class Broken:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            if name == step:
+                raise RuntimeError("lost")
+            return getattr(self.fs, name)
+
+    monkeypatch.setattr(fingerprint_index.FingerprintIndex, "_path", lambda self, name: (real(self, name)[0], Broken(real(self, name)[1])))
+    index.runs = [*runs, "veilmark_run_other"]
+    with pytest.raises(RuntimeError):
+        index._save()
+    monkeypatch.undo()
+    opened = fingerprint_index.FingerprintIndex(spark, folder)
+    assert opened.runs in (runs, [*runs, "veilmark_run_other"]) and (step == "delete" or opened.runs == runs)
+    opened.runs = runs
+    opened._save()
+    again = fingerprint_index.FingerprintIndex(spark, folder)
+    assert again.runs == runs and {r.uid for r in again.add(made([3, 4, 5]), made([0, 1])).collect()} == {3, 4}
+    again.drop()
+
+
 @pytest.mark.parametrize("make", [lambda t: [(None, t), (None, t), (3, t), (3, t), (1, "x"), (None, None)], lambda t: []])
 def test_repeated_and_missing_ids(spark, make):
     rows = make(" ".join(map(str, range(200))))

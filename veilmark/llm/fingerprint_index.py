@@ -6,12 +6,14 @@ Each earlier run is merge-joined with it: buckets are aligned and sorted, so nei
 of one digest (96 bits of it are kept) are equal; what else shares an anchor is compared on the words themselves.  When
 there are more than ``fanout`` runs they are compacted into one, which keeps the earliest locator of each fingerprint.
 
-An index is a folder: its runs, and a manifest that names them, replaced whole after every change.  Another session opens it
-by its folder and goes on.
+An index is a folder: its runs, and numbered manifests that name them.  A change writes the next manifest whole and moves it to
+its place; only then do older manifests and runs go.  Who opens a folder reads the highest one, so at every moment, also after
+a crash between two steps, there is one index to be found.  Another session opens it by its folder and goes on.
 
-Scale.  A batch costs its own size and a sequential read of the runs; the index holds about 22 bytes for each nine
-words.  Only fingerprints that matched, and segments left open, are shuffled; see ``repeats`` for how hot ones are
-combined and split.
+Scale.  A batch costs its own size and sequential reads, of the runs and, if anything matched, of earlier texts; the index holds
+about 22 bytes for each nine words.  What is shuffled are the batch, fingerprints that matched, segments left open, and
+those earlier texts alone that one of them stands in: while their ids are at most ``BROADCAST_IDS`` these are found by a
+broadcast of ids.  See ``repeats`` for how hot fingerprints are combined and split.
 
 Defined cases.  A null text has no words.  Texts of fewer than 20 words lose nothing.  Windows are judged on the
 input.  All of an earlier batch counts as earlier, whatever its ids; within a batch ids decide.  Rows that share a
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -37,8 +40,11 @@ from veilmark.llm.sequences import Words, segments
 
 WINDOW = 20
 GRAM = 6
-BATCHES = 2
-FANOUT = 4
+#: The query's batches and runs: three runs are compacted to one before the last batch comes.
+BATCHES = 4
+FANOUT = 2
+#: Up to this many ids (8 bytes each) of earlier texts are sent to all tasks.
+BROADCAST_IDS = 1_000_000
 #: Earlier batches' uids are moved below all others, so that they come first in every order.
 EARLIER = 1 << 62
 _SORTED = ("anchor", "whole", "tail", "uid", "start")
@@ -92,19 +98,29 @@ class FingerprintIndex:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _manifests(self) -> list[str]:
+        """Names of the manifests, in order."""
+        path, fs = self._path("")
+        names = [status.getPath().getName() for status in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(n for n in names if re.fullmatch(r"manifest-\d{12}\.json", n))
+
     def _manifest(self) -> dict | None:
-        path, fs = self._path("manifest.json")
-        return json.loads(self.spark.read.text(path.toString(), wholetext=True).first()[0]) if fs.exists(path) else None
+        names = self._manifests()
+        return json.loads(self.spark.read.text(f"{self.folder}/{names[-1]}", wholetext=True).first()[0]) if names else None
 
     def _save(self) -> None:
-        """Write beside, then move: a reader finds the old manifest or the new one."""
-        new, fs = self._path(f"manifest-{uuid.uuid4().hex}")
+        """The next manifest, written beside and moved to its place; then the older ones go."""
+        before = self._manifests()
+        number = int(before[-1][9:21]) + 1 if before else 1
+        new, fs = self._path(f"next-{uuid.uuid4().hex}")
         out = fs.create(new, True)
         out.write(bytearray(json.dumps({"runs": self.runs, "buckets": self.buckets}).encode()))
         out.close()
-        path, _ = self._path("manifest.json")
-        fs.delete(path, False)
-        fs.rename(new, path)
+        path, _ = self._path(f"manifest-{number:012}.json")
+        if not fs.rename(new, path):
+            raise RuntimeError(f"another writer has made {path}")
+        for name in before:
+            fs.delete(self._path(name)[0], False)
 
     def _register(self, run: str) -> None:
         """Name a run's files in this session's catalog, so that they are read as buckets."""
@@ -136,8 +152,8 @@ class FingerprintIndex:
     def add(self, batch: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
         """Index a batch (uid, text) and return its repeats: uid, start, size in words.
 
-        ``earlier`` holds (uid, text) of the documents added before, to compare matches on; those without any are
-        not read.
+        ``earlier`` holds (uid, text) of the documents added before, to compare matches on; only those with any are
+        shuffled.
         """
         name = self._write(repeats.scan(batch, _segmenter, WINDOW))
         own = self._run(name)
@@ -154,7 +170,11 @@ class FingerprintIndex:
         settled = staging.stage(repeats.settle(together, WINDOW), "settled")
         docs = batch.select("uid", "text")
         if self.runs and earlier is not None:
-            docs = docs.unionByName(earlier.select((F.col("uid") - EARLIER).alias("uid"), "text"))
+            wanted = staging.stage(settled.filter(f"not repeat and uid < {-(EARLIER >> 1)}").select("uid").distinct(), "wanted")
+            n = wanted.count()
+            if n:
+                past = earlier.select((F.col("uid") - EARLIER).alias("uid"), "text")
+                docs = docs.unionByName(past.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "uid", "left_semi"))
         found = repeats.contents(docs, settled.filter("not repeat").drop("repeat"), _extract, WINDOW)
         resolved = repeats.grouped(found, _verify, WINDOW)
         self.runs.append(name)
