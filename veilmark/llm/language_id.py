@@ -3,13 +3,13 @@
 Method.  A text becomes a vector of its n-grams of one to three bytes of letters (lower case; bytes of UTF-8, so one to
 three letters of Latin script, and one of others), hashed to ``DIMS`` dimensions, weighted by TF-IDF and normalised.  Each language has several centroids, found by spherical
 k-means on labelled documents; a text takes the language of the centroid of greatest cosine.  A text is rejected if
-even that centroid is further away than nearly all training documents are from theirs: its cosine is under a centroid
-radius, set as a low quantile of the training cosines, times a slack.
+even that centroid is too far away: its cosine is under the language's radius, a share of the median cosine that the
+language's documents have with centroids fitted without them.  The rule is the same for few documents and many.
 
 Scale.  Two narrow passes over the texts, in batches of arrays.  The first counts, over all training documents, in how
 many each n-gram occurs (a row for each n-gram and task, summed map-side and by key), and draws the bounded sample
-(``SAMPLE_PER_LANGUAGE`` by hash of the id) that the centroids are fitted on; the second predicts.  The driver holds
-the sample's vectors and a table of ``DIMS`` counts, whatever the corpus' size.
+(``SAMPLE_PER_LANGUAGE`` by hash of the id) that the centroids are fitted on, in a task for each language; the second
+predicts.  The driver holds the centroids, 64 KB a language, and a table of ``DIMS`` counts, whatever the corpus' size.
 
 Defined cases.  Texts that are null or have no letter are ``und`` with score 0 and are rejected.  Without training
 documents every text is ``und``, and ``keep`` keeps what has a letter.  Rows of a null language are not learned from;
@@ -32,13 +32,10 @@ from veilmark.llm.sequences import mixed, runs
 
 DIMS = 1 << 12
 SAMPLE_PER_LANGUAGE = 1000
-MAX_LANGUAGES = 1000
 CENTROIDS = 4
 FOLDS = 5
-QUANTILE = 0.002
-SLACK = 0.4
-#: Of so few documents too little is known to reject much.
-FEW, FEW_RADIUS = 20, 0.05
+#: A text is rejected whose cosine is under this share of the median one.
+SLACK = 0.125
 UNKNOWN = "und"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -148,7 +145,7 @@ def fit(docs: DataFrame, text: str = "text", id_col: str = "doc_id", lang: str =
     The sample is of at most about ``sample_per_language`` documents a language, by hash of the id.
     """
     known = docs.filter(docs[lang].isNotNull() & docs[text].isNotNull()).select(docs[id_col].cast("string").alias("id"), docs[lang].alias("lang"), docs[text].alias("text"))
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
         return None
     share = F.create_map(*(F.lit(x) for l, n in sorted(sizes.items()) for x in (l, min(1.0, sample_per_language / n))))
@@ -175,25 +172,26 @@ def fit(docs: DataFrame, text: str = "text", id_col: str = "doc_id", lang: str =
     often = np.zeros(DIMS)
     often[list(counts)] = list(counts.values())
     idf = (np.log((1 + total) / (1 + often)) + 0.05).astype(np.float32)
-    names, centres, radii = [], [], []
-    for language in sorted(sizes):
-        vectors = [bytes(r.vector) for r in learned.filter(F.col("vector").isNotNull() & (F.col("lang") == language)).select("vector").orderBy("vector").collect()]
-        if not vectors:
-            continue
+    shared = docs.sparkSession.sparkContext.broadcast(idf)
+
+    def one(table: pa.Table) -> pa.Table:
+        """A language's centroids, and how near they are to documents that they were not fitted on."""
+        vectors = sorted(v.as_py() for v in table.column("vector"))
         rows = np.zeros((len(vectors), DIMS), np.float32)
         for i, vector in enumerate(vectors):
-            rows[i] = weighted(unpacked(vector)[None], idf)
-        own = clustered(rows, centroids)
-        cosine = rows @ own.T
-        best = cosine.argmax(axis=1)
-        every = cosine.max(axis=1)
-        for c in range(len(own)):
-            mine = every[best == c]
-            typical = float(np.quantile(mine if len(mine) >= 50 else every, QUANTILE))
-            radii.append(min(SLACK * typical, 1.0 if len(every) >= FEW else FEW_RADIUS))
-        names += [language] * len(own)
-        centres.append(own)
-    return Model(names, np.concatenate(centres).astype(np.float32), np.array(radii), idf)
+            rows[i] = weighted(unpacked(vector)[None], shared.value)
+        halves = rows[::2], rows[1::2]
+        apart = [(other @ clustered(half, centroids).T).max(axis=1) for half, other in (halves, halves[::-1]) if len(half) and len(other)]
+        radius = SLACK * float(np.median(np.concatenate(apart))) if apart else 0.0
+        own = clustered(rows, centroids).astype("<f4")
+        return pa.table({"lang": [table.column("lang")[0].as_py()], "radius": [radius], "centroids": pa.array([own.tobytes()], pa.binary())})
+
+    drawn_ = learned.filter("vector is not null").select("lang", "vector")
+    fitted = sorted(drawn_.groupBy("lang").applyInArrow(one, "lang string, radius double, centroids binary").collect(), key=lambda r: r.lang)
+    centres = [np.frombuffer(bytes(r.centroids), "<f4").reshape(-1, DIMS) for r in fitted]
+    names = [r.lang for r, own in zip(fitted, centres) for _ in own]
+    radii = [r.radius for r, own in zip(fitted, centres) for _ in own]
+    return Model(names, np.concatenate(centres).astype(np.float32), np.array(radii), idf) if fitted else None
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
