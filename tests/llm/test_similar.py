@@ -278,3 +278,17 @@ def test_dense_cluster_shares_pivots(n, n_pivots, cosine):
     close = unit[:100] @ unit[: n // 3].T >= pivot_index.COSINE
     close[range(100), range(100)] = False
     assert (close & (listed[:100] @ listed.T >= pivot_index.MIN_SHARED)).sum() >= 0.95 * close.sum()
+
+
+@pytest.mark.parametrize("n_pivots", [64, 1024, 8192])
+def test_near_vectors_share_pivots_among_many(n_pivots):
+    """Pairs just above the limit become candidates, however many pivots there are."""
+    rnd = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    pivots, one, other = unit(rnd.standard_normal((n_pivots, 64))), unit(rnd.standard_normal((400, 64))), rnd.standard_normal((400, 64))
+    other = unit(other - (other * one).sum(axis=1, keepdims=True) * one)
+    two = 0.903 * one + np.sqrt(1 - 0.903**2) * other
+    k = pivot_index.lists(n_pivots)
+    a, b = pivot_index.described(one, pivots, k), pivot_index.described(two, pivots, k)
+    found = [x[0] == y[0] or len(np.intersect1d(x, y)) >= pivot_index.MIN_SHARED for x, y in zip(a, b)]
+    assert np.mean(found) > 0.98 and pivot_index.lists(512) == 8 and pivot_index.lists(131_072) == 16
