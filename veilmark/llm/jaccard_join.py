@@ -559,10 +559,11 @@ def keep(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int
 
     Rows are dropped one by one: others of the same id, or without one, stay as their own texts decide.
     """
-    rows, uid = (docs, id_col) if repeats.own_ids(docs, id_col) else (repeats.numbered(docs, text, id_col, "__uid"), "__uid")
+    number, gone = staging.free(docs.columns, "__uid", "__dropped")
+    rows, uid = (docs, id_col) if repeats.own_ids(docs, id_col) else (repeats.numbered(docs, text, id_col, number), number)
     found = link(rows, text, uid, width, percent)
-    dropped = staging.stage(found.filter("uid <> component").select(F.col("uid").alias("__dropped")), "dropped")
-    left = rows.join(dropped.hint("shuffle_hash"), rows[uid] == F.col("__dropped"), "left_anti")
+    dropped = staging.stage(found.filter("uid <> component").select(F.col("uid").alias(gone)), "dropped")
+    left = rows.join(dropped.hint("shuffle_hash"), rows[uid] == F.col(gone), "left_anti")
     return left.select(*(rows[c] for c in docs.columns))
 
 

@@ -14,7 +14,8 @@ shards or a source's bins.  The only seats that quotients decide one by one are
 guaranteed seats: at most three times the number of parties.
 
 Defined cases.  A null text has size 0, and so has one without words; they take nothing.  A null source is a source of
-its own, ordered last.  Repeated rows count each.  An empty table gives an empty result.  Extra columns, whatever their
+its own, ordered last.  A null id names nothing: its rows count as any others.  Repeated rows count each.  A very long text is
+counted, and cut, as one value.  An empty table gives an empty result.  Extra columns, whatever their
 names, are carried by ``sample`` and do not matter elsewhere.
 """
 
@@ -146,16 +147,16 @@ def sample(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **how: o
     All columns are carried; a row with part of a text holds its first taken words, up to the end of the last.  Rows
     that share an id, or have none, are numbered in a staged copy, so that each has its own share.
     """
-    own, uid = (docs, id_col) if repeats.own_ids(docs, id_col) else (repeats.numbered(docs, text, id_col, "__uid"), "__uid")
+    number, key, times, part, whole, copy = staging.free(docs.columns, "__uid", "__id", "__passes", "__part", "__whole", "__copy")
+    own, uid = (docs, id_col) if repeats.own_ids(docs, id_col) else (repeats.numbered(docs, text, id_col, number), number)
     plan = mix(own, text, uid, **how).filter("passes > 0 or part > 0")
-    plan = staging.stage(plan.select(F.col("doc_id").alias("__id"), F.col("passes").alias("__passes"), F.col("part").alias("__part"), (F.col("part") == F.col("size")).alias("__whole")), "plan")
-    rows = own.join(plan.hint("shuffle_hash"), own[uid] == plan["__id"])
-    times = F.col("__passes") + F.when(F.col("__part") > 0, 1).otherwise(0)
-    copy = F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("__copy")
-    rows = rows.select(*(own[c] for c in docs.columns), "__passes", "__part", "__whole", copy)
+    plan = staging.stage(plan.select(F.col("doc_id").alias(key), F.col("passes").alias(times), F.col("part").alias(part), (F.col("part") == F.col("size")).alias(whole)), "plan")
+    rows = own.join(plan.hint("shuffle_hash"), own[uid] == plan[key])
+    copies = F.col(times) + F.when(F.col(part) > 0, 1).otherwise(0)
+    rows = rows.select(*(own[c] for c in docs.columns), times, part, whole, F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias(copy))
     words = F.regexp_extract_all(F.col(text), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
-    cut = F.array_join(F.slice(words, F.lit(1), F.col("__part").cast("int")), "")
-    return rows.withColumn(text, F.when((F.col("__copy") <= F.col("__passes")) | F.col("__whole"), F.col(text)).otherwise(cut)).select(*docs.columns)
+    cut = F.array_join(F.slice(words, F.lit(1), F.col(part).cast("int")), "")
+    return rows.withColumn(text, F.when((F.col(copy) <= F.col(times)) | F.col(whole), F.col(text)).otherwise(cut)).select(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -93,6 +93,18 @@ def batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """These names, or longer ones, such that a table of these columns has none of them (in either case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def tasks(spark: SparkSession) -> int:
     """The number of partitions that explicit repartitions use: what the session sets for its shuffles."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -13,7 +13,7 @@ whose skew adaptive execution splits.
 
 Defined cases.  A null text counts as the empty text.  Of equal texts the largest doc_id stays; a null doc_id is
 below all others, and among rows of one doc_id the largest locator stays, so exactly one row of a group is kept.
-An empty table gives no rows.  Extra columns, whatever their names, are carried through ``keep`` untouched.
+An empty table gives no rows.  A very long text is one value of the digest function, and of the comparison.  Extra columns, whatever their names, are carried through ``keep`` untouched.
 """
 
 from __future__ import annotations
@@ -141,10 +141,11 @@ def keep(docs: DataFrame, text: str = "text", id_col: str = "doc_id", digest: Ca
     docs, locator, content = _located(docs, text)
     _, hits = groups(docs, text, id_col, digest, **stream)
     n_hits = hits.count()
-    hits = hits.select(F.col("digest").alias("__digest"), F.col("text").alias("__text"), F.col("keeper.locator").alias("__keeper"))
-    rows = docs.withColumns({"__own_digest": digest(content), "__own_locator": locator})
-    same = (F.col("__own_digest") == F.col("__digest")) & (F.col("__text").isNull() | (F.col("__text") == F.coalesce(docs[text], F.lit(""))))
-    rows = rows.join(F.broadcast(hits) if n_hits <= BROADCAST_ROWS else hits, same, "left").filter("__keeper is null or __keeper = __own_locator")
+    known, shared, keeper, own, place = staging.free(columns, "__digest", "__text", "__keeper", "__own_digest", "__own_locator")
+    hits = hits.select(F.col("digest").alias(known), F.col("text").alias(shared), F.col("keeper.locator").alias(keeper))
+    rows = docs.withColumns({own: digest(content), place: locator})
+    same = (F.col(own) == F.col(known)) & (F.col(shared).isNull() | (F.col(shared) == F.coalesce(docs[text], F.lit(""))))
+    rows = rows.join(F.broadcast(hits) if n_hits <= BROADCAST_ROWS else hits, same, "left").filter(F.col(keeper).isNull() | (F.col(keeper) == F.col(place)))
     return rows.select(*(docs[c] for c in columns))
 
 
