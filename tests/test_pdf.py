@@ -195,3 +195,9 @@ def test_what_the_font_drops_is_rescued_from_the_stream():
     found = read(content, "/Font << /F1 10 0 R >>", font)
     assert [where for _, where in found] == ["page 1", "page 1 (raw stream)"]
     assert found[1][0] == "a​b" and "​" not in found[0][0]
+
+
+def test_what_findings_state():
+    found, _ = pdf.audit(document("BT /F1 0.5 Tf /F1 " + "9" * 400 + " Tf 1 0 0 1 700 10.25 Tm /F1 0 Tf /F1 true Tf ET"))
+    assert [pdf.stated(rule, measured) for _, _, rule, measured in found] == [("Tf font size", "0.5"), ("Tm position", "700 10.25"), ("Tf font size", "0")]
+    assert pdf.compact(1e17) == "1e+17" and pdf.compact(-2.0) == "-2"

@@ -50,12 +50,12 @@ def _geometry(files: DataFrame, thresholds: geometry.Thresholds) -> tuple[DataFr
                     found, _ = pdf.audit(content.as_py(), thresholds.values["pdf_font_size_pt_max"])
                 except ValueError:
                     continue
-                rows += [(source, n, *f) for n, f in enumerate(found)]
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.float64()))
-            columns = zip(*rows) if rows else ((),) * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["source", "no", "origin", "location", "rule", "measured"])
+                rows += [(source, n, *f, *pdf.stated(*f[2:])) for n, f in enumerate(found)]
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.float64()), pa.string(), pa.string())
+            columns = zip(*rows) if rows else ((),) * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["source", "no", "origin", "location", "rule", "measured", "property", "value"])
 
-    pdfs = files.filter("extension = '.pdf'").select("source", "content").mapInArrow(run, "source string, no int, origin string, location string, rule string, measured array<double>")
+    pdfs = files.filter("extension = '.pdf'").select("source", "content").mapInArrow(run, "source string, no int, origin string, location string, rule string, measured array<double>, property string, value string")
     found = geometry.audit(table, thresholds.values).unionByName(pdfs, allowMissingColumns=True)
     return files.filter("extension <> '.css'").select("source"), found, geometry.scanned(table)
 

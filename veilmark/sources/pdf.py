@@ -524,10 +524,33 @@ def pictures(data: bytes, least: int = 50, most: int = 200) -> list[tuple[int, s
     return found
 
 
+#: What a finding is about.
+PROPERTIES = {"pdf_font_size_tiny": "Tf font size", "pdf_text_out_of_bounds": "Tm position"}
+
+
+def compact(value: float) -> str:
+    """A number without a fraction that is none."""
+    return str(int(value)) if abs(value) < 1e16 and value == int(value) else repr(value)
+
+
+def stated(rule: str, measured: list[float]) -> tuple[str, str]:
+    """(property, value) of a finding of ``audit``."""
+    return PROPERTIES[rule], " ".join(map(compact, measured))
+
+
+def _numbers(operands: list[Any]) -> list[float]:
+    """Operands that are numbers; none that are too large for one."""
+    out = []
+    for x in operands:
+        if isinstance(x, (int, float)) and not isinstance(x, (bool, Ref)) and abs(x) < 1e300:
+            out.append(float(x))
+    return out
+
+
 def _placed(content: bytes, box: list[float], size_max: float, counts: dict[str, int]) -> Iterator[tuple[str, list[float]]]:
     for name, operands in operations(content):
         counts["operators_seen"] += 1
-        numbers = [float(x) for x in operands if isinstance(x, (int, float)) and not isinstance(x, (bool, Ref))]
+        numbers = _numbers(operands)
         if name == "Tf" and len(operands) >= 2 and numbers and 0 <= numbers[-1] <= size_max:
             yield "pdf_font_size_tiny", numbers[-1:]
         elif name == "Tm" and len(numbers) == 6 and not (min(box[0], box[2]) <= numbers[4] <= max(box[0], box[2]) and min(box[1], box[3]) <= numbers[5] <= max(box[1], box[3])):
