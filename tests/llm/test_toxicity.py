@@ -24,7 +24,7 @@ def model(spark):
     ("said", "meant"),
     [
         ("1d10t", "idiot"), ("m0r0n", "moron"), ("i d i o t", "idiot"), ("i.d.i.o.t", "idiot"), ("p-a-t-h-e-t-i-c", "pathetic"), ("p@th3t1c", "pathetic"), ("stuuupiiiid", "stupid"), ("$tup!d", "stupid"),
-        ("iiddiioott", "idiot"), ("m 0 r 0 n", "moron"), ("cl0000wn", "clown"), ("the i d i o t took", "the idiot took"), ("house water", "house water"), ("tooook", "took"), ("i​d1ot", "idiot"), ("", ""),
+        ("iiddiioott", "idiot"), ("m 0 r 0 n", "moron"), ("cl0000wn", "clown"), ("the i d i o t took", "the idiot took"), ("house water", "house water"), ("tooook", "took"), ("i\u200bd1ot", "idiot"), ("", ""), ("(1d10t!)", "(idiot)"), ("so,i.d.i.o.t", "so,idiot"), ("i . d . i . o . t", "idiot"), ("a 1", "a 1"),
     ],
 )
 def test_restored(model, said, meant):

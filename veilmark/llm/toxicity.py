@@ -4,15 +4,16 @@ Method.  A writer's words are thought to have passed a channel that swaps letter
 repeats them.  A suspect stretch of a text becomes a lattice of what each character may have stood for; Viterbi decoding
 finds the path of the greatest probability under the channel and a character language model (n-grams of 1 to ``ORDER`` characters,
 each order interpolated with the next shorter one).  The restored text is scored: each word by the best of its features (the
-word, its first three to six letters), whose weight is the log odds of the lower confidence bound of their toxic share; a logistic
-curve over a document's greatest weight, sum and density of weights gives the score.
+word, its first three to five letters), whose weight is the log odds of the lower confidence bound of their toxic share; a logistic
+curve over a document's greatest weight, sum and density of weights gives the score.  The curve is fitted on what each
+labelled document would show if its own words had not been counted.
 
 Scale.  Three narrow passes over the texts in Arrow batches.  The first counts n-grams of all training documents in a table of
 fixed size (hashed; a row for each slot and task, summed map-side and by key), so the model's counts grow with the corpus and its
 size does not.  The second restores labelled documents, and counts their features in the same way; the third scores
 all documents.  The driver holds tables of at most ``ORDER << SLOT_BITS`` counts and ``1 << FEATURE_BITS`` features, and three
-numbers of each of at most about ``CALIBRATION_ROWS`` labelled documents.  Texts are not shuffled while the labels are under
-Spark's own broadcast limit.  A stretch has a few hypotheses a character, so a very long one takes linear time.
+numbers of each of at most about ``CALIBRATION_ROWS`` labelled documents.  Texts are not shuffled while there are at most
+``BROADCAST_ROWS`` labels.  A stretch has a few hypotheses a character, so a very long one takes linear time.
 
 Defined cases.  A null text is empty; an empty one has no words and gets the score of no evidence.  A document labelled more than once
 is toxic if any label says so; null labels and ids are not learned from, and null ids count as held out.  Without labelled
@@ -23,7 +24,9 @@ whatever their names, do not matter.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 from math import log
 from zlib import crc32
 
@@ -41,10 +44,12 @@ SLOT_BITS = 18
 #: How much the next shorter context counts for, in observations.
 SHORTER = 2.0
 FEATURE_BITS = 20
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (3, 4, 5)
 #: Features of fewer toxic documents are not looked at; Z is how many standard errors the bound lies below the share.
 LEAST_TOXIC, Z = 3, 2.5
 CALIBRATION_ROWS = 20_000
+#: Up to this many labels (about 20 bytes each) are sent to all tasks; beyond it the texts that have one are found by a shuffled join.
+BROADCAST_ROWS = 1_000_000
 #: What look-alikes stand for.
 LOOK_ALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i"}
 #: What may stand between spaced-out letters.
@@ -55,15 +60,15 @@ _SYMBOLS = "@$!|+€£¡"
 _LETTER = r"[^\W\d_]"
 _ONE = rf"(?:[^\W_]|[{re.escape(_SYMBOLS)}])"
 _TOKEN = rf"[\w{re.escape(_SYMBOLS)}]"
-#: Single characters between separators; tokens with a look-alike beside a letter; tokens with a letter three times; tokens of doubled letters.
-SUSPECT = re.compile(
-    rf"(?<!{_TOKEN}){_ONE}(?:[{re.escape(SEPARATORS)}]{{1,2}}{_ONE}){{2,}}(?!{_TOKEN})"
-    rf"|{_TOKEN}*(?:{_LETTER}[0-9{re.escape(_SYMBOLS)}](?=\w)|[0-9{re.escape(_SYMBOLS)}]{_LETTER}|({_LETTER})\1\1){_TOKEN}*"
-    rf"|\b(?:({_LETTER})\2+){{3,}}\b"
-)
+#: Single characters with separators between; runs of characters of words and look-alikes; what makes such a run suspect.
+SPACED = re.compile(rf"(?<!{_TOKEN}){_ONE}(?:[{re.escape(SEPARATORS)}]{{1,2}}{_ONE}){{2,}}(?!{_TOKEN})")
+RUN = re.compile(rf"{_TOKEN}+")
+TWICE = re.compile(r"(.)\1\1|^(?:(.)\2+){3,}$", re.S)
+_EDGES = ".,;:?'\"()[]{}<>«»“”„‘’…*#%&_-"
+ODD = re.compile(rf"{_LETTER}[0-9{re.escape(_SYMBOLS)}](?=\w)|[0-9{re.escape(_SYMBOLS)}]{_LETTER}|({_LETTER})\1\1|^(?:({_LETTER})\2+){{3,}}$")
 WORDS = re.compile(rf"{_LETTER}+")
 _SEEDS = np.random.default_rng(20250117).integers(1, 2**63, ORDER + 1, dtype=np.uint64)
-_INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
+_INVISIBLE = re.compile("[\xad\u200b-\u200d\u2060\ufeff]+")
 _KINDS: list[np.ndarray] = []
 
 
@@ -75,7 +80,8 @@ def _kinds() -> np.ndarray:
 
 
 def plain(text: str | None) -> str:
-    return (text or "").lower().translate(_INVISIBLE)
+    low = (text or "").lower()
+    return low if low.isascii() else _INVISIBLE.sub("", low)
 
 
 def slots(texts: Iterable[str]) -> Iterator[tuple[int, np.ndarray]]:
@@ -103,7 +109,7 @@ class Characters:
         """Of the last character after the others, of which the last ORDER - 1 count."""
         found = self.known.get(gram)
         if found is None:
-            if len(self.known) > 1 << 20:
+            if len(self.known) > 200_000:
                 self.known.clear()
             found = self.known[gram] = log(self._p(gram))
         return found
@@ -168,68 +174,114 @@ def decode(stretch: str, model: Characters) -> str:
 
 
 class Restorer:
-    """Texts with suspect stretches replaced by what they are likeliest to have said; stretches are remembered."""
+    """Texts as tokens (what white space parts) with suspect ones replaced by what they are likeliest to have said.
+
+    Of neighbouring tokens of one character each, three or more that could be letters are one stretch.  What tokens come to
+    is remembered, up to ``kept`` of them.
+    """
+
+    kept = 200_000
 
     def __init__(self, model: Characters | None) -> None:
         self.model = model
         self.seen: dict[str, str] = {}
 
-    def __call__(self, text: str | None) -> str:
-        low = plain(text)
-        return SUSPECT.sub(self._one, low) if self.model is not None else low
+    def tokens(self, text: str | None) -> list[str]:
+        return self.joined(plain(text).split())
 
-    def _one(self, match: re.Match) -> str:
-        stretch = match.group(0)
-        found = self.seen.get(stretch)
+    def __call__(self, text: str | None) -> str:
+        return " ".join(map(self.token, self.tokens(text)))
+
+    def joined(self, tokens: list[str]) -> list[str]:
+        """Spaced-out stretches as one token each, with the blanks."""
+        sizes = list(map(len, tokens))
+        if self.model is None or sizes.count(1) < 3:
+            return tokens
+        ones = [i for i, n in enumerate(sizes) if n == 1]
+        if not any(c - a == 2 for a, c in zip(ones, ones[2:])):
+            return tokens
+        out: list[str] = []
+        at = 0
+        while at < len(tokens):
+            to = at
+            while to < len(tokens) and sizes[to] == 1 and (_single(tokens[to]) or tokens[to] in SEPARATORS):
+                to += 1
+            while to > at and not _single(tokens[to - 1]):
+                to -= 1
+            if to - at >= 3 and sum(map(_single, tokens[at:to])) >= 3:
+                out.append(" ".join(tokens[at:to]))
+                at = to
+            else:
+                out += tokens[at : max(to, at + 1)]
+                at = max(to, at + 1)
+        return out
+
+    def words(self, token: str) -> list[str]:
+        """The words of a token, restored."""
+        core = token.strip(_EDGES)
+        if core.isalpha() and (self.model is None or not TWICE.search(core)):
+            return [core]
+        return WORDS.findall(self.token(token))
+
+    def token(self, token: str) -> str:
+        """A token, restored."""
+        if self.model is None:
+            return token
+        found = self.seen.get(token)
         if found is None:
-            if len(self.seen) > 200_000:
+            found = decode(token, self.model) if " " in token else self._parts(token)
+            if len(self.seen) >= self.kept:
                 self.seen.clear()
-            found = decode(stretch, self.model)
-            if len(stretch) <= 64:
-                self.seen[stretch] = found
+            if len(token) <= 64:
+                self.seen[token] = found
         return found
 
+    def _parts(self, token: str) -> str:
+        spaced = SPACED.search(token) if not token.isalpha() else None
+        if spaced:
+            return SPACED.sub(lambda m: decode(m.group(0), self.model), token)
+        return RUN.sub(lambda m: decode(m.group(0), self.model) if ODD.search(m.group(0)) else m.group(0), token)
+
+
+def _single(token: str) -> bool:
+    return len(token) == 1 and (token.isalnum() or token in _SYMBOLS)
+
 
 def features(word: str) -> list[int]:
-    """Slots of the word and of its prefixes."""
+    """Slots of the word and of its prefixes, the shortest first."""
     data = [word + "\0", *(word[:n] for n in PREFIXES if len(word) >= n)]
     return [crc32(d.encode("utf-8", "surrogatepass")) & (1 << FEATURE_BITS) - 1 for d in data]
 
 
+def begins(word: str) -> int:
+    """The slot of a word's first feature but the word itself, or of the word if it has no other."""
+    return crc32((word[: PREFIXES[0]] if len(word) >= PREFIXES[0] else word + "\0").encode("utf-8", "surrogatepass")) & (1 << FEATURE_BITS) - 1
+
+
+def weights(n: np.ndarray, toxic: np.ndarray, base: float) -> np.ndarray:
+    """Log odds, over those of the base, of the lower bound of the toxic share; 0 where there is no evidence."""
+    known = (toxic >= LEAST_TOXIC) & (n > 0)
+    n = np.maximum(n, 1).astype(float)
+    share = np.clip(toxic / n, 0, 1)
+    low = (share + Z * Z / (2 * n) - Z * np.sqrt((share * (1 - share) + Z * Z / (4 * n)) / n)) / (1 + Z * Z / n)
+    low = np.where(known & (low > base), low, base)
+    return np.log(low / (1 - low)) - np.log(base / (1 - base))
+
+
+def _evidence(found: list[float], size: int) -> tuple[float, float, float]:
+    """(greatest weight, log of the sum, sum a hundred tokens) of the weights of a document's different words."""
+    return (max(found), log(1 + sum(sorted(found))), min(10.0, 100 * sum(sorted(found)) / size)) if found else (0.0, 0.0, 0.0)
+
+
 class Model:
-    """Counts of characters and of features (documents, toxic ones), and the curve."""
-
-    def __init__(self, characters: Characters | None, counts: dict[int, tuple[int, int]], base: float, curve: np.ndarray | None = None) -> None:
-        self.characters, self.counts, self.base, self.curve = characters, counts, base, curve
-
-    def weight(self, word: str, label: int | None = None) -> float:
-        """The greatest weight of the word's features; with a label, as if that document had not been learned from."""
-        best = 0.0
-        for slot in features(word):
-            n, toxic = self.counts.get(slot, (0, 0))
-            if label is not None:
-                n, toxic = n - 1, toxic - label
-            if toxic < LEAST_TOXIC or n <= 0:
-                continue
-            share = toxic / n
-            low = (share + Z * Z / (2 * n) - Z * ((share * (1 - share) + Z * Z / (4 * n)) / n) ** 0.5) / (1 + Z * Z / n)
-            if low > self.base:
-                best = max(best, log(low / (1 - low)) - log(self.base / (1 - self.base)))
-        return best
-
-    def evidence(self, words: list[str], weights: dict[str, float], label: int | None = None) -> tuple[float, float, float]:
-        """(greatest weight, log of the sum, sum a hundred words): of the different words."""
-        found = []
-        for word in set(words):
-            w = weights.get(word) if label is None else self.weight(word, label)
-            if w is None:
-                if len(weights) > 500_000:
-                    weights.clear()
-                w = weights[word] = self.weight(word)
-            if w:
-                found.append(w)
-        found.sort()
-        return (found[-1], log(1 + sum(found)), min(10.0, 100 * sum(found) / len(words))) if found else (0.0, 0.0, 0.0)
+    """The language model, the weights of features that have one, how words with a weight begin, and the curve."""
+
+    def __init__(self, characters: Characters | None, base: float, weights: dict[int, float] | None = None, starts: Iterable[int] = (), curve: np.ndarray | None = None) -> None:
+        self.characters, self.base, self.weights, self.starts, self.curve = characters, base, weights or {}, frozenset(starts), curve
+
+    def weight(self, word: str) -> float:
+        """The greatest weight of a word's features; only words that begin as one with a weight does have any."""
+        return max(map(self.weights.get, features(word), repeat(0.0))) if begins(word) in self.starts else 0.0
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         if self.curve is None:
@@ -237,6 +289,45 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.c_[np.ones(len(evidence)), evidence] @ self.curve, -40, 40)))
 
 
+class Reader:
+    """Evidence of texts under a model; which tokens have been looked at, and what words with a weight they hold, is remembered."""
+
+    kept = 400_000
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.restore = model, Restorer(model.characters)
+        self.restore.kept = 20_000  # tokens that come back are known here already
+        self.seen: set[str] = set()
+        self.weighty: set[str] = set()
+        self.heavy: dict[str, list[tuple[str, float]]] = {}
+        self.may: dict[str, bool] = {}
+
+    def weight(self, word: str) -> float:
+        """The word's weight; how it begins is looked up first, and remembered."""
+        start = word[: PREFIXES[0]]
+        known = self.may.get(start)
+        if known is None:
+            if len(self.may) > 100_000:
+                self.may.clear()
+            known = self.may[start] = begins(word if len(word) < PREFIXES[0] else start) in self.model.starts
+        return self.model.weight(word) if known else 0.0
+
+    def evidence(self, text: str | None) -> tuple[float, float, float]:
+        tokens = self.restore.tokens(text)
+        own = set(tokens)
+        new = own - self.seen
+        for token in new:
+            found = [(word, w) for word in self.restore.words(token) if (w := self.weight(word))]
+            if found:
+                self.heavy[token] = found
+                self.weighty.add(token)
+        self.seen |= new
+        words = dict(pair for token in own & self.weighty for pair in self.heavy[token])
+        if len(self.seen) > self.kept:
+            self.seen, self.weighty, self.heavy = set(), set(), {}
+        return _evidence(list(words.values()), len(tokens))
+
+
 def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     """Logistic regression by Newton steps, halved where they would not help."""
     x = np.c_[np.ones(len(x)), x]
@@ -289,48 +380,98 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     """Learn from labelled docs; the language model is that of ``language``, by default all of docs."""
     spark = docs.sparkSession
     model = characters(docs if language is None else language, text)
-    marks = labels.filter(labels[label].isNotNull()).groupBy(labels[id_col].alias("id")).agg(F.max((labels[label] != 0).cast("int")).alias("y"))
-    known = docs.select(docs[id_col].alias("id"), docs[text].alias("text")).join(marks, "id").select("y", "text", F.xxhash64("id", F.lit("curve")).alias("draw"))
+    marks = labels.filter(labels[label].isNotNull() & labels[id_col].isNotNull()).groupBy(labels[id_col].alias("id")).agg(F.max((labels[label] != 0).cast("int")).alias("y"))
+    marks = staging.stage(marks, "marks")
+    few = marks.count() <= BROADCAST_ROWS
+    known = docs.select(docs[id_col].alias("id"), docs[text].alias("text")).join(F.broadcast(marks) if few else marks, "id").select("y", "text", F.xxhash64("id", F.lit("curve")).alias("draw"))
     shared = spark.sparkContext.broadcast(model)
+    size = 1 << FEATURE_BITS
 
     def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each document's number of tokens, the slots of its different words, a word after the other, and how many each has."""
         restore = Restorer(shared.value)
+        kept: dict[str, list[bytes]] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                words = [WORDS.findall(restore(t.as_py())) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(words, pa.list_(pa.string()))], ["y", "draw", "words"])
-
-    seen = staging.stage(known.mapInArrow(restored, "y int, draw long, words array<string>"), "restored")
+                rows: list[tuple[int, bytes, bytes]] = []
+                for value in part.column(1):
+                    tokens = restore.tokens(value.as_py())
+                    own = set(tokens)
+                    for token in [t for t in own if t not in kept]:
+                        kept[token] = [array("i", features(w)).tobytes() for w in restore.words(token)]
+                    words = dict.fromkeys(chain.from_iterable(map(kept.__getitem__, own)))
+                    rows.append((len(tokens), b"".join(words), bytes([len(w) // 4 for w in words])))
+                    if len(kept) > 200_000:
+                        kept.clear()
+                columns = zip(*rows) if rows else ((), (), ())
+                made = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *made], ["y", "draw", "tokens", "slots", "sizes"])
+
+    seen = staging.stage(known.mapInArrow(restored, "y int, draw long, tokens long, slots binary, sizes binary"), "restored")
+
+    def numbers(value: pa.Scalar, kind: type) -> np.ndarray:
+        return np.frombuffer(value.as_buffer(), kind)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list[int]] = {}
+        n, toxic = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for batch in batches:
-            for y, words in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for slot in {s for w in set(words.as_py()) for s in features(w)}:
-                    entry = found.setdefault(slot, [0, 0])
-                    entry[0] += 1
-                    entry[1] += y
-        rows = [(s, n, t) for s, (n, t) in found.items()]
-        for at in range(0, len(rows), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + (1 << 16)]), (pa.int32(), pa.int64(), pa.int64()))], ["slot", "n", "t"])
-
-    n, toxic = seen.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
-    if not 0 < toxic < n:
-        return Model(model, {}, toxic / n if n else 0.0)
-    table = seen.select("y", "words").mapInArrow(counted, "slot int, n long, t long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).filter(F.col("t") >= LEAST_TOXIC).collect()
-    out = Model(model, {r.slot: (r.n, r.t) for r in table}, toxic / n)
-    bare = spark.sparkContext.broadcast(Model(None, out.counts, out.base))
+            for y, slots_ in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.unique(numbers(slots_, np.int32))
+                n[own] += 1
+                toxic[own] += y
+        at = np.flatnonzero(n)
+        for low in range(0, len(at), 1 << 16):
+            part = at[low : low + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(n[part]), pa.array(toxic[part])], ["slot", "n", "t"])
+
+    total, toxic = seen.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if not 0 < toxic < total:
+        return Model(model, toxic / total if total else 0.0)
+    base = toxic / total
+    table = seen.select("y", "slots").mapInArrow(counted, "slot int, n long, t long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).filter(F.col("t") >= LEAST_TOXIC).toArrow()
+    at, n, t = (table.column(c).to_numpy() for c in ("slot", "n", "t"))
+    worth = weights(n, t, base)
+    heavy = at[worth > 0]
+    sent = spark.sparkContext.broadcast(heavy)
+
+    def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How words begin that have a feature with a weight."""
+        has = np.zeros(size, bool)
+        has[sent.value] = True
+        found = np.zeros(size, bool)
+        for batch in batches:
+            for slots_, sizes in zip(batch.column(0), batch.column(1)):
+                own, lengths = numbers(slots_, np.int32), numbers(sizes, np.uint8).astype(np.int64)
+                if len(own):
+                    first = np.r_[0, np.cumsum(lengths)[:-1]]
+                    some = np.logical_or.reduceat(has[own], first)
+                    found[own[first + (lengths > 1)][some]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(found), pa.int32())], ["slot"])
+
+    starts = seen.select("slots", "sizes").mapInArrow(begun, "slot int").distinct().toArrow().column("slot").to_pylist()
+    out = Model(model, base, {int(slot): float(w) for slot, w in zip(at, worth) if w > 0}, starts)
+    counts = spark.sparkContext.broadcast((at, n, t))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = bare.value
+        """Evidence of each document as if it had not been learned from."""
+        at, n, t = counts.value
+        every_n, every_t = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        every_n[at], every_t[at] = n, t
         for batch in batches:
-            ys = batch.column(0).to_pylist()
-            found = [own.evidence(words.as_py(), {}, y) for y, words in zip(ys, batch.column(1))]
-            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), *(pa.array(c, pa.float64()) for c in (zip(*found) if found else ((), (), ())))], ["y", "a", "b", "c"])
-
-    drawn = seen.filter(F.pmod("draw", F.lit(1 << 20)) < F.lit(min(1.0, CALIBRATION_ROWS / n) * (1 << 20)))
-    rows = np.array([tuple(r) for r in drawn.select("y", "words").mapInArrow(measured, "y int, a double, b double, c double").orderBy("y", "a", "b", "c").collect()]).reshape(-1, 4)
+            found = []
+            for y, tokens, slots_, sizes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                own, lengths = numbers(slots_, np.int32), numbers(sizes, np.uint8).astype(np.int64)
+                if not len(own):
+                    found.append((0.0, 0.0, 0.0))
+                    continue
+                worth = weights(every_n[own] - 1, every_t[own] - y, base)
+                best = np.maximum.reduceat(worth, np.r_[0, np.cumsum(lengths)[:-1]])
+                found.append(_evidence(best[best > 0].tolist(), tokens))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.float64()) for c in (zip(*found) if found else ((), (), ())))], ["y", "a", "b", "c"])
+
+    drawn = seen.filter(F.pmod("draw", F.lit(1 << 20)) < F.lit(min(1.0, CALIBRATION_ROWS / total) * (1 << 20)))
+    rows = np.array([tuple(r) for r in drawn.select("y", "tokens", "slots", "sizes").mapInArrow(measured, "y int, a double, b double, c double").orderBy("y", "a", "b", "c").collect()]).reshape(-1, 4)
     if 0 < rows[:, 0].sum() < len(rows):
         out.curve = _curve(rows[:, 1:], rows[:, 0])
     return out
@@ -343,11 +484,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        restore, weights = Restorer(model.characters), {}
+        reader = Reader(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = np.array([model.evidence(WORDS.findall(restore(t.as_py())), weights) for t in part.column(2)]).reshape(-1, 3)
+                found = np.array([reader.evidence(t.as_py()) for t in part.column(2)]).reshape(-1, 3)
                 value = model.score(found)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(value), pa.array((value >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -356,7 +497,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_
 
 
 def restored(docs: DataFrame, model: Characters | None, text: Column | str = "text") -> Column:
-    """The text, in lower case, with suspect stretches decoded."""
+    """The text, in lower case and with one blank for white space, with suspect stretches decoded."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("string")
