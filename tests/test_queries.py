@@ -42,3 +42,20 @@ def test_query_runs(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 1
     assert set(catalog.QUERIES) <= set(__spark_entry__.queries())
+
+
+def same_as_sql(spark, folder, name, values):
+    """Whether a query and its SQL agree on documents (doc_id, text); the rows."""
+    spark.createDataFrame(values, "doc_id long, text string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+    made, found = catalog.QUERIES[name](spark, str(folder)), con.execute(catalog.ORACLES[name])
+    columns = [c[0] for c in found.description]
+    own = rows(made.columns, map(tuple, made.collect()))
+    assert own == rows(columns, found.fetchall())
+    return own
+
+
+def test_densities_between_two_places(spark, tmp_path):
+    found = same_as_sql(spark, tmp_path, "diagnostics", [(0, "\u200b" + "a" * 799), (28, "\u200b" + "a" * 31), (14, "\u200b" * 3 + "a" * 4), (42, None)])
+    assert sorted(r[0] for r in found) == [0, 13, 313, 4286]

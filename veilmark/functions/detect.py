@@ -175,12 +175,13 @@ def observed(rows: DataFrame, segments: str | None = None, text: str | None = No
     return made.select(*rows.columns, *found)
 
 
-def diagnostics(text: Column, encoding: Column | None = None, counts: Column | None = None, status: Column | None = None, density: float = 0.01, payload: int = 16, out_of_band: int = 10) -> Column:
-    """A JSON text: the density to four places (half to even), the thresholds, the version, and where there are any the
-    encoding's name and the file's counts, by name; of a refused file the version alone."""
+def diagnostics(text: Column, encoding: Column | None = None, counts: Column | None = None, status: Column | None = None, density: float = 0.01, payload: int = 16, out_of_band: int = 10, places: int | None = 4) -> Column:
+    """A JSON text: the density to four places (half to even; as it is if ``places`` is None), the thresholds, the version,
+    and where there are any the encoding's name and the file's counts, by name; of a refused file the version alone."""
+    own = zero_width_density(text) if places is None else F.bround(zero_width_density(text), places)
     some = F.lit(None).cast("map<string,bigint>") if counts is None else counts
     numbers = lambda m: F.array_join(F.transform(F.array_sort(F.map_keys(m)), lambda k: F.concat(F.lit(', "'), k, F.lit('": '), m[k].cast("string"))), "")
-    plain = F.to_json(F.struct(F.bround(zero_width_density(text), 4).alias("zero_width_density"), F.lit(density).alias("zero_width_threshold"), F.lit(payload).alias("payload_min_length"), F.lit(out_of_band).alias("oob_min_length"), F.lit(VERSION).alias("version")))
+    plain = F.to_json(F.struct(own.alias("zero_width_density"), F.lit(density).alias("zero_width_threshold"), F.lit(payload).alias("payload_min_length"), F.lit(out_of_band).alias("oob_min_length"), F.lit(VERSION).alias("version")))
     named = F.lit("") if encoding is None else F.coalesce(F.concat(F.lit(', "encoding_name": "'), encoding, F.lit('"')), F.lit(""))
     found = F.concat(F.regexp_replace(plain, r"\}$", ""), named, F.coalesce(numbers(some), F.lit("")), F.lit("}"))
     return found if status is None else F.when(status == "ok", found).otherwise(F.to_json(F.struct(F.lit(VERSION).alias("version"))))
