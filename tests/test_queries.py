@@ -59,3 +59,9 @@ def same_as_sql(spark, folder, name, values):
 def test_densities_between_two_places(spark, tmp_path):
     found = same_as_sql(spark, tmp_path, "diagnostics", [(0, "\u200b" + "a" * 799), (28, "\u200b" + "a" * 31), (14, "\u200b" * 3 + "a" * 4), (42, None)])
     assert sorted(r[0] for r in found) == [0, 13, 313, 4286]
+
+
+def test_painted_ground_is_as_wide_as_the_longest_line(spark, tmp_path):
+    long = "wide line " * 2_500
+    found = same_as_sql(spark, tmp_path, "pdf_pages", [(2, long), (8, "short\n" * 40 + long), (14, None), (1, long)])
+    assert len(found) == 4
