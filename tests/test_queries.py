@@ -84,3 +84,12 @@ def test_files_are_read_where_they_are_made(spark, name):
     """Files of a whole Arrow batch would lie in one Python process after the other."""
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_files_that_are_written_where_they_are_read(spark):
+    """What ``write`` gives is judged as a file's own content is."""
+    made = spark.createDataFrame([(1, ".txt", "a"), (2, ".txt", "b" * 9), (3, ".pdf", "no"), (4, ".x", ""), (5, ".txt", None)], "id long, extension string, content string")
+    found = reading.extract(made, reading.Limits(file_bytes=8), write=lambda t: (t or "none").encode()).orderBy("id").collect()
+    assert list(found[0].asDict()) == ["id", "extension", "status", "encoding", "counts", "segments"]
+    assert [r.status for r in found] == ["ok", "Extraction refused: file_too_large", "Extraction failed: ValueError", "Unsupported format: .x", "ok"]
+    assert [[s.text for s in r.segments] for r in found] == [["a"], [], [], [], ["none"]]
