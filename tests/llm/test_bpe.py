@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import struct
 
+import pyarrow as pa
 import public_tokenizers
 import tiktoken
 from hypothesis import given, settings
@@ -10,6 +11,7 @@ from hypothesis import strategies as st
 
 from tests.llm.conftest import table
 from veilmark.llm import bpe_codec
+from veilmark.llm.sequences import handed_back, runs
 
 PATH = public_tokenizers.path(bpe_codec.VOCABULARY)
 CODEC = bpe_codec.codec(PATH, public_tokenizers.PATTERN)
@@ -61,3 +63,28 @@ def test_repeated_rows_and_missing_ids(spark):
     found = bpe_codec.encode(table(spark, rows), carry=("lang", "source", "digest")).collect()
     assert sorted(((r.doc_id, r.n_tokens, r.lang, r.source, r.digest) for r in found), key=str) == sorted([(1, n, "en", "a", "d")] * 3 + [(None, n, "en", "b", "d"), (None, 0, None, None, "d")], key=str)
     assert bpe_codec.report(table(spark, rows)).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_workers_keep_no_caches(spark):
+    """A worker goes on to other stages; what it keeps is the vocabulary alone."""
+    path, pattern = public_tokenizers.path(bpe_codec.VOCABULARY), public_tokenizers.PATTERN
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('word', id, ' another', id * 7) AS text")
+    assert bpe_codec.encode(docs).count() == 400
+
+    def held(batches):
+        for batch in batches:
+            own = bpe_codec.codec(path, pattern)
+            yield pa.RecordBatch.from_arrays([pa.array([len(own.pieces) + len(own.pairs)] * batch.num_rows, pa.int64())], ["n"])
+
+    assert {r.n for r in spark.range(8).mapInArrow(held, "n long").collect()} == {0}
+
+
+def test_runs_are_short():
+    """Arrays over a run's bytes are many times its size."""
+    found = list(runs(pa.array(["abc " * 1000] * 1000 + ["x" * 2_000_000])))
+    assert max(len(data) for _, data, _ in found[:-1]) <= 1 << 18 and len(found[-1][1]) == 2_000_000
+    assert sum(len(offsets) - 1 for _, _, offsets in found) == 1001
+
+
+def test_memory_is_handed_back_once_a_task_ends():
+    assert list(handed_back(lambda batches: (b + 1 for b in batches))(iter([1, 2]))) == [2, 3]

@@ -7,7 +7,8 @@ bytes by rank gives back just these two.  A sequence whose neighbours are all co
 give, so the first one that reaches the end is exact.  Positions from which the end can't be reached are marked and
 never tried again, which bounds the work by the piece's length.  Compatibility is memoised.
 
-Scale.  One narrow pass, no shuffle.  A worker holds the vocabulary, and caches of bounded size for pieces and pairs.
+Scale.  One narrow pass, no shuffle.  A worker holds the vocabulary, and within a task caches of bounded size for
+pieces and pairs.
 Output columns are digests and counts; ``encode`` returns the ids themselves.
 
 Defined cases.  A null text counts as empty: no ids, and the digests of no bytes.  Strings of special tokens are
@@ -32,6 +33,8 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
+from veilmark.llm.sequences import handed_back
+
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 PIECE_CACHE = 300_000
 PAIR_CACHE = 300_000
@@ -84,6 +87,11 @@ class Codec:
             self.shorter[rank] = next((r for n in range(len(token) - 1, 0, -1) if (r := ranks.get(token[:n], -1)) in self.halves), -1)
         self.automaton.make_automaton()
 
+    def forget(self) -> None:
+        """Empty the caches."""
+        self.pieces.clear()
+        self.pairs.clear()
+
     def merged(self, piece: bytes, until: int = 1) -> list[bytes]:
         """The definition, in quadratic time: join the neighbours of lowest rank until none can be joined."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
@@ -182,6 +190,7 @@ def encode(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: st
     path = path or public_tokenizers.path(VOCABULARY)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *carry]
 
+    @handed_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for whole in batches:
@@ -197,6 +206,7 @@ def encode(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: st
                     ends = np.cumsum([0, *n])
                     columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
                 yield pa.RecordBatch.from_arrays([*columns, *(batch.column(i) for i in range(2, batch.num_columns))], names)
+        own.forget()  # the worker may go on to other stages
 
     kinds = [docs.schema[id_col].dataType.simpleString(), "long", "string", "string", *["array<int>"] * with_ids, *(docs.schema[c].dataType.simpleString() for c in carry)]
     return docs.select(docs[id_col].alias("doc_id"), docs[text].alias("text"), *(docs[c] for c in carry)).mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in zip(names, kinds)))

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from veilmark.llm import repeats, staging
 from veilmark.llm.components import components
-from veilmark.llm.sequences import Numbers, Rolling, Words, mixed, runs, shingles
+from veilmark.llm.sequences import Numbers, Rolling, Words, handed_back, mixed, runs, shingles
 
 #: Production parameters: words to a shingle, and the least similarity in hundredths.
 WIDTH = 5
@@ -109,6 +109,7 @@ def profile(docs: DataFrame, width: int) -> DataFrame:
     ordered with the rare ones, everywhere alike.
     """
 
+    @handed_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts, seen, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, [], 0
         schema = pa.schema([("uid", pa.int64()), ("size", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("bits", pa.binary()), ("token", pa.int64()), ("rows", pa.int64())])
@@ -186,6 +187,7 @@ def index(docs: DataFrame, frequent: np.ndarray, width: int, percent: int, crowd
     """signature, c1, c2 (the class), size, state (see ``_crowded``); of equal sets a task gives one."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
+    @handed_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[bytes] = set()
         own = shared.value
@@ -329,6 +331,7 @@ def proposed(tasks: DataFrame, percent: int, what: str) -> DataFrame:
     dealt = tasks.repartition(staging.tasks(tasks.sparkSession), *key).sortWithinPartitions(*key, "size", "node")
     names = [*key, "block", "node", "size", "label"]
 
+    @handed_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(rows: pa.Table) -> pa.RecordBatch:
             signature, i, j, block, node, size, label = (rows.column(c).to_numpy() for c in names)
@@ -449,6 +452,7 @@ class ExactSet:
 
 
 def _verify(width: int, percent: int):  # noqa: ANN202
+    @handed_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, said, hub, numbers = None, b"", None, Numbers()
         for batch in batches:
@@ -524,6 +528,7 @@ def _wanted(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def _sharp(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """node, bits: larger bitmaps of these nodes."""
 
+    @handed_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, at, sets in _sets(batches, width):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)).cast(pa.int64()), pa.array([bitmap(s, SHARP) for s, _ in sets], pa.binary())], ["node", "bits"])

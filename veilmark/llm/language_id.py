@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.llm import staging
-from veilmark.llm.sequences import mixed, runs
+from veilmark.llm.sequences import handed_back, mixed, runs
 
 DIMS = 1 << 12
 SAMPLE_PER_LANGUAGE = 1000
@@ -151,6 +151,7 @@ def fit(docs: DataFrame, text: str = "text", id_col: str = "doc_id", lang: str =
     share = F.create_map(*(F.lit(x) for l, n in sorted(sizes.items()) for x in (l, min(1.0, sample_per_language / n))))
     drawn = known.select("lang", "text", (F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * (1 << 20)).alias("drawn"))
 
+    @handed_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("lang", pa.string()), ("dim", pa.int32()), ("n", pa.int64()), ("vector", pa.binary())])
         found, seen = np.zeros(DIMS, np.int64), 0
@@ -201,6 +202,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", id_col: st
         return own.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few centroids of DIMS numbers
 
+    @handed_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
@@ -230,6 +232,7 @@ def keep(docs: DataFrame, text: str = "text", id_col: str = "doc_id", lang: str
         return docs.filter(docs[text].rlike(r"\p{L}"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @handed_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
