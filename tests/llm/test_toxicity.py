@@ -111,3 +111,19 @@ def test_odd_rows(spark):
 def test_restored_column(spark, model):
     made = spark.createDataFrame([("the 1d10t",), (None,)], "text string")
     assert [r[0] for r in made.select(toxicity.restored(made, model)).collect()] == ["the idiot", ""]
+
+
+def test_most_tokens_are_only_looked_at(monkeypatch):
+    """Words that begin as none with a weight does are not restored; the evidence is that of restoring every token."""
+    text = "some plain words, then b a d ones and baaad ones " + "w" * 300
+    counts = np.zeros((toxicity.ORDER, 1 << toxicity.SLOT_BITS), np.float32)
+    for order, at in toxicity.slots(["some plain words and bad ones " * 50]):
+        counts[order - 1] += np.bincount(at, minlength=1 << toxicity.SLOT_BITS)
+    model = toxicity.Model(toxicity.Characters(counts, int(counts[0].sum())), 0.1, dict.fromkeys(toxicity.features("bad"), 2.0), [toxicity.begins("bad")])
+    restore = toxicity.Restorer(model.characters)
+    tokens = restore.tokens(text)
+    assert "b a d" in tokens
+    found = {w: model.weight(w) for t in set(tokens) for w in restore.words(t) if model.weight(w)}
+    monkeypatch.setattr(toxicity.Restorer, "words", lambda *_: pytest.fail("a token was restored"))
+    reader = toxicity.Reader(model)
+    assert found and reader.evidence(text) == reader.evidence(text) == toxicity._evidence(list(found.values()), len(tokens))

@@ -64,6 +64,8 @@ _TOKEN = rf"[\w{re.escape(_SYMBOLS)}]"
 SPACED = re.compile(rf"(?<!{_TOKEN}){_ONE}(?:[{re.escape(SEPARATORS)}]{{1,2}}{_ONE}){{2,}}(?!{_TOKEN})")
 RUN = re.compile(rf"{_TOKEN}+")
 TWICE = re.compile(r"(.)\1\1|^(?:(.)\2+){3,}$", re.S)
+#: Whether TWICE finds something in any of the lines.
+ANY_TWICE = re.compile(r"(.)\1\1|^(?:(.)\2+){3,}$", re.M)
 _EDGES = ".,;:?'\"()[]{}<>«»“”„‘’…*#%&_-"
 ODD = re.compile(rf"{_LETTER}[0-9{re.escape(_SYMBOLS)}](?=\w)|[0-9{re.escape(_SYMBOLS)}]{_LETTER}|({_LETTER})\1\1|^(?:({_LETTER})\2+){{3,}}$")
 WORDS = re.compile(rf"{_LETTER}+")
@@ -194,12 +196,9 @@ class Restorer:
 
     def joined(self, tokens: list[str]) -> list[str]:
         """Spaced-out stretches as one token each, with the blanks."""
-        sizes = list(map(len, tokens))
-        if self.model is None or sizes.count(1) < 3:
-            return tokens
-        ones = [i for i, n in enumerate(sizes) if n == 1]
-        if not any(c - a == 2 for a, c in zip(ones, ones[2:])):
+        if self.model is None or not _three_single(tokens):
             return tokens
+        sizes = list(map(len, tokens))
         out: list[str] = []
         at = 0
         while at < len(tokens):
@@ -243,6 +242,15 @@ class Restorer:
         return RUN.sub(lambda m: decode(m.group(0), self.model) if ODD.search(m.group(0)) else m.group(0), token)
 
 
+def _three_single(tokens: list[str]) -> bool:
+    """Whether three neighbouring tokens have one character each."""
+    try:
+        sizes = bytes(map(len, tokens))
+    except ValueError:  # one of more than 255
+        sizes = bytes(len(token) == 1 for token in tokens)
+    return b"\1\1\1" in sizes
+
+
 def _single(token: str) -> bool:
     return len(token) == 1 and (token.isalnum() or token in _SYMBOLS)
 
@@ -312,17 +320,34 @@ class Reader:
             known = self.may[start] = begins(word if len(word) < PREFIXES[0] else start) in self.model.starts
         return self.model.weight(word) if known else 0.0
 
+    def look(self, tokens: set[str]) -> None:
+        """Note which tokens hold words with a weight.
+
+        Most are a word that begins as none with a weight does: these need no more than a look at how they begin.
+        """
+        cores = [token.strip(_EDGES) for token in tokens]
+        twice = self.model.characters is not None and ANY_TWICE.search("\n".join(cores)) is not None
+        may, weight, n = self.may, self.weight, PREFIXES[0]
+        for token, core in zip(tokens, cores):
+            if core.isalpha() and not (twice and TWICE.search(core)):
+                if may.get(core[:n]) is False:
+                    continue
+                words = [core]
+            else:
+                words = WORDS.findall(self.restore.token(token))
+            found = [(word, w) for word in words if (w := weight(word))]
+            if found:
+                self.heavy[token] = found
+                self.weighty.add(token)
+
     def evidence(self, text: str | None) -> tuple[float, float, float]:
         tokens = self.restore.tokens(text)
         own = set(tokens)
         new = own - self.seen
-        for token in new:
-            found = [(word, w) for word in self.restore.words(token) if (w := self.weight(word))]
-            if found:
-                self.heavy[token] = found
-                self.weighty.add(token)
-        self.seen |= new
-        words = dict(pair for token in own & self.weighty for pair in self.heavy[token])
+        if new:
+            self.look(new)
+            self.seen |= new
+        words = dict(chain.from_iterable(map(self.heavy.__getitem__, own & self.weighty)))
         if len(self.seen) > self.kept:
             self.seen, self.weighty, self.heavy = set(), set(), {}
         return _evidence(list(words.values()), len(tokens))
